@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import metrics  # noqa: F401
+from . import joins, metrics, search  # noqa: F401

@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-03-01 12:00:00"
+CITY = ("c_nationkey * 10 + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 "
+        "WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END")
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 FIRST = ("CASE {k} % 12 WHEN 0 THEN 'James' WHEN 1 THEN 'Mary' WHEN 2 THEN 'Oliver' WHEN 3 THEN 'Fiona' WHEN 4 THEN 'Neil' "
@@ -164,14 +166,14 @@ VIEWS: dict[str, str] = {
     "states_v": """
         SELECT n_nationkey AS state_id, n_regionkey AS country_id, 'N' || CAST(n_nationkey AS STRING) AS state_code, n_name AS state_name
         FROM nation""",
-    "cities_v": """
-        SELECT DISTINCT c_nationkey * 100 + LENGTH(c_mktsegment) AS city_id, c_nationkey AS state_id, n_regionkey AS country_id,
+    "cities_v": f"""
+        SELECT DISTINCT {CITY} AS city_id, c_nationkey AS state_id, n_regionkey AS country_id,
           c_mktsegment AS city_name
         FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'""",
-    "located_v": """
+    "located_v": f"""
         SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 20 = 0 THEN 99 ELSE n_regionkey END AS country_id,
           CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_nationkey END AS state_id,
-          CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey * 100 + LENGTH(c_mktsegment) END AS city_id
+          CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE {CITY} END AS city_id
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "company_contacts_v": """
         SELECT l_partkey AS company_id, CASE l_linenumber % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' ELSE 'website' END AS contact_type,
