@@ -120,7 +120,7 @@ def norm_country(c: Column | str) -> Column:
 
 def split_location(c: Column | str) -> Column:
     """struct(city, country) of 'City, …, Country'; a single part is a country."""
-    parts = F.filter(F.transform(F.split(as_col(c), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(as_col(c), ","), lambda p: F.trim(p)), lambda p: p != "")
     n = F.size(parts)
     return F.struct(
         F.when(n > 1, F.get(parts, F.lit(0))).alias("city"),
@@ -129,7 +129,7 @@ def split_location(c: Column | str) -> Column:
 
 
 def parse_address(c: Column | str) -> Column:
-    parts = F.transform(F.split(blank_to_null(c), ","), F.trim)
+    parts = F.transform(F.split(blank_to_null(c), ","), lambda p: F.trim(p))
     n = F.size(parts)
 
     def part(i: Column) -> Column:

@@ -143,21 +143,26 @@ def _substitute(pattern: Column | str, first: Column, last: Column) -> Column:
     return text
 
 
-def address_from_pattern(pattern: Column | str, first: Column, last: Column, dom: Column) -> Column:
-    """One candidate address: dots are squeezed, an edge dot is dropped, one-letter results are refused."""
-    local = F.regexp_replace(_substitute(pattern, first, last), r"\.+", ".")
-    local = F.when(F.startswith(local, F.lit(".")), F.substr(local, F.lit(2))).otherwise(F.regexp_replace(local, r"\.$", ""))
-    return F.when(F.length(local) >= 2, F.lower(F.concat(local, F.lit("@"), dom)))
+def candidate_locals(first: Column, last: Column) -> Column:
+    """Local parts of all usual patterns, in order: dots squeezed, an edge dot dropped."""
+    patterns = F.array(*[F.lit(p) for p in rules.EMAIL_PATTERNS])
+    return F.transform(patterns, lambda p: F.regexp_replace(
+        F.regexp_replace(_substitute(p, first, last), r"\.+", "."), r"^\.|\.$", ""))
 
 
 def email_permutations(full_name: Column | str, dom: Column | str) -> Column:
     """Array of the distinct candidate addresses of a person at a domain, most usual pattern first."""
     from .names import parse_name
 
-    name = parse_name(full_name)
-    first, last, dom = name["first"], name["last"], as_col(dom)
-    made = F.array(*[address_from_pattern(p, first, last, dom) for p in rules.EMAIL_PATTERNS])
-    return F.when(first.isNotNull(), F.array_distinct(F.array_compact(made)))
+    dom = as_col(dom)
+
+    def addresses(name: Column) -> Column:
+        usable = F.filter(candidate_locals(name["first"], name["last"]), lambda x: F.length(x) >= 2)
+        return F.array_distinct(F.transform(usable, lambda x: F.lower(F.concat(x, F.lit("@"), dom))))
+
+    # the parsed name is bound as a lambda variable, so it is computed once per row
+    made = F.get(F.transform(F.array(parse_name(full_name)), addresses), F.lit(0))
+    return F.when(as_col(full_name).isNotNull(), made)
 
 
 def apply_pattern(fmt: Column | str, first: Column | str, last: Column | str, dom: Column | str,

@@ -48,25 +48,30 @@ def _sum(parts: list[Column]) -> Column:
 
 def industry_by_name(c: Column | str) -> Column:
     """Industry whose keywords cover most letters of the name; longer keywords weigh more."""
-    text = F.concat(F.lit(" "), F.lower(as_col(c)), F.lit(" "))
-
-    def score(words: list[str]) -> Column:
+    def score(text: Column, words: list[str]) -> Column:
         return _sum([F.when(F.contains(text, F.lit(w.lower())), len(w)).otherwise(0) for w in words])
 
-    return _best([(label, score(words)) for label, words in rules.INDUSTRY_KEYWORDS], at_least=1)
+    def judge(text: Column) -> Column:
+        return _best([(label, score(text, words)) for label, words in rules.INDUSTRY_KEYWORDS], at_least=1)
+
+    padded = F.concat(F.lit(" "), F.lower(as_col(c)), F.lit(" "))
+    return F.get(F.transform(F.array(padded), judge), F.lit(0))
 
 
 def industry_by_text(page_text: Column | str) -> Column:
     """Industry with the largest sum of keyword occurrences x length in the text, when that is >= 10."""
-    text = F.lower(as_col(page_text))
 
-    def occurrences(word: str) -> Column:
+    def occurrences(text: Column, word: str) -> Column:
         w = word.lower().strip()
         removed = F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))
         return (removed / len(w)).cast("int") * len(word)
 
-    scores = [(label, _sum([occurrences(w) for w in words])) for label, words in rules.INDUSTRY_KEYWORDS]
-    return _best(scores, at_least=rules.PAGE_TEXT_THRESHOLD)
+    def judge(text: Column) -> Column:
+        return _best([(label, _sum([occurrences(text, w) for w in words])) for label, words in rules.INDUSTRY_KEYWORDS],
+                     at_least=rules.PAGE_TEXT_THRESHOLD)
+
+    # bound as a lambda variable, so that the text is computed once and not once per keyword
+    return F.get(F.transform(F.array(F.lower(as_col(page_text))), judge), F.lit(0))
 
 
 def norm_industry(c: Column | str) -> Column:

@@ -46,7 +46,7 @@ def other_words(c: Column | str) -> Column:
 
 def officer_contact(name: Column | str, role: Column | str, resigned: Column | str) -> Column:
     """struct(first_name, last_name, job_title) of an active, non-secretary officer, else NULL."""
-    parts = F.transform(F.split(as_col(name), ","), F.trim)
+    parts = F.transform(F.split(as_col(name), ","), lambda p: F.trim(p))
     last = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
     given = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
     proper = F.concat(F.left(last, F.lit(1)), F.lower(F.substr(last, F.lit(2))))
@@ -138,7 +138,7 @@ def canonical_title(c: Column | str) -> Column:
 def parse_bullets(c: Column | str) -> Column:
     """struct of lead fields from 'Name · Title at Company · City, Country' text."""
     text = as_col(c)
-    bits = F.transform(F.split(text, r"\s*[·•|]\s*"), F.trim)
+    bits = F.transform(F.split(text, r"\s*[·•|]\s*"), lambda p: F.trim(p))
     bulleted = F.size(bits) >= 3
     none = F.lit(None).cast("string")
 

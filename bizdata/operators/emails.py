@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.email import (address_from_pattern, apply_pattern, detect_pattern, email_score,
-                               email_score_detailed, fallback_pattern, is_generic, is_personal,
+from ..functions.email import (apply_pattern, candidate_locals, detect_pattern, email_score, email_score_detailed,
+                               fallback_pattern, is_generic, is_personal,
                                local_part, mail_domain, site_emails)
 from ..functions.names import parse_name
 from ..functions.presence import missing, present
@@ -36,12 +36,12 @@ def confirm_pattern(contacts: DataFrame, per_domain: int | None = None) -> DataF
     Input (domain, full_name, email, pos).  `per_domain` limits how many contacts vote, on request.
     """
     known = contacts if per_domain is None else first_n(contacts, ["domain"], per_domain, [F.asc("pos")])
-    name = parse_name("full_name")
+    named = known.withColumn("_name", parse_name("full_name"))
     email = F.lower("email")
+    locals_ = candidate_locals(F.col("_name.first"), F.col("_name.last"))
     agreeing = F.filter(
-        F.array(*[F.when(address_from_pattern(p, name["first"], name["last"], F.col("domain")) == email, F.lit(i))
-                  for i, p in enumerate(rules.EMAIL_PATTERNS)]), lambda i: i.isNotNull())
-    votes = known.select("domain", F.explode(agreeing).alias("_i")).groupBy("domain", "_i").agg(
+        F.transform(locals_, lambda x, i: F.when(F.concat(x, F.lit("@"), F.col("domain")) == email, i)), lambda i: i.isNotNull())
+    votes = named.select("domain", F.explode(agreeing).alias("_i")).groupBy("domain", "_i").agg(
         F.count(F.lit(1)).alias("confirmed"))
     best = keep_first(votes, ["domain"], [F.desc("confirmed"), F.asc("_i")])
     patterns = F.array(*[F.lit(p) for p in rules.EMAIL_PATTERNS])

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import joins, metrics, search  # noqa: F401
+from . import columns, joins, metrics, search  # noqa: F401
