@@ -188,14 +188,11 @@ def detect_pattern(email: Column | str, first: Column | str, last: Column | str)
     f = blank_to_null(F.lower(as_col(first)))
     surname = blank_to_null(F.lower(as_col(last)))
 
-    def same(pattern: str) -> Column:
-        return local == _substitute(pattern, f, surname)
-
     exact = ["{first}.{last}", "{first}_{last}", "{first}{last}", "{last}.{first}", "{f}{last}",
              "{f}.{last}", "{first}.{l}", "{first}{l}", "{first}", "{last}"]
-    found = F.when(is_generic(email) | (local == "") | host.isNull(), F.lit(None).cast("string"))
-    for pattern in exact:
-        found = found.when(same(pattern), F.lit(pattern))
+    equal = F.get(F.filter(F.array(*[F.lit(p) for p in exact]), lambda p: _substitute(p, f, surname) == local), F.lit(0))
+    found = (F.when(is_generic(email) | (local == "") | host.isNull(), F.lit(None).cast("string"))
+             .when(equal.isNotNull(), equal))
     found = (found.when(local.rlike(r"^[a-z]+\.[a-z]+$"), F.lit("{first}.{last}"))
              .when(local.rlike(r"^[a-z]+_[a-z]+$"), F.lit("{first}_{last}"))
              .when(local.rlike(r"^[a-z][a-z]{3,}$"), F.lit("{f}{last}")))

@@ -1,6 +1,6 @@
 """Industry columns: ordered keyword rules turned into JVM expressions."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,48 +30,48 @@ def sic_prefix_industry(c: Column | str, detailed: bool = False) -> Column:
     return known if detailed else F.when(c.isNotNull(), known)
 
 
-def _best(scores: list[tuple[str, Column]], at_least: int) -> Column:
-    """Label with the highest score, earlier rule on ties, NULL below `at_least`."""
-    rows = F.array(*[
-        F.struct(score.cast("int").alias("score"), F.lit(-i).alias("rank"), F.lit(label).alias("label"))
-        for i, (label, score) in enumerate(scores)
-    ])
-    return F.array_max(F.filter(rows, lambda r: r["score"] >= at_least))["label"]
+def _rule_table() -> Column:
+    """The keyword rules as one constant array of (label, [(word, weight)]), the word in lower case.
 
+    `weight` is the length of the keyword as written, outer space included; `word` keeps that space,
+    `stem` does not.
+    """
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "\\'") + "'"
 
-def _sum(parts: list[Column]) -> Column:
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
+    def words(keywords: list[str]) -> str:
+        return ", ".join(
+            f"named_struct('word', {text(w.lower())}, 'stem', {text(w.lower().strip())}, 'weight', {len(w)})" for w in keywords)
 
+    return F.expr("array(" + ", ".join(
+        f"named_struct('label', {text(label)}, 'words', array({words(keywords)}))" for label, keywords in rules.INDUSTRY_KEYWORDS) + ")")
 
-def industry_by_name(c: Column | str) -> Column:
-    """Industry whose keywords cover most letters of the name; longer keywords weigh more."""
-    def score(text: Column, words: list[str]) -> Column:
-        return _sum([F.when(F.contains(text, F.lit(w.lower())), len(w)).otherwise(0) for w in words])
 
-    def judge(text: Column) -> Column:
-        return _best([(label, score(text, words)) for label, words in rules.INDUSTRY_KEYWORDS], at_least=1)
+def _best(text: Column, worth: Callable[[Column, Column], Column], at_least: int) -> Column:
+    """Label of the rule with the highest sum of worth(text, keyword), earlier rule on ties, else NULL."""
+    def judge(t: Column) -> Column:
+        scored = F.transform(_rule_table(), lambda r, i: F.struct(
+            F.aggregate(r["words"], F.lit(0), lambda total, k: total + worth(t, k)).alias("score"),
+            (-i).alias("rank"), r["label"].alias("label")))
+        return F.array_max(F.filter(scored, lambda r: r["score"] >= at_least))["label"]
+
+    # bound as a lambda variable, so that the text is computed once and not once per keyword
+    return F.get(F.transform(F.array(text), judge), F.lit(0))
+
 
+def industry_by_name(c: Column | str) -> Column:
+    """Industry whose keywords cover most letters of the name; longer keywords weigh more."""
     padded = F.concat(F.lit(" "), F.lower(as_col(c)), F.lit(" "))
-    return F.get(F.transform(F.array(padded), judge), F.lit(0))
+    return _best(padded, lambda t, k: F.when(F.contains(t, k["word"]), k["weight"]).otherwise(0), at_least=1)
 
 
 def industry_by_text(page_text: Column | str) -> Column:
     """Industry with the largest sum of keyword occurrences x length in the text, when that is >= 10."""
+    def occurrences(t: Column, k: Column) -> Column:
+        removed = F.length(t) - F.length(F.replace(t, k["stem"], F.lit("")))
+        return F.coalesce((removed / F.length(k["stem"])).cast("int"), F.lit(0)) * k["weight"]
 
-    def occurrences(text: Column, word: str) -> Column:
-        w = word.lower().strip()
-        removed = F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))
-        return (removed / len(w)).cast("int") * len(word)
-
-    def judge(text: Column) -> Column:
-        return _best([(label, _sum([occurrences(text, w) for w in words])) for label, words in rules.INDUSTRY_KEYWORDS],
-                     at_least=rules.PAGE_TEXT_THRESHOLD)
-
-    # bound as a lambda variable, so that the text is computed once and not once per keyword
-    return F.get(F.transform(F.array(F.lower(as_col(page_text))), judge), F.lit(0))
+    return _best(F.lower(as_col(page_text)), occurrences, at_least=rules.PAGE_TEXT_THRESHOLD)
 
 
 def norm_industry(c: Column | str) -> Column:

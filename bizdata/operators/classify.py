@@ -52,9 +52,9 @@ def classify_accounts(accounts: DataFrame, pages: DataFrame) -> DataFrame:
     Every host has one main page, so the join is many-to-one; pages are scored once per host.
     """
     sites = main_pages(pages).select(F.col("host").alias("_host"), industry_by_text(html_text("html")).alias("_by_page"))
-    named = accounts.withColumn("_by_name", industry_by_name("company_name"))
+    named = accounts.withColumn("_by_name", industry_by_name("company_name")).withColumn("_by_old", norm_industry("industry"))
     joined = named.join(sites, domain("website") == F.col("_host"), "left")
-    found = F.coalesce("_by_name", "_by_page", norm_industry("industry"), F.col("industry"))
+    found = F.coalesce("_by_name", "_by_page", "_by_old", F.col("industry"))
     method = (F.when(F.col("_by_name").isNotNull(), F.lit("name")).when(F.col("_by_page").isNotNull(), F.lit("page"))
-              .when(norm_industry("industry").isNotNull(), F.lit("normalised")).otherwise(F.lit("unchanged")))
-    return joined.withColumn("new_industry", found).withColumn("method", method).drop("_host", "_by_page", "_by_name")
+              .when(F.col("_by_old").isNotNull(), F.lit("normalised")).otherwise(F.lit("unchanged")))
+    return joined.withColumn("new_industry", found).withColumn("method", method).drop("_host", "_by_page", "_by_name", "_by_old")

@@ -59,10 +59,10 @@ def page_emails(pages: DataFrame) -> DataFrame:
     stem = F.split_part("domain", F.lit("."), F.lit(1))
     host = mail_domain("email")
     own = found.filter((host == F.col("domain")) | F.contains(host, stem))
-    lead = F.right(F.substring_index(F.lower("_text"), F.col("email"), 1), F.lit(120))
-    shown = F.right(F.left("_text", F.length(F.substring_index(F.lower("_text"), F.col("email"), 1))), F.lit(120))
+    lead = F.length(F.expr("substring_index(lower(_text), email, 1)"))
+    shown = F.right(F.left("_text", lead), F.lit(120))
     pair = r"\b([A-Z][a-z]+)\s+([A-Z][a-z]+)\b"
-    on_page = F.contains(F.lower("_text"), F.col("email")) & (F.length(lead) > 0)
+    on_page = F.contains(F.lower("_text"), F.col("email")) & (lead > 0)
 
     def part(group: int) -> Column:
         return F.when(on_page, F.try_element_at(F.regexp_extract_all(shown, F.lit(pair), F.lit(group)), F.lit(-1)))

@@ -218,8 +218,7 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
         both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"),
                             F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("t"))
         rows = df.select(key, F.posexplode(both).alias("pos", "_p"))
-        return rows.select(key, "pos", F.split(F.trim("_p.n"), r"\s+").alias("_words"),
-                           canonical_title(F.trim("_p.t"))["title"].alias("job_title"),
+        return rows.select(key, "pos", F.split(F.trim("_p.n"), r"\s+").alias("_words"), F.trim("_p.t").alias("_title"),
                            F.lit(confidence).alias("confidence"))
 
     near = df.select(key, F.col(text).alias("_text"), F.posexplode(
@@ -228,15 +227,15 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
     start = F.greatest(at - 120, F.lit(1))
     around = F.substring("_text", start, at + F.length("_name") + 120 - start)
     first_title = F.regexp_extract(F.lower(around), "|".join(p for p, _, _ in rules.MANAGEMENT_TITLES), 0)
-    nearby = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"),
-                         canonical_title(first_title)["title"].alias("job_title"), F.lit(0.7).alias("confidence"))
-    bare = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"),
-                       F.lit(fallback_title).alias("job_title"), F.lit(0.4).alias("confidence"))
+    nearby = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"), first_title.alias("_title"), F.lit(0.7).alias("confidence"))
+    bare = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"), F.lit("").alias("_title"), F.lit(0.4).alias("confidence"))
 
-    found = pairs(dash, 0.9).unionByName(pairs(comma, 0.85)).unionByName(nearby)
+    raw = pairs(dash, 0.9).unionByName(pairs(comma, 0.85)).unionByName(nearby)
     if fallback_title:
-        found = found.unionByName(bare)
-    found = found.filter((F.size("_words") >= 2) & F.col("job_title").isNotNull()).select(
+        raw = raw.unionByName(bare)
+    titled = raw.filter(F.size("_words") >= 2).withColumn("_canonical", canonical_title("_title"))
+    title = F.when(F.col("confidence") == 0.4, F.lit(fallback_title)).otherwise(F.col("_canonical.title"))
+    found = titled.withColumn("job_title", title).filter(F.col("job_title").isNotNull()).select(
         key, "pos", F.get("_words", F.lit(0)).alias("first_name"), F.element_at("_words", -1).alias("last_name"),
         "job_title", "confidence")
     checked = valid_person(found, first_names, not_names).filter("person_ok").drop("person_ok")
