@@ -10,7 +10,7 @@ from ..functions.email import (apply_pattern, candidate_locals, detect_pattern,
 from ..functions.names import parse_name
 from ..functions.presence import missing, present
 from ..functions.web import domain, visible_text
-from .keys import first_n, keep_first
+from .keys import compute_once, first_n, keep_first
 
 
 def best_pattern(emails: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def best_pattern(emails: DataFrame) -> DataFrame:
     Input (domain, email, first_name, last_name, pos).  A domain without any detectable pattern gets
     the coarse pattern of its first address.
     """
-    seen = emails.withColumn("_pattern", detect_pattern("email", "first_name", "last_name"))
+    seen = compute_once(emails, _pattern=detect_pattern("email", "first_name", "last_name"))
     counted = (seen.filter(F.col("_pattern").isNotNull()).groupBy("domain", "_pattern")
                .agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_pos")))
     top = keep_first(counted, ["domain"], [F.desc("_n"), F.asc("_pos"), F.asc("_pattern")])
@@ -36,7 +36,7 @@ def confirm_pattern(contacts: DataFrame, per_domain: int | None = None) -> DataF
     Input (domain, full_name, email, pos).  `per_domain` limits how many contacts vote, on request.
     """
     known = contacts if per_domain is None else first_n(contacts, ["domain"], per_domain, [F.asc("pos")])
-    named = known.withColumn("_name", parse_name("full_name"))
+    named = compute_once(known, _name=parse_name("full_name"))
     email = F.lower("email")
     locals_ = candidate_locals(F.col("_name.first"), F.col("_name.last"))
     agreeing = F.filter(
@@ -53,22 +53,20 @@ def page_emails(pages: DataFrame) -> DataFrame:
 
     The name is the last pair of capitalised words in the 120 characters before the address.
     """
-    text = visible_text("html")
-    found = pages.select("page_id", domain("url").alias("domain"), text.alias("_text"),
-                         F.posexplode(site_emails("html")).alias("_i", "email"))
+    read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _text=visible_text("html"), _emails=site_emails("html"))
+    found = read.select("page_id", "domain", "_text", F.posexplode("_emails").alias("_i", "email"))
     stem = F.split_part("domain", F.lit("."), F.lit(1))
     host = mail_domain("email")
     own = found.filter((host == F.col("domain")) | F.contains(host, stem))
     lead = F.length(F.expr("substring_index(lower(_text), email, 1)"))
-    shown = F.right(F.left("_text", lead), F.lit(120))
+    near = compute_once(own, _shown=F.when(lead < F.length("_text"), F.right(F.left("_text", lead), F.lit(120))))
     pair = r"\b([A-Z][a-z]+)\s+([A-Z][a-z]+)\b"
-    on_page = F.contains(F.lower("_text"), F.col("email")) & (lead > 0)
 
     def part(group: int) -> Column:
-        return F.when(on_page, F.try_element_at(F.regexp_extract_all(shown, F.lit(pair), F.lit(group)), F.lit(-1)))
+        return F.try_element_at(F.regexp_extract_all("_shown", F.lit(pair), F.lit(group)), F.lit(-1))
 
-    return own.select("domain", "email", part(1).alias("first_name"), part(2).alias("last_name"),
-                      F.struct("page_id", "_i").alias("pos"))
+    named = compute_once(near, first_name=part(1), last_name=part(2))
+    return named.select("domain", "email", "first_name", "last_name", F.struct("page_id", "_i").alias("pos"))
 
 
 def mine_patterns(accounts: DataFrame, pages: DataFrame) -> DataFrame:

@@ -12,6 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each is evaluated once per row.
+
+    A later filter on a column made by select() is pushed down by copying the whole expression into
+    the filter, once per use.  A generator is not copied, so the columns come from a one-element explode.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.explode(F.array(made)).alias("_made")).select(*df.columns, *[
+        F.col(f"_made.{name}").alias(name) for name in columns])
+
+
 def first_n(df: DataFrame, keys: Sequence[str | Column], n: int, order: Sequence[Column]) -> DataFrame:
     """W-05: the first n rows of every key in the given order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -13,7 +13,7 @@ from ..functions.presence import missing, present
 from ..functions.web import (contact_link, domain, html_fields, html_text, links, social_links,
                              visible_text)
 from .classify import main_pages
-from .keys import first_n, keep_first, nest
+from .keys import compute_once, first_n, keep_first, nest
 from .quality import valid_person
 from .upsert import merge_rows
 
@@ -180,23 +180,19 @@ def people_from_pages(pages: DataFrame, first_names: DataFrame, not_names: DataF
     A person is listed once per host (first page, first position).  `per_site` keeps the first few
     people of a host on request.
     """
-    text = visible_text("html")
-    named = pages.select("page_id", domain("url").alias("domain"), text.alias("_text")).select(
-        "page_id", "domain", "_text", F.posexplode(F.regexp_extract_all("_text", F.lit(NAME_PAIR), F.lit(0))).alias("_i", "_name"))
-    after = F.substring("_text", F.instr("_text", F.col("_name")), 200)
-    people = named.select(
-        "page_id", "domain", "_i", F.regexp_extract("_name", NAME_PAIR, 1).alias("first_name"),
-        F.regexp_extract("_name", NAME_PAIR, 2).alias("last_name"), after.alias("_after"))
-    checked = valid_person(people, first_names, not_names).filter("person_ok").drop("person_ok")
+    read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _text=visible_text("html"))
+    listed = compute_once(read, _names=F.regexp_extract_all("_text", F.lit(NAME_PAIR), F.lit(0)))
+    named = listed.select("page_id", "domain", "_text", F.posexplode("_names").alias("_i", "_name"))
+    people = compute_once(
+        named, first_name=F.regexp_extract("_name", NAME_PAIR, 1), last_name=F.regexp_extract("_name", NAME_PAIR, 2))
+    known = valid_person(people, first_names, not_names).filter("person_ok").drop("person_ok")
+    checked = compute_once(known, _after=F.substring("_text", F.instr("_text", F.col("_name")), F.lit(200)))
     title_word = F.regexp_extract(F.lower("_after"), r"\b(" + "|".join(sorted(rules.PAGE_TITLES, key=len, reverse=True)) + r")\b", 0)
-    title = F.initcap(F.trim(F.substring(title_word, 1, 50)))
     emails = F.regexp_extract_all("_after", F.lit(rules.EMAIL_ON_SITE), F.lit(0))
     personal = F.filter(emails, lambda e: ~F.lower(F.split_part(F.split_part(e, F.lit("@"), F.lit(1)), F.lit("."), F.lit(1)))
                         .isin(*rules.SITE_ROLE_MAILBOXES))
-    described = checked.select(
-        "domain", "page_id", "_i", "first_name", "last_name",
-        F.when(valid_title(title), title).alias("job_title"),
-        F.lower(F.get(personal, F.lit(0))).alias("email"))
+    described = compute_once(checked, job_title=F.initcap(F.trim(title_word)), email=F.lower(F.get(personal, F.lit(0)))).select(
+        "domain", "page_id", "_i", "first_name", "last_name", F.when(valid_title("job_title"), F.col("job_title")).alias("job_title"), "email")
     once = keep_first(described, ["domain", F.lower("first_name"), F.lower("last_name")], [F.asc("page_id"), F.asc("_i")])
     if per_site is not None:
         once = first_n(once, ["domain"], per_site, [F.asc("page_id"), F.asc("_i")])
@@ -233,7 +229,7 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
     raw = pairs(dash, 0.9).unionByName(pairs(comma, 0.85)).unionByName(nearby)
     if fallback_title:
         raw = raw.unionByName(bare)
-    titled = raw.filter(F.size("_words") >= 2).withColumn("_canonical", canonical_title("_title"))
+    titled = compute_once(raw.filter(F.size("_words") >= 2), _canonical=canonical_title("_title"))
     title = F.when(F.col("confidence") == 0.4, F.lit(fallback_title)).otherwise(F.col("_canonical.title"))
     found = titled.withColumn("job_title", title).filter(F.col("job_title").isNotNull()).select(
         key, "pos", F.get("_words", F.lit(0)).alias("first_name"), F.element_at("_words", -1).alias("last_name"),
@@ -256,16 +252,15 @@ def phones_by_name(pages: DataFrame) -> DataFrame:
     Starts from the numbers: a name qualifies when it begins at most 200 characters after the start of
     the number and at most 300 before its end.  Linear in the text around numbers.
     """
-    text = visible_text("html")
-    raw = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in rules.UK_PHONES_NEAR_NAME]))
-    rows = pages.select("page_id", domain("url").alias("domain"), text.alias("_text"), F.explode(raw).alias("_raw"))
-    phone = F.regexp_replace(F.regexp_replace("_raw", r"[\s.-]", ""), r"^\+?44", "0")
-    at = F.instr("_text", F.col("_raw"))
-    start = F.greatest(at + F.length("_raw") - 300, F.lit(1))
-    around = F.substring("_text", start, at + 200 - start)
+    numbers = F.array_distinct(F.concat(*[F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for p in rules.UK_PHONES_NEAR_NAME]))
+    read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _text=visible_text("html"))
+    rows = compute_once(read, _numbers=numbers).select("page_id", "domain", "_text", F.explode("_numbers").alias("_raw"))
+    digits = F.regexp_replace(F.regexp_replace("_raw", r"[\s.-]", ""), r"^\+?44", "0")
+    placed = compute_once(rows, phone=digits, _at=F.instr("_text", F.col("_raw"))).filter(F.col("phone").rlike(r"^0[1-9]\d{8,10}$"))
+    start = F.greatest(F.col("_at") + F.length("_raw") - 300, F.lit(1))
+    around = F.substring("_text", start, F.col("_at") + 200 - start)
     words = F.filter(F.split(F.lower(around), r"[^a-z'-]+"), lambda w: F.length(w) > 1)
-    spaced = rows.withColumn("phone", phone).filter(F.col("phone").rlike(r"^0[1-9]\d{8,10}$")).select(
-        "page_id", "domain", "phone", at.alias("_at"), words.alias("_w"))
+    spaced = compute_once(placed, _w=words)
     couples = F.zip_with("_w", F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))),
                          lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     names = F.array_distinct(F.array_compact(F.concat("_w", couples)))

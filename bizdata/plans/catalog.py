@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import columns, jobs, joins, metrics, search  # noqa: F401
+from . import columns, jobs, joins, metrics, search, streams  # noqa: F401
