@@ -114,4 +114,5 @@ def _job_state(t: Tables) -> DataFrame:
            .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     run.awaitTermination()
     seen = t.spark.read.schema(jobs.JOB_OUTPUT + ", batch int").parquet(f"{folder}/out")
-    return seen.groupBy("queue_id").agg(F.max(F.struct("batch", "status", "attempts")).alias("s")).select("queue_id", "s.status", "s.attempts")
+    return seen.groupBy("queue_id").agg(F.max(F.struct("batch", "status", "attempts")).alias("s")).select(
+        F.col("queue_id").cast("bigint").alias("queue_id"), "s.status", "s.attempts")

@@ -79,6 +79,7 @@ JOB_STATE = "status string, attempts int, due_at timestamp"
 def _job_step(max_attempts: int, retry: pd.Timedelta, stuck_after: pd.Timedelta) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempts, due = state.get if state.exists else ("pending", 0, None)
+        attempts = int(attempts)
         if state.hasTimedOut:
             if status == "processing":
                 status, due = "pending", None
@@ -97,7 +98,7 @@ def _job_step(max_attempts: int, retry: pd.Timedelta, stuck_after: pd.Timedelta)
             if status == "processing" and due is not None:
                 watermark = state.getCurrentWatermarkMs()
                 state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), watermark + 1))
-        yield pd.DataFrame({"queue_id": [key[0]], "status": [status], "attempts": [attempts], "due_at": [due]})
+        yield pd.DataFrame({"queue_id": [key[0]], "status": [status], "attempts": [attempts], "due_at": pd.to_datetime([due])})
 
     return step
 
@@ -110,5 +111,6 @@ def stream_jobs(results: DataFrame, max_attempts: int = 3, retry: str = "1h", st
     silent for `stuck_after` of event time is pending again.  The state is three values per job.
     """
     step = _job_step(max_attempts, pd.Timedelta(retry), pd.Timedelta(stuck_after))
-    return results.withWatermark("at", late).groupBy("queue_id").applyInPandasWithState(
+    keyed = results.withColumn("queue_id", F.col("queue_id").cast("string"))
+    return keyed.withWatermark("at", late).groupBy("queue_id").applyInPandasWithState(
         step, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
