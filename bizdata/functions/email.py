@@ -228,8 +228,9 @@ def choose_email(emails: Column | str, dom: Column | str) -> Column:
     own = F.filter(as_col(emails), lambda e: F.contains(F.lower(e), F.concat(F.lit("@"), dom)))
     people = F.filter(own, lambda e: ~e.rlike(rules.SITE_GENERIC))
     personal = F.filter(people, lambda e: F.contains(local_part(e), F.lit(".")) | local_part(e).rlike(r"^[a-z]{3,}$"))
-    preferred = [
-        F.get(F.filter(own, lambda e, p=p: F.startswith(F.lower(e), F.lit(p))), F.lit(0))
-        for p in rules.PREFERRED_GENERIC
-    ]
+
+    def first_starting(prefix: str) -> Column:
+        return F.get(F.filter(own, lambda e: F.startswith(F.lower(e), F.lit(prefix))), F.lit(0))
+
+    preferred = [first_starting(p) for p in rules.PREFERRED_GENERIC]
     return F.coalesce(F.get(personal, F.lit(0)), F.get(people, F.lit(0)), *preferred, F.get(own, F.lit(0)))

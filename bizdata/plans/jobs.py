@@ -7,9 +7,9 @@ from ..operators import classify, dedup, emails, keys, locations, metrics, pages
 from ..sinks import export
 from ..sources import places, registry
 from .columns import (BAD_WORDS, BY_NAME, BY_OLD, CONSUMER, DETECT, DISCOVERABLE, DISPOSABLE, FACTED, FAKE, FN, HOST, KEY, KNOWN, LN, PHONE_OK,
-                      REASONS, ROLE_OK, SCORED, TITLE_OK, VALID, VISIBLE, any_of, best_rule, gib, host, listing, ordered_case, q, text_score)
+                      REASONS, ROLE_OK, SCORED, TITLE_OK, VALID, VISIBLE, any_of, best_rule, element, gib, host, listing, ordered_case, q, text_score)
 from .joins import ALL_PAIRS
-from .registry import query
+from .registry import TEXTS_OF, query
 from .views import AS_OF
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -241,16 +241,48 @@ query("p22_mine_patterns")(lambda t: emails.mine_patterns(t.accounts, t.pages))
 query("p23_fill_emails")(lambda t: emails.fill_emails(t.contacts, t.accounts, t.pages).select("contact_id", "email", "email_source", "email_generated"))
 HOSTS = "SELECT id, 'site' || CAST(id % 60 AS STRING) || '.test' AS host FROM companies_v"
 query("p24_site_evidence")(lambda t: pages.site_evidence(t.companies, t.officers, t.pages, t.sql(HOSTS)))
-query("p25_site_match")(lambda t: pages.site_match(t.accounts, t.pages))
-query("p26_page_contacts")(lambda t: pages.page_contacts(t.pages, "United Kingdom"))
+_clean = f"LOWER(TRIM(REGEXP_REPLACE(REGEXP_REPLACE(company_name, {q(rules.LEGAL_WORDS_IN_TITLES)}, '', 'g'), '[^a-zA-Z0-9\\s]', '', 'g')))"
+_fields = ", ".join(f"LOWER(COALESCE({element(tag)}, '')) AS {name}" for tag, name in (("title", "title"), ("h1", "h1"), ("footer", "footer")))
+
+
+def _hits(field: str) -> str:
+    return f"LEN(LIST_FILTER(words, lambda w: CONTAINS({field}, w)))"
+
+
+query("p25_site_match", f"""
+    SELECT account_id, website, confidence, confidence >= 30 AS valid FROM (SELECT *, CASE WHEN LEN(words) = 0 THEN 50
+        WHEN host IS NULL THEN CASE WHEN by_host THEN 40 ELSE 10 END
+        ELSE LEAST(100, CASE WHEN {_hits('title')} >= CEIL(LEN(words) * 0.5) THEN 40 WHEN {_hits('title')} > 0 THEN 20 ELSE 0 END
+          + CASE WHEN by_host THEN 25 ELSE 0 END + CASE WHEN {_hits('h1')} > 0 THEN 10 ELSE 0 END
+          + CASE WHEN {_hits('footer')} >= CEIL(LEN(words) * 0.5) THEN 15 ELSE 0 END) END AS confidence
+      FROM (SELECT *, LIST_FILTER(STRING_SPLIT_REGEX(c, '\\s+'), lambda w: LENGTH(w) > 2) AS words,
+          CONTAINS(REGEXP_REPLACE(site, '[-_.]', '', 'g'), REGEXP_REPLACE(c, '\\s', '', 'g'))
+            OR CONTAINS(REGEXP_REPLACE(c, '\\s', '', 'g'), REGEXP_REPLACE(site, '[-_.]', '', 'g')) AS by_host
+        FROM (SELECT account_id, website, {host('website')} AS site, {_clean} AS c FROM accounts_v WHERE website <> '' AND company_name <> '') a
+        LEFT JOIN (SELECT host, {_fields} FROM ({MAIN})) m ON a.site = m.host))""")(lambda t: pages.site_match(t.accounts, t.pages))
+
+RECORD_FIELDS = ("linkedin", "twitter", "facebook", "instagram", "address", "contact_link")
+RECORDS = f"""SELECT domain, COUNT(*) AS n_pages,
+      MIN_BY(email, (CASE WHEN REGEXP_MATCHES(email, {q(rules.SITE_GENERIC)}) THEN 1 ELSE 0 END) * 1000000000 + page_id) FILTER (WHERE email IS NOT NULL) AS email,
+      MIN_BY(phone, (CASE WHEN STARTS_WITH(phone, '+') THEN 0 ELSE 1 END) * 1000000000 + page_id) FILTER (WHERE phone IS NOT NULL) AS phone,
+      {', '.join(f"MIN_BY({c}, page_id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in RECORD_FIELDS)}
+    FROM (SELECT p.page_id, {host('url')} AS domain, e.email, h.phone, s.linkedin, s.twitter, s.facebook, s.instagram, a.address, k.contact AS contact_link FROM pages_v p
+      JOIN ({TEXTS_OF['x47_choose_email']}) e ON e.page_id = p.page_id JOIN ({TEXTS_OF['x48_choose_phone']}) h ON h.page_id = p.page_id
+      JOIN ({TEXTS_OF['x21_social_links']}) s ON s.page_id = p.page_id JOIN ({TEXTS_OF['x18_html_address']}) a ON a.page_id = p.page_id
+      JOIN ({TEXTS_OF['x22_contact_link']}) k ON k.page_id = p.page_id) WHERE domain IS NOT NULL GROUP BY domain"""
+query("p26_page_contacts", RECORDS)(lambda t: pages.page_contacts(t.pages).drop("industry"))
 query("p27_people_from_pages")(lambda t: pages.people_from_pages(t.pages, t.first_names, t.not_names))
 TEXTS = """SELECT contact_id, CASE contact_id % 4 WHEN 0 THEN first_name || ' ' || last_name || ' - ' || job_title || ' at Acme Ltd | LinkedIn'
     WHEN 1 THEN 'Meet ' || first_name || ' ' || last_name || ', ' || job_title WHEN 2 THEN 'Our ' || job_title || ' since 2001 is ' || first_name || ' ' || last_name || ' of Leeds'
-    ELSE 'Call ' || first_name || ' ' || last_name || ' today' END AS text FROM contacts_v"""
+    ELSE 'please ring ' || first_name || ' ' || last_name || ' today' END AS text FROM contacts_v"""
 query("p28_people_from_text")(lambda t: pages.people_from_text(t.sql(TEXTS), "text", "contact_id", t.first_names, t.not_names, "Director"))
 query("p42_fill_phones")(lambda t: pages.fill_phones(t.contacts, t.accounts, t.pages).select("contact_id", "phone_number"))
-query("p44_apply_page_contacts")(lambda t: pages.apply_page_contacts(t.accounts, pages.page_contacts(t.pages), AS_OF).select(
-    "account_id", "phone_number", "address", "linkedin_url", "updated_at"))
+query("p44_apply_page_contacts", f"""
+    SELECT account_id, COALESCE(NULLIF(r.phone, ''), a.phone_number) AS phone_number, COALESCE(NULLIF(r.address, ''), a.address) AS address,
+      COALESCE(NULLIF(r.linkedin, ''), a.linkedin_url) AS linkedin_url, CASE WHEN COALESCE(r.phone, r.address, r.linkedin) IS NOT NULL THEN {NOW} ELSE a.updated_at END AS updated_at
+    FROM accounts_v a LEFT JOIN ({RECORDS}) r ON r.domain = {host('a.website')}""")(
+    lambda t: pages.apply_page_contacts(t.accounts, pages.page_contacts(t.pages), AS_OF).select(
+        "account_id", "phone_number", "address", "linkedin_url", "updated_at"))
 
 # --- queue ------------------------------------------------------------------------------------
 

@@ -162,9 +162,9 @@ query("j26_match_name_or_address", """
     SELECT new_id, name_match, address_match FROM (SELECT n.new_id,
         (SELECT MIN(account_id) FROM accounts_v a WHERE LOWER(a.company_name) = LOWER(n.company_name)) AS name_match,
         (SELECT MIN(account_id) FROM accounts_v a WHERE a.address <> '' AND SUBSTR(LOWER(a.address), 1, 30) = SUBSTR(LOWER(n.address), 1, 30)) AS address_match
-      FROM (SELECT contact_id AS new_id, 'x' AS company_name, CAST(contact_id % 60 AS STRING) || ' high street, AUTOMOBILE, NATION_3, ZZ' AS address
+      FROM (SELECT contact_id AS new_id, COALESCE(first_name, 'x') AS company_name, CAST(contact_id % 60 AS STRING) || ' high street, AUTOMOBILE, NATION_3, ZZ' AS address
         FROM contacts_v) n) WHERE name_match IS NOT NULL OR address_match IS NOT NULL""")(
-    lambda t: joins.match_name_or_address(t.sql("""SELECT contact_id AS new_id, 'x' AS company_name,
+    lambda t: joins.match_name_or_address(t.sql("""SELECT contact_id AS new_id, COALESCE(first_name, 'X') AS company_name,
         CAST(contact_id % 60 AS STRING) || ' high street, AUTOMOBILE, NATION_3, ZZ' AS address FROM contacts_v"""), t.accounts))
 
 query("u01_search_locations", """

@@ -9,6 +9,7 @@ from .views import Tables, with_views
 Build = Callable[[Tables], DataFrame]
 QUERIES: dict[str, Build] = {}
 ORACLES: dict[str, str] = {}
+TEXTS_OF: dict[str, str] = {}  # the reference SQL before its views are written out
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
@@ -17,6 +18,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = build
         if sql is not None:
+            TEXTS_OF[name] = sql
             ORACLES[name] = with_views(sql)
         return build
 
