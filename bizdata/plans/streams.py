@@ -1,26 +1,14 @@
 """Queries R-01 … R-07: the streams run over the event files until these are used up (availableNow)."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import jobs
 from .registry import query
 from .views import AS_OF, Tables
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared folder of the cluster; a temporary one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        shared = tempfile.mkdtemp(prefix="bizdata-stream-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def stream_of(t: Tables, name: str) -> DataFrame:
     """A base table as a stream of its files."""
     return t.spark.readStream.schema(t.base(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
@@ -28,7 +16,7 @@ def stream_of(t: Tables, name: str) -> DataFrame:
 
 def drain(stream: DataFrame) -> DataFrame:
     """Run an append stream to its end and read what it wrote."""
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     run = (stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state")
            .trigger(availableNow=True).start(f"{folder}/out"))
     run.awaitTermination()
@@ -80,7 +68,7 @@ query("r07_sessions", f"""
       SELECT p_partkey AS seq, LPAD(CAST(p_partkey % 1500 AS STRING), 8, '0') AS number, p_name AS name, p_type AS status FROM part)) WHERE rn = 1""")
 def _registry(t: Tables) -> DataFrame:
     """Part rows written as registry files, taken in as a stream, read from the last version."""
-    folder = work_folder(t.spark)
+    folder = shared_folder(t.spark)
     rows = t.base("part").orderBy("p_partkey").select(
         F.lpad((F.col("p_partkey") % 1500).cast("string"), 8, "0").alias("CompanyNumber"), F.col("p_name").alias("CompanyName"),
         F.lit("").alias("CompanyCategory"), F.col("p_type").alias("CompanyStatus"),
@@ -105,7 +93,7 @@ def _job_state(t: Tables) -> DataFrame:
     results = stream_of(t, "lineitem").select(
         F.col("l_orderkey").alias("queue_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("event_id"),
         F.when(kind == 1, "started").when(kind == 2, "completed").otherwise("failed").alias("result"), at.alias("at"))
-    folder = work_folder(t.spark)
+    folder = shared_folder(t.spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/v={number}")

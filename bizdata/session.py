@@ -1,6 +1,7 @@
 """Session settings and lineage cutting."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,23 @@ def build(app: str = "bizdata", master: str | None = None, **conf: str) -> Spark
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder inside the one the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is made only when none is set and the master is local, as in tests; on a
-    cluster a missing setting is an error, because a machine-local folder would not survive the loss
-    of an executor.
+    A temporary folder is made only when none is set and the master is local, as in tests; on a cluster
+    a missing setting is an error, because a machine-local folder would not survive the loss of an
+    executor.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="bizdata-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    parent = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if parent is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        parent = tempfile.mkdtemp(prefix="bizdata-")
+    return f"{parent.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the frame to the shared folder and read it back: computed once, survives executor loss."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
