@@ -171,12 +171,18 @@ def match_name_or_address(new: DataFrame, accounts: DataFrame, new_id: str = "ne
 
 def company_detail(companies: DataFrame, contacts: DataFrame, sources: DataFrame,
                    per_row: int = 10_000) -> DataFrame:
-    """J-23: company with nested contacts and with its number of sources and best reliability."""
-    trust = sources.groupBy("company_id").agg(
-        F.count(F.lit(1)).alias("n_sources"), F.max("reliability").alias("best_reliability"))
-    nested = nest_contacts(companies, contacts, per_row=per_row)
-    out = nested.join(trust, F.col("id") == F.col("company_id"), "left").drop("company_id")
-    return out.withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
+    """J-23: company with nested contacts and nested sources.
+
+    Both children are nested by themselves and meet on (company, part), so a company with many of both
+    gives as many rows as the longer list needs, not their product.
+    """
+    ids = companies.select("id")
+    people = nest(ids, contacts, "id", "company_id", ("contact_type", "value"), ("contact_type", "value"), "contacts", per_row)
+    origins = nest(ids, sources, "id", "company_id", ("source_name", "reliability"), ("source_name",), "sources", per_row)
+    both = people.join(origins, ["id", "part"], "full_outer")
+    for name in ("contacts", "sources"):
+        both = both.withColumn(name, F.coalesce(name, F.array().cast(both.schema[name].dataType)))
+    return companies.join(both, "id")
 
 
 def set_primary(contacts: DataFrame, choice: DataFrame, key: str = "linked_account_id") -> DataFrame:

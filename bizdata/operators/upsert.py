@@ -22,6 +22,11 @@ WIDE_CSV_FIELDS = ("name", "legal_name", "company_type", "status", "incorporatio
                    "address_line_2", "locality", "region", "postal_code", "country", "industry")
 
 
+def new_key(hashed: Column) -> Column:
+    """Non-negative key of a new row from a hash of what identifies it."""
+    return F.pmod(hashed, F.lit(2 ** 62))
+
+
 def latest(delta: DataFrame, keys: Sequence[str], seq: str | None) -> DataFrame:
     """Last row of a batch per key."""
     return delta if seq is None else keep_first(delta, keys, [F.desc(seq)]).drop(seq)
@@ -117,7 +122,7 @@ def upsert_contacts_by_name(old: DataFrame, delta: DataFrame, seq: str | None =
     fill = [c for c in ("job_title", "email", "phone_number", "city", "country") if c in old.columns]
     kept = merge_rows(old, updates, ["contact_id"], prefer_filled=fill, insert=False)
     identity = F.xxhash64("first_name", "last_name", "linked_account_id", "email", "phone_number")
-    added = inserts.withColumn("contact_id", F.abs(identity)).withColumn("confidence_score", F.lit(70))
+    added = inserts.withColumn("contact_id", new_key(identity)).withColumn("confidence_score", F.lit(70))
     return kept.unionByName(added.select(*[c for c in old.columns if c in added.columns]), allowMissingColumns=True)
 
 
@@ -135,7 +140,7 @@ def resolve_accounts(leads: DataFrame, accounts: DataFrame) -> tuple[DataFrame,
         F.min(F.struct("lead_id", F.trim("company").alias("company"), "city", "country")).alias("_first"),
         first_industry.alias("_industry"))
     wanted = wanted.join(known, "_name", "left").withColumn("_is_new", F.col("_id").isNull())
-    wanted = wanted.withColumn("account_id", F.coalesce("_id", F.abs(F.xxhash64("_name"))))
+    wanted = wanted.withColumn("account_id", F.coalesce("_id", new_key(F.xxhash64("_name"))))
     resolved = named.join(wanted.select("_name", "account_id", F.col("_is_new").alias("is_new")), "_name").drop("_name")
     gains = wanted.filter(~F.col("_is_new")).select("account_id", F.col("_industry").alias("industry"))
     updated = (accounts.join(gains.withColumnRenamed("industry", "_gain"), "account_id", "left")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import classify, dedup, emails, keys, locations, metrics, pages, quality, queue, upsert
 from ..sinks import export
-from ..sources import places, registry
+from ..session import shared_folder
+from ..sources import places, registry, tables
 from .columns import (BAD_WORDS, BY_NAME, BY_OLD, CONSUMER, DETECT, DISCOVERABLE, DISPOSABLE, FACTED, FAKE, FN, HOST, KEY, KNOWN, LN, PHONE_OK,
                       REASONS, ROLE_OK, SCORED, TITLE_OK, VALID, VISIBLE, any_of, best_rule, element, gib, host, listing, ordered_case, q, text_score)
 from .joins import ALL_PAIRS
@@ -457,6 +458,29 @@ query("s10_parse_leads", """
       CASE WHEN contact_id % 2 = 0 THEN 'Acme Ltd' END AS company, 'a.b@acme.test' AS email, '+44 161 496 0000' AS phone_number, 'Leeds' AS city, 'United Kingdom' AS country FROM contacts_v""")(
     lambda t: places.parse_leads(t.sql(LEAD_ROWS)).select("lead_id", "full_name", "job_title", "company", "email", "phone_number", "city", "country"))
 
+
+
+def _reloaded(t):
+    """The account table written as Parquet and loaded with its declared schema."""
+    folder = shared_folder(t.spark)
+    t.accounts.write.parquet(folder)
+    return tables.load(t.spark, "accounts", folder)
+
+
+query("s12_load", "SELECT account_id, company_name, quality_score, created_at, CAST(NULL AS STRING) AS ward FROM accounts_v")(
+    lambda t: _reloaded(t).select("account_id", "company_name", "quality_score", "created_at", "ward"))
+
+
+def _written(t):
+    """Documents written as CSV and read back."""
+    folder = shared_folder(t.spark)
+    export.write_csv(t.base("documents").select("doc_id", "text"), folder)
+    return t.spark.read.schema("doc_id bigint, text string").options(header=True, quote='"', escape='"', lineSep="\r\n").csv(folder)
+
+
+query("k05_csv_round_trip", "SELECT doc_id, NULLIF(TRIM(REGEXP_REPLACE(text, '[\\r\\n]+', ' ', 'g')), '') AS text FROM documents")(
+    lambda t: _written(t))
+
 # --- exports ----------------------------------------------------------------------------------
 
 query("k01_export_companies", """

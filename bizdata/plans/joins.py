@@ -135,11 +135,13 @@ query("j22_contacts_with_validation", """
     .select("contact_id", "email_score"))
 
 query("j23_company_detail", """
-    SELECT c.id, COALESCE(k.n, 0) AS n_contacts, COALESCE(s.n, 0) AS n_sources, s.best AS best_reliability FROM companies_v c
+    SELECT c.id, COALESCE(k.n, 0) AS n_contacts, COALESCE(s.names, '') AS sources FROM companies_v c
       LEFT JOIN (SELECT company_id, COUNT(*) AS n FROM company_contacts_v GROUP BY 1) k ON k.company_id = c.id
-      LEFT JOIN (SELECT company_id, COUNT(*) AS n, MAX(reliability) AS best FROM sources_v GROUP BY 1) s ON s.company_id = c.id""")(
+      LEFT JOIN (SELECT company_id, STRING_AGG(source_name || ':' || CAST(reliability AS STRING), ',' ORDER BY source_name) AS names FROM sources_v GROUP BY 1) s
+        ON s.company_id = c.id""")(
     lambda t: joins.company_detail(t.companies.select("id", "name"), t.company_contacts, t.sources).select(
-        "id", F.size("contacts").cast("bigint").alias("n_contacts"), "n_sources", "best_reliability"))
+        "id", F.size("contacts").cast("bigint").alias("n_contacts"),
+        F.array_join(F.transform("sources", lambda s: F.concat(s["source_name"], F.lit(":"), s["reliability"].cast("string"))), ",").alias("sources")))
 
 query("j24_possible_duplicates", f"""
     SELECT new_id, name_match, site_match FROM (SELECT n.new_id,

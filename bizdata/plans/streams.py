@@ -81,19 +81,9 @@ def _registry(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/companies/v={last}").select("company_number", "name", "status")
 
 
-@query("r04_job_state", """
-    SELECT queue_id, status, attempts FROM (SELECT l_orderkey AS queue_id, MAX_BY(CASE l_linenumber % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'processing' ELSE 'completed' END, k) AS last,
-        CAST(COUNT(*) FILTER (WHERE l_linenumber % 3 = 1) AS INT) AS attempts,
-        CASE WHEN last = 'failed' THEN CASE WHEN COUNT(*) FILTER (WHERE l_linenumber % 3 = 1) >= 3 THEN 'failed' ELSE 'pending' END ELSE last END AS status
-      FROM (SELECT *, l_linenumber * 1000000 + l_partkey AS k FROM lineitem) GROUP BY l_orderkey)""")
-def _job_state(t: Tables) -> DataFrame:
-    """Line items as job results in line order; the last state per job."""
-    kind = F.col("l_linenumber") % 3
-    at = F.timestamp_seconds(F.lit(1704067200) + F.col("l_linenumber") * 60)
-    results = stream_of(t, "lineitem").select(
-        F.col("l_orderkey").alias("queue_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("event_id"),
-        F.when(kind == 1, "started").when(kind == 2, "completed").otherwise("failed").alias("result"), at.alias("at"))
-    folder = shared_folder(t.spark)
+def _last_states(results: DataFrame) -> DataFrame:
+    """Run the job-state stream to its end and keep the last state per job."""
+    spark, folder = results.sparkSession, shared_folder(results.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/v={number}")
@@ -101,6 +91,30 @@ def _job_state(t: Tables) -> DataFrame:
     run = (jobs.stream_jobs(results).writeStream.outputMode("update").foreachBatch(write)
            .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     run.awaitTermination()
-    seen = t.spark.read.schema(jobs.JOB_OUTPUT + ", batch int").parquet(f"{folder}/out")
+    seen = spark.read.schema(jobs.JOB_OUTPUT + ", batch int").parquet(f"{folder}/out")
     return seen.groupBy("queue_id").agg(F.max(F.struct("batch", "status", "attempts")).alias("s")).select(
         F.col("queue_id").cast("bigint").alias("queue_id"), "s.status", "s.attempts")
+
+
+def _results(t: Tables, at) -> DataFrame:
+    """Line items as job results."""
+    kind = F.col("l_linenumber") % 3
+    return stream_of(t, "lineitem").select(
+        F.col("l_orderkey").alias("queue_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("event_id"),
+        F.when(kind == 1, "started").when(kind == 2, "completed").otherwise("failed").alias("result"), at.alias("at"))
+
+
+STATES = """SELECT l_orderkey AS queue_id, MAX_BY(CASE l_linenumber % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'processing' ELSE 'completed' END, k) AS last, MAX(l_shipdate) AS shipped,
+        CAST(COUNT(*) FILTER (WHERE l_linenumber % 3 = 1) AS INT) AS attempts FROM (SELECT *, {order} AS k FROM lineitem) GROUP BY l_orderkey"""
+
+query("r04_job_state", f"""
+    SELECT queue_id, CASE WHEN last = 'failed' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE last END AS status, attempts
+    FROM ({STATES.format(order='l_linenumber * 1000000 + l_partkey')})""")(
+    lambda t: _last_states(_results(t, F.timestamp_seconds(F.lit(1704067200) + F.col("l_linenumber") * 60))))
+
+# the same results at their ship dates: a job whose last word was "started" has long been silent, unless it is one of the very last
+query("r05_stuck_jobs", f"""
+    SELECT queue_id, CASE WHEN last = 'processing' AND shipped + INTERVAL 20 MINUTE <= (SELECT MAX(l_shipdate) - INTERVAL 5 MINUTE FROM lineitem) THEN 'pending'
+      WHEN last = 'failed' AND before >= 3 THEN 'failed' WHEN last = 'failed' THEN 'pending' ELSE last END AS status
+    FROM (SELECT *, attempts AS before FROM ({STATES.format(order='EPOCH(l_shipdate) * 100000000 + l_linenumber * 1000000 + l_partkey')}))""")(
+    lambda t: _last_states(_results(t, F.col("l_shipdate").cast("timestamp"))).select("queue_id", "status"))

@@ -85,8 +85,8 @@ def _job_step(max_attempts: int, retry: pd.Timedelta, stuck_after: pd.Timedelta)
                 status, due = "pending", None
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-            for result, at in zip(rows["result"], rows["at"]):
+            rows = sorted((at, number, result) for b in batches for at, number, result in zip(b["at"], b["event_id"], b["result"]))
+            for at, _, result in rows:
                 if result == "started":
                     status, attempts, due = "processing", attempts + 1, at + stuck_after
                 elif result == "completed":
