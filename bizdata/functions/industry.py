@@ -69,7 +69,9 @@ def industry_by_text(page_text: Column | str) -> Column:
     """Industry with the largest sum of keyword occurrences x length in the text, when that is >= 10."""
     def occurrences(t: Column, k: Column) -> Column:
         removed = F.length(t) - F.length(F.replace(t, k["stem"], F.lit("")))
-        return F.coalesce((removed / F.length(k["stem"])).cast("int"), F.lit(0)) * k["weight"]
+        count = (removed / F.length(k["stem"])).cast("int")
+        # most keywords are absent, and the test for that is much cheaper than counting
+        return F.when(F.contains(t, k["stem"]), count * k["weight"]).otherwise(0)
 
     return _best(F.lower(as_col(page_text)), occurrences, at_least=rules.PAGE_TEXT_THRESHOLD)
 

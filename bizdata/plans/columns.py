@@ -335,7 +335,9 @@ query("x42_quality_score", SCORED)(
 
 # --- patterns ---------------------------------------------------------------------------------
 
-PEOPLE = "SELECT contact_id, first_name, last_name, 'site1.test' AS dom FROM contacts_v WHERE first_name IN ('James', 'Mary', 'Q') AND last_name IS NOT NULL"
+PEOPLE = "SELECT contact_id, first_name || ' ' || last_name AS full_name, 'site1.test' AS dom FROM contacts_v WHERE first_name IS NOT NULL AND last_name IS NOT NULL"
+NAMED = f"""SELECT contact_id, dom, w[1] AS first_name, CASE WHEN LEN(w) > 1 THEN w[LEN(w)] ELSE '' END AS last_name FROM (
+    SELECT contact_id, dom, LIST_FILTER(STRING_SPLIT_REGEX(LOWER(full_name), '\\s+'), lambda w: w <> '') AS w FROM ({PEOPLE}))"""
 
 
 def substitute(pattern: str, first: str = "LOWER(first_name)", last: str = "LOWER(last_name)") -> str:
@@ -346,14 +348,13 @@ def substitute(pattern: str, first: str = "LOWER(first_name)", last: str = "LOWE
 
 
 def candidate(pattern: str) -> str:
-    local = f"REGEXP_REPLACE({substitute(pattern)}, '[.]+', '.', 'g')"
+    local = f"REGEXP_REPLACE(REGEXP_REPLACE({substitute(pattern)}, '[.]+', '.', 'g'), '^[.]|[.]$', '', 'g')"
     return f"CASE WHEN LENGTH({local}) >= 2 THEN {local} || '@' || dom END"
 
 
 query("x43_email_permutations", f"""
-    SELECT contact_id, ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT([{', '.join(candidate(p) for p in rules.EMAIL_PATTERNS)}])), '|') AS addresses FROM ({PEOPLE})""")(
-    lambda t: t.sql(PEOPLE).select("contact_id", joined(email.email_permutations(
-        F.concat("first_name", F.lit(" "), "last_name"), "dom")).alias("addresses")))
+    SELECT contact_id, ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT([{', '.join(candidate(p) for p in rules.EMAIL_PATTERNS)}])), '|') AS addresses FROM ({NAMED})""")(
+    lambda t: t.sql(PEOPLE).select("contact_id", joined(email.email_permutations("full_name", "dom")).alias("addresses")))
 
 LINKED = f"SELECT contact_id, first_name, last_name, email_format, {{}} AS dom FROM contacts_v JOIN accounts_v ON linked_account_id = account_id"
 _f, _l = f"NULLIF({sub('LOWER(first_name)', '[^a-z]')}, '')", f"NULLIF({sub('LOWER(last_name)', '[^a-z]')}, '')"

@@ -117,8 +117,8 @@ query("p10_accounts_from_companies", f"""
     lambda t: upsert.accounts_from_companies(t.companies))
 query("p10_missing_uk_accounts", """
     SELECT id AS company_id, name AS company_name, CONCAT_WS(', ', address_line_1, address_line_2, locality, postal_code) AS address FROM companies_v
-    WHERE jurisdiction = 'gb' AND name <> '' AND name NOT IN (SELECT name FROM companies_v WHERE id % 3 = 0 AND name IS NOT NULL)""")(
-    lambda t: upsert.missing_uk_accounts(t.companies, t.companies.filter("id % 3 = 0").select(
+    WHERE jurisdiction = 'gb' AND name <> '' AND name NOT IN (SELECT name FROM companies_v WHERE phone IS NULL AND name IS NOT NULL)""")(
+    lambda t: upsert.missing_uk_accounts(t.companies, t.companies.filter("phone IS NULL").select(
         F.col("name").alias("company_name"), F.lit("United Kingdom").alias("country"))).select("company_id", "company_name", "address"))
 query("p41_accounts_from_companies_full", f"""
     SELECT id AS company_id, COALESCE(name, legal_name) AS company_name, {COUNTRY.format(e=' ELSE jurisdiction')} AS country, {STATE.format(e=' ELSE region')} AS state_region,
@@ -336,7 +336,7 @@ query("p35_verify_counts", f"""
       WHEN smtp_result = 'mailbox_not_found' THEN 6 WHEN smtp_result IS NULL THEN 7 ELSE 8 END AS k FROM {FACTED} WHERE email <> '' AND email_verified IS NULL) GROUP BY k""")(
     lambda t: emails.verify_counts(t.contacts, t.facts))
 
-VERSION2 = "SELECT id, CASE WHEN id % 4 = 0 THEN 'dissolved' ELSE status END AS status, CASE WHEN id % 6 = 0 THEN NULL ELSE region END AS region FROM companies_v WHERE id % 10 <> 3"
+VERSION2 = "SELECT id, CASE WHEN id % 4 = 0 THEN 'dissolved' ELSE status END AS status, CASE WHEN id % 6 = 0 THEN NULL ELSE region END AS region FROM companies_v WHERE locality IS NOT NULL OR phone IS NULL"
 query("p36_diff_history", f"""
     SELECT * FROM (SELECT COALESCE(o.id, n.id) AS id, UNNEST(['status', 'region']) AS field_name, UNNEST([o.status, o.region]) AS old_value, UNNEST([n.status, n.region]) AS new_value
       FROM companies_v o FULL JOIN ({VERSION2}) n ON o.id = n.id) WHERE old_value IS DISTINCT FROM new_value""")(
@@ -344,7 +344,7 @@ query("p36_diff_history", f"""
 query("p37_delete_companies", """
     SELECT id FROM officers_v WHERE company_id NOT IN (SELECT id FROM companies_v WHERE status = 'inactive')""")(
     lambda t: upsert.delete_companies(t.companies.filter("status = 'inactive'"), officers=(t.officers, "company_id"))["officers"].select("id"))
-PATCH = "SELECT account_id, CASE WHEN account_id % 2 = 0 THEN 'patched' END AS industry, 'x' AS company_name FROM accounts_v WHERE account_id % 3 = 0"
+PATCH = "SELECT account_id, CASE WHEN account_id % 2 = 0 THEN 'patched' END AS industry, 'x' AS company_name FROM accounts_v WHERE quality_score IS NULL"
 query("p38_patch", f"""
     SELECT a.account_id, COALESCE(p.industry, a.industry) AS industry, a.company_name FROM accounts_v a LEFT JOIN ({PATCH}) p ON a.account_id = p.account_id""")(
     lambda t: upsert.patch(t.accounts, t.sql(PATCH), "account_id", ["industry", "city"]).select("account_id", "industry", "company_name"))
@@ -359,7 +359,7 @@ query("p40_merge_sources", f"""
     SELECT row_id, source_order FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY COALESCE(NULLIF(company_number, ''), {KEY.replace('{c}', 'company_name')}) ORDER BY source_order, row_id) AS rn
       FROM (SELECT *, 0 AS source_order FROM ({FEED1}) UNION ALL SELECT *, 1 FROM ({FEED2}))) WHERE rn = 1""")(
     lambda t: upsert.merge_sources(t.sql(FEED1), t.sql(FEED2), id_column="row_id").select("row_id", "source_order"))
-RESULT = "SELECT account_id, 'Found' AS industry, CASE WHEN account_id % 2 = 0 THEN 'https://found.test' END AS website FROM accounts_v WHERE account_id % 5 <> 0"
+RESULT = "SELECT account_id, 'Found' AS industry, CASE WHEN account_id % 2 = 0 THEN 'https://found.test' END AS website FROM accounts_v WHERE email_format IS NOT NULL"
 query("p43_apply_enrichment", f"""
     SELECT a.account_id, COALESCE(NULLIF(a.industry, ''), r.industry, a.industry) AS industry, COALESCE(r.website, a.website) AS website, r.account_id IS NOT NULL AS processed
     FROM accounts_v a LEFT JOIN ({RESULT}) r ON a.account_id = r.account_id""")(

@@ -178,8 +178,8 @@ query("u01_search_locations", """
     lambda t: locations.search_locations("a", t.countries, t.states, t.cities))
 
 query("u02_known_names", """
-    SELECT id, name FROM companies_v WHERE LOWER(name) IN (SELECT LOWER(name) FROM companies_v WHERE id % 2 = 0 UNION SELECT LOWER(company_name) FROM accounts_v)""")(
-    lambda t: joins.known_names(t.companies.select("id", "name"), t.companies.filter("id % 2 = 0"), t.accounts))
+    SELECT id, name FROM companies_v WHERE LOWER(name) IN (SELECT LOWER(name) FROM companies_v WHERE status = 'active' UNION SELECT LOWER(company_name) FROM accounts_v)""")(
+    lambda t: joins.known_names(t.companies.select("id", "name"), t.companies.filter("status = 'active'"), t.accounts))
 
 query("w04_set_primary", """
     SELECT contact_id, CASE WHEN chosen_id IS NULL THEN is_primary ELSE contact_id = chosen_id END AS is_primary

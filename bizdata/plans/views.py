@@ -161,7 +161,7 @@ VIEWS: dict[str, str] = {
         SELECT LOWER(r_name) AS country, n_name AS state_region, UPPER(c_mktsegment) AS city,
           CAST(COUNT(*) AS INT) AS companies_found, CAST(SUM(c_custkey % 3) AS INT) AS contacts_found
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        GROUP BY r_name, n_name, c_mktsegment, n_nationkey HAVING n_nationkey % 2 = 0""",
+        GROUP BY r_name, n_name, c_mktsegment HAVING AVG(c_acctbal) > 4500""",
     "countries_v": "SELECT r_regionkey AS country_id, SUBSTR(r_name, 1, 2) AS country_code, r_name AS country_name FROM region",
     "states_v": """
         SELECT n_nationkey AS state_id, n_regionkey AS country_id, 'N' || CAST(n_nationkey AS STRING) AS state_code, n_name AS state_name
