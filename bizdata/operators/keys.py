@@ -19,7 +19,7 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     the filter, once per use.  A generator is not copied, so the columns come from a one-element explode.
     """
     made = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.explode(F.array(made)).alias("_made")).select(*df.columns, *[
+    return df.select("*", F.explode_outer(F.array(made)).alias("_made")).select(*df.columns, *[
         F.col(f"_made.{name}").alias(name) for name in columns])
 
 

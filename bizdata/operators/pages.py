@@ -213,12 +213,12 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
     def pairs(pattern: str, confidence: float) -> DataFrame:
         both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"),
                             F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("t"))
-        rows = df.select(key, F.posexplode(both).alias("pos", "_p"))
+        rows = compute_once(df.select(key, text), _both=both).select(key, F.posexplode("_both").alias("pos", "_p"))
         return rows.select(key, "pos", F.split(F.trim("_p.n"), r"\s+").alias("_words"), F.trim("_p.t").alias("_title"),
                            F.lit(confidence).alias("confidence"))
 
-    near = df.select(key, F.col(text).alias("_text"), F.posexplode(
-        F.regexp_extract_all(text, F.lit(NAME_PAIR), F.lit(0))).alias("pos", "_name"))
+    listed = compute_once(df.select(key, F.col(text).alias("_text")), _names=F.regexp_extract_all("_text", F.lit(NAME_PAIR), F.lit(0)))
+    near = listed.select(key, "_text", F.posexplode("_names").alias("pos", "_name"))
     at = F.instr("_text", F.col("_name"))
     start = F.greatest(at - 120, F.lit(1))
     around = F.substring("_text", start, at + F.length("_name") + 120 - start)
