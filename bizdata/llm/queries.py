@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, tokens
+from . import decontamination, labelled, packing, quality, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,12 +23,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def judged(spark: SparkSession, folder: str, by, modulo: int, held: int) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = by.fit(docs, table(spark, folder, "labels"), labelled.remainder("doc_id", modulo) != held)
+    scored = labelled.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (labelled.remainder("doc_id", modulo) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(spark, folder, toxicity, 5, 0)
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     found = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
     return found.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(spark, folder, quality, 3, 1)
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
