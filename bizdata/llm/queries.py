@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, labelled, packing, quality, tokens, toxicity
+from . import decontamination, labelled, neighbours, packing, pseudo_likelihood, quality, quotations, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return judged(spark, folder, toxicity, 5, 0)
 
 
+@query
+def op2_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pseudo_likelihood.score(docs, *pseudo_likelihood.fit(docs))
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     found = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
@@ -46,6 +52,19 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged(spark, folder, quality, 3, 1)
 
 
+@query
+def op7_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    return quotations.reply_order(quotations.link_quotes(table(spark, folder, "conversations")))
+
+
+ORACLES["op7_quotations"] = quotations.LINK_SQL
+
+
+@query
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
