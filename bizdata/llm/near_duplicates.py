@@ -57,7 +57,7 @@ def sketch(flat: np.ndarray, first: np.ndarray, coordinates: int) -> np.ndarray:
     for turn in range(2 * coordinates):
         if not len(flat):
             break
-        value = mix(flat + np.uint64(turn + 1) * np.uint64(0x9E3779B97F4A7C15))
+        value = mix(flat + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64))
         value[value == none] = 0
         cell = doc * coordinates + ((value % t).astype(np.int64) if turn < coordinates else turn - coordinates)
         open_ = out[cell] == none
@@ -124,6 +124,29 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checked.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b")
 
 
+def mixed_buckets(placed: DataFrame, *more) -> DataFrame:
+    """Buckets whose members are in more than one component."""
+    return (placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), *more)
+            .where(F.col("x") < F.col("y")).drop("x", "y"))
+
+
+def can_link(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that may still have a link to another component, with `common`, the shingles they share with any member
+    of a bucket of several components. A set that shares too few of its shingles with all of those together
+    cannot be similar enough to one of them, so it leaves; that makes more shingles unshared, until none leaves."""
+    while True:
+        placed = cut_lineage(placed.join(mixed_buckets(placed).select("bucket"), "bucket"))
+        left = placed.select("node").distinct()
+        alone = (sets.join(left, "node").select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+                 .agg(F.count("*").alias("owners"), F.min("node").alias("node")).where(F.col("owners") == 1)
+                 .groupBy("node").agg(F.count("*").alias("alone")))
+        judged = cut_lineage(placed.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"))
+        fit = 100 * F.col("common") >= percent * F.col("n")
+        if judged.where(~fit).isEmpty():
+            return judged
+        placed = judged.where(fit)
+
+
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included),
     kept (doc_id is that). docs: doc_id (an integer) and text, over other columns that are ignored.
@@ -143,7 +166,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: in
     classes = own.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     classes = cut_lineage(classes)
     keyed = own.join(classes.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"])
-    members = keyed.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket")).distinct()
+    members = keyed.select("node", F.col("n_shingles").alias("n"), F.col("n_shingles").alias("common"), F.explode("keys").alias("bucket")).distinct()
     shared = members.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(F.col("x") < F.col("y")).select("bucket")
     members = cut_lineage(members.join(shared, "bucket"))
     candidates = classes.join(members.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"))
@@ -152,22 +175,24 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: in
     links, tried, label = None, None, members.select("node").distinct().withColumn("component", F.col("node"))
     for turn in range(STAR_ROUNDS + 1):
         placed = cut_lineage(members.join(label, "node"))
-        mixed = (placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", F.lit(turn))).alias("m"))
-                 .where(F.col("x") < F.col("y")))
+        if turn == STAR_ROUNDS:
+            placed = can_link(placed, sets, percent)
+        mixed = mixed_buckets(placed, F.min_by(F.struct("node", "component", "n", "common"), F.xxhash64("node", F.lit(turn))).alias("m"))
         if turn < STAR_ROUNDS:
-            other = mixed.select("bucket", F.col("m.node").alias("other"), F.col("m.component").alias("c"), F.col("m.n").alias("k"))
+            other = mixed.select("bucket", F.col("m.node").alias("other"), F.col("m.component").alias("c"), F.col("m.n").alias("k"), F.col("m.common").alias("most"))
         else:
-            other = placed.join(mixed.select("bucket"), "bucket").select("bucket", F.col("node").alias("other"), F.col("component").alias("c"), F.col("n").alias("k"))
-        pairs = (placed.join(other, "bucket").where(F.col("component") != F.col("c"))
-                 .where((100 * F.col("n") >= percent * F.col("k")) & (100 * F.col("k") >= percent * F.col("n")))
+            other = placed.join(mixed.select("bucket"), "bucket").select("bucket", F.col("node").alias("other"), F.col("component").alias("c"), F.col("n").alias("k"), F.col("common").alias("most"))
+        # the greatest intersection that sizes and shared shingles leave room for
+        room = F.least("common", "most")
+        possible = (100 + percent) * room >= percent * (F.col("n") + F.col("k"))
+        once = F.lit(True) if turn < STAR_ROUNDS else F.col("node") < F.col("other")
+        pairs = (placed.join(other, (placed["bucket"] == other["bucket"]) & (F.col("component") != F.col("c")) & possible & once)
                  .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         if pairs.isEmpty():
-            if turn < STAR_ROUNDS and not mixed.isEmpty():
-                continue
-            break
+            continue
         found = cut_lineage(verify(pairs, sets, percent))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)

@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
         encoder, end = Encoder.of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, starts, lengths, sums, totals = [], [], [], [], []
-            for i, (_, ids) in enumerate(encoder.texts(batch.column("text"))):
+            for i, ids in enumerate(encoder.texts(batch.column("text"))):
                 raw = b"".join([*ids, end])
                 n = len(raw) >> 2
                 for start in range(0, n, capacity):
