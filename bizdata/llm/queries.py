@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, labelled, neighbours, packing, pseudo_likelihood, quality, quotations, tokens, toxicity
+from . import decontamination, labelled, near_duplicates, neighbours, packing, pseudo_likelihood, quality, quotations, substrings, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,17 @@ def op2_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     return pseudo_likelihood.score(docs, *pseudo_likelihood.fit(docs))
 
 
+@query
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.link(table(spark, folder, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     found = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
