@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dedup import connected_components
-from ..session import cut_lineage
+from .lineage import settle
 from .words import NOT_SPACE, Words, join, mix, slices, windows
 
 SHINGLE = 4
@@ -83,7 +83,7 @@ def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (hash of the set; null if it is empty), keys (one per band)."""
+    """Per row: doc_id, text_hash, n_shingles, node (hash of the set; null if it is empty), keys (one per band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,9 +92,10 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 n = np.diff(first)
                 keys = band_keys(sketch(flat, first, bands * rows), rows).view(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), nodes(flat, first), keys], ["doc_id", "n_shingles", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), nodes(flat, first), keys],
+                                                 ["doc_id", "text_hash", "n_shingles", "node", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>")
 
 
 def nodes(flat: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -135,12 +136,12 @@ def can_link(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of a bucket of several components. A set that shares too few of its shingles with all of those together
     cannot be similar enough to one of them, so it leaves; that makes more shingles unshared, until none leaves."""
     while True:
-        placed = cut_lineage(placed.join(mixed_buckets(placed).select("bucket"), "bucket"))
+        placed = settle(placed.join(mixed_buckets(placed).select("bucket"), "bucket"))
         left = placed.select("node").distinct()
         alone = (sets.join(left, "node").select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
                  .agg(F.count("*").alias("owners"), F.min("node").alias("node")).where(F.col("owners") == 1)
                  .groupBy("node").agg(F.count("*").alias("alone")))
-        judged = cut_lineage(placed.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"))
+        judged = settle(placed.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"))
         fit = 100 * F.col("common") >= percent * F.col("n")
         if judged.where(~fit).isEmpty():
             return judged
@@ -149,7 +150,7 @@ def can_link(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included),
-    kept (doc_id is that). docs: doc_id (an integer) and text, over other columns that are ignored.
+    kept (doc_id is that), text_hash. docs: doc_id (an integer) and text, over other columns that are ignored.
 
     Two documents are linked if their sets of distinct word shingles (A-Z lower-cased) have a similarity of at least
     `percent`. Equal sets are one node. Nodes that share a band's key are compared in rounds: in each, one member
@@ -162,19 +163,19 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: in
     No rows in, no rows out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = cut_lineage(sketches(docs, size, bands, rows))
+    own = settle(sketches(docs, size, bands, rows))
     classes = own.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    classes = cut_lineage(classes)
+    classes = settle(classes)
     keyed = own.join(classes.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"])
     members = keyed.select("node", F.col("n_shingles").alias("n"), F.col("n_shingles").alias("common"), F.explode("keys").alias("bucket")).distinct()
     shared = members.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(F.col("x") < F.col("y")).select("bucket")
-    members = cut_lineage(members.join(shared, "bucket"))
+    members = settle(members.join(shared, "bucket"))
     candidates = classes.join(members.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"))
     # full sets of the nodes that meet another one; a node's text may come from several rows of its first id
-    sets = cut_lineage(full_sets(docs.join(candidates.distinct(), "doc_id", "left_semi"), size).dropDuplicates(["node"]))
+    sets = settle(full_sets(docs.join(candidates.distinct(), "doc_id", "left_semi"), size).dropDuplicates(["node"]))
     links, tried, label = None, None, members.select("node").distinct().withColumn("component", F.col("node"))
     for turn in range(STAR_ROUNDS + 1):
-        placed = cut_lineage(members.join(label, "node"))
+        placed = settle(members.join(label, "node"))
         if turn == STAR_ROUNDS:
             placed = can_link(placed, sets, percent)
         mixed = mixed_buckets(placed, F.min_by(F.struct("node", "component", "n", "common"), F.xxhash64("node", F.lit(turn))).alias("m"))
@@ -190,18 +191,28 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: in
                  .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
+        pairs = settle(pairs)
         if pairs.isEmpty():
             continue
-        found = cut_lineage(verify(pairs, sets, percent))
+        found = settle(verify(pairs, sets, percent))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             joined = connected_components(links, "a", "b").withColumnRenamed("id", "node")
-            label = cut_lineage(members.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+            label = settle(members.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
     return (own.drop("keys").join(named, "node", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+            .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, with their columns, that link keeps: one document of each component. Of rows with the same id and
+    text one stays; rows without words or with a null id all stay."""
+    names = docs.columns
+    kept = link(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(True).alias("__kept")).distinct()
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    known = keyed.where(F.col("__id").isNotNull()).join(kept, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"])
+    return known.select(*names).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .lineage import settle
 from .words import NOT_SPACE, Words, slices, windows
 
 WINDOW = 50
@@ -172,26 +172,26 @@ def decimal(column, factor: int):
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """For each distinct (doc_id, h) of `docs` (doc_id, h, text): `copy` (all its words are those of a document with a smaller
     id) and `starts`, window starts whose words also begin in a document with a smaller id (null if there are none)."""
-    seen = cut_lineage(scan(docs, window, anchor).dropDuplicates(["doc_id", "h"]))
+    seen = settle(scan(docs, window, anchor).dropDuplicates(["doc_id", "h"]))
     first = seen.where(F.col("whole").isNotNull()).groupBy("whole", "n_words").agg(F.min("doc_id").alias("rep"))
     placed = seen.drop("anchors").join(first, ["whole", "n_words"], "left").select("doc_id", "h", F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False)).alias("copy"))
-    placed = cut_lineage(placed)
+    placed = settle(placed)
     runs = (seen.join(placed.where(~F.col("copy")).select("doc_id", "h"), ["doc_id", "h"])
             .select("doc_id", "h", F.explode("anchors").alias("a")).select("doc_id", "h", "a.*"))
     shared = runs.groupBy("value").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where(F.col("x") < F.col("y")).select("value")
     ranges = runs.join(shared, "value").groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))  # bounded by the document
     place = decimal(F.col("doc_id"), _DOC) + decimal(F.col("start"), _START) + F.col("h").bitwiseAND(_TEXT).cast("decimal(38,0)")
-    cut = cut_lineage(blocks(docs.join(ranges, ["doc_id", "h"]), window)
+    cut = settle(blocks(docs.join(ranges, ["doc_id", "h"]), window)
                       .withColumn("place", place.cast("decimal(38,0)")))
     every = cut.select("place", "doc_id", F.posexplode("prints").alias("i", "print"))
     owners = (every.groupBy("print").agg(F.min("place").alias("owner"), F.max("doc_id").alias("last"))
               .where(F.col("owner") < decimal(F.col("last"), _DOC)).drop("last"))
-    points = cut_lineage(every.join(owners, "print").where(F.col("owner") < decimal(F.col("doc_id"), _DOC))
+    points = settle(every.join(owners, "print").where(F.col("owner") < decimal(F.col("doc_id"), _DOC))
                          .groupBy("place", "owner").agg(F.collect_list("i").alias("ats")))  # at most BLOCK entries
     other = cut.select(F.col("place").alias("owner"), F.col("words").alias("other")).dropDuplicates(["owner"])
     pointed = points.join(cut.drop("prints").dropDuplicates(["place"]), "place").join(other, "owner").sortWithinPartitions("owner")
     found = matched(pointed.select("doc_id", "h", "start", "words", "owner", "other", "ats"), window)
-    starts = cut_lineage(found.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts")))  # bounded by the document
+    starts = settle(found.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts")))  # bounded by the document
     return placed.join(starts, ["doc_id", "h"], "left")
 
 

@@ -1,10 +1,48 @@
-"""A training-data pipeline: documents from toxicity to packed sequences."""
+"""A training-data pipeline: documents without toxic ones, near copies, repeated passages and benchmark items, packed."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bizdata.llm import decontamination, labelled, near_duplicates, packing, substrings, toxicity
 from bizdata.session import cut_lineage
 
-STAGES = []
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar scores below one half."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return labelled.score(docs, model, out="__score").where(F.col("__score") < 0.5).drop("__score")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of at least 0.8 over five-word shingles."""
+    return near_duplicates.one_of_each(docs, size=5, percent=80)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words that a document with a smaller id has; those left without words go."""
+    cut = substrings.remove_repeats(docs)
+    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten-word window of a benchmark item occurs."""
+    return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_copies),
+    ("substrings", without_repeats),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
 #: Not set: learned scores, sketches and differencing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
