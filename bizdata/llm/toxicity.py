@@ -37,8 +37,9 @@ CLAUSE_END = re.compile(r"[.!?;:\n\r…。]")
 LABELLED_TEXTS = 10_000
 LEARNED_TERMS = 5_000
 PREFIXES = (4, 5, 6)
-#: A term is learned if its G statistic is so high and so many of its texts are toxic.
-LEAST_G, LEAST_SHARE = 25.0, 0.9
+#: A term is learned if at least so many texts with it are toxic, they are such a share, and its G statistic passes
+#: 2 ln(terms tried) by a margin, so that hardly a term is learned by chance.
+LEAST_TEXTS, LEAST_SHARE, MARGIN = 3, 0.9, 4.0
 
 Transducer = tuple[int, dict[tuple[int, int], tuple[int, int]]]
 
@@ -179,10 +180,13 @@ def learn_terms(texts: DataFrame) -> dict[str, float]:
 
     n = a + b
     g = 2 * (cell(a, n * (t / (t + c))) + cell(b, n * (c / (t + c))))
-    found = (texts.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-             .where((a >= 3) & (a >= LEAST_SHARE * n)).withColumn("g", g).where(F.col("g") >= LEAST_G)
+    tried = (texts.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+             .where(a >= LEAST_TEXTS).persist())
+    least = 2 * np.log(max(1, tried.count())) + MARGIN
+    found = (tried.where(a >= LEAST_SHARE * n).withColumn("g", g).where(F.col("g") >= least)
              .withColumn("weight", F.log(((a + 0.5) / (t + 1)) / ((b + 0.5) / (c + 1))))
              .orderBy(F.desc("g"), "term").limit(LEARNED_TERMS).collect())
+    tried.unpersist()
     return {r["term"]: float(r["weight"]) for r in found}
 
 
