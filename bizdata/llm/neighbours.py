@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 #: Bounds: rows that the rotation and the radius are learned from, queries sent to all executors at once.
 SAMPLE_ROWS = 10_000
 QUERIES_AT_ONCE = 10_000
@@ -136,7 +138,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         if not rows:
             continue
         asked = (np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows]))
-        got = probe(every, rotation, asked, near, k)
+        got = settle(probe(every, rotation, asked, near, k))  # read twice below
         short = [r["query_id"] for r in got.groupBy("query_id").count().where(F.col("count") >= k).select("query_id").collect()]
         rest = ~np.isin(asked[0], short)  # at most a block of ids
         if rest.any():
