@@ -20,7 +20,7 @@ def company_slug(c: Column | str) -> Column:
     """Match key in profile-address spelling (a key, not a fact about the company)."""
     v = F.regexp_replace(F.lower(as_col(c)), rules.LEGAL_WORDS_IN_SLUGS, "")
     v = F.trim(F.regexp_replace(v, r"[^a-z0-9\s-]", ""))
-    return F.substring(F.regexp_replace(v, r"\s+", "-"), 1, 50)
+    return F.regexp_replace(v, r"\s+", "-")
 
 
 def registration_key(c: Column | str) -> Column:

@@ -25,15 +25,18 @@ def parse_name(c: Column | str) -> Column:
 
 
 def clean_name(c: Column | str) -> Column:
-    """Lead name without bullets, ordinals, tags and odd characters; 60 characters at a word edge."""
+    """Lead name without bullets, ordinals, tags and odd characters; see too_long."""
     edge = "[\\s•·\\-–—|]+"
     v = F.regexp_replace(F.regexp_replace(F.trim(as_col(c)), "^" + edge, ""), edge + "$", "")
     v = F.regexp_replace(v, r"(?i)\b\d+(st|nd|rd|th)\+?\b", "")
     v = F.regexp_replace(v, r"<[^>]*>", "")
     v = F.regexp_replace(v, "[^a-zA-ZÀ-ÿ\\s'.\\-]", "")
-    v = F.trim(F.regexp_replace(v, r"\s{2,}", " "))
-    short = F.trim(F.regexp_replace(F.substring(v, 1, 60), r"\s\S*$", ""))
-    return F.when(F.length(v) > 60, short).otherwise(v)
+    return F.trim(F.regexp_replace(v, r"\s{2,}", " "))
+
+
+def too_long(c: Column | str, most: int = 60) -> Column:
+    """A lead name so long that it is hardly one name; the name itself is kept whole."""
+    return F.length(clean_name(c)) > most
 
 
 def first_word(c: Column | str) -> Column:

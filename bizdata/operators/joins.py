@@ -44,16 +44,16 @@ def with_contact_count(accounts: DataFrame, contacts: DataFrame) -> DataFrame:
 
 def nest_contacts(companies: DataFrame, contacts: DataFrame, key: str = "id",
                   child_key: str = "company_id", fields: Sequence[str] = ("contact_type", "value"),
-                  order: Sequence[str] = ("contact_type", "value"), per_row: int = 10_000) -> DataFrame:
-    """J-04: see keys.nest for companies with very many contacts."""
-    return nest(companies, contacts, key, child_key, fields, order, "contacts", per_row)
+                  order: Sequence[str] = ("contact_type", "value"), parts: int = 1) -> DataFrame:
+    """J-04: see keys.nest for `parts`."""
+    return nest(companies, contacts, key, child_key, fields, order, "contacts", parts)
 
 
-def nest_active_officers(companies: DataFrame, officers: DataFrame, per_row: int = 10_000) -> DataFrame:
+def nest_active_officers(companies: DataFrame, officers: DataFrame, parts: int = 1) -> DataFrame:
     """J-05: only officers without a resignation are nested; companies without any survive."""
     active = officers.filter(F.col("resigned_date").isNull()).withColumnRenamed("id", "officer_id")
     return nest(companies, active, "id", "company_id", ("name", "role", "appointed_date"),
-                ("officer_id",), "officers", per_row)
+                ("officer_id",), "officers", parts)
 
 
 def company_officers(companies: DataFrame, officers: DataFrame, active_only: bool = False) -> DataFrame:
@@ -63,7 +63,7 @@ def company_officers(companies: DataFrame, officers: DataFrame, active_only: boo
     return out.filter("is_active") if active_only else out
 
 
-def nest_appointments(officers: DataFrame, companies: DataFrame, per_row: int = 10_000) -> DataFrame:
+def nest_appointments(officers: DataFrame, companies: DataFrame, parts: int = 1) -> DataFrame:
     """J-07: one row per officer name, appointments newest first."""
     dated = company_officers(companies, officers).select(
         F.col("name").alias("officer_name"),
@@ -72,7 +72,7 @@ def nest_appointments(officers: DataFrame, companies: DataFrame, per_row: int =
     people = officers.select("name").distinct()
     return nest(people, dated, "name", "officer_name",
                 ("company_name", "role", "appointed_date", "resigned_date"),
-                ("age_order", "appointment_id"), "appointments", per_row)
+                ("age_order", "appointment_id"), "appointments", parts)
 
 
 def without(df: DataFrame, other: DataFrame, on: Sequence[tuple[str, str]],
@@ -156,29 +156,39 @@ def possible_duplicates(new: DataFrame, accounts: DataFrame, new_id: str = "new_
             .select(new_id, "name_match", "site_match"))
 
 
-def match_name_or_address(new: DataFrame, accounts: DataFrame, new_id: str = "new_id") -> DataFrame:
-    """J-26: lowest existing account with the same name, or with an address that starts with the same
-    30 characters."""
+def match_name_or_address(new: DataFrame, accounts: DataFrame, new_id: str = "new_id", head: int = 30) -> DataFrame:
+    """J-26: lowest existing account with the same name, or with an address that contains the first `head` characters of
+    the new one (all of a shorter one).
+
+    Stored addresses are indexed by their pieces of the lengths that occur among the new heads, at most `head` of
+    them, so the match is an equi-join and the index grows with the stored text.
+    """
     by_name = accounts.groupBy(F.lower("company_name").alias("_name")).agg(F.min("account_id").alias("name_match"))
-    head = F.substring(F.lower("address"), 1, 30)
-    by_address = (accounts.filter(present("address")).groupBy(head.alias("_head"))
-                  .agg(F.min("account_id").alias("address_match")))
+    start = F.substring(F.lower("address"), 1, head)
+    heads = new.filter(present("address")).select(start.alias("_head")).distinct().withColumn("_size", F.length("_head"))
+    sizes = heads.agg(F.collect_set("_size").alias("_sizes"))  # one row of at most `head` numbers
+    stored = accounts.filter(present("address")).select("account_id", F.lower("address").alias("_text")).join(F.broadcast(sizes))
+    pieces = stored.select("account_id", "_text", F.explode("_sizes").alias("_size")).filter(F.length("_text") >= F.col("_size")).select(
+        "account_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1),
+                                            lambda at: F.substring(F.col("_text"), at, F.col("_size")))).alias("_piece"))
+    by_address = (pieces.join(heads.select("_head"), F.col("_piece") == F.col("_head"), "left_semi")
+                  .groupBy(F.col("_piece").alias("_head")).agg(F.min("account_id").alias("address_match")))
     return (new.join(by_name, F.lower("company_name") == F.col("_name"), "left")
-            .join(by_address, head == F.col("_head"), "left")
+            .join(by_address, start == F.col("_head"), "left")
             .filter(F.col("name_match").isNotNull() | F.col("address_match").isNotNull())
             .select(new_id, "name_match", "address_match"))
 
 
 def company_detail(companies: DataFrame, contacts: DataFrame, sources: DataFrame,
-                   per_row: int = 10_000) -> DataFrame:
+                   parts: int = 1) -> DataFrame:
     """J-23: company with nested contacts and nested sources.
 
     Both children are nested by themselves and meet on (company, part), so a company with many of both
     gives as many rows as the longer list needs, not their product.
     """
     ids = companies.select("id")
-    people = nest(ids, contacts, "id", "company_id", ("contact_type", "value"), ("contact_type", "value"), "contacts", per_row)
-    origins = nest(ids, sources, "id", "company_id", ("source_name", "reliability"), ("source_name",), "sources", per_row)
+    people = nest(ids, contacts, "id", "company_id", ("contact_type", "value"), ("contact_type", "value"), "contacts", parts)
+    origins = nest(ids, sources, "id", "company_id", ("source_name", "reliability"), ("source_name",), "sources", parts)
     both = people.join(origins, ["id", "part"], "full_outer")
     for name in ("contacts", "sources"):
         both = both.withColumn(name, F.coalesce(name, F.array().cast(both.schema[name].dataType)))

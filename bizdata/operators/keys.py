@@ -54,22 +54,17 @@ def counts(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def nest(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, fields: Sequence[str],
-         order: Sequence[str], name: str, per_row: int = 10_000) -> DataFrame:
+         order: Sequence[str], name: str, parts: int = 1) -> DataFrame:
     """Parent rows with their children as an array sorted by `order`; `[]` when there are none.
 
-    A parent with up to `per_row` children gives one row.  More children are spread over several
-    rows with the same parent and `part` = 0, 1, …, so that no array and no task grows with a hot
-    parent and no child is lost.
+    `parts` deals the children of every parent, by a hash of `order`, over so many rows with the same parent and
+    `part` = 0, 1, …; a part without children gives no row, but a parent without any gives one. The shape follows
+    from `parts` alone, never from the data; callers with large groups pass more parts, or work on child rows.
     """
-    size = child.groupBy(F.col(child_key).alias("_k")).agg(
-        F.ceil(F.count(F.lit(1)) / per_row).cast("int").alias("_parts"))
     member = F.struct(*order, *[f for f in fields if f not in order])
-    spread = child.join(size, F.col(child_key) == F.col("_k")).select(
-        "_k",
-        F.when(F.col("_parts") == 1, F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int")).alias("part"),
-        member.alias("_member"))
-    grouped = spread.groupBy("_k", "part").agg(F.sort_array(F.collect_list("_member")).alias(name))
+    part = F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
+    grouped = (child.filter(F.col(child_key).isNotNull())
+               .groupBy(F.col(child_key).alias("_k"), part.alias("part")).agg(F.sort_array(F.collect_list(member)).alias(name)))
     wanted = F.transform(F.col(name), lambda m: F.struct(*[m[f].alias(f) for f in fields]))
     joined = parent.join(grouped, F.col(parent_key) == F.col("_k"), "left").drop("_k")
     return joined.withColumn(name, F.coalesce(wanted, F.array().cast(

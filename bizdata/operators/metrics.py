@@ -20,14 +20,14 @@ def _n() -> Column:
     return F.count(F.lit(1))
 
 
-def by_location(df: DataFrame, n: int = 100) -> DataFrame:
+def by_location(df: DataFrame, n: int) -> DataFrame:
     """A-01: largest (city, state) groups with a printable label."""
     label = F.when(present("city"), F.concat_ws(", ", "city", "state_region")).otherwise(F.col("state_region"))
     located = df.filter(F.col("state_region").isNotNull())
     return top_groups(located, ["city", "state_region"], n).withColumn("location", label)
 
 
-def by_industry(df: DataFrame, n: int = 100) -> DataFrame:
+def by_industry(df: DataFrame, n: int) -> DataFrame:
     """A-02."""
     return top_groups(df.filter(F.col("industry").isNotNull()), ["industry"], n)
 
@@ -53,21 +53,22 @@ def summary(df: DataFrame, as_of: str) -> DataFrame:
         rate.cast("bigint").alias("enrichment_rate"))
 
 
-def geo_distribution(df: DataFrame, country: str | None = None) -> dict[str, DataFrame]:
-    """A-05: countries, states, and cities with at least 10 companies (top 500)."""
+def geo_distribution(df: DataFrame, country: str | None = None, n: int | None = None, at_least: int = 1) -> dict[str, DataFrame]:
+    """A-05: countries, states, and cities with at least `at_least` companies (the largest n; all by default)."""
     enriched = count_present("website").alias("enriched_count")
     here = df.filter(F.col("country") == country) if country else df
     states = here.filter(F.col("state_region").isNotNull()).groupBy(
         "country", F.col("state_region").alias("state")).agg(_n().alias("count"), enriched)
     cities = (here.filter(F.col("city").isNotNull() & F.col("state_region").isNotNull())
               .groupBy("country", F.col("state_region").alias("state"), "city")
-              .agg(_n().alias("count"), enriched).filter(F.col("count") >= 10)
-              .orderBy(F.desc("count"), F.asc("country"), F.asc("state"), F.asc("city")).limit(500))
+              .agg(_n().alias("count"), enriched).filter(F.col("count") >= at_least)
+              .orderBy(F.desc("count"), F.asc("country"), F.asc("state"), F.asc("city")))
+    cities = cities if n is None else cities.limit(n)
     countries = df.filter(F.col("country").isNotNull()).groupBy("country").agg(_n().alias("count"), enriched)
     return {"countries": countries, "states": states, "cities": cities}
 
 
-def top_cities(df: DataFrame, n: int = 20, country: str | None = None) -> DataFrame:
+def top_cities(df: DataFrame, n: int, country: str | None = None) -> DataFrame:
     """A-06."""
     here = df.filter(F.col("city").isNotNull())
     here = here.filter(F.col("country") == country) if country else here
@@ -113,7 +114,7 @@ def enrichment_stats(accounts: DataFrame, contacts: DataFrame, as_of: str) -> Da
         F.col("_p.email").alias("contacts_with_email"), F.col("_p.phone").alias("contacts_with_phone")).drop("_p")
 
 
-def enriched_top(accounts: DataFrame, column: str, n: int = 10) -> DataFrame:
+def enriched_top(accounts: DataFrame, column: str, n: int) -> DataFrame:
     """A-09: largest countries or industries among accounts with a found field."""
     rows = accounts.filter(_some_field())
     if column == "industry":
@@ -133,7 +134,7 @@ def contact_quality(accounts: DataFrame, contacts: DataFrame) -> DataFrame:
     ).withColumn("companies_without_contacts", all_accounts - with_any)
 
 
-def top_sources(df: DataFrame, n: int = 10) -> DataFrame:
+def top_sources(df: DataFrame, n: int) -> DataFrame:
     return top_groups(df.filter(F.col("data_source").isNotNull()), ["data_source"], n)
 
 
@@ -207,7 +208,7 @@ def source_activity(df: DataFrame, as_of: str, ts: str = "created_at") -> DataFr
         F.max(ts).alias("last_seen"))
 
 
-def officer_search(officers: DataFrame, term: str, n: int = 50, person: str = "name") -> DataFrame:
+def officer_search(officers: DataFrame, term: str, n: int, person: str = "name") -> DataFrame:
     """A-18: people by name with distinct companies in all and at present."""
     current = F.when(F.col("resigned_date").isNull(), F.col("company_id"))
     return (officers.filter(icontains("name", term)).groupBy(person).agg(
@@ -227,7 +228,7 @@ def officer_stats(officers: DataFrame, companies: DataFrame) -> DataFrame:
     ).withColumn("companies_without_officers", all_companies - with_any)
 
 
-def completeness_pct(df: DataFrame, by: str = "jurisdiction", pattern: str = "us_%", n: int = 20) -> DataFrame:
+def completeness_pct(df: DataFrame, by: str = "jurisdiction", pattern: str = "us_%", *, n: int) -> DataFrame:
     """A-20: '_' in the pattern is any one character; a field counts when it is not NULL."""
     def pct(c: str) -> Column:
         return F.round(F.try_divide(F.count(c) * F.lit(100.0), _n()), 1).alias(f"{c}_pct")
@@ -238,7 +239,7 @@ def completeness_pct(df: DataFrame, by: str = "jurisdiction", pattern: str = "us
         .orderBy(F.desc("total"), F.asc(by)).limit(n))
 
 
-def recent_imports(df: DataFrame, as_of: str, pattern: str = "us_%", n: int = 5) -> DataFrame:
+def recent_imports(df: DataFrame, as_of: str, pattern: str = "us_%", *, n: int) -> DataFrame:
     """A-21."""
     new = df.filter(F.col("jurisdiction").like(pattern) & (F.col("created_at") > before(as_of, days=7)))
     return (new.groupBy("jurisdiction").agg(F.max("created_at").alias("last_import"), _n().alias("count"))
@@ -253,7 +254,7 @@ def coverage_by_country(accounts: DataFrame, as_of: str) -> DataFrame:
         F.count_if(F.col("created_at") > before(as_of, hours=24)).alias("added_24h"))
 
 
-def coverage_top_cities(accounts: DataFrame, countries: Sequence[str], as_of: str, n: int = 10) -> DataFrame:
+def coverage_top_cities(accounts: DataFrame, countries: Sequence[str], as_of: str, n: int) -> DataFrame:
     """A-22: largest (city, state) groups of each chosen country."""
     grouped = accounts.filter(F.col("country").isin(*countries)).groupBy("country", "city", "state_region").agg(
         _n().alias("count"), F.count_if(F.col("created_at") > before(as_of, hours=24)).alias("added_24h"))
@@ -288,7 +289,7 @@ def eta(accounts: DataFrame, contacts: DataFrame, as_of: str, workers: Sequence[
     return out
 
 
-def popular_searches(log: DataFrame, n: int = 10) -> DataFrame:
+def popular_searches(log: DataFrame, n: int) -> DataFrame:
     """A-24."""
     return top_groups(log.filter(F.col("search_query").isNotNull()), ["search_query"], n)
 
@@ -323,7 +324,7 @@ def distinct_values(df: DataFrame, column: str, n: int | None = None, **equal: o
     return out if n is None else out.limit(n)
 
 
-def districts_from_address(df: DataFrame, n: int | None = 100) -> DataFrame:
+def districts_from_address(df: DataFrame, n: int | None = None) -> DataFrame:
     """A-28: first comma part of the address, for places without district data."""
     part = F.trim(F.split_part("address", F.lit(","), F.lit(1)))
     out = df.filter(present("address")).select(part.alias("district")).filter(F.col("district") != "").distinct()

@@ -42,7 +42,10 @@ def apply_results(queue: DataFrame, results: DataFrame, as_of: str) -> DataFrame
     up, else pending again in one hour.
     """
     now = as_time(as_of)
-    res = results.select("queue_id", F.col("result").alias("_r"), F.col("error").alias("_e"))
+    # one result per job: a final one before 'started', the greatest error text of several
+    final = F.when(F.col("result") == "completed", 2).when(F.col("result") == "failed", 1).otherwise(0)
+    res = results.filter(F.col("queue_id").isNotNull()).groupBy("queue_id").agg(
+        F.max_by("result", final).alias("_r"), F.max_by("error", F.struct(final, "error")).alias("_e"))
     out = queue.join(res, "queue_id", "left")
     r = F.col("_r")
     spent = F.col("attempts") >= F.col("max_attempts")

@@ -21,25 +21,29 @@ ENRICHED_ORDERS = ("updated_at", "created_at", "company_name", "country", "city"
                    "enrichment_score", "contact_count")
 
 
-def clamp(value: int | None, low: int, high: int, default: int) -> int:
-    return default if value is None else min(max(low, value), high)
+def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """F-23: page of an ordered frame, as long as asked for.
+
+    A far page gathers offset + limit rows; page_after does not.
+    """
+    if limit < 1 or offset < 0:
+        raise ValueError("a page has at least one row and begins at 0 or later")
+    return df.offset(offset).limit(limit) if offset else df.limit(limit)
 
 
-def page(df: DataFrame, limit: int | None = 20, offset: int = 0, max_limit: int = 100,
-         default: int = 20) -> DataFrame:
-    """F-23: bounded page of an ordered frame."""
-    rows = clamp(limit, 1, max_limit, default)
-    skip = max(0, offset)
-    return df.offset(skip).limit(rows) if skip else df.limit(rows)
+def page_after(df: DataFrame, key: str, last: object, limit: int) -> DataFrame:
+    """F-23: the page that follows the row with key `last` (None: the first page), by ascending unique key."""
+    if limit < 1:
+        raise ValueError("a page has at least one row")
+    rest = df if last is None else df.filter(F.col(key) > F.lit(last))
+    return rest.orderBy(key).limit(limit)
 
 
-def page_with_total(df: DataFrame, order: Sequence[Column], limit: int = 20, offset: int = 0,
-                    max_limit: int = 100) -> DataFrame:
+def page_with_total(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """T-01: one page with the size of the whole result and whether more follows."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    rows = page(df.orderBy(*order), limit, offset, max_limit)
-    end = max(0, offset) + clamp(limit, 1, max_limit, 20)
-    out = rows.withColumn("total", total)
+    end = offset + limit
+    out = page(df.orderBy(*order), limit, offset).withColumn("total", total)
     return out.withColumn("has_more", F.col("total") > end)
 
 
@@ -155,10 +159,10 @@ def advanced_filter(df: DataFrame, industry: str | None = None, status: str | No
         _equals("country", country)])
 
 
-def search_by_name(df: DataFrame, term: str, limit: int = 50, score: str = "quality_score") -> DataFrame:
+def search_by_name(df: DataFrame, term: str, limit: int, score: str = "quality_score") -> DataFrame:
     """F-07: NULL scores come first, as in the source database."""
     hit = icontains("name", term) | icontains("company_number", term)
-    return page(df.filter(hit).orderBy(F.desc_nulls_first(score), F.asc("name"), F.asc("id")), limit, 0, 500)
+    return page(df.filter(hit).orderBy(F.desc_nulls_first(score), F.asc("name"), F.asc("id")), limit)
 
 
 def search_by_location(companies: DataFrame, **ids: int | None) -> DataFrame:
@@ -186,8 +190,7 @@ def enriched_accounts(accounts: DataFrame, contacts: DataFrame, search: str | No
 
 
 def stale(df: DataFrame, days: int, n: int, as_of: str) -> DataFrame:
-    """F-10: rows not updated for `days` (1..365), oldest first."""
-    days = clamp(days, 1, 365, 30)
+    """F-10: rows not updated for `days`, oldest first."""
     old = df.filter(F.col("last_updated") < before(as_of, days=days))
     return old.orderBy(F.asc("last_updated"), F.asc("id")).limit(n)
 
@@ -285,7 +288,7 @@ def needs_enrichment(accounts: DataFrame, contacts: DataFrame, k: int) -> DataFr
     return with_contact_count(accounts, contacts).filter(weak)
 
 
-def enrichment_history(log: DataFrame, company_id: object, n: int = 20) -> DataFrame:
+def enrichment_history(log: DataFrame, company_id: object, n: int) -> DataFrame:
     """F-24: last runs of one company."""
     return (log.filter(F.col("company_id") == company_id)
             .orderBy(F.desc("created_at"), F.asc("log_id")).limit(n))
@@ -322,16 +325,16 @@ def rank_by_completeness(df: DataFrame, weights: Sequence[tuple[str, int]], n: i
 
 
 def two_phase_pick(df: DataFrame, n: int, as_of: str) -> DataFrame:
-    """T-05: 80 % rows with a website to finish off, 20 % rows without one."""
+    """T-05: n rows: one fifth (rounded down) without a website, the others with one to finish off."""
     rested = F.col("updated_at").isNull() | (F.col("updated_at") < before(as_of, hours=24))
     named = df.filter(present("company_name") & rested)
     gaps = missing("phone_number") | missing("email_format") | missing("linkedin_url")
-    half = rank_by_completeness(named.filter(present("website") & gaps), rules.HALF_ENRICHED_WEIGHTS, n * 8 // 10)
-    empty = rank_by_completeness(named.filter(missing("website")), rules.EMPTY_WEIGHTS, n * 2 // 10)
+    half = rank_by_completeness(named.filter(present("website") & gaps), rules.HALF_ENRICHED_WEIGHTS, n - n // 5)
+    empty = rank_by_completeness(named.filter(missing("website")), rules.EMPTY_WEIGHTS, n // 5)
     return half.withColumn("phase", F.lit(1)).unionByName(empty.withColumn("phase", F.lit(2)))
 
 
-def recent_updates(log: DataFrame, n: int = 100) -> DataFrame:
+def recent_updates(log: DataFrame, n: int) -> DataFrame:
     """T-07."""
     return log.orderBy(F.desc("started_at"), F.asc("update_id")).limit(n)
 

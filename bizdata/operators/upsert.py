@@ -28,24 +28,43 @@ def new_key(hashed: Column) -> Column:
 
 
 def latest(delta: DataFrame, keys: Sequence[str], seq: str | None) -> DataFrame:
-    """Last row of a batch per key."""
-    return delta if seq is None else keep_first(delta, keys, [F.desc(seq)]).drop(seq)
+    """Last row of a batch per key. Without an order column it is the greatest row, so the choice is the same at every run."""
+    if seq is not None:
+        return keep_first(delta, keys, [F.desc(seq)]).drop(seq)
+    rest = [F.desc_nulls_last(c) for c in delta.columns if c not in keys]
+    return keep_first(delta, keys, rest) if rest else delta.dropDuplicates(list(keys))
+
+
+def keyed(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Whether every key column holds something: NULL and '' identify no row."""
+    held = F.lit(True)
+    for k in keys:
+        held = held & (present(k) if df.schema[k].dataType.typeName() == "string" else F.col(k).isNotNull())
+    return held
 
 
 def merge_rows(old: DataFrame, delta: DataFrame, keys: Sequence[str], overwrite: Sequence[str] = (),
                prefer_new: Sequence[str] = (), prefer_filled: Sequence[str] = (),
                fill_empty: Sequence[str] = (), stamp: Mapping[str, Column] | None = None,
-               insert: bool = True, seq: str | None = None) -> DataFrame:
+               insert: bool = True, seq: str | None = None, inserted: Mapping[str, Column] | None = None) -> DataFrame:
     """UPSERT with one rule per column.
 
     overwrite: new value, even NULL.  prefer_new: coalesce(new, old).  prefer_filled: as prefer_new,
     but '' counts as missing.  fill_empty: old value unless NULL or ''.  Other columns keep the old
-    value.  Unmatched delta rows are inserted (if `insert`).  `stamp` sets columns of touched rows.
+    value.  Unmatched delta rows are inserted (if `insert`), with the values of `inserted` where they have none
+    (columns over the delta row).  `stamp` sets columns of touched rows.
+
+    Of delta rows with one key the last by `seq` counts, without it the greatest.  Rows whose key is NULL or '' match
+    nothing: old ones stay as they are, delta ones are inserted each.  Old rows meet at most one delta row, so a hot
+    old key can be split over tasks, and rows without a key take no part in the join.
     """
-    fresh = latest(delta, keys, seq)
-    fresh = fresh.select(*[F.col(c).alias(f"_n_{c}") for c in fresh.columns], F.lit(True).alias("_new"))
+    held = delta.filter(keyed(delta, keys))
+    loose = delta.filter(~keyed(delta, keys))
+    loose = loose if seq is None else loose.drop(seq)
+    fresh = latest(held, keys, seq)
+    marked = fresh.select(*[F.col(c).alias(f"_n_{c}") for c in fresh.columns], F.lit(True).alias("_new"))
     on = [F.col(k) == F.col(f"_n_{k}") for k in keys]
-    joined = old.withColumn("_old", F.lit(True)).join(fresh, on, "full_outer" if insert else "left")
+    joined = old.filter(keyed(old, keys)).join(marked, on, "left")
 
     def value(c: str) -> Column:
         mine = F.col(c)
@@ -62,25 +81,45 @@ def merge_rows(old: DataFrame, delta: DataFrame, keys: Sequence[str], overwrite:
             elif c in fill_empty:
                 result = F.coalesce(blank_to_null(mine), theirs, mine)
             else:
-                result = F.when(F.col("_old"), mine).otherwise(theirs)
+                result = mine
         if stamp and c in stamp:
             result = F.when(F.col("_new"), stamp[c]).otherwise(result)
         return result.alias(c)
 
-    return joined.select(*[value(c) for c in old.columns])
+    out = joined.select(*[value(c) for c in old.columns]).unionByName(old.filter(~keyed(old, keys)))
+    if not insert:
+        return out
+    made = {**(inserted or {}), **(stamp or {})}
+
+    def new_value(c: str) -> Column:
+        kind = old.schema[c].dataType
+        if c in fresh.columns:
+            result = F.coalesce(F.col(c), made[c].cast(kind)) if c in made and c not in (stamp or {}) else made[c] if c in made else F.col(c)
+        else:
+            result = made.get(c, F.lit(None))
+        return result.cast(kind).alias(c)
+
+    added = fresh.join(old.select(*keys).distinct(), list(keys), "left_anti").unionByName(loose)
+    return out.unionByName(added.select(*[new_value(c) for c in old.columns]))
 
 
 def upsert_companies(old: DataFrame, delta: DataFrame, as_of: str, seq: str | None = None) -> DataFrame:
-    """P-01: registry fields overwrite, found fields survive a NULL."""
+    """P-01: registry fields overwrite, found fields survive a NULL; new companies get an id and a creation time."""
     return merge_rows(old, delta, ["company_number"], overwrite=REGISTRY_FIELDS, prefer_new=FOUND_FIELDS,
-                      stamp={"last_updated": as_time(as_of)}, seq=seq)
+                      stamp={"last_updated": as_time(as_of)}, seq=seq, inserted=new_company(delta, as_of, seq))
 
 
 def upsert_registry(old: DataFrame, delta: DataFrame, as_of: str, wide: bool = False,
                     seq: str | None = None) -> DataFrame:
     """P-02: a registry file changes name, status and type only (`wide`: all registry fields)."""
     return merge_rows(old, delta, ["company_number"], overwrite=WIDE_CSV_FIELDS if wide else CSV_FIELDS,
-                      stamp={"last_updated": as_time(as_of)}, seq=seq)
+                      stamp={"last_updated": as_time(as_of)}, seq=seq, inserted=new_company(delta, as_of, seq))
+
+
+def new_company(delta: DataFrame, as_of: str, seq: str | None = None) -> dict[str, Column]:
+    """Key and creation time of an inserted company; the key follows from the number, or from the whole row without one."""
+    number = F.when(present("company_number"), F.xxhash64("company_number")).otherwise(F.xxhash64(*sorted(c for c in delta.columns if c != seq)))
+    return {"id": new_key(number), "created_at": as_time(as_of)}
 
 
 def upsert_counts(old: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -92,11 +131,12 @@ def upsert_counts(old: DataFrame, delta: DataFrame, keys: Sequence[str]) -> Data
 
 
 def upsert_contacts_by_url(old: DataFrame, delta: DataFrame, seq: str | None = None) -> DataFrame:
-    """P-04: contacts with a profile address; the connection degree is overwritten."""
+    """P-04: contacts with a profile address; the connection degree is overwritten. Contacts without one stay as they are."""
     named = delta.filter(present("linkedin_url")).withColumn("confidence_score", F.lit(85))
     return merge_rows(old, named, ["linkedin_url"], overwrite=["connection_degree"],
                       prefer_new=["job_title", "email", "phone_number", "city", "country", "seniority",
-                                  "industry_hint", "email_format_guess"], seq=seq)
+                                  "industry_hint", "email_format_guess"], seq=seq,
+                      inserted={"contact_id": new_key(F.xxhash64("linkedin_url")), "verified": F.lit(True)})
 
 
 def upsert_contacts_by_name(old: DataFrame, delta: DataFrame, seq: str | None = None) -> DataFrame:
@@ -104,16 +144,16 @@ def upsert_contacts_by_name(old: DataFrame, delta: DataFrame, seq: str | None =
 
     Rows without an account never match, so they are always inserted.
     """
-    def keyed(df: DataFrame) -> DataFrame:
+    def by_name(df: DataFrame) -> DataFrame:
         return df.withColumn("_first", F.lower("first_name")).withColumn("_last", F.lower("last_name"))
 
     keys = ["_first", "_last", "linked_account_id"]
-    incoming = keyed(delta)
+    incoming = by_name(delta)
     if seq is not None:
         known = incoming.dropna(subset=keys)
         anonymous = without(incoming, known, [(seq, seq)])
         incoming = latest(known, keys, seq).unionByName(anonymous.drop(seq))
-    target = keyed(old)
+    target = by_name(old)
     # several old rows may share a name: the lowest id is the one that is updated
     first = target.dropna(subset=keys).groupBy(*keys).agg(F.min("contact_id").alias("contact_id"))
     marked = incoming.drop("contact_id").join(first, keys, "left")

@@ -276,9 +276,9 @@ _c = f"REGEXP_REPLACE(REGEXP_REPLACE(TRIM(v), '^[\\s•·\\-–—|]+', ''), '[\
 _c = f"REGEXP_REPLACE(REGEXP_REPLACE({_c}, '(?i)\\b[0-9]+(st|nd|rd|th)\\+?\\b', '', 'g'), '<[^>]*>', '', 'g')"
 _c = f"TRIM(REGEXP_REPLACE(REGEXP_REPLACE({_c}, '[^a-zA-ZÀ-ÿ\\s''.\\-]', '', 'g'), '\\s{{2,}}', ' ', 'g'))"
 query("x32_clean_name", f"""
-    SELECT account_id, CASE WHEN LENGTH(c) > 60 THEN TRIM(REGEXP_REPLACE(LEFT(c, 60), '\\s\\S*$', '')) ELSE c END AS name
+    SELECT account_id, c AS name, LENGTH(c) > 60 AS too_long
     FROM (SELECT account_id, {_c} AS c FROM (SELECT account_id, {NOISY} AS v FROM accounts_v))""")(
-    lambda t: t.accounts.select("account_id", names.clean_name(F.expr(NOISY)).alias("name")))
+    lambda t: t.accounts.select("account_id", names.clean_name(F.expr(NOISY)).alias("name"), names.too_long(F.expr(NOISY)).alias("too_long")))
 
 OFFICER = "SELECT id, UPPER(SPLIT_PART(name, ' ', 2)) || ', ' || SPLIT_PART(name, ' ', 1) || ' Ann' AS name, role, resigned_date FROM officers_v"
 query("x33_officer_contact", f"""
@@ -477,5 +477,5 @@ query("x60_phone_near", f"""
       SELECT page_id, html, INSTR(LOWER(html), 'managing') AS i FROM pages_v))""")(
     lambda t: t.pages.select("page_id", phone.phone_near("html", F.lit("Managing"), F.lit(None).cast("string")).alias("phone")))
 query("x61_company_slug", f"""
-    SELECT account_id, LEFT({sub('TRIM(' + sub(sub('LOWER(company_name)', rules.LEGAL_WORDS_IN_SLUGS), '[^a-z0-9' + chr(92) + 's-]') + ')', chr(92) + 's+', '-')}, 50) AS slug
+    SELECT account_id, {sub('TRIM(' + sub(sub('LOWER(company_name)', rules.LEGAL_WORDS_IN_SLUGS), '[^a-z0-9' + chr(92) + 's-]') + ')', chr(92) + 's+', '-')} AS slug
     FROM accounts_v""")(lambda t: t.accounts.select("account_id", company.company_slug("company_name").alias("slug")))

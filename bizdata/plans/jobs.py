@@ -28,30 +28,56 @@ def _base(t):
     return t.sql(BASE).drop("rn").withColumn("annual_revenue", F.lit(None).cast("decimal(20,2)"))
 
 
+def _keyless(companies):
+    """With two rows that have no company number, NULL and ''."""
+    some = companies.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in companies.schema])
+    rows = some.withColumns({"id": F.lit(900000001).cast(companies.schema["id"].dataType), "name": F.lit("keyless"), "created_at": F.lit(AS_OF).cast("timestamp_ntz")})
+    return companies.unionByName(rows).unionByName(rows.withColumns({"id": (F.col("id") + 1).cast(companies.schema["id"].dataType), "company_number": F.lit("")}))
+
+
+def _with_keys(t, merged):
+    """Whether every row has an id, how many rows share it, and the id where the row is an old one."""
+    old = _keyless(_base(t)).select(F.col("id").alias("old_id"))
+    shared = merged.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("same_id"))
+    return merged.join(old, F.col("id") == F.col("old_id"), "left").join(shared, "id").withColumn("has_id", F.col("id").isNotNull())
+
+
 LAST = f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY company_number ORDER BY seq DESC) AS rn FROM ({DELTA})) WHERE rn = 1"
 query("p01_upsert_companies", f"""
     SELECT COALESCE(d.company_number, o.company_number) AS company_number, CASE WHEN d.rn = 1 THEN d.name ELSE o.name END AS name,
       CASE WHEN d.rn = 1 THEN d.country ELSE o.country END AS country, COALESCE(d.website, o.website) AS website, COALESCE(d.phone, o.phone) AS phone,
-      o.email AS email, CASE WHEN d.rn = 1 THEN {NOW} ELSE o.last_updated END AS last_updated
-    FROM ({BASE}) o FULL JOIN ({LAST}) d ON o.company_number = d.company_number""")(
-    lambda t: upsert.upsert_companies(_base(t), t.sql(DELTA), AS_OF, "seq").select(
-        "company_number", "name", "country", "website", "phone", "email", "last_updated"))
+      o.email AS email, CASE WHEN d.rn = 1 THEN {NOW} ELSE o.last_updated END AS last_updated, o.id AS old_id, TRUE AS has_id, 1 AS same_id,
+      COALESCE(o.created_at, {NOW}) AS created_at
+    FROM ({BASE}) o FULL JOIN ({LAST}) d ON o.company_number = d.company_number
+    UNION ALL SELECT NULLIF('', u), 'keyless', NULL, NULL, NULL, NULL, NULL, 900000001 + k, TRUE, 1, {NOW} FROM (SELECT UNNEST([0, 1]) AS k, UNNEST(['', 'x']) AS u)""")(
+    lambda t: _with_keys(t, upsert.upsert_companies(_keyless(_base(t)), t.sql(DELTA), AS_OF, "seq")).select(
+        "company_number", "name", "country", "website", "phone", "email", "last_updated", "old_id", "has_id", "same_id", "created_at"))
 query("p02_upsert_registry", f"""
     SELECT COALESCE(d.company_number, o.company_number) AS company_number, CASE WHEN d.rn = 1 THEN d.name ELSE o.name END AS name,
-      CASE WHEN o.rn = 1 THEN o.country ELSE d.country END AS country, CASE WHEN o.rn = 1 THEN o.website ELSE d.website END AS website
+      CASE WHEN o.rn = 1 THEN o.country ELSE d.country END AS country, CASE WHEN o.rn = 1 THEN o.website ELSE d.website END AS website,
+      o.id AS old_id, TRUE AS has_id, 1 AS same_id
     FROM ({BASE}) o FULL JOIN ({LAST}) d ON o.company_number = d.company_number""")(
-    lambda t: upsert.upsert_registry(_base(t), t.sql(DELTA), AS_OF, seq="seq").select("company_number", "name", "country", "website"))
+    lambda t: _with_keys(t, upsert.upsert_registry(_base(t), t.sql(DELTA), AS_OF, seq="seq")).select(
+        "company_number", "name", "country", "website", "old_id", "has_id", "same_id"))
 query("p03_upsert_counts", f"""
     SELECT COUNT(*) FILTER (WHERE company_number NOT IN (SELECT company_number FROM companies_v)) AS inserted,
       COUNT(*) FILTER (WHERE company_number IN (SELECT company_number FROM companies_v)) AS updated FROM (SELECT DISTINCT company_number FROM ({DELTA}))""")(
     lambda t: upsert.upsert_counts(t.companies, t.sql(DELTA), ["company_number"]))
 
-URL_OLD = "SELECT * FROM contacts_v WHERE linkedin_url <> ''"
 query("p04_upsert_contacts_by_url", f"""
     SELECT COALESCE(n.linkedin_url, o.linkedin_url) AS linkedin_url, COALESCE(n.job_title, o.job_title) AS job_title, COALESCE(n.email, o.email) AS email,
-      CASE WHEN o.contact_id IS NULL THEN 85 ELSE o.confidence_score END AS confidence_score
-    FROM ({URL_OLD}) o FULL JOIN (SELECT * FROM new_contacts_v WHERE linkedin_url <> '') n ON o.linkedin_url = n.linkedin_url""")(
-    lambda t: upsert.upsert_contacts_by_url(t.sql(URL_OLD), t.new_contacts).select("linkedin_url", "job_title", "email", "confidence_score"))
+      CASE WHEN o.contact_id IS NULL THEN 85 ELSE o.confidence_score END AS confidence_score, o.contact_id AS old_id, 1 AS same_id
+    FROM contacts_v o FULL JOIN (SELECT * FROM new_contacts_v WHERE linkedin_url <> '') n ON o.linkedin_url <> '' AND o.linkedin_url = n.linkedin_url""")(
+    lambda t: _by_url(t))
+
+
+def _by_url(t):
+    """P-04 with every new contact given twice."""
+    merged = upsert.upsert_contacts_by_url(t.contacts, t.new_contacts.unionByName(t.new_contacts))
+    shared = merged.groupBy("contact_id").agg(F.count(F.lit(1)).cast("int").alias("same_id"))
+    old = t.contacts.select(F.col("contact_id").alias("old_id"))
+    return merged.join(shared, "contact_id").join(old, F.col("contact_id") == F.col("old_id"), "left").select(
+        "linkedin_url", "job_title", "email", "confidence_score", "old_id", "same_id")
 
 query("p05_upsert_contacts_by_name", """
     WITH k AS (SELECT MIN(contact_id) AS cid, LOWER(first_name) AS f, LOWER(last_name) AS l, linked_account_id AS a FROM contacts_v
@@ -303,7 +329,7 @@ query("p31_apply_results", f"""
       attempts + CASE WHEN r.result = 'started' THEN 1 ELSE 0 END AS attempts,
       CASE WHEN r.result = 'failed' THEN {NOW} + INTERVAL 1 HOUR ELSE scheduled_for END AS scheduled_for, CASE WHEN r.result = 'failed' THEN r.error END AS error_message
     FROM jobs_v j LEFT JOIN results_v r ON j.queue_id = r.queue_id""")(
-    lambda t: queue.apply_results(t.jobs, t.results, AS_OF).select("queue_id", "status", "attempts", "scheduled_for", "error_message"))
+    lambda t: queue.apply_results(t.jobs, t.results.unionByName(t.results), AS_OF).select("queue_id", "status", "attempts", "scheduled_for", "error_message"))
 query("p32_assign_batch", f"""
     SELECT queue_id, CAST(NTILE(7) OVER (ORDER BY priority DESC, created_at, queue_id) AS INT) AS worker FROM (SELECT * FROM jobs_v WHERE status = 'pending'
       AND scheduled_for <= {NOW} AND attempts < max_attempts ORDER BY priority DESC, created_at, queue_id LIMIT 100)""")(
@@ -325,10 +351,10 @@ query("p34_validations", f"""
     SELECT COALESCE(n.contact_id, o.contact_id) AS contact_id, COALESCE(n.email_valid, o.email_valid) AS email_valid, COALESCE(n.email_score, o.email_score) AS email_score,
       COALESCE(n.phone_valid, o.phone_valid) AS phone_valid, CASE WHEN n.contact_id IS NOT NULL THEN {NOW} ELSE o.validated_at END AS validated_at
     FROM ({OLD_FACTS}) o FULL JOIN ({NEW_FACTS}) n ON o.contact_id = n.contact_id""")(
-    lambda t: upsert.apply_validation(t.contacts, t.sql(OLD_FACTS), t.sql(NEW_FACTS), AS_OF)[1])
+    lambda t: upsert.apply_validation(t.contacts, t.sql(OLD_FACTS), t.sql(NEW_FACTS + " UNION ALL " + NEW_FACTS), AS_OF)[1])
 query("p34_mirrored_flags", f"""
     SELECT c.contact_id, COALESCE(n.email_valid, c.email_verified) AS email_verified, c.phone_verified FROM contacts_v c LEFT JOIN ({NEW_FACTS}) n ON c.contact_id = n.contact_id""")(
-    lambda t: upsert.apply_validation(t.contacts, t.sql(OLD_FACTS), t.sql(NEW_FACTS), AS_OF)[0].select("contact_id", "email_verified", "phone_verified"))
+    lambda t: upsert.apply_validation(t.contacts, t.sql(OLD_FACTS), t.sql(NEW_FACTS + " UNION ALL " + NEW_FACTS), AS_OF)[0].select("contact_id", "email_verified", "phone_verified"))
 query("p35_verify_counts", f"""
     SELECT k NOT IN (1, 2, 4, 6, 8) AS valid, ['invalid_syntax', 'disposable_email', 'catch_all_domain', 'no_mx_records', 'smtp_verified', 'mailbox_not_found',
       'mx_valid_smtp_unknown', ''][k] AS reason, COUNT(*) AS n
@@ -347,7 +373,7 @@ query("p37_delete_companies", """
 PATCH = "SELECT account_id, CASE WHEN account_id % 2 = 0 THEN 'patched' END AS industry, 'x' AS company_name FROM accounts_v WHERE quality_score IS NULL"
 query("p38_patch", f"""
     SELECT a.account_id, COALESCE(p.industry, a.industry) AS industry, a.company_name FROM accounts_v a LEFT JOIN ({PATCH}) p ON a.account_id = p.account_id""")(
-    lambda t: upsert.patch(t.accounts, t.sql(PATCH), "account_id", ["industry", "city"]).select("account_id", "industry", "company_name"))
+    lambda t: upsert.patch(t.accounts, t.sql(PATCH + " UNION ALL " + PATCH), "account_id", ["industry", "city"]).select("account_id", "industry", "company_name"))
 FOUND = "SELECT account_id AS seq, company_name, 'BUILDING' AS city FROM accounts_v"
 query("p39_insert_discovered", f"""
     SELECT seq, company_name FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEY.replace('{c}', 'company_name')} ORDER BY seq) AS rn FROM ({FOUND}) WHERE {DISCOVERABLE}) f WHERE rn = 1
@@ -363,7 +389,7 @@ RESULT = "SELECT account_id, 'Found' AS industry, CASE WHEN account_id % 2 = 0 T
 query("p43_apply_enrichment", f"""
     SELECT a.account_id, COALESCE(NULLIF(a.industry, ''), r.industry, a.industry) AS industry, COALESCE(r.website, a.website) AS website, r.account_id IS NOT NULL AS processed
     FROM accounts_v a LEFT JOIN ({RESULT}) r ON a.account_id = r.account_id""")(
-    lambda t: upsert.apply_enrichment(t.accounts, t.sql(RESULT), "account_id", prefer_new=["website"], fill_empty=["industry"], processed="processed")
+    lambda t: upsert.apply_enrichment(t.accounts, t.sql(RESULT + " UNION ALL " + RESULT), "account_id", prefer_new=["website"], fill_empty=["industry"], processed="processed")
     .select("account_id", "industry", "website", "processed"))
 
 # --- sources ----------------------------------------------------------------------------------
@@ -485,7 +511,7 @@ query("k05_csv_round_trip", "SELECT doc_id, NULLIF(TRIM(REGEXP_REPLACE(text, '[\
 
 query("k01_export_companies", """
     SELECT account_id, company_name AS "Company Name", quality_score AS "Quality Score", COALESCE(k, 0) AS "Contact Count" FROM (
-      SELECT * FROM accounts_v WHERE quality_score >= 20 AND LOWER(city) LIKE '%build%' ORDER BY quality_score DESC NULLS LAST, account_id LIMIT 1000) a
+      SELECT * FROM accounts_v WHERE quality_score >= 20 AND LOWER(city) LIKE '%build%' ORDER BY quality_score DESC NULLS LAST, account_id) a
     LEFT JOIN (SELECT linked_account_id, COUNT(*) AS k FROM contacts_v GROUP BY 1) c ON a.account_id = c.linked_account_id""")(
     lambda t: export.export_companies(t.accounts, t.contacts, min_quality=20, city="Build").select(
         "account_id", "Company Name", "Quality Score", "Contact Count"))

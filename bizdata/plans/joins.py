@@ -41,11 +41,10 @@ query("j06_company_officers", """
     lambda t: joins.company_officers(t.companies, t.officers).select("id", "company_name", "is_active"))
 
 query("j07_nest_appointments", """
-    SELECT o.name, COUNT(*) AS n, SUM(n_here) AS n_all FROM (SELECT name, CAST(appointed_date AS STRING) AS d, COUNT(*) AS n_here
-      FROM officers_v WHERE name IS NOT NULL GROUP BY 1, 2) o GROUP BY o.name""")(
-    lambda t: joins.nest_appointments(t.officers.filter("name IS NOT NULL"), t.companies).groupBy("name").agg(
-        F.sum(F.size(F.array_distinct(F.transform("appointments", lambda a: a["appointed_date"])))).alias("n"),
-        F.sum(F.size("appointments")).alias("n_all")))
+    SELECT o.name, c.name AS company_name, o.role, o.appointed_date, o.resigned_date FROM officers_v o JOIN companies_v c ON o.company_id = c.id WHERE o.name IS NOT NULL
+    UNION ALL SELECT * FROM (SELECT DISTINCT o.name, NULL, NULL, CAST(NULL AS DATE), CAST(NULL AS DATE) FROM officers_v o WHERE o.name IS NULL
+      OR NOT EXISTS (SELECT 1 FROM officers_v p JOIN companies_v c ON p.company_id = c.id WHERE p.name = o.name))""")(
+    lambda t: joins.nest_appointments(t.officers, t.companies, parts=3).select("name", F.explode_outer("appointments").alias("a")).select("name", "a.*"))
 
 query("j08_without_officers", "SELECT id FROM companies_v WHERE id NOT IN (SELECT company_id FROM officers_v)")(
     lambda t: joins.without_officers(t.companies, t.officers.filter(F.col("company_id").isNotNull())).select("id"))
@@ -163,11 +162,12 @@ query("j25_accounts_needing_contacts", f"""
 query("j26_match_name_or_address", """
     SELECT new_id, name_match, address_match FROM (SELECT n.new_id,
         (SELECT MIN(account_id) FROM accounts_v a WHERE LOWER(a.company_name) = LOWER(n.company_name)) AS name_match,
-        (SELECT MIN(account_id) FROM accounts_v a WHERE a.address <> '' AND SUBSTR(LOWER(a.address), 1, 30) = SUBSTR(LOWER(n.address), 1, 30)) AS address_match
-      FROM (SELECT contact_id AS new_id, COALESCE(first_name, 'x') AS company_name, CAST(contact_id % 60 AS STRING) || ' high street, AUTOMOBILE, NATION_3, ZZ' AS address
-        FROM contacts_v) n) WHERE name_match IS NOT NULL OR address_match IS NOT NULL""")(
+        (SELECT MIN(account_id) FROM accounts_v a WHERE a.address <> '' AND n.address <> '' AND CONTAINS(LOWER(a.address), SUBSTR(LOWER(n.address), 1, 30))) AS address_match
+      FROM (SELECT contact_id AS new_id, COALESCE(first_name, 'x') AS company_name, CASE WHEN contact_id % 3 = 0 THEN 'street, automobile'
+          WHEN contact_id % 7 = 0 THEN '' ELSE CAST(contact_id % 60 AS STRING) || ' high street, AUTOMOBILE, NATION_3, ZZ' END AS address FROM contacts_v) n) WHERE name_match IS NOT NULL OR address_match IS NOT NULL""")(
     lambda t: joins.match_name_or_address(t.sql("""SELECT contact_id AS new_id, COALESCE(first_name, 'X') AS company_name,
-        CAST(contact_id % 60 AS STRING) || ' high street, AUTOMOBILE, NATION_3, ZZ' AS address FROM contacts_v"""), t.accounts))
+        CASE WHEN contact_id % 3 = 0 THEN 'street, automobile' WHEN contact_id % 7 = 0 THEN '' ELSE CAST(contact_id % 60 AS STRING) || ' high street, AUTOMOBILE, NATION_3, ZZ' END
+        AS address FROM contacts_v"""), t.accounts))
 
 query("u01_search_locations", """
     SELECT 'city' AS type, city_id AS id, city_name AS name, s.state_id AS parent_id, state_name AS parent_name, country_name FROM cities_v c

@@ -19,11 +19,11 @@ query("a01_by_location", """
     SELECT city, state_region, COUNT(*) AS count,
       CASE WHEN city IS NOT NULL AND city <> '' THEN city || ', ' || state_region ELSE state_region END AS location
     FROM accounts_v WHERE state_region IS NOT NULL GROUP BY city, state_region
-    ORDER BY count DESC, city NULLS LAST, state_region LIMIT 100""")(lambda t: metrics.by_location(t.accounts))
+    ORDER BY count DESC, city NULLS LAST, state_region LIMIT 100""")(lambda t: metrics.by_location(t.accounts, 100))
 
 query("a02_by_industry", """
     SELECT industry, COUNT(*) AS count FROM accounts_v WHERE industry IS NOT NULL GROUP BY industry
-    ORDER BY count DESC, industry LIMIT 100""")(lambda t: metrics.by_industry(t.accounts))
+    ORDER BY count DESC, industry LIMIT 100""")(lambda t: metrics.by_industry(t.accounts, 100))
 
 query("a03_completeness", f"""
     SELECT COUNT(*) AS total, {n(WEB)} AS with_website, {n(MAIL)} AS with_email, {n(TEL)} AS with_phone, {n(IN)} AS with_linkedin
@@ -46,7 +46,7 @@ query("a05_geo_cities", f"""
     SELECT country, state_region AS state, city, COUNT(*) AS count, {n(WEB)} AS enriched_count
     FROM accounts_v WHERE state_region IS NOT NULL AND city IS NOT NULL GROUP BY country, state_region, city
     HAVING COUNT(*) >= 10 ORDER BY count DESC, country NULLS FIRST, state, city LIMIT 500""")(
-    lambda t: metrics.geo_distribution(t.accounts)["cities"])
+    lambda t: metrics.geo_distribution(t.accounts, n=500, at_least=10)["cities"])
 
 query("a05_geo_countries", f"""
     SELECT country, COUNT(*) AS count, {n(WEB)} AS enriched_count FROM accounts_v WHERE country IS NOT NULL GROUP BY country""")(
@@ -55,7 +55,7 @@ query("a05_geo_countries", f"""
 query("a06_top_cities", f"""
     SELECT city, state_region AS state, country, COUNT(*) AS count, {n(WEB)} AS enriched_count FROM accounts_v
     WHERE city IS NOT NULL GROUP BY city, state_region, country
-    ORDER BY count DESC, city NULLS LAST, state NULLS LAST, country NULLS LAST LIMIT 20""")(lambda t: metrics.top_cities(t.accounts))
+    ORDER BY count DESC, city NULLS LAST, state NULLS LAST, country NULLS LAST LIMIT 20""")(lambda t: metrics.top_cities(t.accounts, 20))
 
 query("a07_account_stats", f"""
     SELECT COUNT(*) AS total, COUNT(DISTINCT country) AS countries, COUNT(DISTINCT industry) AS industries,
@@ -77,11 +77,11 @@ query("a09_enrichment_stats", f"""
 
 query("a09_enriched_countries", f"""
     SELECT country, COUNT(*) AS count FROM accounts_v WHERE {WEB} OR {MAIL} OR {TEL} GROUP BY country
-    ORDER BY count DESC, country NULLS LAST LIMIT 10""")(lambda t: metrics.enriched_top(t.accounts, "country"))
+    ORDER BY count DESC, country NULLS LAST LIMIT 10""")(lambda t: metrics.enriched_top(t.accounts, "country", 10))
 
 query("a09_enriched_industries", f"""
     SELECT industry, COUNT(*) AS count FROM accounts_v WHERE industry <> '' AND ({WEB} OR {MAIL} OR {TEL}) GROUP BY industry
-    ORDER BY count DESC, industry LIMIT 10""")(lambda t: metrics.enriched_top(t.accounts, "industry"))
+    ORDER BY count DESC, industry LIMIT 10""")(lambda t: metrics.enriched_top(t.accounts, "industry", 10))
 
 query("a10_contact_quality", f"""
     SELECT COUNT(*) AS total_contacts, {n('verified')} AS verified_contacts, {n("email <> ''")} AS with_email,
@@ -91,7 +91,7 @@ query("a10_contact_quality", f"""
 
 query("a10_top_sources", """
     SELECT data_source, COUNT(*) AS count FROM contacts_v WHERE data_source IS NOT NULL GROUP BY data_source
-    ORDER BY count DESC, data_source LIMIT 10""")(lambda t: metrics.top_sources(t.contacts))
+    ORDER BY count DESC, data_source LIMIT 10""")(lambda t: metrics.top_sources(t.contacts, 10))
 
 query("a11_contact_summary", f"""
     SELECT linked_account_id, COUNT(*) AS total_contacts, {n('is_primary')} AS primary_contacts, {n('email_verified')} AS verified_emails,
@@ -141,7 +141,7 @@ query("a18_officer_search", """
     SELECT name, COUNT(DISTINCT company_id) AS total_appointments,
       COUNT(DISTINCT company_id) FILTER (WHERE resigned_date IS NULL) AS active_appointments
     FROM officers_v WHERE name ILIKE '%smith%' GROUP BY name ORDER BY active_appointments DESC, name LIMIT 50""")(
-    lambda t: metrics.officer_search(t.officers, "smith"))
+    lambda t: metrics.officer_search(t.officers, "smith", 50))
 
 query("a19_officer_stats", f"""
     SELECT COUNT(DISTINCT name) AS total_officers, COUNT(*) AS total_appointments, {n('resigned_date IS NULL')} AS active_appointments,
@@ -155,12 +155,12 @@ query("a20_completeness_pct", """
       ROUND(100.0 * COUNT(website) / COUNT(*), 1) AS website_pct, ROUND(100.0 * COUNT(email) / COUNT(*), 1) AS email_pct,
       ROUND(100.0 * COUNT(phone) / COUNT(*), 1) AS phone_pct
     FROM companies_v WHERE jurisdiction LIKE 'us_%' GROUP BY jurisdiction ORDER BY total DESC, jurisdiction LIMIT 20""")(
-    lambda t: metrics.completeness_pct(t.companies))
+    lambda t: metrics.completeness_pct(t.companies, n=20))
 
 query("a21_recent_imports", f"""
     SELECT jurisdiction, MAX(created_at) AS last_import, COUNT(*) AS count FROM companies_v
     WHERE jurisdiction LIKE 'us_%' AND created_at > {NOW} - INTERVAL 7 DAY GROUP BY jurisdiction
-    ORDER BY last_import DESC, jurisdiction LIMIT 5""")(lambda t: metrics.recent_imports(t.companies, AS_OF))
+    ORDER BY last_import DESC, jurisdiction LIMIT 5""")(lambda t: metrics.recent_imports(t.companies, AS_OF, n=5))
 
 query("a22_coverage_by_country", f"""
     SELECT country, COUNT(*) AS total, COUNT(DISTINCT city) AS cities, COUNT(DISTINCT state_region) AS states,
@@ -172,7 +172,7 @@ query("a22_coverage_top_cities", f"""
       SELECT country, city, state_region, COUNT(*) AS count, {n(f"created_at > {NOW} - INTERVAL 24 HOUR")} AS added_24h,
         ROW_NUMBER() OVER (PARTITION BY country ORDER BY COUNT(*) DESC, city NULLS LAST, state_region NULLS LAST) AS rn
       FROM accounts_v WHERE country IN ('United Kingdom', 'ASIA', 'EUROPE') GROUP BY country, city, state_region) WHERE rn <= 10""")(
-    lambda t: metrics.coverage_top_cities(t.accounts, ["United Kingdom", "ASIA", "EUROPE"], AS_OF))
+    lambda t: metrics.coverage_top_cities(t.accounts, ["United Kingdom", "ASIA", "EUROPE"], AS_OF, 10))
 
 query("a22_coverage_rate", f"""
     SELECT COUNT(*) AS total_companies, COUNT(DISTINCT city) AS unique_cities, COUNT(DISTINCT state_region) AS unique_states,
@@ -191,7 +191,7 @@ query("a23_eta", f"""
 
 query("a24_popular_searches", """
     SELECT search_query, COUNT(*) AS count FROM search_logs_v WHERE search_query IS NOT NULL GROUP BY search_query
-    ORDER BY count DESC, search_query LIMIT 10""")(lambda t: metrics.popular_searches(t.search_logs))
+    ORDER BY count DESC, search_query LIMIT 10""")(lambda t: metrics.popular_searches(t.search_logs, 10))
 
 query("a25_db_stats", f"""
     SELECT COUNT(*) AS total_companies, {n(f"last_updated < {NOW} - INTERVAL 30 DAY")} AS stale_companies,

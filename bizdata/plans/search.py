@@ -49,7 +49,7 @@ query("f03_filter_by_category", "SELECT account_id, industry FROM accounts_v WHE
 
 query("f03_ordered_page", """
     SELECT account_id, created_at FROM accounts_v ORDER BY created_at DESC, account_id LIMIT 500""")(
-    lambda t: search.page(search.ordered(t.accounts, search.ACCOUNT_ORDERS, "drop table", "sideways", "account_id"), 9999, 0, 500, 50)
+    lambda t: search.page(search.ordered(t.accounts, search.ACCOUNT_ORDERS, "drop table", "sideways", "account_id"), 500)
     .select("account_id", "created_at"))
 
 query("f04_filter_contacts", """
@@ -64,7 +64,7 @@ query("f05_search_registry", """
     FROM companies_v WHERE (name ILIKE '%ring%' OR company_number ILIKE '%ring%') AND status ILIKE '%active%' AND locality ILIKE '%town 1%'
     ORDER BY name, id LIMIT 20""")(
     lambda t: search.page_with_total(search.search_registry(t.companies, "ring", "active", locality="town 1"),
-                                     [F.asc("name"), F.asc("id")]).select("id", "name", "total"))
+                                     [F.asc("name"), F.asc("id")], 20).select("id", "name", "total"))
 
 query("f06_advanced_filter", """
     SELECT id, created_at FROM companies_v WHERE status = 'active' AND created_at >= TIMESTAMP '2024-02-10 00:00:00'
@@ -75,7 +75,7 @@ query("f06_advanced_filter", """
 query("f07_search_by_name", """
     SELECT id, name, quality_score FROM companies_v WHERE name ILIKE '%widget%' OR company_number ILIKE '%widget%'
     ORDER BY quality_score DESC NULLS FIRST, name, id LIMIT 50""")(
-    lambda t: search.search_by_name(t.companies, "widget").select("id", "name", "quality_score"))
+    lambda t: search.search_by_name(t.companies, "widget", 50).select("id", "name", "quality_score"))
 
 query("f08_search_by_location", """
     SELECT l.id, country_name, state_name, city_name FROM located_v l JOIN countries_v c ON l.country_id = c.country_id
@@ -166,11 +166,14 @@ query("f22_needs_enrichment", f"""
     WHERE quality_score IS NULL OR quality_score < 50 OR COALESCE(contact_count, 0) < 3""")(
     lambda t: search.needs_enrichment(t.accounts, t.contacts, 3).select("account_id"))
 
-query("f23_page", "SELECT account_id FROM accounts_v ORDER BY account_id LIMIT 100 OFFSET 40")(
+query("f23_page", "SELECT account_id FROM accounts_v ORDER BY account_id LIMIT 5000 OFFSET 40")(
     lambda t: search.page(t.accounts.select("account_id").orderBy("account_id"), 5000, 40))
 
+query("f23_page_after", "SELECT account_id FROM accounts_v WHERE account_id > 140 ORDER BY account_id LIMIT 300")(
+    lambda t: search.page_after(t.accounts.select("account_id"), "account_id", 140, 300))
+
 query("f24_history", "SELECT log_id FROM log_v WHERE company_id = 8 ORDER BY created_at DESC, log_id LIMIT 20")(
-    lambda t: search.enrichment_history(t.log, 8).select("log_id"))
+    lambda t: search.enrichment_history(t.log, 8, 20).select("log_id"))
 query("f24_recent_runs", """
     SELECT log_id, name AS company_name FROM (SELECT * FROM log_v ORDER BY created_at DESC, log_id LIMIT 50) l
     LEFT JOIN companies_v c ON l.company_id = c.id""")(
@@ -210,5 +213,5 @@ query("t06_nulls_last", "SELECT account_id, quality_score FROM accounts_v ORDER
     lambda t: t.accounts.select("account_id", "quality_score").orderBy(F.desc_nulls_last("quality_score"), F.asc("account_id")).limit(300))
 
 query("t07_recent_updates", "SELECT log_id AS update_id FROM log_v ORDER BY created_at DESC, log_id LIMIT 100")(
-    lambda t: search.recent_updates(t.log.withColumnRenamed("log_id", "update_id").withColumnRenamed("created_at", "started_at"))
+    lambda t: search.recent_updates(t.log.withColumnRenamed("log_id", "update_id").withColumnRenamed("created_at", "started_at"), 100)
     .select("update_id"))

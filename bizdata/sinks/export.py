@@ -25,7 +25,7 @@ def _select_existing(df: DataFrame, headings: dict[str, str]) -> list[Column]:
 
 
 def export_companies(accounts: DataFrame, contacts: DataFrame, min_quality: int = 0, city: str | None = None,
-                     industry: str | None = None, limit: int | None = 1000) -> DataFrame:
+                     industry: str | None = None, limit: int | None = None) -> DataFrame:
     """K-01: best scores first, rows without a score last."""
     rows = accounts
     if min_quality > 0:

@@ -76,7 +76,7 @@ def parse_leads(df: DataFrame, payload: str = "payload", key: str = "lead_id") -
     raw, sub = F.col("rawText"), F.trim("subtitle")
     line_at = r"(?i)^(.{3,60})\s+(?:at|@)\s+(.{2,60})$"
     lines = F.filter(F.transform(F.split(raw, r"[·\n]"), lambda p: F.trim(p)), lambda x: x != "")
-    usable = F.filter(F.slice(lines, 1, 6), lambda x: (F.length(x) >= 3) & ~x.rlike("(?i)connect|follow|message|degree|mutual|view")
+    usable = F.filter(lines, lambda x: (F.length(x) >= 3) & ~x.rlike("(?i)connect|follow|message|degree|mutual|view")
                       & (F.lower(x) != F.lower(F.coalesce(F.trim("name"), F.lit("")))))
     telling = F.get(F.filter(usable, lambda x: x.rlike(line_at) | (x.rlike("^[A-Z]") & F.length(x).between(4, 99))), F.lit(0))
     sub_title = F.when(sub.rlike(AT), F.trim(F.regexp_extract(sub, AT, 1))).otherwise(blank_to_null(sub))

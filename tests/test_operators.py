@@ -245,6 +245,10 @@ def test_import_metrics_are_observed(spark):
     assert metrics.with_metrics(df, "m", F.col("status") == "Active", F.col("number") == "").count() == 3
 
 
-@pytest.mark.parametrize("days, expected", [(0, 1), (400, 365), (30, 30)])
-def test_clamp(days, expected):
-    assert search.clamp(days, 1, 365, 30) == expected
+def test_a_page_is_as_long_as_asked_for(spark):
+    rows = spark.range(6000)
+    assert search.page(rows.orderBy("id"), 5000).count() == 5000
+    assert [r["id"] for r in search.page_after(rows, "id", 41, 3).collect()] == [42, 43, 44]
+    for limit, offset in ((0, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            search.page(rows, limit, offset)
