@@ -3,8 +3,8 @@
 A sketch has a fixed number of coordinates. In each of the first rounds every shingle of a set is hashed to one
 coordinate, and a coordinate keeps the least hash of the first round that reaches it; later rounds give each
 coordinate left over to all shingles, so every one fills. Equal coordinates of two sketches then estimate the
-similarity with the concentration of independent samples. Bands of coordinates propose pairs, and only pairs
-whose full sets are similar enough become links.
+similarity with the concentration of independent samples. Bands of coordinates propose candidates: sets that share a band's key are in one cell, and so on over
+further keys. The full sets of a cell are compared, and only those similar enough are linked.
 """
 
 from collections.abc import Iterator
@@ -20,10 +20,12 @@ from .words import NOT_SPACE, Words, join, mix, slices, windows
 
 SHINGLE = 4
 PERCENT = 80
-#: 40 bands of 6 miss a pair of similarity 0.8 with a probability of 5e-6, before links through other documents.
-BANDS, ROWS = 40, 6
-#: Rounds in which a bucket's members are compared with one of them, before all that is left is compared.
-STAR_ROUNDS = 3
+#: 60 bands of 8 miss a pair of similarity 0.8 with a probability of 2e-5, before links through other documents.
+BANDS, ROWS = 60, 8
+#: Sets and shingles of one block of a cell; blocks are compared two by two.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
+#: Shingles compared at a time in a task.
+COLUMNS = 4096
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,36 +118,75 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles array<long>").where(F.col("node").isNotNull())
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), both.alias("both"))
-    return checked.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b")
+def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among some sets, as a forest: pairs (i, j) that connect all sets which links connect. left, right: which
+    sets are compared with which."""
+    sizes = np.array([len(x) for x in sets])
+    values, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(often > 1) - 1
+    owner, shared = np.repeat(np.arange(len(sets)), sizes), often[inverse] > 1
+    owner, place = owner[shared], column[inverse[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        part = slice(np.searchsorted(place, at), np.searchsorted(place, at + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[part], place[part] - at] = 1
+        both += has[left] @ has[right].T
+    both = np.rint(both).astype(np.int64)
+    linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    forest = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = find(int(left[i])), find(int(right[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            forest.append((int(left[i]), int(right[j])))
+    return forest
+
+
+def compare(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within cells. sets: cell, node, shingles. A cell is dealt into blocks of bounded size, and each pair of
+    blocks is one group of rows, so no task holds more than two blocks."""
+    sizes = sets.groupBy("cell").agg(F.count("*").alias("sets"), F.sum(F.size("shingles")).alias("total"))
+    blocks = sizes.select("cell", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = sets.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
+    paired = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles"))
 
-
-def mixed_buckets(placed: DataFrame, *more) -> DataFrame:
-    """Buckets whose members are in more than one component."""
-    return (placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), *more)
-            .where(F.col("x") < F.col("y")).drop("x", "y"))
-
-
-def can_link(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members that may still have a link to another component, with `common`, the shingles they share with any member
-    of a bucket of several components. A set that shares too few of its shingles with all of those together
-    cannot be similar enough to one of them, so it leaves; that makes more shingles unshared, until none leaves."""
-    while True:
-        placed = settle(placed.join(mixed_buckets(placed).select("bucket"), "bucket"))
-        left = placed.select("node").distinct()
-        alone = (sets.join(left, "node").select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
-                 .agg(F.count("*").alias("owners"), F.min("node").alias("node")).where(F.col("owners") == 1)
-                 .groupBy("node").agg(F.count("*").alias("alone")))
-        judged = settle(placed.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"))
-        fit = 100 * F.col("common") >= percent * F.col("n")
-        if judged.where(~fit).isEmpty():
-            return judged
-        placed = judged.where(fit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            shingles = batch.column("shingles")
+            flat, edges = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "own", "node")), strict=True)):
+                if row[:3] != key:
+                    yield from links(key, held)
+                    key, held = row[:3], []
+                held.append((row[4], row[3], flat[edges[k]:edges[k + 1]]))
+        yield from links(key, held)
+
+    def links(key: tuple | None, held: list) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        own = np.array([h[1] for h in held])
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        if not len(left) or not len(right):
+            return
+        found = similar([h[2] for h in held], left, right, percent)
+        found = [(held[i][0], held[j][0]) for i, j in found if i != j]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return paired.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -153,10 +194,9 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: in
     kept (doc_id is that), text_hash. docs: doc_id (an integer) and text, over other columns that are ignored.
 
     Two documents are linked if their sets of distinct word shingles (A-Z lower-cased) have a similarity of at least
-    `percent`. Equal sets are one node. Nodes that share a band's key are compared in rounds: in each, one member
-    of every bucket with those that are not yet in its component, so pairs grow with the buckets and not with their
-    squares; what still lies in one bucket and in different components after the rounds is compared in full. So no
-    link that changes a component is lost to skew.
+    `percent`. Equal sets are one node. A bucket of nodes with one band's key gives a star of edges, not all its
+    pairs; nodes that these connect are a cell. All sets of a cell are compared, block by block, and a task returns
+    only as many links as connect what its blocks hold.
 
     Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id come out each, in the
     component of their text; with a null id, component_id is that of the other rows of the component, or null.
@@ -164,45 +204,21 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: in
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = settle(sketches(docs, size, bands, rows))
-    classes = own.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    classes = settle(classes)
+    classes = settle(own.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep")))
     keyed = own.join(classes.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"])
-    members = keyed.select("node", F.col("n_shingles").alias("n"), F.col("n_shingles").alias("common"), F.explode("keys").alias("bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(F.col("x") < F.col("y")).select("bucket")
-    members = settle(members.join(shared, "bucket"))
-    candidates = classes.join(members.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"))
-    # full sets of the nodes that meet another one; a node's text may come from several rows of its first id
-    sets = settle(full_sets(docs.join(candidates.distinct(), "doc_id", "left_semi"), size).dropDuplicates(["node"]))
-    links, tried, label = None, None, members.select("node").distinct().withColumn("component", F.col("node"))
-    for turn in range(STAR_ROUNDS + 1):
-        placed = settle(members.join(label, "node"))
-        if turn == STAR_ROUNDS:
-            placed = can_link(placed, sets, percent)
-        mixed = mixed_buckets(placed, F.min_by(F.struct("node", "component", "n", "common"), F.xxhash64("node", F.lit(turn))).alias("m"))
-        if turn < STAR_ROUNDS:
-            other = mixed.select("bucket", F.col("m.node").alias("other"), F.col("m.component").alias("c"), F.col("m.n").alias("k"), F.col("m.common").alias("most"))
-        else:
-            other = placed.join(mixed.select("bucket"), "bucket").select("bucket", F.col("node").alias("other"), F.col("component").alias("c"), F.col("n").alias("k"), F.col("common").alias("most"))
-        # the greatest intersection that sizes and shared shingles leave room for
-        room = F.least("common", "most")
-        possible = (100 + percent) * room >= percent * (F.col("n") + F.col("k"))
-        once = F.lit(True) if turn < STAR_ROUNDS else F.col("node") < F.col("other")
-        pairs = (placed.join(other, (placed["bucket"] == other["bucket"]) & (F.col("component") != F.col("c")) & possible & once)
-                 .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        if pairs.isEmpty():
-            continue
-        found = settle(verify(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            joined = connected_components(links, "a", "b").withColumnRenamed("id", "node")
-            label = settle(members.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-    named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = keyed.select("node", F.explode("keys").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).where(F.col("b") < F.col("last"))
+    stars = members.join(shared, "bucket").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
+    cells = settle(connected_components(settle(stars), "a", "b").select(F.col("id").alias("node"), F.col("component").alias("cell")))
+    candidates = classes.join(cells, "node").select(F.col("rep").alias("doc_id")).distinct()
+    # a node's text may come from several rows of its first id
+    texts = docs.join(candidates, "doc_id", "left_semi")
+    sets = settle(full_sets(texts, size).join(cells, "node").dropDuplicates(["node"]))
+    found = settle(compare(sets, percent))
+    joined = connected_components(found, "a", "b").select(F.col("id").alias("node"), "component")
+    named = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
+    named = settle(named.join(least, "component").select("node", "component_id"))
     return (own.drop("keys").join(named, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
             .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash"))
