@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.industry import industry_by_name, industry_by_text, norm_industry
 from ..functions.presence import as_col
 from ..functions.web import domain, html_text
-from .keys import keep_first
 
 
 def prefix_table(df: DataFrame, prefixes: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -25,15 +24,14 @@ def naics_category(df: DataFrame, column: str, prefixes: Mapping[str, Sequence[s
     """J-19: category whose declared prefix starts the leading digits of the code; the first declared
     category wins; no digits or no match leaves the text as it is.
 
-    One equi-join per prefix length instead of a LIKE join.  The dictionary side is driver-made from the
-    parameter, so its size is known.
+    One equi-join per prefix length instead of a LIKE join; Spark broadcasts the dictionary if it is small.
     """
     table = prefix_table(df, prefixes)
     code = F.regexp_extract(column, r"^(\d+)", 1)
     out, hits = df, []
     for size in sorted({len(c) for codes in prefixes.values() for c in codes}):
-        part = F.broadcast(table.filter(F.length("prefix") == size).select(
-            F.col("prefix").alias("_p"), F.struct("ord", "category").alias(f"_hit{size}")))
+        part = table.filter(F.length("prefix") == size).select(
+            F.col("prefix").alias("_p"), F.struct("ord", "category").alias(f"_hit{size}"))
         out = out.join(part, (F.length(code) >= size) & (F.substring(code, 1, size) == F.col("_p")), "left").drop("_p")
         hits.append(f"_hit{size}")
     best = F.array_min(F.array_compact(F.array(*hits)))["category"]
@@ -41,9 +39,10 @@ def naics_category(df: DataFrame, column: str, prefixes: Mapping[str, Sequence[s
 
 
 def main_pages(pages: DataFrame) -> DataFrame:
-    """One page per host: the one with the shortest address."""
-    hosted = pages.withColumn("host", domain("url")).dropna(subset=["host"])
-    return keep_first(hosted, ["host"], [F.length("url").asc(), F.asc("page_id")])
+    """One page per host: the one with the shortest address. It is chosen by ids and lengths; its html is fetched after."""
+    hosted = pages.select(domain("url").alias("host"), F.length("url").alias("_size"), "page_id").dropna(subset=["host"])
+    chosen = hosted.groupBy("host").agg(F.min(F.struct("_size", "page_id"))["page_id"].alias("page_id"))
+    return pages.dropDuplicates(["page_id"]).join(chosen, "page_id")
 
 
 def classify_accounts(accounts: DataFrame, pages: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def merge_members(members: DataFrame, companies: DataFrame, as_of: str) -> tuple
     log = others.select(
         F.col("component").alias("company_id"), F.lit("merged").alias("status"),
         F.concat(F.lit("Merged duplicate company ID "), F.col("id").cast("string"), F.lit(" ("),
-                 F.col("name"), F.lit(")")).alias("notes"))
+                 F.coalesce("name", F.lit("no name")), F.lit(")")).alias("notes"))
     return result, log
 
 

@@ -13,7 +13,7 @@ from ..functions.presence import missing, present
 from ..functions.web import (contact_link, domain, html_fields, html_text, links, social_links,
                              visible_text)
 from .classify import main_pages
-from .keys import compute_once, first_n, keep_first, nest
+from .keys import compute_once, first_n, keep_first
 from .quality import valid_person
 from .upsert import merge_rows
 
@@ -32,23 +32,23 @@ def candidate_hosts(companies: DataFrame) -> DataFrame:
 
 
 def site_evidence(companies: DataFrame, officers: DataFrame, pages: DataFrame,
-                  hosts: DataFrame | None = None, per_row: int = 10_000) -> DataFrame:
+                  hosts: DataFrame | None = None) -> DataFrame:
     """P-24: how surely a host is the company's: number 70, host name 30, address and postcode 40 (postcode
-    alone 20), officer surnames 15 each up to 30, exact name 10; valid from 50, at most 100.
+    alone 20), officers 15 each up to 30 by surname, exact name 10; valid from 50, at most 100.
 
-    One main page per host, so the join with (company, host) candidates is many-to-one.  Officer surnames
-    are compared in blocks of `per_row`.
+    One main page per host, so the join with (company, host) candidates is many-to-one and fetches a page once per
+    candidate. Officers are counted per surname before they meet the candidates.
     """
     hosts = candidate_hosts(companies) if hosts is None else hosts
     site = main_pages(pages).select("host", "url", F.lower("html").alias("_html"), html_text("html").alias("_text"))
     surname = F.element_at(F.split(F.trim(F.lower("name")), r"\s+"), -1)
-    people = (officers.select("company_id", surname.alias("surname")).filter(F.length("surname") > 3).distinct())
-    blocks = nest(companies.select("id"), people, "id", "company_id", ("surname",), ("surname",), "_surnames", per_row)
-    joined = hosts.join(site, "host").join(companies, "id").join(blocks, "id")
-    matched = F.size(F.filter("_surnames", lambda s: F.contains(F.col("_text"), s["surname"])))
-    keys = ["id", "host"]
-    counted = joined.groupBy(*keys).agg(F.sum(matched).alias("_officers"))
-    base = hosts.join(site, "host").join(companies, "id").join(counted, keys)
+    people = (officers.select(F.col("company_id").alias("id"), surname.alias("surname")).filter(F.length("surname") > 3)
+              .groupBy("id", "surname").agg(F.count(F.lit(1)).alias("n"))
+              .groupBy("id").agg(F.collect_list(F.struct("surname", "n")).alias("_surnames")))
+    named = F.filter("_surnames", lambda s: F.contains(F.col("_text"), s["surname"]))
+    officers_named = F.aggregate(named, F.lit(0).cast("long"), lambda total, s: total + s["n"])
+    base = (hosts.join(companies, "id").join(people, "id", "left").join(site, "host")
+            .withColumn("_officers", F.coalesce(officers_named, F.lit(0).cast("long"))))
 
     number = F.lower(F.regexp_replace("company_number", r"\s", ""))
     stem = F.split_part("host", F.lit("."), F.lit(1))

@@ -186,7 +186,7 @@ query("p13_auto_merge", f"""{COMPONENTS},
     FROM companies_v x LEFT JOIN c ON c.id = x.id LEFT JOIN d ON d.component = x.id""")(
     lambda t: dedup.auto_merge(t.companies, AS_OF)[0].select("id", *FIELDS, "status", "notes"))
 query("p12_merge_log", f"""{COMPONENTS} SELECT component AS company_id, 'merged' AS status,
-      'Merged duplicate company ID ' || CAST(c.id AS STRING) || ' (' || x.name || ')' AS notes FROM c JOIN companies_v x ON x.id = c.id WHERE c.id <> c.component""")(
+      'Merged duplicate company ID ' || CAST(c.id AS STRING) || ' (' || COALESCE(x.name, 'no name') || ')' AS notes FROM c JOIN companies_v x ON x.id = c.id WHERE c.id <> c.component""")(
     lambda t: dedup.merge_pairs(dedup.find_duplicates(t.companies, 0.95), t.companies, AS_OF)[1])
 
 # --- cleaning ---------------------------------------------------------------------------------
@@ -267,7 +267,23 @@ query("a32_confirm_pattern", f"""
 query("p22_mine_patterns")(lambda t: emails.mine_patterns(t.accounts, t.pages))
 query("p23_fill_emails")(lambda t: emails.fill_emails(t.contacts, t.accounts, t.pages).select("contact_id", "email", "email_source", "email_generated"))
 HOSTS = "SELECT id, 'site' || CAST(id % 60 AS STRING) || '.test' AS host FROM companies_v"
-query("p24_site_evidence")(lambda t: pages.site_evidence(t.companies, t.officers, t.pages, t.sql(HOSTS)))
+_seen = f"SELECT host, url, LOWER(html) AS html, LOWER({VISIBLE}) AS txt FROM ({MAIN})"
+query("p24_site_evidence", f"""
+    WITH site AS ({_seen}),
+      pair AS (SELECT h.id, s.host, s.url, s.html, s.txt, c.name, LOWER(REGEXP_REPLACE(company_number, '\\s', '', 'g')) AS number, REGEXP_REPLACE(LOWER(c.name), '[^a-z0-9]', '', 'g') AS clean,
+          SPLIT_PART(s.host, '.', 1) AS stem, LOWER(address_line_1) AS street, LOWER(REGEXP_REPLACE(postal_code, '\\s', '', 'g')) AS post, address_line_1 <> '' AND postal_code <> '' AS placed
+        FROM ({HOSTS}) h JOIN site s ON h.host = s.host JOIN companies_v c ON c.id = h.id),
+      people AS (SELECT p.id, p.host, COUNT(*) AS n FROM pair p JOIN officers_v o ON o.company_id = p.id
+        WHERE LENGTH(STRING_SPLIT_REGEX(TRIM(LOWER(o.name)), '\\s+')[-1]) > 3 AND CONTAINS(p.txt, STRING_SPLIT_REGEX(TRIM(LOWER(o.name)), '\\s+')[-1]) GROUP BY ALL),
+      fact AS (SELECT pair.*, COALESCE(people.n, 0) AS n, COALESCE(CONTAINS(html, number) OR CONTAINS(txt, number), FALSE) AS has_number,
+          COALESCE(CONTAINS(clean, stem) OR CONTAINS(stem, clean), FALSE) AS has_host, COALESCE(placed AND CONTAINS(txt, post), FALSE) AS has_post,
+          COALESCE(placed AND CONTAINS(txt, post) AND CONTAINS(txt, street), FALSE) AS has_street, COALESCE(CONTAINS(txt, LOWER(name)), FALSE) AS has_name
+        FROM pair LEFT JOIN people ON people.id = pair.id AND people.host = pair.host),
+      scored AS (SELECT *, CASE WHEN has_number THEN 70 ELSE 0 END + CASE WHEN has_host THEN 30 ELSE 0 END + CASE WHEN has_street THEN 40 WHEN has_post THEN 20 ELSE 0 END
+          + LEAST(n * 15, 30) + CASE WHEN has_name THEN 10 ELSE 0 END AS score FROM fact)
+    SELECT id, host, url, CAST(LEAST(score, 100) AS INT) AS confidence, score >= 50 AS valid, CONCAT_WS(',', CASE WHEN has_number THEN 'company_number' END, CASE WHEN has_host THEN 'domain_match' END,
+      CASE WHEN has_street THEN 'full_address' WHEN has_post THEN 'postcode' END, CASE WHEN n > 0 THEN n || '_officers' END, CASE WHEN has_name THEN 'company_name' END) AS matches
+    FROM scored""")(lambda t: pages.site_evidence(t.companies, t.officers, t.pages, t.sql(HOSTS)))
 _clean = f"LOWER(TRIM(REGEXP_REPLACE(REGEXP_REPLACE(company_name, {q(rules.LEGAL_WORDS_IN_TITLES)}, '', 'g'), '[^a-zA-Z0-9\\s]', '', 'g')))"
 _fields = ", ".join(f"LOWER(COALESCE({element(tag)}, '')) AS {name}" for tag, name in (("title", "title"), ("h1", "h1"), ("footer", "footer")))
 

@@ -54,6 +54,13 @@ query("r06_trending", f"""
     lambda t: plain_times(drain(jobs.stream_trending(events(t).select(
         F.col("ts").alias("searched_at"), F.col("event_type").alias("search_query"))))))
 
+query("r06_ranked", f"""
+    SELECT window_start, search_query, n, CAST(rank AS INT) AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY window_start ORDER BY n DESC, search_query) AS rank FROM (
+      SELECT TIME_BUCKET(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS window_start, event_type AS search_query, COUNT(*) AS n
+      FROM events, (SELECT UNNEST([0, 1, 2, 3, 4, 5]) AS k) GROUP BY ALL) WHERE window_start + INTERVAL 1 HOUR <= {MARK}) WHERE rank <= 2""")(
+    lambda t: plain_times(jobs.rank_trending(drain(jobs.stream_trending(events(t).select(
+        F.col("ts").alias("searched_at"), F.col("event_type").alias("search_query")))), 2)))
+
 query("r07_sessions", f"""
     SELECT user_session, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS n_events FROM (
       SELECT *, SUM(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_session ORDER BY ts, event_id) AS s FROM (
@@ -114,7 +121,7 @@ query("r04_job_state", f"""
 
 # the same results at their ship dates: a job whose last word was "started" has long been silent, unless it is one of the very last
 query("r05_stuck_jobs", f"""
-    SELECT queue_id, CASE WHEN last = 'processing' AND shipped + INTERVAL 20 MINUTE <= (SELECT MAX(l_shipdate) - INTERVAL 5 MINUTE FROM lineitem) THEN 'pending'
+    SELECT queue_id, attempts, CASE WHEN last = 'processing' AND shipped + INTERVAL 20 MINUTE <= (SELECT MAX(l_shipdate) - INTERVAL 5 MINUTE FROM lineitem) THEN 'pending'
       WHEN last = 'failed' AND before >= 3 THEN 'failed' WHEN last = 'failed' THEN 'pending' ELSE last END AS status
     FROM (SELECT *, attempts AS before FROM ({STATES.format(order='EPOCH(l_shipdate) * 100000000 + l_linenumber * 1000000 + l_partkey')}))""")(
-    lambda t: _last_states(_results(t, F.col("l_shipdate").cast("timestamp"))).select("queue_id", "status"))
+    lambda t: _last_states(_results(t, F.col("l_shipdate").cast("timestamp"))).select("queue_id", "attempts", "status"))

@@ -19,7 +19,7 @@ COMPANIES = _table(
     incorporation_date=_D, address_line_1=_S, address_line_2=_S, locality=_S, region=_S,
     postal_code=_S, country=_S, website=_S, phone=_S, email=_S, linkedin_url=_S, description=_S,
     industry=_S, employee_count=_I, annual_revenue=_dec(20, 2), data_source=_S,
-    enrichment_status=_S, last_enriched=_TS, notes=_S, last_updated=_TS, created_at=_TS,
+    enrichment_status=_S, last_enriched=_TS, notes=_S, registration_number=_S, quality_score=_I, last_verified=_TS, last_updated=_TS, created_at=_TS,
 )
 OFFICERS = _table(
     id=_S, company_id=_S, name=_S, role=_S, appointed_date=_D, resigned_date=_D, nationality=_S,
@@ -45,7 +45,7 @@ ACCOUNTS = _table(
 CONTACTS = _table(
     contact_id=_L, linked_account_id=_L, first_name=_S, last_name=_S, job_title=_S, email=_S,
     phone_number=_S, linkedin_url=_S, country=_S, city=_S, connection_degree=_S, seniority=_S,
-    industry_hint=_S, email_format_guess=_S, email_generated=_B, data_source=_S, verified=_B,
+    industry_hint=_S, email_format_guess=_S, email_generated=_B, phone_formatted=_S, email_verified=_B, phone_verified=_B, data_source=_S, verified=_B,
     is_primary=_B, confidence_score=_I, created_at=_TS, updated_at=_TS,
 )
 COUNTRIES = _table(country_id=_I, country_code=_S, country_name=_S)
@@ -81,7 +81,7 @@ ENRICHMENT_QUEUE = _table(
     created_at=_TS, updated_at=_TS,
 )
 ENRICHMENT_LOGS = _table(
-    company_id=_S, status=_S, notes=_S, processing_time_ms=_L, created_at=_TS)
+    log_id=_L, company_id=_S, status=_S, notes=_S, processing_time_ms=_L, created_at=_TS)
 PAGES = _table(page_id=_L, url=_S, html=_S)
 DOMAIN_FACTS = _table(email=_S, mx_count=_I, smtp_result=_S, catch_all=_B)
 

@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -56,12 +56,18 @@ def stream_dedup(events: DataFrame, keys: list[str], ts: str, late: str = "1 hou
 
 def stream_trending(log: DataFrame, ts: str = "searched_at", late: str = "1 hour", window: str = "1 hour",
                     slide: str = "10 minutes") -> DataFrame:
-    """R-06: searches per sliding window."""
+    """R-06: searches per sliding window; rank_trending ranks them."""
     grouped = log.filter(F.col("search_query").isNotNull()).withWatermark(ts, late).groupBy(
         F.window(ts, window, slide).alias("w"), "search_query").agg(F.count(F.lit(1)).alias("n"))
     return grouped.select(F.col("w.start").alias("window_start"), "search_query", "n")
 
 
+def rank_trending(counts: DataFrame, n: int) -> DataFrame:
+    """R-06: the n most frequent searches of each window; ties go to the smaller text. For a written (bounded) result."""
+    order = Window.partitionBy("window_start").orderBy(F.desc("n"), F.asc("search_query"))
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
 def stream_sessions(log: DataFrame, gap: str = "30 minutes", ts: str = "searched_at", user: str = "user_session",
                     late: str = "1 hour") -> DataFrame:
     """R-07: activity sessions per user."""
@@ -76,14 +82,19 @@ JOB_OUTPUT = "queue_id string, status string, attempts int, due_at timestamp"
 JOB_STATE = "status string, attempts int, due_at timestamp"
 
 
-def _job_step(max_attempts: int, retry: pd.Timedelta, stuck_after: pd.Timedelta) -> Callable:
+def _job_step(max_attempts: int, retry: pd.Timedelta, stuck_after: pd.Timedelta, forget_after: pd.Timedelta) -> Callable:
+    forget_ms = int(forget_after.total_seconds() * 1000)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempts, due = state.get if state.exists else ("pending", 0, None)
         attempts = int(attempts)
         if state.hasTimedOut:
-            if status == "processing":
-                status, due = "pending", None
-            state.remove()
+            if status in ("completed", "failed"):
+                state.remove()  # kept long enough
+                return
+            status, due = "pending", None  # silent: the attempts stay
+            state.update((status, attempts, due))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + forget_ms)
         else:
             rows = sorted((at, number, result) for b in batches for at, number, result in zip(b["at"], b["event_id"], b["result"]))
             for at, _, result in rows:
@@ -95,22 +106,25 @@ def _job_step(max_attempts: int, retry: pd.Timedelta, stuck_after: pd.Timedelta)
                     used_up = attempts >= max_attempts
                     status, due = ("failed", None) if used_up else ("pending", at + retry)
             state.update((status, attempts, due))
+            watermark = state.getCurrentWatermarkMs()
             if status == "processing" and due is not None:
-                watermark = state.getCurrentWatermarkMs()
                 state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), watermark + 1))
+            elif status in ("completed", "failed"):
+                state.setTimeoutTimestamp(max(int(max(r[0] for r in rows).timestamp() * 1000), watermark) + forget_ms)
         yield pd.DataFrame({"queue_id": [key[0]], "status": [status], "attempts": [attempts], "due_at": pd.to_datetime([due])})
 
     return step
 
 
 def stream_jobs(results: DataFrame, max_attempts: int = 3, retry: str = "1h", stuck_after: str = "20min",
-                late: str = "5 minutes") -> DataFrame:
+                late: str = "5 minutes", forget_after: str = "30d") -> DataFrame:
     """R-04, R-05: state of every job from its result events (queue_id, event_id, result, at).
 
     A failed job is pending again after `retry` until its attempts are used up; a job that is started and
-    silent for `stuck_after` of event time is pending again.  The state is three values per job.
+    silent for `stuck_after` of event time is pending again, with its attempts.  The state is three values per job; that
+    of a completed or failed job goes after `forget_after` of event time.
     """
-    step = _job_step(max_attempts, pd.Timedelta(retry), pd.Timedelta(stuck_after))
+    step = _job_step(max_attempts, pd.Timedelta(retry), pd.Timedelta(stuck_after), pd.Timedelta(forget_after))
     keyed = results.withColumn("queue_id", F.col("queue_id").cast("string"))
     return keyed.withWatermark("at", late).groupBy("queue_id").applyInPandasWithState(
         step, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)

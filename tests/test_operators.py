@@ -76,14 +76,14 @@ def test_upsert_is_idempotent(spark):
     assert rows == {"1": ("y", "w1"), "2": ("b", None), "3": ("c", "w3")}
 
 
-def test_nest_splits_only_large_parents(spark):
+@pytest.mark.parametrize("parts", [1, 4])
+def test_nest_deals_every_parent_alike(spark, parts):
     parent = spark.createDataFrame([(1,), (2,), (3,)], "id long")
-    child = spark.createDataFrame([(1, "t", str(i)) for i in range(50)] + [(2, "t", "x")], "company_id long, contact_type string, value string")
-    out = joins.nest_contacts(parent, child, per_row=10)
+    child = spark.createDataFrame([(1, "t", str(i)) for i in range(50)] + [(2, "t", "x"), (None, "t", "y")], "company_id long, contact_type string, value string")
     sizes = {}
-    for r in out.collect():
+    for r in joins.nest_contacts(parent, child, parts=parts).collect():
         sizes.setdefault(r.id, []).append(len(r.contacts))
-    assert sum(sizes[1]) == 50 and len(sizes[1]) > 1
+    assert sum(sizes[1]) == 50 and len(sizes[1]) == parts
     assert sizes[2] == [1] and sizes[3] == [0]
 
 
