@@ -9,5 +9,6 @@ def settle(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back. Shuffle files go once the driver has collected what refers to them;
     a collection after each cut keeps the disk at what one step needs."""
     out = cut_lineage(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df  # the last reference to the plan that has run
+    out.sparkSession.sparkContext._jvm.System.gc()
     return out

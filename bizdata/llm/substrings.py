@@ -169,6 +169,12 @@ def decimal(column, factor: int):
     return column.cast("decimal(38,0)") * F.lit(factor).cast("decimal(38,0)")
 
 
+def document(place: str):
+    """What places of one document have in common, in the order of doc_id."""
+    whole = F.lit(_DOC).cast("decimal(38,0)")
+    return F.col(place) - F.pmod(F.col(place), whole)
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """For each distinct (doc_id, h) of `docs` (doc_id, h, text): `copy` (all its words are those of a document with a smaller
     id) and `starts`, window starts whose words also begin in a document with a smaller id (null if there are none)."""
@@ -183,11 +189,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     place = decimal(F.col("doc_id"), _DOC) + decimal(F.col("start"), _START) + F.col("h").bitwiseAND(_TEXT).cast("decimal(38,0)")
     cut = settle(blocks(docs.join(ranges, ["doc_id", "h"]), window)
                       .withColumn("place", place.cast("decimal(38,0)")))
-    every = cut.select("place", "doc_id", F.posexplode("prints").alias("i", "print"))
-    owners = (every.groupBy("print").agg(F.min("place").alias("owner"), F.max("doc_id").alias("last"))
-              .where(F.col("owner") < decimal(F.col("last"), _DOC)).drop("last"))
-    points = settle(every.join(owners, "print").where(F.col("owner") < decimal(F.col("doc_id"), _DOC))
-                         .groupBy("place", "owner").agg(F.collect_list("i").alias("ats")))  # at most BLOCK entries
+    every = cut.select("place", F.posexplode("prints").alias("i", "print"))
+    owners = (every.groupBy("print").agg(F.min("place").alias("owner"), F.max("place").alias("last"))
+              .where(document("owner") < document("last")).drop("last"))
+    points = settle(every.join(owners, "print").where(document("owner") < document("place"))
+                    .groupBy("place", "owner").agg(F.collect_list("i").alias("ats")))  # at most BLOCK entries
     other = cut.select(F.col("place").alias("owner"), F.col("words").alias("other")).dropDuplicates(["owner"])
     pointed = points.join(cut.drop("prints").dropDuplicates(["place"]), "place").join(other, "owner").sortWithinPartitions("owner")
     found = matched(pointed.select("doc_id", "h", "start", "words", "owner", "other", "ats"), window)
