@@ -52,8 +52,8 @@ query("x03_name_variants", f"""
     SELECT id, ARRAY_TO_STRING(LIST_SORT(LIST_FILTER(LIST_DISTINCT([name, tn, CASE WHEN LEN(w) >= 2 THEN w[1] END,
       CASE WHEN LEN(w) >= 2 THEN w[1] || ' ' || w[2] END]), lambda n: LENGTH(n) >= 3)), '|') AS variants
     FROM (SELECT id, name, {TRADING.replace('{c}', 'name')} AS tn, STRING_SPLIT_REGEX({TRADING.replace('{c}', 'name')}, '\\s+') AS w
-      FROM companies_v WHERE name IS NOT NULL)""")(
-    lambda t: t.companies.filter("name IS NOT NULL").select("id", joined(company.name_variants("name")).alias("variants")))
+      FROM companies_v)""")(
+    lambda t: t.companies.select("id", joined(company.name_variants("name")).alias("variants")))
 
 query("x04_candidate_urls", f"""
     SELECT id, 'https://www.' || s || '.com' || CASE WHEN uk THEN '|https://www.' || s || '.co.uk' ELSE '' END || CASE WHEN de THEN '|https://www.' || s || '.de' ELSE '' END

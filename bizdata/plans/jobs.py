@@ -143,9 +143,10 @@ query("p10_accounts_from_companies", f"""
     lambda t: upsert.accounts_from_companies(t.companies))
 query("p10_missing_uk_accounts", """
     SELECT id AS company_id, name AS company_name, CONCAT_WS(', ', address_line_1, address_line_2, locality, postal_code) AS address FROM companies_v
-    WHERE jurisdiction = 'gb' AND name <> '' AND name NOT IN (SELECT name FROM companies_v WHERE phone IS NULL AND name IS NOT NULL)""")(
-    lambda t: upsert.missing_uk_accounts(t.companies, t.companies.filter("phone IS NULL").select(
-        F.col("name").alias("company_name"), F.lit("United Kingdom").alias("country"))).select("company_id", "company_name", "address"))
+    WHERE jurisdiction = 'gb' AND name <> '' AND name NOT IN (SELECT company_name FROM accounts_v WHERE country = 'United Kingdom' AND company_name IS NOT NULL)
+      AND name NOT IN (SELECT name FROM companies_v WHERE id % 4 = 0 AND jurisdiction = 'gb' AND id % 3 = 0 AND name IS NOT NULL)""")(
+    lambda t: upsert.missing_uk_accounts(t.companies, t.accounts.unionByName(t.companies.filter("jurisdiction = 'gb' AND id % 3 = 0").select(
+        F.col("name").alias("company_name"), F.lit("United Kingdom").alias("country")), allowMissingColumns=True)).select("company_id", "company_name", "address"))
 query("p41_accounts_from_companies_full", f"""
     SELECT id AS company_id, COALESCE(name, legal_name) AS company_name, {COUNTRY.format(e=' ELSE jurisdiction')} AS country, {STATE.format(e=' ELSE region')} AS state_region,
       locality AS city, CONCAT_WS(', ', address_line_1, address_line_2) AS address, COALESCE(CAST(incorporation_date AS TIMESTAMP), created_at) AS created_at
@@ -439,16 +440,16 @@ query("s03_registry_json", """
     lambda t: registry.map_registry_json(t.sql(PAYLOAD3)).select(
         "company_number", "name", "status", "incorporation_date", "address_line_1", "postal_code", "country", "industry"))
 PAYLOAD4 = """SELECT id, CASE WHEN id % 2 = 0 THEN '{"company": ' ELSE '' END || '{"company_number": "' || company_number || '", "name": "' || legal_name
-    || '", "jurisdiction_code": "' || jurisdiction || '", "current_status": "live", "registered_address": {"locality": "Leeds"}}' || CASE WHEN id % 2 = 0 THEN '}' ELSE '' END AS payload
+    || '", "jurisdiction_code": "' || jurisdiction || '", "current_status": "live", ' || CASE WHEN id % 3 = 0 THEN '"registered_address_in_full": "1 Main St, Suite 4, Albany, NY, 122' || CAST(id % 90 + 10 AS STRING) || '"}' ELSE '"registered_address": {"locality": "Leeds"}}' END || CASE WHEN id % 2 = 0 THEN '}' ELSE '' END AS payload
     FROM companies_v"""
-query("s04_open_registry_json", "SELECT company_number, legal_name AS name, jurisdiction, 'live' AS status, 'Leeds' AS locality FROM companies_v")(
-    lambda t: registry.map_open_registry_json(t.sql(PAYLOAD4)).select("company_number", "name", "jurisdiction", "status", "locality"))
-PAYLOAD5 = """SELECT company_id, '{"items": [{"name": "' || name || '", "officer_role": "' || role || '", "appointed_on": "' || CAST(appointed_date AS STRING)
+query("s04_open_registry_json", "SELECT company_number, legal_name AS name, jurisdiction, 'live' AS status, CASE WHEN id % 3 = 0 THEN 'Albany' ELSE 'Leeds' END AS locality, CASE WHEN id % 3 = 0 THEN '1 Main St' END AS address_line_1, CASE WHEN id % 3 = 0 THEN 'NY' END AS region, CASE WHEN id % 3 = 0 THEN '122' || CAST(id % 90 + 10 AS STRING) END AS postal_code, CASE WHEN id % 3 = 0 THEN 'United States' END AS country FROM companies_v")(
+    lambda t: registry.map_open_registry_json(t.sql(PAYLOAD4)).select("company_number", "name", "jurisdiction", "status", "locality", "address_line_1", "region", "postal_code", "country"))
+PAYLOAD5 = """SELECT company_id, '{"items": [{"name": ' || COALESCE('"' || name || '"', 'null') || ', "officer_role": "' || role || '", "appointed_on": "' || CAST(appointed_date AS STRING)
     || '", "date_of_birth": {"year": 1970, "month": ' || CAST(1 + id % 12 AS STRING) || '}, "links": {"officer": {"appointments": "/officers/k' || CAST(id AS STRING)
-    || '/appointments"}}}, {"name": "Second", "appointed_on": "2020-01-01"}]}' AS payload FROM officers_v WHERE name IS NOT NULL"""
+    || '/appointments"}}}, {"name": "Second", "appointed_on": "2020-01-01"}]}' AS payload FROM officers_v"""
 query("s05_officers_json", """
-    SELECT company_id, 'k' || CAST(id AS STRING) AS officer_id, name, role, appointed_date, MAKE_DATE(1970, 1 + id % 12, 1) AS date_of_birth FROM officers_v WHERE name IS NOT NULL
-    UNION ALL SELECT company_id, NULL, 'Second', 'director', DATE '2020-01-01', NULL FROM officers_v WHERE name IS NOT NULL""")(
+    SELECT company_id, 'k' || CAST(id AS STRING) AS officer_id, name, role, appointed_date, MAKE_DATE(1970, 1 + id % 12, 1) AS date_of_birth FROM officers_v
+    UNION ALL SELECT company_id, NULL, 'Second', 'director', DATE '2020-01-01', NULL FROM officers_v""")(
     lambda t: registry.map_officers_json(t.sql(PAYLOAD5)).select("company_id", "officer_id", "name", "role", "appointed_date", "date_of_birth"))
 
 

@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.company import norm_country, uk_date
+from ..functions.company import norm_country, parse_address, uk_date
 from ..functions.industry import sic_prefix_industry, sic_text_industry
-from ..functions.presence import blank_to_null
+from ..functions.presence import blank_to_null, present
 
 # file header -> canonical column                                            fixed values
 CSV_COLUMNS = {
@@ -21,9 +21,9 @@ SOURCE_TAG = "companies_house_bulk"
 
 def raw_columns(df: DataFrame) -> DataFrame:
     """Registry columns under their canonical names.  Header names may carry spaces; absent ones are NULL."""
-    present = {c.strip(): c for c in df.columns}
+    found = {c.strip(): c for c in df.columns}
     return df.select(*[
-        (F.col(f"`{present[header]}`") if header in present else F.lit(None).cast("string")).alias(name)
+        (F.col(f"`{found[header]}`") if header in found else F.lit(None).cast("string")).alias(name)
         for header, name in CSV_COLUMNS.items()])
 
 
@@ -69,7 +69,7 @@ REGISTRY_PAYLOAD = T.StructType([
     T.StructField("registeredOffice", _ADDRESS), T.StructField("sic_codes", T.ArrayType(T.StringType()))])
 _OPEN = T.StructType([
     *_struct("company_number", "registrationNumber", "name", "jurisdiction_code", "jurisdiction", "company_type", "type",
-             "current_status", "status", "incorporation_date", "incorporationDate").fields,
+             "current_status", "status", "incorporation_date", "incorporationDate", "registered_address_in_full").fields,
     T.StructField("registered_address", _ADDRESS)])
 OPEN_PAYLOAD = T.StructType([*_OPEN.fields, T.StructField("company", _OPEN)])
 _DATE = T.StructType([T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
@@ -106,19 +106,24 @@ def map_registry_json(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def map_open_registry_json(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """S-04: payloads of the open registry; the company may be wrapped in a `company` object."""
+    """S-04: payloads of the open registry; the company may be wrapped in a `company` object.
+
+    Parts that the structured address lacks come from the address in full (X-16); such rows without a country are
+    those of the United States.
+    """
     rows = df.select(F.from_json(payload, OPEN_PAYLOAD).alias("d")).select(
         F.coalesce("d.company", F.struct(*[F.col(f"d.{f.name}") for f in _OPEN.fields])).alias("c")).select("c.*")
-    a = "registered_address."
+    a, full = "registered_address.", parse_address("registered_address_in_full")
+    home = F.when(present("registered_address_in_full"), F.lit("United States"))
     return rows.select(
         _first("company_number", "registrationNumber").alias("company_number"), F.col("name"),
         F.col("name").alias("legal_name"),
         F.coalesce(_first("jurisdiction_code", "jurisdiction"), F.lit("unknown")).alias("jurisdiction"),
         _first("company_type", "type").alias("company_type"), _first("current_status", "status").alias("status"),
         F.try_to_date(_first("incorporation_date", "incorporationDate")).alias("incorporation_date"),
-        F.col(a + "street_address").alias("address_line_1"), F.col(a + "locality").alias("locality"),
-        F.col(a + "region").alias("region"), F.col(a + "postal_code").alias("postal_code"),
-        F.col(a + "country").alias("country"), F.lit("opencorporates").alias("data_source"))
+        F.coalesce(a + "street_address", full["line1"]).alias("address_line_1"), F.coalesce(a + "locality", full["locality"]).alias("locality"),
+        F.coalesce(a + "region", full["region"]).alias("region"), F.coalesce(a + "postal_code", full["postal_code"]).alias("postal_code"),
+        F.coalesce(F.col(a + "country"), home).alias("country"), F.lit("opencorporates").alias("data_source"))
 
 
 def map_officers_json(df: DataFrame, company: str = "company_id", payload: str = "payload") -> DataFrame:

@@ -1,7 +1,4 @@
-"""Registered queries against their reference SQL on the smallest data.
-
-By default a sample of every group runs; BIZDATA_ALL_QUERIES=1 runs all of them.
-"""
+"""All registered queries against their reference SQL on the smallest data."""
 
 import os
 
@@ -14,7 +11,6 @@ FOLDER = "/root/testdata/sf0.001"
 ORACLES = contract.oracle_sql()
 QUERIES = contract.queries()
 ALL = sorted(QUERIES)
-CHOSEN = ALL if os.environ.get("BIZDATA_ALL_QUERIES") else [n for i, n in enumerate(ALL) if i % 9 == 0] + ["flagship_places", "r02_rates_10min", "r04_job_state"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="benchmark data not present")
 
@@ -24,7 +20,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(CHOSEN)))
+@pytest.mark.parametrize("name", ALL)
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     if name in ORACLES:
