@@ -125,15 +125,17 @@ query("p08_replace_officers", f"""
 APPOINTED = """SELECT company_id, name AS officer_id, appointed_date AS appointed_on, MIN(role) AS officer_role, MAX(resigned_date) AS resigned_on,
     'director' AS appointment_type, FALSE AS is_active, CAST(NULL AS STRING) AS ch_links FROM officers_v WHERE name IS NOT NULL GROUP BY 1, 2, 3"""
 NEXT = f"""SELECT company_id, officer_id, CASE WHEN company_id % 3 = 0 THEN DATE '2024-01-01' ELSE appointed_on END AS appointed_on, 'chair' AS officer_role,
-    CASE WHEN company_id % 2 = 0 THEN NULL ELSE DATE '2024-02-02' END AS resigned_on, 'x' AS appointment_type, CAST(NULL AS STRING) AS ch_links,
+    CASE WHEN company_id % 2 = 0 THEN NULL ELSE DATE '2024-02-02' END AS resigned_on, 'x' AS appointment_type, '/officers/' || officer_id AS ch_links,
     officer_id || CAST(appointed_on AS STRING) AS seq FROM ({APPOINTED})"""
 query("p09_upsert_appointments", f"""
     WITH n AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY company_id, officer_id, appointed_on ORDER BY seq DESC) AS rn FROM ({NEXT})) WHERE rn = 1)
     SELECT COALESCE(n.company_id, o.company_id) AS company_id, COALESCE(n.officer_id, o.officer_id) AS officer_id, COALESCE(n.appointed_on, o.appointed_on) AS appointed_on,
-      CASE WHEN n.rn = 1 THEN n.resigned_on ELSE o.resigned_on END AS resigned_on, CASE WHEN n.rn = 1 THEN n.resigned_on IS NULL ELSE o.is_active END AS is_active
+      CASE WHEN n.rn = 1 THEN n.resigned_on ELSE o.resigned_on END AS resigned_on, CASE WHEN n.rn = 1 THEN n.resigned_on IS NULL ELSE o.is_active END AS is_active,
+      CASE WHEN n.rn = 1 THEN n.officer_role ELSE o.officer_role END AS officer_role, CASE WHEN n.rn = 1 THEN n.appointment_type ELSE o.appointment_type END AS appointment_type,
+      CASE WHEN n.rn = 1 THEN n.ch_links ELSE o.ch_links END AS ch_links
     FROM ({APPOINTED}) o FULL JOIN n ON o.company_id = n.company_id AND o.officer_id = n.officer_id AND o.appointed_on = n.appointed_on""")(
     lambda t: upsert.upsert_appointments(t.sql(APPOINTED), t.sql(NEXT), "seq").select(
-        "company_id", "officer_id", "appointed_on", "resigned_on", "is_active"))
+        "company_id", "officer_id", "appointed_on", "resigned_on", "is_active", "officer_role", "appointment_type", "ch_links"))
 
 COUNTRY = "CASE WHEN jurisdiction = 'gb' THEN 'United Kingdom' WHEN jurisdiction LIKE 'us_%' THEN 'United States'{e} END"
 STATE = "CASE WHEN jurisdiction = 'us_ny' THEN 'New York' WHEN jurisdiction = 'us_ca' THEN 'California'{e} END"
@@ -149,8 +151,9 @@ query("p10_missing_uk_accounts", """
         F.col("name").alias("company_name"), F.lit("United Kingdom").alias("country")), allowMissingColumns=True)).select("company_id", "company_name", "address"))
 query("p41_accounts_from_companies_full", f"""
     SELECT id AS company_id, COALESCE(name, legal_name) AS company_name, {COUNTRY.format(e=' ELSE jurisdiction')} AS country, {STATE.format(e=' ELSE region')} AS state_region,
-      locality AS city, CONCAT_WS(', ', address_line_1, address_line_2) AS address, COALESCE(CAST(incorporation_date AS TIMESTAMP), created_at) AS created_at
-    FROM companies_v""")(lambda t: upsert.accounts_from_companies_full(t.companies).drop("website", "phone_number", "industry"))
+      locality AS city, CONCAT_WS(', ', address_line_1, address_line_2) AS address, website, phone AS phone_number, industry,
+      COALESCE(CAST(incorporation_date AS TIMESTAMP), created_at) AS created_at
+    FROM companies_v""")(lambda t: upsert.accounts_from_companies_full(t.companies))
 
 # --- merges -----------------------------------------------------------------------------------
 

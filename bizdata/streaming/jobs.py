@@ -17,22 +17,25 @@ def read_registry_stream(spark: SparkSession, folder: str, active_only: bool = F
     schema = ", ".join(f"`{header}` string" for header in CSV_COLUMNS)
     raw = (spark.readStream.schema(schema).options(header=True, quote='"', escape='"', enforceSchema=True)
            .option("maxFilesPerTrigger", files_per_batch).csv(folder))
-    return map_registry_rows(raw_columns(raw), active_only)
+    rows = map_registry_rows(raw_columns(raw), active_only)
+    return rows.withColumn("_place", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"))
 
 
 def stream_registry(companies: DataFrame, table: str, checkpoint: str, as_of: Callable[[int], str]) -> DataStreamWriter:
     """R-01: UPSERT every batch into versioned Parquet folders `table/v=<batch>`.
 
     A batch reads the version before it and writes its own, so a batch that is repeated after a failure
-    gives the same folder again.  `as_of` gives the time stamp of a batch number.
+    gives the same folder again.  `as_of` gives the time stamp of a batch number.  Of several rows of a company in one
+    batch the last one counts, by the time and name of its file and its place there, which no packing of files
+    into tasks changes.
     """
     spark = companies.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        keyed = batch.withColumn("_seq", F.monotonically_increasing_id())
+        keyed = batch.withColumn("_seq", F.struct("_place", F.monotonically_increasing_id())).drop("_place")
         target = f"{table}/v={number}"
         if number == 0:
-            old = spark.createDataFrame([], batch.schema).withColumn("last_updated", F.lit(None).cast("timestamp_ntz"))
+            old = spark.createDataFrame([], batch.drop("_place").schema).withColumn("last_updated", F.lit(None).cast("timestamp_ntz"))
         else:
             old = spark.read.parquet(f"{table}/v={number - 1}")
         upsert_registry(old, keyed, as_of(number), seq="_seq").write.mode("overwrite").parquet(target)
