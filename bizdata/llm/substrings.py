@@ -190,8 +190,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     cut = settle(blocks(docs.join(ranges, ["doc_id", "h"]), window)
                       .withColumn("place", place.cast("decimal(38,0)")))
     every = cut.select("place", F.posexplode("prints").alias("i", "print"))
-    owners = (every.groupBy("print").agg(F.min("place").alias("owner"), F.max("place").alias("last"))
-              .where(document("owner") < document("last")).drop("last"))
+    # written first: the join then deals both sides itself and can split a fingerprint that many documents share
+    owners = settle(every.groupBy("print").agg(F.min("place").alias("owner"), F.max("place").alias("last"))
+                    .where(document("owner") < document("last")).drop("last"))
     points = settle(every.join(owners, "print").where(document("owner") < document("place"))
                     .groupBy("place", "owner").agg(F.collect_list("i").alias("ats")))  # at most BLOCK entries
     other = cut.select(F.col("place").alias("owner"), F.col("words").alias("other")).dropDuplicates(["owner"])
