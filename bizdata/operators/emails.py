@@ -54,12 +54,16 @@ def page_emails(pages: DataFrame) -> DataFrame:
     The name is the last pair of capitalised words in the 120 characters before the address.
     """
     read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _text=visible_text("html"), _emails=site_emails("html"))
-    found = read.select("page_id", "domain", "_text", F.posexplode("_emails").alias("_i", "email"))
+
+    def piece(email: Column) -> Column:
+        lead = F.length(F.call_function("substring_index", F.lower(F.col("_text")), email, F.lit(1)))
+        return F.struct(email.alias("email"), F.when(lead < F.length("_text"), F.right(F.left(F.col("_text"), lead), F.lit(120))).alias("_shown"))
+
+    cut = compute_once(read, _pieces=F.transform("_emails", piece))
+    found = cut.select("page_id", "domain", F.posexplode("_pieces").alias("_i", "_p")).select("page_id", "domain", "_i", "_p.*")
     stem = F.split_part("domain", F.lit("."), F.lit(1))
     host = mail_domain("email")
-    own = found.filter((host == F.col("domain")) | F.contains(host, stem))
-    lead = F.length(F.expr("substring_index(lower(_text), email, 1)"))
-    near = compute_once(own, _shown=F.when(lead < F.length("_text"), F.right(F.left("_text", lead), F.lit(120))))
+    near = found.filter((host == F.col("domain")) | F.contains(host, stem))
     pair = r"\b([A-Z][a-z]+)\s+([A-Z][a-z]+)\b"
 
     def part(group: int) -> Column:
@@ -82,10 +86,11 @@ def name_part_index(pages: DataFrame) -> DataFrame:
     """(domain, part) -> first personal address on the host whose local part contains `part`.
 
     Every substring of a local part is a key, so the later "contains the name" test is an equi-join
-    and nothing grows with the number of contacts times the number of addresses of one host.
+    and nothing grows with the number of contacts times the number of addresses of one host. A local part has
+    at most 64 characters (RFC 5321); longer runs before an @ are no address.
     """
     found = page_emails(pages)
-    own = found.filter((mail_domain("email") == F.col("domain")) & is_personal("email"))
+    own = found.filter((mail_domain("email") == F.col("domain")) & is_personal("email") & (F.length(local_part("email")) <= 64))
     own = own.groupBy("domain", "email").agg(F.min("pos").alias("pos"))
     local = local_part("email")
     n = F.length(local)

@@ -181,17 +181,19 @@ def people_from_pages(pages: DataFrame, first_names: DataFrame, not_names: DataF
     people of a host on request.
     """
     read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _text=visible_text("html"))
-    listed = compute_once(read, _names=F.regexp_extract_all("_text", F.lit(NAME_PAIR), F.lit(0)))
-    named = listed.select("page_id", "domain", "_text", F.posexplode("_names").alias("_i", "_name"))
+    # each name with the text after its own place: pieces, not pages, are exploded and shuffled
+    followed = F.lit(NAME_PAIR + r"(?=([\s\S]{0,200}))")
+    listed = compute_once(read, _names=F.arrays_zip(F.regexp_extract_all("_text", followed, F.lit(0)).alias("name"), F.regexp_extract_all("_text", followed, F.lit(3)).alias("after")))
+    named = listed.select("page_id", "domain", F.posexplode("_names").alias("_i", "_n")).select(
+        "page_id", "domain", "_i", F.col("_n.name").alias("_name"), F.left(F.concat("_n.name", "_n.after"), F.lit(200)).alias("_after"))
     people = compute_once(
         named, first_name=F.regexp_extract("_name", NAME_PAIR, 1), last_name=F.regexp_extract("_name", NAME_PAIR, 2))
     known = valid_person(people, first_names, not_names).filter("person_ok").drop("person_ok")
-    checked = compute_once(known, _after=F.substring("_text", F.instr("_text", F.col("_name")), F.lit(200)))
     title_word = F.regexp_extract(F.lower("_after"), r"\b(" + "|".join(sorted(rules.PAGE_TITLES, key=len, reverse=True)) + r")\b", 0)
     emails = F.regexp_extract_all("_after", F.lit(rules.EMAIL_ON_SITE), F.lit(0))
     personal = F.filter(emails, lambda e: ~F.lower(F.split_part(F.split_part(e, F.lit("@"), F.lit(1)), F.lit("."), F.lit(1)))
                         .isin(*rules.SITE_ROLE_MAILBOXES))
-    described = compute_once(checked, job_title=F.initcap(F.trim(title_word)), email=F.lower(F.get(personal, F.lit(0)))).select(
+    described = compute_once(known, job_title=F.initcap(F.trim(title_word)), email=F.lower(F.get(personal, F.lit(0)))).select(
         "domain", "page_id", "_i", "first_name", "last_name", F.when(valid_title("job_title"), F.col("job_title")).alias("job_title"), "email")
     once = keep_first(described, ["domain", F.lower("first_name"), F.lower("last_name")], [F.asc("page_id"), F.asc("_i")])
     if per_site is not None:
@@ -254,11 +256,17 @@ def phones_by_name(pages: DataFrame) -> DataFrame:
     """
     numbers = F.array_distinct(F.concat(*[F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for p in rules.UK_PHONES_NEAR_NAME]))
     read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _text=visible_text("html"))
-    rows = compute_once(read, _numbers=numbers).select("page_id", "domain", "_text", F.explode("_numbers").alias("_raw"))
+
+    def piece(raw: Column) -> Column:
+        at = F.instr(F.col("_text"), raw)
+        start = F.greatest(at + F.length(raw) - 300, F.lit(1))
+        return F.struct(raw.alias("_raw"), at.alias("_at"), F.substring(F.col("_text"), start, at + 200 - start).alias("_around"))
+
+    cut = compute_once(compute_once(read, _numbers=numbers), _pieces=F.transform("_numbers", piece))
+    rows = cut.select("page_id", "domain", F.explode("_pieces").alias("_p")).select("page_id", "domain", "_p.*")
     digits = F.regexp_replace(F.regexp_replace("_raw", r"[\s.-]", ""), r"^\+?44", "0")
-    placed = compute_once(rows, phone=digits, _at=F.instr("_text", F.col("_raw"))).filter(F.col("phone").rlike(r"^0[1-9]\d{8,10}$"))
-    start = F.greatest(F.col("_at") + F.length("_raw") - 300, F.lit(1))
-    around = F.substring("_text", start, F.col("_at") + 200 - start)
+    placed = compute_once(rows, phone=digits).filter(F.col("phone").rlike(r"^0[1-9]\d{8,10}$"))
+    around = F.col("_around")
     words = F.filter(F.split(F.lower(around), r"[^a-z'-]+"), lambda w: F.length(w) > 1)
     spaced = compute_once(placed, _w=words)
     couples = F.zip_with("_w", F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))),
