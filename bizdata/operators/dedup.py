@@ -89,8 +89,9 @@ def dup_members(accounts: DataFrame) -> DataFrame:
 
 
 def dedup_accounts(accounts: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """P-14: keep one account per website and point its contacts to it."""
-    losers = dup_members(accounts).filter(F.col("account_id") != F.col("keep_id"))
+    """P-14: keep one account per website and point its contacts to it. The accounts that go are found once and written,
+    since both outputs need them."""
+    losers = cut_lineage(dup_members(accounts).filter(F.col("account_id") != F.col("keep_id")))
     kept = accounts.join(losers.select("account_id"), "account_id", "left_anti")
     moves = losers.select(F.col("account_id").alias("_from"), "keep_id")
     moved = contacts.join(moves, F.col("linked_account_id") == F.col("_from"), "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.company import (as_time, company_key, discoverable_name, jurisdiction_country,
                                  jurisdiction_state)
 from ..functions.presence import blank_to_null, present
+from ..session import cut_lineage
 from .joins import without
 from .keys import keep_first
 
@@ -180,7 +181,8 @@ def resolve_accounts(leads: DataFrame, accounts: DataFrame) -> tuple[DataFrame,
         F.min(F.struct("lead_id", F.trim("company").alias("company"), "city", "country")).alias("_first"),
         first_industry.alias("_industry"))
     wanted = wanted.join(known, "_name", "left").withColumn("_is_new", F.col("_id").isNull())
-    wanted = wanted.withColumn("account_id", F.coalesce("_id", new_key(F.xxhash64("_name"))))
+    # one row per company named, written because all three outputs need it
+    wanted = cut_lineage(wanted.withColumn("account_id", F.coalesce("_id", new_key(F.xxhash64("_name")))))
     resolved = named.join(wanted.select("_name", "account_id", F.col("_is_new").alias("is_new")), "_name").drop("_name")
     gains = wanted.filter(~F.col("_is_new")).select("account_id", F.col("_industry").alias("industry"))
     updated = (accounts.join(gains.withColumnRenamed("industry", "_gain"), "account_id", "left")
