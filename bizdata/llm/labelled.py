@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import slices
+
 
 def remainder(doc_id: str, by: int) -> Column:
     """crc32 of the id written as text, modulo `by`; a null id counts as the empty text."""
@@ -56,9 +58,10 @@ def score(docs: DataFrame, model, keep: list[str] | None = None, out: str = "sco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = sent.value.score(batch.column("__text").to_pylist())
-            kept = [batch.column(f"k{i}") for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], [*(f"k{i}" for i in range(len(keep))), "score"])
+            for part in slices(batch, "__text"):
+                scores = sent.value.score(part.column("__text").to_pylist())
+                kept = [part.column(f"k{i}") for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], [*(f"k{i}" for i in range(len(keep))), "score"])
 
     chosen = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("__text"))
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in chosen.schema.fields[:-1]) + "score double"
