@@ -175,7 +175,7 @@ def apply_page_contacts(accounts: DataFrame, records: DataFrame, as_of: str) ->
 
 def people_from_pages(pages: DataFrame, first_names: DataFrame, not_names: DataFrame | None = None,
                       per_site: int | None = None) -> DataFrame:
-    """P-27: person names on pages with the job title and e-mail that follow within 200 characters.
+    """P-27: person names on pages with the job title (the first that follows) and e-mail within 200 characters.
 
     A person is listed once per host (first page, first position).  `per_site` keeps the first few
     people of a host on request.
@@ -205,7 +205,8 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
                      not_names: DataFrame | None = None, fallback_title: str | None = None) -> DataFrame:
     """P-28: people and titles in text snippets with a confidence.
 
-    "Name - Title at Co" 0.9, "Name, Title" 0.85, a title within 120 characters of the name 0.7, and for
+    "Name - Title at Co" 0.9, "Name, Title" 0.85, a title within 120 characters of the name 0.7 (the first in the declared
+    order; every name near it has it), and for
     keys without any of these the bare names with `fallback_title` 0.4.  Each person counts once per key,
     with the most certain reading.
     """
@@ -224,7 +225,9 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
     at = F.instr("_text", F.col("_name"))
     start = F.greatest(at - 120, F.lit(1))
     around = F.substring("_text", start, at + F.length("_name") + 120 - start)
-    first_title = F.regexp_extract(F.lower(around), "|".join(p for p, _, _ in rules.MANAGEMENT_TITLES), 0)
+    # of several titles near a name the one declared first counts, wherever it stands
+    lower = F.lower(around)
+    first_title = F.coalesce(*[F.when(lower.rlike(p), F.regexp_extract(lower, f"(?:{p})", 0)) for p, _, _ in rules.MANAGEMENT_TITLES], F.lit(""))
     nearby = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"), first_title.alias("_title"), F.lit(0.7).alias("confidence"))
     bare = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"), F.lit("").alias("_title"), F.lit(0.4).alias("confidence"))
 

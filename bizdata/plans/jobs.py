@@ -245,15 +245,15 @@ query("p21_classify_accounts", f"""
     LEFT JOIN ({BY_PAGE}) p ON p.host = {host('a.website')}""")(
     lambda t: classify.classify_accounts(t.accounts, t.pages).select("account_id", "new_industry"))
 
-KNOWN_MAIL = f"SELECT {HOST} AS domain, email, first_name, last_name, contact_id AS pos FROM contacts_v WHERE email LIKE '%@site%'"
+KNOWN_MAIL = f"SELECT {HOST} AS domain, email, first_name, last_name, contact_id AS pos FROM contacts_v WHERE email <> ''"
 query("a31_best_pattern", f"""
     WITH k AS (SELECT *, {DETECT} AS pt FROM ({KNOWN_MAIL})),
       b AS (SELECT * FROM (SELECT domain, pt, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY domain ORDER BY COUNT(*) DESC, MIN(pos), pt) AS rn FROM k WHERE pt IS NOT NULL GROUP BY domain, pt) WHERE rn = 1),
       f AS (SELECT domain, MIN_BY(SPLIT_PART(LOWER(email), '@', 1), pos) AS lp FROM k GROUP BY domain)
     SELECT f.domain, COALESCE(b.pt, CASE WHEN CONTAINS(lp, '.') THEN '{{first}}.{{last}}@' || f.domain WHEN CONTAINS(lp, '_') THEN '{{first}}_{{last}}@' || f.domain
       WHEN REGEXP_MATCHES(lp, '^[a-z][a-z]+$') AND LENGTH(lp) > 4 THEN '{{f}}{{last}}@' || f.domain END) AS email_format, COALESCE(b.n, 0) AS n_addresses
-    FROM f LEFT JOIN b ON f.domain = b.domain""")(lambda t: emails.best_pattern(t.sql(KNOWN_MAIL)))
-NAMED_MAIL = f"SELECT {HOST} AS domain, email, first_name || ' ' || last_name AS full_name, contact_id AS pos FROM contacts_v WHERE email LIKE '%@site%' AND first_name <> ''"
+    FROM f LEFT JOIN b ON f.domain = b.domain WHERE email_format IS NOT NULL""")(lambda t: emails.best_pattern(t.sql(KNOWN_MAIL)))
+NAMED_MAIL = f"SELECT {HOST} AS domain, email, first_name || ' ' || last_name AS full_name, contact_id AS pos FROM contacts_v WHERE email <> '' AND first_name <> ''"
 
 
 def _local(p: str) -> str:
