@@ -72,7 +72,8 @@ class Items:
         self.shingles = np.stack([self.shingle(k) for k in range(max(1, window - 1))], 1) if len(self.words) else np.zeros((0, 1), np.uint64)
 
     def shingle(self, k: int) -> np.ndarray:
-        """The k-th shingle of every window; windows of one word have that word alone, others no shingle repeat it."""
+        """The k-th shingle of every window. A window of one word has that word alone; one too short for a k-th shingle
+        repeats its first."""
         if self.words.shape[1] == 1:
             return self.words[:, 0]
         two = join(self.words[:, k], self.words[:, k + 1])

@@ -23,8 +23,7 @@ def normal(passage: Column) -> Column:
 
 def lines_of(messages: DataFrame) -> DataFrame:
     """One row per line that holds a letter or digit: `level`, `at` (line number), `line` without quote marks, `passage`
-    (normal form), `hash`. A quoted line's level is at most one more than the greatest level before it plus what
-    its marks say; levels are taken as written."""
+    (normal form), `hash`. Levels are taken as written; lines that announce a quote are left out."""
     split = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n", -1)
     return (messages.select("conv_id", "turn", F.posexplode(split).alias("at", "raw"))
             .withColumn("level", level(F.col("raw")))
