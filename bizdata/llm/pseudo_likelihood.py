@@ -24,10 +24,9 @@ FREQUENT = 768
 EDGE = SIZE - 1  # stands beyond both ends of a document
 HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
-#: One position in so many is trained on in each round; every document has its share.
-EVERY = 16
+#: The rounds share out the positions of every document, so each position is trained on once.
 ROUNDS = 2
-BATCH = 512
+BATCH = 4096
 RATE = 0.15
 CHUNK = 2048
 
@@ -125,10 +124,9 @@ class Network:
         back *= 1 - hidden ** 2
         steps.append(("shift", slice(None), back.sum(0)))
         for k in range(len(OFFSETS)):
-            ids, same = np.unique(context[:, k], return_inverse=True)
-            total = np.zeros((len(ids), HIDDEN), np.float32)
-            np.add.at(total, same, back)
-            steps.append(("put", (k, ids), total))
+            by = np.argsort(context[:, k].astype(np.int16), kind="stable")
+            ids, first = np.unique(context[by, k], return_index=True)
+            steps.append(("put", (k, ids), np.add.reduceat(back[by], first, 0)))
         for name, at, slope in steps:
             slope = slope / np.float32(n)
             memory[name][at] += slope ** 2
@@ -159,8 +157,9 @@ def count_words(docs: DataFrame) -> np.ndarray:
     return np.array([r["word"] for r in found], np.int64).view(np.uint64)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, every: int = EVERY) -> Network:
-    """Rounds of local training and averaging. Each task sends one copy of the weights, in chunks that are averaged
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """Rounds of local training and averaging; a round takes the positions (word numbers in a document) that leave
+    its number when divided by `rounds`, so every word of every document is a target once. Each task sends one copy of the weights, in chunks that are averaged
     apart; one averaged copy, of fixed size, comes back."""
     spark, net = docs.sparkSession, Network()
     for turn in range(rounds):
@@ -175,9 +174,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, every:
                 for part in slices(batch):
                     read = Words(part.column("text"), NOT_SPACE)
                     ids = vocabulary.ids(read)
-                    place = (np.arange(len(ids)) - np.repeat(read.first[:-1], read.counts())).astype(np.uint64)
-                    doc = np.repeat(read.hashes()[np.minimum(read.first[:-1], max(0, len(ids) - 1))], read.counts()) if len(ids) else place
-                    at = np.flatnonzero(mix(place * np.uint64(2654435761) + doc + np.uint64(turn)) % np.uint64(every) == 0)
+                    at = targets(read, turn, rounds)
                     held.append((contexts(read, ids, at), ids[at]))
                     if sum(len(h[1]) for h in held) >= 8 * BATCH:
                         seen += steps(own, held, memory)
@@ -198,6 +195,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, every:
     return net
 
 
+def targets(read: Words, turn: int, rounds: int) -> np.ndarray:
+    """The words of a slice that round `turn` trains on."""
+    place = np.arange(len(read)) - np.repeat(read.first[:-1], read.counts())
+    return np.flatnonzero(place % rounds == turn)
+
+
 def steps(net: Network, held: list[tuple[np.ndarray, np.ndarray]], memory: dict[str, np.ndarray]) -> int:
     context, word = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
     order = np.random.default_rng(len(word)).permutation(len(word))

@@ -126,3 +126,13 @@ def test_frequent_words_are_counted_over_all_documents(spark):
     found = pseudo_likelihood.count_words(docs).tolist()
     a, b, c = Words(pa.array(["a b c"]), NOT_SPACE).hashes().tolist()
     assert found == [b, c, a]
+
+
+def test_every_position_is_trained_on_once():
+    import pyarrow as pa
+
+    from bizdata.llm.words import NOT_SPACE, Words
+
+    read = Words(pa.array(["the a b c d e f", "the", None, "the x", "", "y z w"], pa.string()), NOT_SPACE)
+    at = [pseudo_likelihood.targets(read, turn, pseudo_likelihood.ROUNDS).tolist() for turn in range(pseudo_likelihood.ROUNDS)]
+    assert sorted(sum(at, [])) == list(range(len(read)))
