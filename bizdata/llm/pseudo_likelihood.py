@@ -1,10 +1,11 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network.
 
 Every word is predicted from the words on both sides of it: the embeddings of the words at each offset are added,
-squashed, and a two-level softmax (class, then word in its class) gives the word's probability. The vocabulary
-is counted over all documents: the most frequent words, and buckets by ending for the others. Each task trains a
-copy of the network on its own documents, and the copies are averaged by how many words each has seen, for some
-rounds. The sum of the conditional log probabilities scores a document.
+squashed, and a two-level softmax (class, then word in its class) gives the probability of a frequent word or of
+a bucket of the others by ending. Each task trains a copy of the network on its own documents, and the copies are
+averaged by how many words each has seen, for some rounds. A word of a bucket has the probability of its bucket
+times that of the word in it, from counts over all documents of the word, alone and beside its two neighbours.
+The vocabulary is so every word of the corpus. The sum of the conditional log probabilities scores a document.
 """
 
 from collections.abc import Iterator
@@ -12,9 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .decontamination import Flags
 from .words import NOT_SPACE, Words, mix, slices
 
@@ -22,6 +25,7 @@ CLASSES = 32
 SIZE = CLASSES * CLASSES
 FREQUENT = 768
 EDGE = SIZE - 1  # stands beyond both ends of a document
+BUCKETS = EDGE - FREQUENT
 HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
 #: The rounds share out the positions of every document, so each position is trained on once.
@@ -29,27 +33,38 @@ ROUNDS = 2
 BATCH = 4096
 RATE = 0.15
 CHUNK = 2048
+#: Share of an occurrence that every word of a bucket has beforehand, and the weight, in occurrences, of the
+#: probability without a neighbour against the counts beside it.
+SHARE = 0.5
+WEIGHT = 10
+#: Occurrences of words of buckets that are counted together, and bytes of text whose occurrences travel together.
+OCCURRENCES = 1 << 18
+BLOCK_BYTES = 4 << 20
 
 
 class Vocabulary:
-    def __init__(self, frequent: np.ndarray) -> None:
-        """frequent: hashes of words, most frequent first."""
+    def __init__(self, frequent: np.ndarray, distinct: np.ndarray | None = None) -> None:
+        """frequent: hashes of words, most frequent first; distinct: how many words each bucket has."""
         order = np.argsort(frequent)
         self.look, self.rank = Flags(frequent[order]), order
+        self.distinct = np.zeros(BUCKETS, np.int64) if distinct is None else distinct
 
     def ids(self, read: Words) -> np.ndarray:
         """Ids of the words of a slice; a word that is not frequent has the bucket of its last three bytes."""
-        ends = read.ends
-        tail = np.zeros(len(read), np.uint64)
-        for back in (3, 2, 1):
-            at = ends - back
-            tail = tail * np.uint64(256) + np.where(at >= read.starts, read.raw[np.maximum(at, 0)], 0).astype(np.uint64)
-        out = FREQUENT + (mix(tail) % np.uint64(EDGE - FREQUENT)).astype(np.int64)
+        out = FREQUENT + buckets(read)
         at, key = self.look.find(read.hashes())
         out[at] = self.rank[key]
         return out
 
 
+def buckets(read: Words) -> np.ndarray:
+    tail = np.zeros(len(read), np.uint64)
+    for back in (3, 2, 1):
+        at = read.ends - back
+        tail = tail * np.uint64(256) + np.where(at >= read.starts, read.raw[np.maximum(at, 0)], 0).astype(np.uint64)
+    return (mix(tail) % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def contexts(read: Words, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Ids at each offset of the positions; EDGE beyond the document."""
     doc = read.doc()[at]
@@ -133,30 +148,41 @@ class Network:
             getattr(self, name)[at] -= np.float32(RATE) * slope / np.sqrt(memory[name][at] + np.float32(1e-7))
 
 
-def count_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all documents (ties: smaller hash), most frequent first."""
+def word_table(docs: DataFrame) -> DataFrame:
+    """Every word (its hash) of all documents, its `bucket` and how often it occurs, `n`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, bucket, totals = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(totals)], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bucket, pa.int32()), pa.array(totals)], ["word", "bucket", "n"])
 
         for batch in batches:
             for part in slices(batch, limit=4 << 20):
-                words, n = np.unique(Words(part.column("text"), NOT_SPACE).hashes(), return_counts=True)
-                keys, same = np.unique(np.concatenate([keys, words]), return_inverse=True)
-                totals = np.bincount(same, np.concatenate([totals, n]), len(keys)).astype(np.int64)
+                read = Words(part.column("text"), NOT_SPACE)
+                words, at, n = np.unique(read.hashes(), return_index=True, return_counts=True)
+                bucket = np.concatenate([bucket, buckets(read)[at]])
+                keys, at, same = np.unique(np.concatenate([keys, words]), return_index=True, return_inverse=True)
+                bucket, totals = bucket[at], np.bincount(same, np.concatenate([totals, n]), len(keys)).astype(np.int64)
                 if len(keys) > 500_000:
                     yield rows()
-                    keys, totals = keys[:0], totals[:0]
+                    keys, bucket, totals = keys[:0], bucket[:0], totals[:0]
         yield rows()
 
-    found = (docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "word").limit(FREQUENT).collect())
+    return docs.mapInArrow(count, "word long, bucket int, n long").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
+
+
+def most_frequent(words: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words of a word table (ties: smaller hash), most frequent first."""
+    found = words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     return np.array([r["word"] for r in found], np.int64).view(np.uint64)
 
 
+def count_words(docs: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words of all documents."""
+    return most_frequent(word_table(docs))
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
     """Rounds of local training and averaging; a round takes the positions (word numbers in a document) that leave
     its number when divided by `rounds`, so every word of every document is a target once. Each task sends one copy of the weights, in chunks that are averaged
@@ -210,10 +236,18 @@ def steps(net: Network, held: list[tuple[np.ndarray, np.ndarray]], memory: dict[
     return len(word)
 
 
+def network_sums(net: Network, read: Words, ids: np.ndarray) -> np.ndarray:
+    """For each document of a slice the sum of the log probabilities of its words' ids."""
+    each = np.zeros(len(ids))
+    for at in range(0, len(ids), 1 << 16):
+        own = np.arange(at, min(len(ids), at + (1 << 16)))
+        each[own] = net.log_probabilities(contexts(read, ids, own), ids[own])
+    return np.bincount(read.doc(), each, len(read.first) - 1)
+
+
 def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs` its id, `n_words`, `log_prob` (sum over all words of the log probability of the word given
-    both sides) and `mean_log_prob`. Null and empty texts: 0 words, log_prob 0, mean null. Every row comes out
-    once, repeated rows and null ids too; other columns are ignored. No shuffle."""
+    """The network's part of `score_words`: a word that is not frequent counts as its bucket only. Columns and rows
+    as there. No shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,22 +256,141 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_col: str = "
         for batch in batches:
             for part in slices(batch):
                 read = Words(part.column("text"), NOT_SPACE)
-                ids, n = vocabulary.ids(read), len(read)
-                each = np.zeros(n)
-                for at in range(0, n, 1 << 16):
-                    own = np.arange(at, min(n, at + (1 << 16)))
-                    each[own] = net.log_probabilities(contexts(read, ids, own), ids[own])
-                total = np.bincount(read.doc(), each, len(read.first) - 1)
+                total = network_sums(net, read, vocabulary.ids(read))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(read.counts(), pa.int64()), pa.array(total, pa.float64())], ["id", "n_words", "log_prob"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    return (chosen.mapInArrow(run, f"id {kind}, n_words long, log_prob double")
-            .select(F.col("id").alias(id_col), "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob")))
+    return with_mean(chosen.mapInArrow(run, f"id {kind}, n_words long, log_prob double"), id_col)
+
+
+def with_mean(scored: DataFrame, id_col: str) -> DataFrame:
+    return scored.select(F.col("id").alias(id_col), "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
+
+
+def neighbour_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How often words of each bucket stand after each id ([0, bucket, id]) and before it ([1, bucket, id])."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shape = (2, BUCKETS, SIZE)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
+        for batch in batches:
+            for part in slices(batch, limit=BLOCK_BYTES):
+                read = Words(part.column("text"), NOT_SPACE)
+                ids = sent.value.ids(read)
+                at = np.flatnonzero(ids >= FREQUENT)
+                beside = contexts(read, ids, at)[:, 1:3]
+                for side in (0, 1):
+                    total[side] += np.bincount((ids[at] - FREQUENT) * SIZE + beside[:, side], minlength=BUCKETS * SIZE).reshape(shape[1:])
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(total.ravel()[keys])], ["key", "n"])
+
+    found = docs.mapInArrow(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(shape, np.int64)
+    out.ravel()[found["key"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def in_bucket(word: np.ndarray, beside: np.ndarray, counts: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Log probability of each occurrence's word in its bucket, given both neighbours, from all other occurrences.
+
+    word, beside: all occurrences of some words, and (bucket, id before, id after) of each, packed. The counts
+    without the occurrence itself are mixed, as if WEIGHT more occurrences had come, from the word's share of the
+    bucket to its share after the id before and then before the id after, so each step sums to one over the bucket.
+    """
+    bucket, before, after = beside >> 20, beside >> 10 & SIZE - 1, beside & SIZE - 1
+    own, n = np.unique(word, return_inverse=True, return_counts=True)[1:]
+    out = (n[own] - 1 + SHARE) / (counts[0].sum(1)[bucket] - 1 + SHARE * distinct[bucket])
+    for side, other in enumerate((before, after)):
+        same, n = np.unique(own * SIZE + other, return_inverse=True, return_counts=True)[1:]
+        out = (n[same] - 1 + WEIGHT * out) / (counts[side][bucket, other] - 1 + WEIGHT)
+    return np.log(out)
+
+
+def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of `docs` its id, `n_words`, `log_prob` (sum over all words of the log probability of the word given
+    both sides) and `mean_log_prob`. Null and empty texts: 0 words, log_prob 0, mean null. Every row comes out
+    once, repeated rows and null ids too; other columns are ignored. `docs` are those that `fit` has read.
+
+    Occurrences of words that are not frequent are dealt by word, in arrays of one block of documents each, to groups
+    of about OCCURRENCES, where their words are counted; sums by document go back to the blocks. A word that is
+    not frequent has at most one in FREQUENT + 1 of all words, so no group is much larger than another.
+    """
+    spark = docs.sparkSession
+    counts = neighbour_counts(docs.select(F.col(text_col).alias("text")), vocabulary)
+    parts = max(1, round(int(counts[0].sum()) / OCCURRENCES))
+    sent = spark.sparkContext.broadcast((vocabulary, net.flat(), counts))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = chosen.schema["id"].dataType.simpleString()
+    fields = f"block long, row int, id {kind}, n_words long, log_prob double, at array<int>"
+
+    def lists(values: np.ndarray, edges: np.ndarray, of: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, of))
+
+    def nulls(n: int, table: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> dict[str, pa.Array]:
+        return {name: pa.nulls(n, table.schema.field(name).type) for name in names}
+
+    def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, flat, _ = sent.value
+        net, block = Network(flat), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for some in slices(batch, limit=BLOCK_BYTES):
+                read = Words(some.column("text"), NOT_SPACE)
+                ids, n = vocabulary.ids(read), some.num_rows
+                rows = {"part": pa.array((np.arange(n) + block) % parts, pa.int32()), "block": pa.array([block] * n, pa.int64()), "row": pa.array(range(n), pa.int32()), "id": some.column("id"),
+                        "n_words": pa.array(read.counts(), pa.int64()), "log_prob": pa.array(network_sums(net, read, ids), pa.float64()), "at": pa.nulls(n, pa.list_(pa.int32())),
+                        "word": pa.nulls(n, pa.list_(pa.int64())), "beside": pa.nulls(n, pa.list_(pa.int32()))}
+                docs = pa.RecordBatch.from_pydict(rows)
+                yield docs
+                rare = np.flatnonzero(ids >= FREQUENT)
+                word = read.hashes()[rare]
+                part = (mix(word) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                rare, word, part = rare[order], word[order], part[order]
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                edges, n = np.append(first, len(part)), len(first)
+                beside = contexts(read, ids, rare)
+                packed = (ids[rare] - FREQUENT) << 20 | beside[:, 1] << 10 | beside[:, 2]
+                yield pa.RecordBatch.from_pydict(
+                    {"part": pa.array(part[first], pa.int32()), "block": pa.array([block] * n, pa.int64()), **nulls(n, docs, ("row", "id", "n_words", "log_prob")),
+                     "at": lists(read.doc()[rare], edges, pa.int32()), "word": lists(word.view(np.int64), edges, pa.int64()), "beside": lists(packed, edges, pa.int32())})
+                block += 1
+
+    def count(table: pa.Table) -> pa.Table:
+        vocabulary, _, counts = sent.value
+        docs = table.filter(table["row"].is_valid())
+        some = table.filter(table["row"].is_null()).combine_chunks()
+        flat = {name: some[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) for name in ("at", "word", "beside")}
+        sizes = some["at"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        each = in_bucket(flat["word"], flat["beside"].astype(np.int64), counts, vocabulary.distinct)
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.flatnonzero((np.diff(run, prepend=-1) != 0) | (np.diff(flat["at"], prepend=-1) != 0))
+        edges = np.searchsorted(run[first], np.arange(len(sizes) + 1))
+        sums = np.add.reduceat(each, first) if len(first) else each
+        found = pa.table({"block": some["block"], **nulls(len(sizes), table, ("row", "id", "n_words", "log_prob")), "at": lists(flat["at"][first], edges, pa.int32()), "sums": lists(sums, edges, pa.float64())})
+        docs = docs.select(["block", "row", "id", "n_words", "log_prob", "at"]).append_column("sums", pa.nulls(len(docs), pa.list_(pa.float64())))
+        return pa.concat_tables([docs, found.cast(docs.schema)])
+
+    def add(table: pa.Table) -> pa.Table:
+        docs, some = table.filter(table["row"].is_valid()), table.filter(table["row"].is_null())
+        at, sums = (some[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) for name in ("at", "sums"))
+        row = docs["row"].to_numpy()
+        total = docs["log_prob"].to_numpy() + np.bincount(at, sums, len(docs))[row]
+        return pa.table({"id": docs["id"], "n_words": docs["n_words"], "log_prob": pa.array(total, pa.float64())})
+
+    dealt = chosen.mapInArrow(read_blocks, f"part int, {fields}, word array<long>, beside array<int>")
+    summed = dealt.groupBy("part").applyInArrow(count, f"{fields}, sums array<double>")
+    return with_mean(summed.groupBy("block").applyInArrow(add, f"id {kind}, n_words long, log_prob double"), id_col)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]:
     """Vocabulary and network of all documents; a table without words gives an untrained network."""
     texts = docs.select(F.col(text_col).alias("text"))
-    vocabulary = Vocabulary(count_words(texts))
+    words = cut_lineage(word_table(texts))
+    frequent = most_frequent(words)
+    distinct = np.zeros(BUCKETS, np.int64)
+    for r in words.where(~F.col("word").isin(frequent.view(np.int64).tolist())).groupBy("bucket").count().collect():
+        distinct[r["bucket"]] = r["count"]
+    vocabulary = Vocabulary(frequent, distinct)
     return vocabulary, train(texts, vocabulary)

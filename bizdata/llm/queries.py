@@ -38,7 +38,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return pseudo_likelihood.score(docs, *pseudo_likelihood.fit(docs))
+    return pseudo_likelihood.score_words(docs, *pseudo_likelihood.fit(docs))
 
 
 @query

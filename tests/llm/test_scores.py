@@ -128,6 +128,62 @@ def test_frequent_words_are_counted_over_all_documents(spark):
     assert found == [b, c, a]
 
 
+def rare_words(spark, rows):
+    """score_words beside score: per (doc_id, n_words) the part of words in their buckets."""
+    docs = frame(spark, rows)
+    fitted = pseudo_likelihood.fit(docs)
+    whole = {(r["doc_id"], r["n_words"]): r["log_prob"] for r in pseudo_likelihood.score_words(docs, *fitted).collect()}
+    bare = pseudo_likelihood.score(docs, *fitted).collect()
+    assert len(whole) == len({(r["doc_id"], r["n_words"]) for r in bare})
+    return fitted[0], {(r["doc_id"], r["n_words"]): whole[r["doc_id"], r["n_words"]] - r["log_prob"] for r in bare}
+
+
+def test_a_word_of_a_bucket_is_predicted_itself(spark, monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from bizdata.llm.words import NOT_SPACE, Words
+
+    monkeypatch.setattr(pseudo_likelihood, "OCCURRENCES", 500)  # several groups
+    P = pseudo_likelihood
+    rows = [*texts(11, 60, 400), (None, "no id", "x", "s", 0)]
+    vocabulary, got = rare_words(spark, rows)
+    alone, after, before, seen, words, sides = Counter(), Counter(), Counter(), [], {}, Counter()
+    for doc, text, *_ in rows:
+        read = Words(pa.array([text], pa.string()), NOT_SPACE)
+        ids, hashes = [P.EDGE, *vocabulary.ids(read).tolist(), P.EDGE], [0, *read.hashes().tolist(), 0]
+        for i in range(1, len(ids) - 1):
+            if ids[i] >= P.FREQUENT:
+                seen.append(((doc, len(ids) - 2), ids[i], hashes[i], ids[i - 1], ids[i + 1]))
+                words.setdefault(ids[i], set()).add(hashes[i])
+    for _, b, w, left, right in seen:
+        alone[w] += 1
+        after[w, left] += 1
+        before[w, right] += 1
+        sides.update([b, (b, "l", left), (b, "r", right)])
+
+    def probability(b, w, left, right, own):
+        out = (alone[w] - own + P.SHARE) / (sides[b] - 1 + P.SHARE * len(words[b]))
+        out = (after[w, left] - own + P.WEIGHT * out) / (sides[b, "l", left] - 1 + P.WEIGHT)
+        return (before[w, right] - own + P.WEIGHT * out) / (sides[b, "r", right] - 1 + P.WEIGHT)
+
+    want = Counter()
+    repeated = Counter((doc, len(Words(pa.array([t], pa.string()), NOT_SPACE))) for doc, t, *_ in rows)
+    for key, b, w, left, right in seen:
+        want[key] += np.log(probability(b, w, left, right, 1)) / repeated[key]
+    assert len(seen) > 1000 and all(abs(got[k] - want[k]) < 1e-6 * max(1, abs(want[k])) for k in got)
+    for _, b, w, left, right in seen[:20]:
+        assert abs(sum(probability(b, v, left, right, v == w) for v in words[b]) - 1) < 1e-9
+
+
+def test_made_up_words_score_below_words_of_the_corpus_that_end_alike(spark):
+    common = [(i, " ".join(f"c{j}" for j in range(800)), "x", "s", 0) for i in range(12)]
+    known = [(100 + i, "the blorking of it", "x", "s", 0) for i in range(10)]
+    _, got = rare_words(spark, [*common, *known, (200, "the zqxvking of it", "x", "s", 0)])
+    assert got[200, 4] < got[100, 4] - 1
+
+
 def test_every_position_is_trained_on_once():
     import pyarrow as pa
 
