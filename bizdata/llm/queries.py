@@ -54,8 +54,9 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    found = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
-    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+    found = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), prefixes=True)
+    whole = tokens.tokens_in_all(F.col("tokens_at"))
+    return found.select("doc_id", "n_bytes", whole.alias("n_tokens"), (whole > 2048).alias("over_limit"))
 
 
 @query
