@@ -1,13 +1,16 @@
 """Conversations in reply order without quotes, by linking quoted passages to the messages they come from.
 
 Column expressions only: lines are split and their quote levels read with regular expressions, quoted and own
-passages are hashed in a normal form, and the hashes are joined.
+lines are hashed in a normal form, and the hashes are joined. A quoted line that no message has as a line, because
+it was wrapped anew or is part of one, is looked up in runs of words of the passages that lines make up.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUOTE = r"^[ \t]*(?:>[ \t]?)*>"
+#: Words of a run; a passage of fewer words is one run.
+RUN = 5
 ATTRIBUTION = r"(?i)^[ \t]*(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,100}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)[ \t]*:[ \t]*$"
 
 
@@ -25,7 +28,7 @@ def lines_of(messages: DataFrame) -> DataFrame:
     """One row per line that holds a letter or digit: `level`, `at` (line number), `line` without quote marks, `passage`
     (normal form), `hash`. Levels are taken as written; lines that announce a quote are left out."""
     split = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n", -1)
-    return (messages.select("conv_id", "turn", F.posexplode(split).alias("at", "raw"))
+    return (messages.select("conv_id", "turn", F.xxhash64("text").alias("text_hash"), F.posexplode(split).alias("at", "raw"))
             .withColumn("level", level(F.col("raw")))
             .withColumn("line", F.regexp_replace("raw", QUOTE + "[ \t]?", ""))
             .withColumn("passage", normal(F.col("line"))).where(F.col("passage") != "")
@@ -33,6 +36,34 @@ def lines_of(messages: DataFrame) -> DataFrame:
             .withColumn("hash", F.xxhash64("passage")))
 
 
+def runs_of(lines: DataFrame) -> DataFrame:
+    """One row per run of RUN successive words of a passage, the successive lines of one level in a message: `run`
+    (normal form), `run_hash`, and `lines`, the numbers of the lines that the run touches. A passage of fewer words
+    is one run."""
+    message, passage = ["conv_id", "turn", "text_hash"], ["conv_id", "turn", "text_hash", "part"]
+    parts = (lines.select(*message, "level", "at", "passage").distinct()
+             .withColumn("new", F.coalesce(F.col("level") != F.lag("level").over(Window.partitionBy(*message).orderBy("at")), F.lit(True)))
+             .withColumn("part", F.sum(F.col("new").cast("int")).over(Window.partitionBy(*message).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))))
+    words = parts.select(*passage, "level", "at", F.posexplode(F.split("passage", " ")).alias("k", "word"))
+    order = Window.partitionBy(*passage).orderBy("at", "k")
+    found = words.select(*passage, "level", "at", F.row_number().over(order).alias("place"), F.collect_list(F.struct("at", "word")).over(order.rowsBetween(0, RUN - 1)).alias("held"))
+    return (found.where((F.size("held") == RUN) | (F.col("place") == 1))
+            .select("conv_id", "turn", "level", F.array_join(F.col("held.word"), " ").alias("run"), F.array_distinct(F.col("held.at")).alias("lines"))
+            .withColumn("run_hash", F.xxhash64("run")))
+
+
+def link_runs(lines: DataFrame, unlinked: DataFrame) -> DataFrame:
+    """For quoted lines without a source (`unlinked`), the earlier message that most runs touching the line come from
+    (ties: the first): `conv_id`, `turn`, `level`, `at`, `by_run`. Only their conversations are cut into runs."""
+    own = lines.where(F.col("level") == 0).join(unlinked.select("conv_id").distinct(), "conv_id", "left_semi")
+    said = runs_of(own).groupBy("conv_id", "run_hash", "run").agg(F.min("turn").alias("source"))
+    quoting = lines.join(unlinked.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi")
+    return (runs_of(quoting).where(F.col("level") > 0).join(said, ["conv_id", "run_hash", "run"]).where(F.col("source") < F.col("turn"))
+            .select("conv_id", "turn", "level", F.explode("lines").alias("at"), "source")
+            .groupBy("conv_id", "turn", "level", "at", "source").agg(F.count("*").alias("n"))
+            .groupBy("conv_id", "turn", "level", "at").agg(F.max_by("source", F.struct("n", -F.col("source"))).alias("by_run")))
+
+
 def own_text(text: Column) -> Column:
     """A message without quoted lines and without the line that announces a quote."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1)
@@ -45,7 +76,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     (quoted lines), `n_linked` (those found in an earlier message of the conversation).
 
     A quoted line's source is the first message of its conversation that has that line as its own, in normal form; the
-    texts are compared after the hashes. A message answers the source of most of its outermost quoted lines (ties:
+    texts are compared after the hashes. A line that has none so takes the message that most runs of RUN words touching
+    it come from, runs of the passage that successive lines of one level make up; so quotes that were wrapped anew
+    and parts of lines are found, from RUN words on or if they are a whole passage. LINK_SQL has the rule for whole
+    lines only and agrees where no quote needs runs. A message answers the source of most of its outermost quoted lines (ties:
     the later one); without a source, the turn before it, if there is one; else it begins a thread (null). Sorting
     a conversation by reply_to (nulls first) and turn puts every message after the one it answers and replies to
     one message together; `reply_order` gives that order without gathering a conversation in one task.
@@ -61,6 +95,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     sources = (lines.where(F.col("level") == 0).groupBy("conv_id", "hash", "passage").agg(F.min("turn").alias("source")))
     found = (quoted.join(sources, ["conv_id", "hash", "passage"], "left")
              .withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source"))))
+    by_run = link_runs(lines, found.where(F.col("source").isNull()))
+    found = found.join(by_run, ["conv_id", "turn", "level", "at"], "left").withColumn("source", F.coalesce("source", "by_run"))
     outer = found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quoted"), F.count("source").alias("n_linked"), F.min(F.when(F.col("source").isNotNull(), F.col("level"))).alias("outer"))
     votes = (found.where(F.col("source").isNotNull()).groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("votes"))
              .groupBy("conv_id", "turn", "level").agg(F.max_by("source", F.struct("votes", "source")).alias("answered"))
@@ -77,7 +113,7 @@ def reply_order(linked: DataFrame) -> DataFrame:
     return linked.orderBy("conv_id", F.col("reply_to").asc_nulls_first(), "turn")
 
 
-#: The same in DuckDB over the table `conversations`.
+#: The rule for whole lines in DuckDB over the table `conversations`.
 LINK_SQL = r"""
 WITH lines AS (
   SELECT DISTINCT conv_id, turn, unnest(generate_series(1, len(parts))) AS line_no, unnest(parts) AS raw

@@ -110,3 +110,20 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")
     plan = quotations.reply_order(quotations.link_quotes(df))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+def test_quotes_wrapped_anew_or_in_part_are_linked(spark):
+    long = "The quick brown fox jumps over the lazy dog near the river bank while the old farmer sleeps under a tree"
+    other = "Nobody knows what the weather will be like tomorrow in the mountains"
+    talk = [(1, 0, "a", long), (1, 1, "b", other), (1, 2, "c", "something else"),
+            (1, 3, "d", "> The quick brown fox jumps over the lazy\n> dog near the river bank while the old\n> farmer sleeps under a tree\nyes"),
+            (1, 4, "e", "> ... what the weather will be like ...\nno idea"), (1, 5, "f", "> what the moon will be like\nhm"),
+            (1, 6, "g", "> > The quick brown fox\n> > jumps over the lazy dog\n> no\n> idea\nok"), (2, 1, "a", "> jumps over the lazy dog near the river"),
+            (1, 7, "h", "> something\n> else\nshort"), (1, 7, "h", "> something\n> else\nshort")]
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_quoted"], r["n_linked"]) for r in quotations.link_quotes(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 3] == (0, 3, 3)
+    assert got[1, 4] == (1, 1, 1)
+    assert got[1, 5] == (4, 1, 0)
+    assert got[1, 6] == (4, 4, 4)
+    assert got[1, 7] == (2, 2, 2)
+    assert got[2, 1] == (None, 1, 0)
