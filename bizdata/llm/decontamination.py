@@ -131,9 +131,9 @@ def count_shingles(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Items]:
-    """The index in blocks of bounded size: items are dealt by a hash, as many blocks as their words ask for."""
+    """The index in blocks of bounded size: items, repeated ones once, are dealt by a hash, as many blocks as their words ask for."""
     words = F.size(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
-    chosen = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), words.alias("n"))
+    chosen = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), words.alias("n")).dropDuplicates(["id", "text"])
     total = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     many = -(-total // block_words)
     for k in range(many):

@@ -95,7 +95,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     """Documents packed into sequences of at most `capacity` tokens; one row per piece of a document.
 
     A document is its ids and then `end_id`. It is cut into full pieces, each a sequence of its own, and a last
-    piece. Last pieces are dealt at random (a hash of id and start, so a retried task agrees) into groups of about
+    piece. Last pieces are dealt at random (a hash of id, start and row number, written before it is read, so a retried task agrees and equal rows part) into groups of about
     `windows_per_group` windows, and each group is packed by differencing: near-equal windows, one more of them
     whenever one would pass the capacity, so about one part in `windows_per_group` is padding. A group holds a
     bounded number of last pieces however skewed ids and texts are.
@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     no rows out; other columns are ignored, whatever their names.
     """
     cut = pieces(docs, path, capacity, end_id, id_col, text_col).withColumnRenamed(id_col, "doc")
-    kept = cut_lineage(cut.withColumn("salt", F.xxhash64("doc", "start", "ids_crc32")))
+    kept = cut_lineage(cut.withColumn("salt", F.xxhash64("doc", "start", "ids_crc32", F.monotonically_increasing_id())))
     total = kept.where(F.col("length") < capacity).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()["t"]
     groups = max(1, round(total / (capacity * windows_per_group)))
     group = F.pmod(F.col("salt"), F.lit(groups)).cast("int")

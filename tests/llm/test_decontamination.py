@@ -58,3 +58,13 @@ def test_empty_tables(spark):
     assert find_items(spark.createDataFrame([], SCHEMA), none).count() == 0
     rows = texts(5, 20)
     assert all(not r["hits"] and not r["items"] for r in find_items(frame(spark, rows), none).collect())
+
+
+def test_repeated_items_are_one(spark, monkeypatch):
+    from bizdata.llm import decontamination
+
+    sizes, real = [], decontamination.Items
+    monkeypatch.setattr(decontamination, "Items", lambda ids, *a: sizes.append(len(ids)) or real(ids, *a))
+    text = " ".join(f"word{i}" for i in range(20))
+    items = spark.createDataFrame([("a", text)] * 500 + [("b", text)], "item_id string, text string")
+    assert len(list(decontamination.blocks(items, "item_id", "text", 10, 100))) == len(sizes) and sum(sizes) == 2

@@ -58,3 +58,12 @@ def test_pieces_of_all_documents(spark):
 
 def test_no_rows(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_equal_rows_are_dealt_to_many_groups(spark):
+    rows = [(None, "the same text", "x", "s", 0)] * 2000
+    got = pack_documents(frame(spark, rows), PATH, capacity=64, windows_per_group=4).select("sequence_id").collect()
+    groups = defaultdict(int)
+    for r in got:
+        groups[r["sequence_id"] >> 32] += 1
+    assert len(got) == 2000 and len(groups) > 10 and max(groups.values()) < 300
