@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from .labelled import Logistic, remainder, sample
 
-#: Bounds of what is learned: labelled texts read, bytes of each that a dictionary is built from, dictionary bytes.
+#: Bounds of what is learned: labelled texts read, bytes of each class and of each text that a dictionary is built from,
+#: dictionary bytes.
 LABELLED_TEXTS = 6_000
 BYTES_PER_CLASS = 4 << 20
+BYTES_PER_TEXT = 64 << 10
 DICTIONARY_BYTES = 64 << 10
 BLOCK = 2048
 LEVEL = 3
@@ -34,6 +36,14 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(blocks)[:DICTIONARY_BYTES] or b" " * 8
 
 
+def excerpt(text: Column) -> Column:
+    """Bytes of a text; of one of more than BYTES_PER_TEXT, blocks at even distances that fill as many."""
+    raw, many = F.coalesce(text, F.lit("")).cast("binary"), BYTES_PER_TEXT // BLOCK
+    last = F.floor(F.octet_length(raw) / BLOCK) - 1  # the last whole block
+    parts = [F.substring(raw, (F.floor(last * k / (many - 1)) * BLOCK + 1).cast("int"), F.lit(BLOCK)) for k in range(many)]
+    return F.when(F.octet_length(raw) <= BYTES_PER_TEXT, raw).otherwise(F.concat(*parts))
+
+
 class Model:
     def __init__(self, good: bytes, bad: bytes, fit: Logistic | None = None) -> None:
         self.good, self.bad, self.fit = good, bad, fit
@@ -80,10 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, limit:
     texts = sample(docs, labels, "quality", train, limit).dropDuplicates(["text", "label"]).persist()
     half = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)) == 0
     order = Window.partitionBy("label").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    built = (texts.where(half).withColumn("h", F.xxhash64("text", F.lit(1)))
-             .withColumn("sum", F.sum(F.octet_length("text")).over(order)).where(F.col("sum") <= BYTES_PER_CLASS)
-             .select("text", "label").collect())
-    raw = {k: [r["text"].encode() for r in built if r["label"] == k and r["text"]] for k in (0, 1)}
+    built = (texts.where(half).withColumn("h", F.xxhash64("text", F.lit(1))).withColumn("part", excerpt(F.col("text")))
+             .withColumn("sum", F.sum(F.octet_length("part")).over(order)).where(F.col("sum") <= BYTES_PER_CLASS)
+             .select("part", "label").collect())
+    raw = {k: [bytes(r["part"]) for r in built if r["label"] == k and r["part"]] for k in (0, 1)}
     model = Model(dictionary(raw[1]), dictionary(raw[0]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -192,3 +192,15 @@ def test_every_position_is_trained_on_once():
     read = Words(pa.array(["the a b c d e f", "the", None, "the x", "", "y z w"], pa.string()), NOT_SPACE)
     at = [pseudo_likelihood.targets(read, turn, pseudo_likelihood.ROUNDS).tolist() for turn in range(pseudo_likelihood.ROUNDS)]
     assert sorted(sum(at, [])) == list(range(len(read)))
+
+
+def test_a_long_text_does_not_empty_a_dictionary(spark):
+    rng = random.Random(3)
+    long = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(600_000)) for _ in range(6)]
+    docs = spark.createDataFrame([*((i, t) for i, t in enumerate(long)), *((100 + i, f"bad text {i}") for i in range(6))], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, 1, 0) for i in range(6)), *((100 + i, 0, 0) for i in range(6))], "doc_id long, quality int, toxic int")
+    assert all(len(t) > quality.BYTES_PER_CLASS for t in long)
+    model = quality.fit(docs, labels, labelled.remainder("doc_id", 3) != 7)
+    assert len(model.good) > 1000
+    parts = docs.where("doc_id < 6").select(quality.excerpt(docs["text"]).alias("p"), "text").collect()
+    assert all(len(r["p"]) == quality.BYTES_PER_TEXT and bytes(r["p"][-2000:]) in r["text"].encode()[-3 * quality.BLOCK:] for r in parts)
