@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, labelled, near_duplicates, neighbours, packing, pseudo_likelihood, quality, quotations, substrings, tokens, toxicity
+from . import decontamination, labelled, near_duplicates, neighbours, packing, pseudo_likelihood, quality, quotations, substrings, tokens, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,9 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
