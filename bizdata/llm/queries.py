@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, labelled, near_duplicates, neighbours, packing, pseudo_likelihood, quality, quotations, substrings, tokens, toxicity, whitening
+from . import decontamination, labelled, near_duplicates, neighbours, packing, pseudo_likelihood, quality, quotations, substrings, tokens, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,14 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     found = whitening.whiten(table(spark, folder, "embeddings"))
     return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    archives = warc.write_archives(pages)
+    found = warc.lookup(warc.build_index(archives), pages)
+    return warc.read_records(found, archives.folder, payload=False).drop("url", "intact")
+
+
+ORACLES["op12_warc"] = warc.PAGES_SQL
