@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, labelled, near_duplicates, neighbours, packing, pseudo_likelihood, quality, quotations, substrings, tokens, toxicity, warc, whitening
+from . import decontamination, labelled, near_duplicates, neighbours, packing, prefix_trie, pseudo_likelihood, quality, quotations, substrings, tokens, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,11 @@ def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_warc"] = warc.PAGES_SQL
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.branches(prefix_trie.sequences(table(spark, folder, "conversations"))))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.TRIE_SQL
