@@ -145,13 +145,42 @@ def contacts_with_validation(contacts: DataFrame, validations: DataFrame) -> Dat
     return contacts.join(facts, "contact_id", "left")
 
 
+def first_containing(stored: DataFrame, text: Column, stored_id: str, needles: DataFrame, needle: str, mark: str = ".") -> DataFrame:
+    """For each distinct `needle` the lowest `stored_id` whose text contains it anywhere: (needle, hit); the others are absent.
+
+    A needle is found around its first `mark`: every mark of a stored text is a place where it may lie, and what lies
+    there is cut out in the shapes (characters before the first mark, and from it on) that occur among the needles. So a
+    text gives marks times shapes keys, not all its pieces, and the match is an equi-join on whole needles. Needles without the mark
+    are cut out at every place in the lengths that occur among them. Only names of hosts are meant: needles of more than 253
+    characters match nothing. Keys are reduced to their lowest id before the shuffle, so a site of very many rows is one key a task.
+    """
+    wanted = needles.select(F.col(needle).alias("_needle")).where(F.col("_needle").isNotNull() & F.length("_needle").between(1, 253)).distinct()
+    before = F.instr("_needle", F.lit(mark)) - 1
+    shapes = wanted.agg(F.collect_set(F.when(before >= 0, F.struct(before.alias("left"), (F.length("_needle") - before).alias("right")))).alias("_shapes"),
+                        F.collect_set(F.when(before < 0, F.length("_needle"))).alias("_sizes"))
+    # one row: at most 253 sizes, and as many shapes as a label of a host and the rest of one can make
+    texts = stored.select(F.col(stored_id).alias("_id"), text.alias("_text")).where(F.col("_text").isNotNull() & (F.col("_text") != "")).join(F.broadcast(shapes))
+    # where the marks are: the lengths of the parts between them, added up
+    parts = F.transform(F.split("_text", F.lit("\\" + mark)), lambda p: F.length(p) + 1)
+    ends = F.aggregate(parts, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    marks = F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 2, F.lit(0)))
+    at_marks = F.flatten(F.transform(marks, lambda at: F.transform("_shapes", lambda s: F.when(
+        (at - s["left"] >= 1) & (at + s["right"] - 1 <= F.length("_text")), F.substr("_text", at - s["left"], s["left"] + s["right"])))))
+    fitting = F.filter("_sizes", lambda n: n <= F.length("_text"))
+    everywhere = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda at: F.substr("_text", at, n))))
+    keys = texts.select("_id", F.explode(F.array_distinct(F.array_compact(F.concat(at_marks, everywhere)))).alias("_needle"))
+    found = keys.groupBy("_needle").agg(F.min("_id").alias("hit"))
+    return found.join(wanted, "_needle", "left_semi").select(F.col("_needle").alias(needle), "hit")
+
+
 def possible_duplicates(new: DataFrame, accounts: DataFrame, new_id: str = "new_id") -> DataFrame:
-    """J-24: lowest existing account with the same lower-case name, and the lowest one on the same host."""
+    """J-24: lowest existing account with the same lower-case name, and the lowest one whose website contains the host of the
+    new one, as in `https://shop.acme.test/home` for `acme.test`; letters of a website count as lower-case ones."""
     by_name = accounts.groupBy(F.lower("company_name").alias("_name")).agg(F.min("account_id").alias("name_match"))
-    by_host = (accounts.select(domain("website").alias("_host"), "account_id").dropna(subset=["_host"])
-               .groupBy("_host").agg(F.min("account_id").alias("site_match")))
-    return (new.join(by_name, F.lower("company_name") == F.col("_name"), "left")
-            .join(by_host, domain("website") == F.col("_host"), "left")
+    hosted = new.withColumn("_host", domain("website"))
+    by_site = first_containing(accounts, F.lower("website"), "account_id", hosted, "_host").withColumnRenamed("hit", "site_match")
+    return (hosted.join(by_name, F.lower("company_name") == F.col("_name"), "left")
+            .join(by_site, "_host", "left")
             .filter(F.col("name_match").isNotNull() | F.col("site_match").isNotNull())
             .select(new_id, "name_match", "site_match"))
 

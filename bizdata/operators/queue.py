@@ -38,22 +38,27 @@ def upsert_queue(queue: DataFrame, wanted: DataFrame) -> DataFrame:
 def apply_results(queue: DataFrame, results: DataFrame, as_of: str) -> DataFrame:
     """P-31: state transitions from (queue_id, result, error).
 
-    started: processing, one attempt more.  completed: done.  failed: 'failed' when the attempts are used
-    up, else pending again in one hour.
+    started: processing.  completed: done.  failed: 'failed' when the attempts are used up, else pending again in
+    one hour.  Every "started" row of a job is an attempt more, whatever else the batch says of the job, and counts
+    before the attempts are judged; rows that repeat an `event_id`, if there is such a column, count once.  Of several
+    results a final one decides, completed before failed, with the greatest error text.
     """
     now = as_time(as_of)
-    # one result per job: a final one before 'started', the greatest error text of several
+    if "event_id" in results.columns:
+        results = results.dropDuplicates(["queue_id", "event_id"])
     final = F.when(F.col("result") == "completed", 2).when(F.col("result") == "failed", 1).otherwise(0)
     res = results.filter(F.col("queue_id").isNotNull()).groupBy("queue_id").agg(
-        F.max_by("result", final).alias("_r"), F.max_by("error", F.struct(final, "error")).alias("_e"))
+        F.max_by("result", final).alias("_r"), F.max_by("error", F.struct(final, "error")).alias("_e"),
+        F.count_if(F.col("result") == "started").cast("int").alias("_starts"))
     out = queue.join(res, "queue_id", "left")
     r = F.col("_r")
-    spent = F.col("attempts") >= F.col("max_attempts")
+    attempts = F.col("attempts") + F.coalesce("_starts", F.lit(0))
+    spent = attempts >= F.col("max_attempts")
     changed = {
         "status": F.when(r == "started", "processing").when(r == "completed", "completed")
         .when((r == "failed") & spent, "failed").when(r == "failed", "pending").otherwise(F.col("status")),
-        "attempts": F.when(r == "started", F.col("attempts") + 1).otherwise(F.col("attempts")),
-        "started_at": F.when(r == "started", now).otherwise(F.col("started_at")),
+        "attempts": attempts,
+        "started_at": F.when(F.col("_starts") > 0, now).otherwise(F.col("started_at")),
         "completed_at": F.when(r == "completed", now).otherwise(F.col("completed_at")),
         "scheduled_for": F.when(r == "failed", now + F.expr("INTERVAL '1' HOUR")).otherwise(F.col("scheduled_for")),
         "error_message": F.when(r == "failed", F.col("_e")).otherwise(F.col("error_message")),

@@ -343,13 +343,20 @@ query("p30_upsert_queue", """
       FULL JOIN (SELECT c_custkey AS company_id, 9 AS priority FROM customer) w ON j.company_id = w.company_id
     UNION ALL SELECT company_id, priority FROM jobs_v WHERE status <> 'pending'""")(
     lambda t: queue.upsert_queue(t.jobs, t.sql("SELECT c_custkey AS company_id, 9 AS priority FROM customer")).select("company_id", "priority"))
+# every line item of an order is an event of its job, so a job may be started several times and fail in one batch; delivered twice
+EVENTS = """SELECT DISTINCT l_orderkey AS queue_id, l_orderkey * 10 + l_linenumber AS event_id,
+    CASE l_linenumber % 3 WHEN 1 THEN 'started' WHEN 2 THEN 'failed' ELSE CASE WHEN l_orderkey % 4 = 0 THEN 'completed' ELSE 'started' END END AS result,
+    CASE WHEN l_linenumber % 3 = 2 THEN 'timeout ' || CAST(l_linenumber AS STRING) END AS error FROM lineitem WHERE l_orderkey % 5 > 0"""
 query("p31_apply_results", f"""
-    SELECT j.queue_id, CASE WHEN r.result = 'started' THEN 'processing' WHEN r.result = 'completed' THEN 'completed'
-        WHEN r.result = 'failed' THEN CASE WHEN attempts >= max_attempts THEN 'failed' ELSE 'pending' END ELSE j.status END AS status,
-      attempts + CASE WHEN r.result = 'started' THEN 1 ELSE 0 END AS attempts,
-      CASE WHEN r.result = 'failed' THEN {NOW} + INTERVAL 1 HOUR ELSE scheduled_for END AS scheduled_for, CASE WHEN r.result = 'failed' THEN r.error END AS error_message
-    FROM jobs_v j LEFT JOIN results_v r ON j.queue_id = r.queue_id""")(
-    lambda t: queue.apply_results(t.jobs, t.results.unionByName(t.results), AS_OF).select("queue_id", "status", "attempts", "scheduled_for", "error_message"))
+    SELECT j.queue_id, CASE WHEN done > 0 THEN 'completed' WHEN failed > 0 THEN CASE WHEN attempts + started >= max_attempts THEN 'failed' ELSE 'pending' END
+        WHEN started > 0 THEN 'processing' ELSE j.status END AS status,
+      CAST(attempts + COALESCE(started, 0) AS INT) AS attempts, CASE WHEN started > 0 THEN {NOW} ELSE started_at END AS started_at,
+      CASE WHEN failed > 0 AND done = 0 THEN {NOW} + INTERVAL 1 HOUR ELSE scheduled_for END AS scheduled_for,
+      CASE WHEN done > 0 THEN {NOW} ELSE completed_at END AS completed_at, CASE WHEN failed > 0 AND done = 0 THEN r.error END AS error_message
+    FROM jobs_v j LEFT JOIN (SELECT queue_id, COUNT(*) FILTER (result = 'started') AS started, COUNT(*) FILTER (result = 'failed') AS failed,
+        COUNT(*) FILTER (result = 'completed') AS done, MAX(error) FILTER (result = 'failed') AS error FROM ({EVENTS}) GROUP BY queue_id) r ON j.queue_id = r.queue_id""")(
+    lambda t: queue.apply_results(t.jobs, t.sql(f"{EVENTS} UNION ALL {EVENTS}"), AS_OF).select(
+        "queue_id", "status", "attempts", "started_at", "scheduled_for", "completed_at", "error_message"))
 query("p32_assign_batch", f"""
     SELECT queue_id, CAST(NTILE(7) OVER (ORDER BY priority DESC, created_at, queue_id) AS INT) AS worker FROM (SELECT * FROM jobs_v WHERE status = 'pending'
       AND scheduled_for <= {NOW} AND attempts < max_attempts ORDER BY priority DESC, created_at, queue_id LIMIT 100)""")(

@@ -142,15 +142,19 @@ query("j23_company_detail", """
         "id", F.size("contacts").cast("bigint").alias("n_contacts"),
         F.array_join(F.transform("sources", lambda s: F.concat(s["source_name"], F.lit(":"), s["reliability"].cast("string"))), ",").alias("sources")))
 
+# stored sites with subdomains, paths that name another host, ports and capitals; new ones with and without a dot
+SITES = """SELECT account_id, company_name, CASE WHEN account_id % 5 = 0 THEN 'https://Shop.' || REPLACE(REPLACE(website, 'https://www.', ''), '/', '') || ':8080/home'
+    WHEN account_id % 7 = 0 THEN 'http://example.org/to/' || website WHEN account_id % 11 = 0 THEN 'my' || website ELSE website END AS website FROM accounts_v"""
+ARRIVED = """SELECT contact_id AS new_id, CASE WHEN contact_id % 2 = 0 THEN 'CITY Dental Clinic 1 LIMITED' ELSE 'Pizza' END AS company_name,
+    CASE WHEN contact_id % 13 = 0 THEN 'localhost' WHEN contact_id % 17 = 0 THEN 'http://e4.test' WHEN contact_id % 19 = 0 THEN 'https://shop.site' || CAST(contact_id % 90 AS STRING) || '.test'
+      WHEN contact_id % 23 = 0 THEN 'Y/site' WHEN contact_id % 29 = 0 THEN NULL ELSE 'site' || CAST(contact_id % 90 AS STRING) || '.test/x' END AS website FROM contacts_v"""
 query("j24_possible_duplicates", f"""
-    SELECT new_id, name_match, site_match FROM (SELECT n.new_id,
-        (SELECT MIN(account_id) FROM accounts_v a WHERE LOWER(a.company_name) = LOWER(n.company_name)) AS name_match,
-        (SELECT MIN(account_id) FROM accounts_v a WHERE {DOMAIN.format(c='a.website')} = {DOMAIN.format(c='n.website')}) AS site_match
-      FROM (SELECT contact_id AS new_id, CASE WHEN contact_id % 2 = 0 THEN 'City Dental Clinic 1 LIMITED' ELSE 'Pizza' END AS company_name,
-        'site' || CAST(contact_id % 90 AS STRING) || '.test/x' AS website FROM contacts_v) n)
+    WITH n AS (SELECT *, {DOMAIN.format(c='website')} AS host FROM ({ARRIVED})), s AS (SELECT account_id, company_name, LOWER(website) AS site FROM ({SITES})),
+      by_name AS (SELECT LOWER(company_name) AS name, MIN(account_id) AS name_match FROM s GROUP BY 1),
+      by_site AS (SELECT host, MIN(account_id) AS site_match FROM (SELECT DISTINCT host FROM n) h JOIN s ON CONTAINS(s.site, h.host) GROUP BY host)
+    SELECT new_id, name_match, site_match FROM n LEFT JOIN by_name ON LOWER(n.company_name) = by_name.name LEFT JOIN by_site ON by_site.host = n.host
     WHERE name_match IS NOT NULL OR site_match IS NOT NULL""")(
-    lambda t: joins.possible_duplicates(t.sql("""SELECT contact_id AS new_id, CASE WHEN contact_id % 2 = 0 THEN 'CITY Dental Clinic 1 LIMITED' ELSE 'Pizza' END
-        AS company_name, 'site' || CAST(contact_id % 90 AS STRING) || '.test/x' AS website FROM contacts_v"""), t.accounts))
+    lambda t: joins.possible_duplicates(t.sql(ARRIVED), t.sql(SITES)))
 
 query("j25_accounts_needing_contacts", f"""
     SELECT account_id FROM (SELECT a.*, COALESCE(contact_count, 0) AS k FROM accounts_v a LEFT JOIN
