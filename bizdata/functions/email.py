@@ -41,14 +41,19 @@ def is_personal(c: Column | str) -> Column:
     return F.coalesce(~role & shape, F.lit(False))
 
 
-def addresses(c: Column | str, pattern: str) -> Column:
-    """All matches of an address pattern, in time linear in the text.
+def guarded(pattern: str) -> str:
+    """An address pattern that reads every run of a text once.
 
     The pattern alone starts at every character of a run and reads it to its end. All starts in one run share what
     follows the run, so the leftmost match starts where a run does, or where the match before ended (\\G).
     """
     mailbox, rest = pattern.split("+@", 1)
-    return F.regexp_extract_all(as_col(c), F.lit(f"(?:(?<!{mailbox})|\\G){mailbox}++@{rest}"), F.lit(0))
+    return f"(?:(?<!{mailbox})|\\G){mailbox}++@{rest}"
+
+
+def addresses(c: Column | str, pattern: str) -> Column:
+    """All matches of an address pattern, in time linear in the text."""
+    return F.regexp_extract_all(as_col(c), F.lit(guarded(pattern)), F.lit(0))
 
 
 def extract_emails(c: Column | str, limit: int | None = None) -> Column:

@@ -71,6 +71,9 @@ UK_ADDRESS_LINE = r"(?i)[\d\w\s,]+[A-Z]{1,2}\d{1,2}[A-Z]?\s*\d[A-Z]{2}"
 EMAIL_SYNTAX = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 EMAIL_IN_TEXT = r"[a-zA-Z0-9._-]+@[a-zA-Z0-9._-]+\.[a-zA-Z0-9._-]+"
 EMAIL_ON_SITE = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+MAILTO_LINK = r"(?is)<a\s[^>]*href=[\"']mailto:([^\"'?>\s]+)[^>]*>(.*?)</a>"
+MAILTO = r"(?i)mailto:[^\"'>\s]+"
+FULL_NAME_PAIR = r"\b([A-Z][a-z]+)\s+([A-Z][a-z]+)\b"
 GENERATED_SYNTAX = r"^[a-z0-9._-]+@[a-z0-9.-]+\.[a-z]{2,}$"
 DISPOSABLE_DOMAINS = [
     "tempmail.com", "throwaway.email", "guerrillamail.com", "mailinator.com", "temp-mail.org",
@@ -119,6 +122,11 @@ FAKE_EMAIL_PARTS = [
 GIBBERISH = r"^[^aeiouAEIOU]{6,}$|(.)\1{4,}|^[a-z]{1,2}\d{3,}|^\d+$"
 
 # --- people and titles ----------------------------------------------------- fixed values
+NAME_PAIR = r"\b([A-Z][a-z]{1,15})\s+([A-Z][a-z]{1,20})\b"
+NAME_DASH_TITLE = (
+    r"([A-Z][a-z]{2,15}(?:\s+[A-Z][a-z]{0,15})*)\s*[-–—|]\s*([A-Za-z\s&,./]+?)(?:\s+at\s+|\s+@\s+|\s*\||\s*LinkedIn)"
+)
+NAME_COMMA_TITLE = r"([A-Z][a-z]{1,15}\s+[A-Z][a-z]{1,20})\s*,\s+([A-Za-z\s]+)"
 WORD_ENDINGS_STRICT = (
     r"(tion|ment|ness|ship|hood|ity|ism|ous|ful|less|able|ible|ward|wise|like|free|ing|ence|ance"
     r"|ery|ory|ure|ive|ical|ular|dom)$"

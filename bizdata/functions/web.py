@@ -23,7 +23,7 @@ def site_key(c: Column | str) -> Column:
 
 
 def candidate_urls(name: Column | str, location: Column | str) -> Column:
-    """Web addresses a company of this name could own; nothing is fetched."""
+    """Web addresses a company of this name could own, NULL without a name; nothing is fetched."""
     stem = F.regexp_replace(F.lower(as_col(name)), rules.LEGAL_WORDS_IN_URLS, "")
     stem = F.regexp_replace(stem, r"[^a-z0-9]", "")
     where = F.lower(F.coalesce(as_col(location), F.lit("")))
@@ -39,7 +39,7 @@ def candidate_urls(name: Column | str, location: Column | str) -> Column:
     ))
     with_www = F.transform(endings, lambda e: F.concat(F.lit("https://www."), stem, e))
     bare = F.transform(endings, lambda e: F.concat(F.lit("https://"), stem, e))
-    return F.concat(with_www, bare)
+    return F.when(as_col(name).isNotNull(), F.concat(with_www, bare))
 
 
 def blocked_host(url: Column | str) -> Column:

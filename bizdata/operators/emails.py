@@ -4,11 +4,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.email import (apply_pattern, candidate_locals, detect_pattern, email_score, email_score_detailed,
+from ..functions.email import (apply_pattern, guarded, candidate_locals, detect_pattern, email_score, email_score_detailed,
                                fallback_pattern, is_generic, is_personal,
                                local_part, mail_domain, site_emails)
 from ..functions.names import parse_name
-from ..functions.presence import missing, present
+from ..functions.nearby import occurrences
+from ..functions.presence import blank_to_null, missing, present
 from ..functions.web import domain, visible_text
 from .keys import compute_once, first_n, keep_first
 
@@ -51,26 +52,42 @@ def confirm_pattern(contacts: DataFrame, per_domain: int | None = None) -> DataF
 def page_emails(pages: DataFrame) -> DataFrame:
     """Addresses on pages that belong to the page's own host: (domain, email, first_name, last_name, pos).
 
-    The name is the last pair of capitalised words in the 120 characters before the address.
+    The name is the pair of capitalised words nearest to any place where the page prints the address, within 120
+    characters before or after it; a mail link to the address is a place at no distance from the pair in its own text.
+    Of equally near ones the one before the address counts, then the first on the page.
     """
     read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _text=visible_text("html"), _emails=site_emails("html"))
-
-    def piece(email: Column) -> Column:
-        lead = F.length(F.call_function("substring_index", F.lower(F.col("_text")), email, F.lit(1)))
-        return F.struct(email.alias("email"), F.when(lead < F.length("_text"), F.right(F.left(F.col("_text"), lead), F.lit(120))).alias("_shown"))
-
-    cut = compute_once(read, _pieces=F.transform("_emails", piece))
-    found = cut.select("page_id", "domain", F.posexplode("_pieces").alias("_i", "_p")).select("page_id", "domain", "_i", "_p.*")
+    listed = read.select("page_id", "domain", F.posexplode("_emails").alias("_i", "email"))
+
+    def pair(text: Column, place: int) -> Column:
+        return F.try_element_at(F.regexp_extract_all(text, F.lit(rules.FULL_NAME_PAIR), F.lit(0)), F.lit(place))
+
+    printed = compute_once(read, _places=occurrences("_text", guarded(rules.EMAIL_ON_SITE), 120, 120, least=6)).select(
+        "page_id", "domain", F.posexplode("_places").alias("_k", "_p"))
+    named = compute_once(printed, _left=pair(F.col("_p.before"), -1), _right=pair(F.col("_p.after"), 1))
+
+    def gap(side: str, name: str, count: int) -> Column:
+        return F.length(F.call_function("substring_index", F.col(f"_p.{side}"), F.col(name), F.lit(count)))
+
+    around = named.select("page_id", "domain", "_k", F.lower("_p.found").alias("email"), F.explode(F.array(
+        F.struct(gap("before", "_left", -1).alias("_gap"), F.lit(1).alias("_side"), F.col("_left").alias("_name")),
+        F.struct(gap("after", "_right", 1).alias("_gap"), F.lit(2).alias("_side"), F.col("_right").alias("_name")))).alias("_c")).select(
+        "page_id", "domain", "email", "_k", "_c.*")
+    links = F.arrays_zip(F.regexp_extract_all("html", F.lit(rules.MAILTO_LINK), F.lit(1)).alias("to"),
+                         F.regexp_extract_all("html", F.lit(rules.MAILTO_LINK), F.lit(2)).alias("said"))
+    linked = compute_once(read, _links=links).select("page_id", "domain", F.posexplode("_links").alias("_k", "_l"))
+    linked = compute_once(linked, _name=pair(F.regexp_replace("_l.said", "<[^>]+>", " "), 1)).select(
+        "page_id", "domain", F.lower("_l.to").alias("email"), "_k", F.lit(0).alias("_gap"), F.lit(0).alias("_side"), "_name")
+    nearest = around.unionByName(linked).where(F.col("_name").isNotNull()).groupBy("page_id", "domain", "email").agg(
+        F.min(F.struct("_gap", "_side", "_k", "_name"))["_name"].alias("_name"))
     stem = F.split_part("domain", F.lit("."), F.lit(1))
     host = mail_domain("email")
-    near = found.filter((host == F.col("domain")) | F.contains(host, stem))
-    pair = r"\b([A-Z][a-z]+)\s+([A-Z][a-z]+)\b"
+    near = listed.filter((host == F.col("domain")) | F.contains(host, stem)).join(nearest, ["page_id", "domain", "email"], "left")
 
     def part(group: int) -> Column:
-        return F.try_element_at(F.regexp_extract_all("_shown", F.lit(pair), F.lit(group)), F.lit(-1))
+        return F.nullif(F.regexp_extract("_name", rules.FULL_NAME_PAIR, group), F.lit(""))
 
-    named = compute_once(near, first_name=part(1), last_name=part(2))
-    return named.select("domain", "email", "first_name", "last_name", F.struct("page_id", "_i").alias("pos"))
+    return near.select("domain", "email", part(1).alias("first_name"), part(2).alias("last_name"), F.struct("page_id", "_i").alias("pos"))
 
 
 def mine_patterns(accounts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -82,25 +99,45 @@ def mine_patterns(accounts: DataFrame, pages: DataFrame) -> DataFrame:
     return hosts.join(patterns, "domain").select("account_id", "domain", "email_format", "n_addresses")
 
 
-def name_part_index(pages: DataFrame) -> DataFrame:
-    """(domain, part) -> first personal address on the host whose local part contains `part`.
+def personal_page_emails(pages: DataFrame) -> DataFrame:
+    """(domain, email) -> first place (pos) of each personal address at a page's own host."""
+    read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _emails=site_emails("html"))
+    found = read.select("domain", "page_id", F.posexplode("_emails").alias("_i", "email"))
+    own = found.filter((mail_domain("email") == F.col("domain")) & is_personal("email") & (F.length(local_part("email")) <= 64))
+    return own.groupBy("domain", "email").agg(F.min(F.struct("page_id", "_i")).alias("pos"))
+
+
+def name_part_index(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """(domain, part) -> first personal address on the host whose local part contains `part`, for `names` (domain, part).
 
-    Every substring of a local part is a key, so the later "contains the name" test is an equi-join
-    and nothing grows with the number of contacts times the number of addresses of one host. A local part has
-    at most 64 characters (RFC 5321); longer runs before an @ are no address.
+    A local part has at most 64 characters (RFC 5321); longer runs before an @ are no address. It is cut into pieces of the
+    lengths that the names asked of its host have, so "contains the name" is an equi-join, and nothing grows with
+    contacts times addresses of a host.
     """
-    found = page_emails(pages)
-    own = found.filter((mail_domain("email") == F.col("domain")) & is_personal("email") & (F.length(local_part("email")) <= 64))
-    own = own.groupBy("domain", "email").agg(F.min("pos").alias("pos"))
+    sizes = (names.select("domain", F.length("part").alias("n")).where(F.col("n").between(1, 64)).groupBy("domain")
+             .agg(F.collect_set("n").alias("_sizes")))  # at most 64 numbers a host
     local = local_part("email")
-    n = F.length(local)
-    starts = F.sequence(F.lit(1), n)
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda size: F.substr(local, i, size))))
-    return (own.select("domain", "email", "pos", F.explode(F.array_distinct(parts)).alias("part"))
+    cut = personal_page_emails(pages).join(sizes, "domain")
+    pieces = F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length(local)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(local) - n + 1), lambda at: F.substr(local, at, n))))
+    return (cut.select("domain", "email", "pos", F.explode(F.array_distinct(pieces)).alias("part"))
             .groupBy("domain", "part").agg(F.min(F.struct("pos", "email")).alias("hit")))
 
 
+def mail_link_index(pages: DataFrame) -> DataFrame:
+    """(domain, part) -> first personal address of a mail link that has the name `part` within 500 characters of the page
+    source, for single words and pairs of words one space apart. Every link and every mention counts."""
+    read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _links=occurrences("html", rules.MAILTO, 500, 500, least=8))
+    rows = read.select("page_id", "domain", F.posexplode("_links").alias("_k", "_l"))
+    email = F.split_part(F.lower(F.substring("_l.found", 8, 1000)), F.lit("?"), F.lit(1))
+    around = F.lower(F.concat("_l.before", F.lit("\n"), "_l.after"))
+    words = F.regexp_extract_all(around, F.lit(r"[a-z'-]+"), F.lit(0))
+    pairs = F.regexp_extract_all(around, F.lit(r"(?<![a-z'-])(?=([a-z'-]+ [a-z'-]+))"), F.lit(1))
+    made = compute_once(rows, email=email).where(F.contains("email", F.lit("@")) & is_personal("email"))
+    return (made.select("domain", "page_id", "_k", "email", F.explode(F.array_distinct(F.concat(words, pairs))).alias("part"))
+            .groupBy("domain", "part").agg(F.min(F.struct("page_id", "_k", "email"))["email"].alias("linked")))
+
+
 def contact_sites(contacts: DataFrame, accounts: DataFrame) -> DataFrame:
     sites = accounts.select(F.col("account_id").alias("linked_account_id"), domain("website").alias("domain"), "email_format")
     return contacts.join(sites, "linked_account_id", "left")
@@ -109,17 +146,21 @@ def contact_sites(contacts: DataFrame, accounts: DataFrame) -> DataFrame:
 def fill_emails(contacts: DataFrame, accounts: DataFrame, pages: DataFrame) -> DataFrame:
     """P-23: an address for contacts without one; adds email_source (page / pattern) and email_generated.
 
-    First the personal address on the company's pages that contains the first or last name, else the
-    company's pattern.  An address built from a pattern is marked as generated and never as verified.
+    First the personal address on the company's pages that contains the first or last name, else the personal address of
+    a mail link near the full name, else the company's pattern.  An address built from a pattern is marked as generated
+    and never as verified.
     """
     todo = contacts.filter(missing("email") & present("first_name") & ~F.col("first_name").isin("General", "Contact"))
-    sited = contact_sites(todo, accounts)
-    index = name_part_index(pages)
+    keyed = (contact_sites(todo, accounts).withColumn("_first", F.lower("first_name")).withColumn("_last", F.lower(blank_to_null("last_name")))
+             .withColumn("_full", F.lower(F.trim(F.concat_ws(" ", "first_name", "last_name")))))
+    asked = keyed.select("domain", F.explode(F.array("_first", "_last")).alias("part")).dropna().distinct()
+    index = name_part_index(pages, asked)
     by_first = index.select("domain", F.col("part").alias("_first"), F.col("hit").alias("_hit1"))
     by_last = index.select("domain", F.col("part").alias("_last"), F.col("hit").alias("_hit2"))
-    keyed = sited.withColumn("_first", F.lower("first_name")).withColumn("_last", F.lower("last_name"))
-    matched = keyed.join(by_first, ["domain", "_first"], "left").join(by_last, ["domain", "_last"], "left")
-    found = F.array_min(F.array_compact(F.array("_hit1", "_hit2")))["email"]
+    by_link = mail_link_index(pages).withColumnRenamed("part", "_full")
+    matched = (keyed.join(by_first, ["domain", "_first"], "left").join(by_last, ["domain", "_last"], "left")
+               .join(by_link, ["domain", "_full"], "left"))
+    found = F.coalesce(F.array_min(F.array_compact(F.array("_hit1", "_hit2")))["email"], F.col("linked"))
     built = F.when(F.startswith("email_format", F.lit("{")), apply_pattern(
         "email_format", "first_name", "last_name", "domain", missing_last="unknown"))
     out = matched.withColumn("_found", found).withColumn("_built", built)

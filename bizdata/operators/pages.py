@@ -8,6 +8,7 @@ from ..functions.company import extract_html_address, name_variants
 from ..functions.email import choose_email, extract_emails
 from ..functions.industry import industry_hint
 from ..functions.names import canonical_title, valid_title
+from ..functions.nearby import occurrences
 from ..functions.phone import choose_phone, extract_phones, format_uk_phone
 from ..functions.presence import missing, present
 from ..functions.web import (contact_link, domain, html_fields, html_text, links, social_links,
@@ -17,8 +18,6 @@ from .keys import compute_once, first_n, keep_first
 from .quality import valid_person
 from .upsert import merge_rows
 
-NAME_PAIR = r"\b([A-Z][a-z]{1,15})\s+([A-Z][a-z]{1,20})\b"
-
 
 # --- is this the company's site? --------------------------------------------------------------
 
@@ -182,12 +181,12 @@ def people_from_pages(pages: DataFrame, first_names: DataFrame, not_names: DataF
     """
     read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _text=visible_text("html"))
     # each name with the text after its own place: pieces, not pages, are exploded and shuffled
-    followed = F.lit(NAME_PAIR + r"(?=([\s\S]{0,200}))")
+    followed = F.lit(rules.NAME_PAIR + r"(?=([\s\S]{0,200}))")
     listed = compute_once(read, _names=F.arrays_zip(F.regexp_extract_all("_text", followed, F.lit(0)).alias("name"), F.regexp_extract_all("_text", followed, F.lit(3)).alias("after")))
     named = listed.select("page_id", "domain", F.posexplode("_names").alias("_i", "_n")).select(
         "page_id", "domain", "_i", F.col("_n.name").alias("_name"), F.left(F.concat("_n.name", "_n.after"), F.lit(200)).alias("_after"))
     people = compute_once(
-        named, first_name=F.regexp_extract("_name", NAME_PAIR, 1), last_name=F.regexp_extract("_name", NAME_PAIR, 2))
+        named, first_name=F.regexp_extract("_name", rules.NAME_PAIR, 1), last_name=F.regexp_extract("_name", rules.NAME_PAIR, 2))
     known = valid_person(people, first_names, not_names).filter("person_ok").drop("person_ok")
     title_word = F.regexp_extract(F.lower("_after"), r"\b(" + "|".join(sorted(rules.PAGE_TITLES, key=len, reverse=True)) + r")\b", 0)
     emails = F.regexp_extract_all("_after", F.lit(rules.EMAIL_ON_SITE), F.lit(0))
@@ -205,14 +204,11 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
                      not_names: DataFrame | None = None, fallback_title: str | None = None) -> DataFrame:
     """P-28: people and titles in text snippets with a confidence.
 
-    "Name - Title at Co" 0.9, "Name, Title" 0.85, a title within 120 characters of the name 0.7 (the first in the declared
-    order; every name near it has it), and for
+    "Name - Title at Co" 0.9, "Name, Title" 0.85, a title within 120 characters of a mention of the name 0.7 (the
+    first in the declared order; every name near it has it; of several mentions the first with a title), and for
     keys without any of these the bare names with `fallback_title` 0.4.  Each person counts once per key,
     with the most certain reading.
     """
-    dash = r"([A-Z][a-z]{2,15}(?:\s+[A-Z][a-z]{0,15})*)\s*[-–—|]\s*([A-Za-z\s&,./]+?)(?:\s+at\s+|\s+@\s+|\s*\||\s*LinkedIn)"
-    comma = r"([A-Z][a-z]{1,15}\s+[A-Z][a-z]{1,20})\s*,\s+([A-Za-z\s]+)"
-
     def pairs(pattern: str, confidence: float) -> DataFrame:
         both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"),
                             F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("t"))
@@ -220,18 +216,17 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
         return rows.select(key, "pos", F.split(F.trim("_p.n"), r"\s+").alias("_words"), F.trim("_p.t").alias("_title"),
                            F.lit(confidence).alias("confidence"))
 
-    listed = compute_once(df.select(key, F.col(text).alias("_text")), _names=F.regexp_extract_all("_text", F.lit(NAME_PAIR), F.lit(0)))
-    near = listed.select(key, "_text", F.posexplode("_names").alias("pos", "_name"))
-    at = F.instr("_text", F.col("_name"))
-    start = F.greatest(at - 120, F.lit(1))
-    around = F.substring("_text", start, at + F.length("_name") + 120 - start)
+    # every mention of a name with the text around it, not only the first one
+    listed = compute_once(df.select(key, F.col(text).alias("_text")), _names=occurrences(F.col("_text"), rules.NAME_PAIR, 120, 120, least=5))
+    near = listed.select(key, F.posexplode("_names").alias("pos", "_n")).select(
+        key, "pos", F.col("_n.found").alias("_name"), F.concat("_n.before", "_n.found", "_n.after").alias("_around"))
     # of several titles near a name the one declared first counts, wherever it stands
-    lower = F.lower(around)
+    lower = F.lower("_around")
     first_title = F.coalesce(*[F.when(lower.rlike(p), F.regexp_extract(lower, f"(?:{p})", 0)) for p, _, _ in rules.MANAGEMENT_TITLES], F.lit(""))
     nearby = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"), first_title.alias("_title"), F.lit(0.7).alias("confidence"))
     bare = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"), F.lit("").alias("_title"), F.lit(0.4).alias("confidence"))
 
-    raw = pairs(dash, 0.9).unionByName(pairs(comma, 0.85)).unionByName(nearby)
+    raw = pairs(rules.NAME_DASH_TITLE, 0.9).unionByName(pairs(rules.NAME_COMMA_TITLE, 0.85)).unionByName(nearby)
     if fallback_title:
         raw = raw.unionByName(bare)
     titled = compute_once(raw.filter(F.size("_words") >= 2), _canonical=canonical_title("_title"))
@@ -254,19 +249,20 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
 def phones_by_name(pages: DataFrame) -> DataFrame:
     """(domain, name) -> first UK number printed near that name, for single words and word pairs.
 
-    Starts from the numbers: a name qualifies when it begins at most 200 characters after the start of
-    the number and at most 300 before its end.  Linear in the text around numbers.
+    Starts from the numbers, at every place where one is printed: a name qualifies when it begins at most 200 characters
+    after the start of the number and at most 300 before its end.  Linear in the text around numbers. Pages count in
+    their order; on a page the shapes of numbers in the declared order, then their places.
     """
-    numbers = F.array_distinct(F.concat(*[F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for p in rules.UK_PHONES_NEAR_NAME]))
     read = compute_once(pages.select("page_id", "url", "html"), domain=domain("url"), _text=visible_text("html"))
 
-    def piece(raw: Column) -> Column:
-        at = F.instr(F.col("_text"), raw)
-        start = F.greatest(at + F.length(raw) - 300, F.lit(1))
-        return F.struct(raw.alias("_raw"), at.alias("_at"), F.substring(F.col("_text"), start, at + 200 - start).alias("_around"))
+    def places(rank: int, pattern: str) -> Column:
+        return F.transform(occurrences("_text", pattern, 300, 200, least=10), lambda o, k: F.struct(
+            F.lit(rank).alias("_shape"), k.alias("_k"), o["found"].alias("_raw"), F.concat(
+                F.right(F.concat(o["before"], o["found"]), F.lit(300)),
+                F.left(o["after"], F.greatest(F.lit(200) - F.length(o["found"]), F.lit(0)))).alias("_around")))
 
-    cut = compute_once(compute_once(read, _numbers=numbers), _pieces=F.transform("_numbers", piece))
-    rows = cut.select("page_id", "domain", F.explode("_pieces").alias("_p")).select("page_id", "domain", "_p.*")
+    listed = [places(rank, p) for rank, p in enumerate(rules.UK_PHONES_NEAR_NAME)]
+    rows = compute_once(read, _numbers=F.concat(*listed)).select("page_id", "domain", F.explode("_numbers").alias("_p")).select("page_id", "domain", "_p.*")
     digits = F.regexp_replace(F.regexp_replace("_raw", r"[\s.-]", ""), r"^\+?44", "0")
     placed = compute_once(rows, phone=digits).filter(F.col("phone").rlike(r"^0[1-9]\d{8,10}$"))
     around = F.col("_around")
@@ -275,8 +271,8 @@ def phones_by_name(pages: DataFrame) -> DataFrame:
     couples = F.zip_with("_w", F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))),
                          lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     names = F.array_distinct(F.array_compact(F.concat("_w", couples)))
-    return (spaced.select("domain", "page_id", "_at", "phone", F.explode(names).alias("name"))
-            .groupBy("domain", "name").agg(F.min(F.struct("page_id", "_at", "phone"))["phone"].alias("phone")))
+    return (spaced.select("domain", "page_id", "_shape", "_k", "phone", F.explode(names).alias("name"))
+            .groupBy("domain", "name").agg(F.min(F.struct("page_id", "_shape", "_k", "phone"))["phone"].alias("phone")))
 
 
 def fill_phones(contacts: DataFrame, accounts: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import columns, flagship, jobs, joins, metrics, search, streams  # noqa: F401
+from . import columns, flagship, jobs, joins, mentions, metrics, search, streams  # noqa: F401

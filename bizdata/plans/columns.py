@@ -61,8 +61,8 @@ query("x04_candidate_urls", f"""
       || CASE WHEN de THEN '|https://' || s || '.de' ELSE '' END || CASE WHEN fr THEN '|https://' || s || '.fr' ELSE '' END AS urls
     FROM (SELECT id, {sub(sub("LOWER(name)", rules.LEGAL_WORDS_IN_URLS), "[^a-z0-9]")} AS s, CONTAINS(l, 'uk') OR CONTAINS(l, 'united kingdom') AS uk,
         CONTAINS(l, 'germany') OR CONTAINS(l, 'de') AS de, CONTAINS(l, 'france') OR CONTAINS(l, 'fr') AS fr
-      FROM (SELECT *, LOWER(COALESCE(country, '')) AS l FROM companies_v WHERE name IS NOT NULL))""")(
-    lambda t: t.companies.filter("name IS NOT NULL").select(
+      FROM (SELECT *, LOWER(COALESCE(country, '')) AS l FROM companies_v))""")(
+    lambda t: t.companies.select(
         "id", F.array_join(web.candidate_urls("name", "country"), "|").alias("urls")))
 
 # --- e-mail -----------------------------------------------------------------------------------

@@ -246,13 +246,19 @@ query("p21_classify_accounts", f"""
     lambda t: classify.classify_accounts(t.accounts, t.pages).select("account_id", "new_industry"))
 
 KNOWN_MAIL = f"SELECT {HOST} AS domain, email, first_name, last_name, contact_id AS pos FROM contacts_v WHERE email <> ''"
-query("a31_best_pattern", f"""
-    WITH k AS (SELECT *, {DETECT} AS pt FROM ({KNOWN_MAIL})),
+
+
+def best_pattern_sql(known: str) -> str:
+    return f"""
+    WITH k AS (SELECT *, {DETECT} AS pt FROM ({known})),
       b AS (SELECT * FROM (SELECT domain, pt, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY domain ORDER BY COUNT(*) DESC, MIN(pos), pt) AS rn FROM k WHERE pt IS NOT NULL GROUP BY domain, pt) WHERE rn = 1),
       f AS (SELECT domain, MIN_BY(SPLIT_PART(LOWER(email), '@', 1), pos) AS lp FROM k GROUP BY domain)
     SELECT f.domain, COALESCE(b.pt, CASE WHEN CONTAINS(lp, '.') THEN '{{first}}.{{last}}@' || f.domain WHEN CONTAINS(lp, '_') THEN '{{first}}_{{last}}@' || f.domain
       WHEN REGEXP_MATCHES(lp, '^[a-z][a-z]+$') AND LENGTH(lp) > 4 THEN '{{f}}{{last}}@' || f.domain END) AS email_format, COALESCE(b.n, 0) AS n_addresses
-    FROM f LEFT JOIN b ON f.domain = b.domain WHERE email_format IS NOT NULL""")(lambda t: emails.best_pattern(t.sql(KNOWN_MAIL)))
+    FROM f LEFT JOIN b ON f.domain = b.domain WHERE email_format IS NOT NULL"""
+
+
+query("a31_best_pattern", best_pattern_sql(KNOWN_MAIL))(lambda t: emails.best_pattern(t.sql(KNOWN_MAIL)))
 NAMED_MAIL = f"SELECT {HOST} AS domain, email, first_name || ' ' || last_name AS full_name, contact_id AS pos FROM contacts_v WHERE email <> '' AND first_name <> ''"
 
 
@@ -268,8 +274,6 @@ query("a32_confirm_pattern", f"""
       v AS ({' UNION ALL '.join(f"SELECT domain, {i} AS i, {q(p)} AS pattern FROM k WHERE {_local(p)} || '@' || domain = email" for i, p in enumerate(rules.EMAIL_PATTERNS))})
     SELECT domain, pattern, confirmed FROM (SELECT domain, pattern, COUNT(*) AS confirmed, ROW_NUMBER() OVER (PARTITION BY domain ORDER BY COUNT(*) DESC, i) AS rn
       FROM v GROUP BY domain, pattern, i) WHERE rn = 1""")(lambda t: emails.confirm_pattern(t.sql(NAMED_MAIL)))
-query("p22_mine_patterns")(lambda t: emails.mine_patterns(t.accounts, t.pages))
-query("p23_fill_emails")(lambda t: emails.fill_emails(t.contacts, t.accounts, t.pages).select("contact_id", "email", "email_source", "email_generated"))
 HOSTS = "SELECT id, 'site' || CAST(id % 60 AS STRING) || '.test' AS host FROM companies_v"
 _seen = f"SELECT host, url, LOWER(html) AS html, LOWER({VISIBLE}) AS txt FROM ({MAIN})"
 query("p24_site_evidence", f"""
@@ -318,12 +322,6 @@ RECORDS = f"""SELECT domain, COUNT(*) AS n_pages,
       JOIN ({TEXTS_OF['x21_social_links']}) s ON s.page_id = p.page_id JOIN ({TEXTS_OF['x18_html_address']}) a ON a.page_id = p.page_id
       JOIN ({TEXTS_OF['x22_contact_link']}) k ON k.page_id = p.page_id) WHERE domain IS NOT NULL GROUP BY domain"""
 query("p26_page_contacts", RECORDS)(lambda t: pages.page_contacts(t.pages).drop("industry"))
-query("p27_people_from_pages")(lambda t: pages.people_from_pages(t.pages, t.first_names, t.not_names))
-TEXTS = """SELECT contact_id, CASE contact_id % 4 WHEN 0 THEN first_name || ' ' || last_name || ' - ' || job_title || ' at Acme Ltd | LinkedIn'
-    WHEN 1 THEN 'Meet ' || first_name || ' ' || last_name || ', ' || job_title WHEN 2 THEN 'Our ' || job_title || ' since 2001 is ' || first_name || ' ' || last_name || ' of Leeds'
-    ELSE 'please ring ' || first_name || ' ' || last_name || ' today' END AS text FROM contacts_v"""
-query("p28_people_from_text")(lambda t: pages.people_from_text(t.sql(TEXTS), "text", "contact_id", t.first_names, t.not_names, "Director"))
-query("p42_fill_phones")(lambda t: pages.fill_phones(t.contacts, t.accounts, t.pages).select("contact_id", "phone_number"))
 query("p44_apply_page_contacts", f"""
     SELECT account_id, COALESCE(NULLIF(r.phone, ''), a.phone_number) AS phone_number, COALESCE(NULLIF(r.address, ''), a.address) AS address,
       COALESCE(NULLIF(r.linkedin, ''), a.linkedin_url) AS linkedin_url, CASE WHEN COALESCE(r.phone, r.address, r.linkedin) IS NOT NULL THEN {NOW} ELSE a.updated_at END AS updated_at

@@ -198,13 +198,17 @@ VIEWS: dict[str, str] = {
     "pages_v": f"""
         SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.site' ELSE 'http://site' END || CAST(page_id % 40 AS STRING) || '.test/'
             || CASE WHEN page_id % 2 = 0 THEN 'team/' || CAST(page_id AS STRING) ELSE '' END AS url,
-          html || '<section><h2>Team:</h2><p>' || {_first('(page_id + 1)')} || ' ' || {_last('(page_id + 2)')} || ', Managing Director, '
+          '<p>Welcome from ' || {_first('(page_id + 1)')} || ' ' || {_last('(page_id + 2)')} || '.</p>' || html || '<section><h2>Team:</h2><p>' || {_first('(page_id + 1)')} || ' ' || {_last('(page_id + 2)')} || ', Managing Director, '
             || LOWER(COALESCE({_first('(page_id + 1)')}, 'kim')) || '.' || LOWER(COALESCE({_last('(page_id + 2)')}, 'lee'))
             || '@site' || CAST(page_id % 40 AS STRING) || '.test, tel 020 7946 0' || CAST(100 + page_id % 900 AS STRING) || '</p>'
             || '<a href="mailto:info@site' || CAST(page_id % 40 AS STRING) || '.test?x=1">Mail</a> <a href="tel:+44 161 496 0'
             || CAST(100 + page_id % 900 AS STRING) || '">Call</a> <a href="/contact-us">Contact us</a>'
             || CASE WHEN page_id % 2 = 0 THEN ' <a href="https://www.linkedin.com/company/acme-' || CAST(page_id % 40 AS STRING) || '">in</a>' ELSE '' END
             || CASE WHEN page_id % 3 = 0 THEN ' <a href="https://twitter.com/acme' || CAST(page_id % 40 AS STRING) || '">tw</a>' ELSE '' END
+            || CASE WHEN page_id % 5 = 0 THEN ' <a class="m" href="mailto:sw' || CAST(page_id % 40 AS STRING) || 'x@site' || CAST(page_id % 40 AS STRING) || '.test?subject=hi"><b>Sarah</b> Walker</a>'
+                 || ' or ring Mary Jones: 020 7946 0' || CAST(100 + page_id % 900 AS STRING) ELSE '' END
+            || CASE WHEN page_id % 7 = 0 THEN ' Write to GMurray@site' || CAST(page_id % 40 AS STRING) || '.test (Grace Murray), to Neil Patel on +44 20 7946 ' || CAST(1000 + page_id % 900 AS STRING)
+                 || ' or <a href="mailto:oliver.brown@other.test">mail</a> Oliver Brown' ELSE '' END
             || '</section><footer>Plain Widgets, 5 High Street, AB1 2CD</footer>' AS html
         FROM pages""",
     "new_contacts_v": f"""

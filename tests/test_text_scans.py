@@ -1,13 +1,14 @@
 """Address scans, containment and proximity on odd texts, against plain versions."""
 
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from bizdata.functions import email, rules
-from bizdata.operators import joins, queue
+from bizdata.functions import email, nearby, rules
+from bizdata.operators import emails, joins, pages, queue
 
 AS_OF = "2024-03-01 12:00:00"
 
@@ -62,3 +63,53 @@ def test_every_start_of_a_batch_is_an_attempt(spark):
     assert got == {1: ("pending", 1, "e"), 2: ("failed", 3, "b"), 3: ("processing", 1, None), 4: ("completed", 1, None), 5: ("pending", 0, None)}
 
 
+
+
+@pytest.mark.parametrize(("pattern", "before", "after", "least"), [(r"\d{3}", 7, 5, 3), (r"[a-z]{2,4}", 12, 0, 2), (r"ab+", 3, 40, 2)])
+def test_occurrences_equal_brute_force(spark, pattern, before, after, least):
+    rng = random.Random(5)
+    texts = ["", "abc", "123", "😀123😀456", "é" * 50 + "abb" + "é" * 90, *("".join(rng.choice("ab1 2é") for _ in range(rng.randrange(120))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nearby.occurrences("t", pattern, before, after, least).alias("o"))
+    for r in df.collect():
+        want = [(m[0], r["t"][max(0, m.start() - before):m.start()], r["t"][m.end():m.end() + after]) for m in re.finditer(pattern, r["t"])]
+        assert [tuple(o) for o in r["o"]] == want
+
+
+def test_many_occurrences_take_linear_time(spark):
+    df = spark.createDataFrame([("Ab Cd " * 60_000,)], "t string").select(F.size(nearby.occurrences("t", rules.NAME_PAIR, 120, 120, 5)).alias("n"))
+    df.collect()
+    start = time.time()
+    assert df.first()["n"] == 60_000 and time.time() - start < 10
+
+
+def page(spark, *htmls):
+    return spark.createDataFrame([(i, "http://acme.test/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+def test_later_mentions_count(spark):
+    gap = "nothing here " * 40
+    names = spark.createDataFrame([("john",)], "word string")
+    said = spark.createDataFrame([(1, f"John Smith. {gap} the managing director John Smith")], "k long, t string")
+    assert [(r.last_name, r.confidence) for r in pages.people_from_text(said, "t", "k", names).collect()] == [("Smith", 0.7)]
+    index = {r["name"]: r["phone"] for r in pages.phones_by_name(page(spark, f"020 7946 0123 {gap} John Smith, 020 7946 0123, {gap} Ann Lee")).collect()}
+    assert index["john smith"] == "02079460123" and "ann lee" not in index
+
+
+def test_nearest_name_of_an_address(spark):
+    gap = "nothing here " * 20
+    html = (f"ann.lee@acme.test {gap} Mr John Smith and ann.lee@acme.test (Ann Lee) {gap}"
+            '<a href="mailto:jd@acme.test"><b>Jane</b> Doe</a> <a class="x" href=\'mailto:zz@acme.test?subject=a\'>write</a> Ben Good to bg@acme.test')
+    got = {r["email"]: (r["first_name"], r["last_name"]) for r in emails.page_emails(page(spark, html)).collect()}
+    assert got == {"ann.lee@acme.test": ("Ann", "Lee"), "jd@acme.test": ("Jane", "Doe"), "zz@acme.test": (None, None), "bg@acme.test": ("Ben", "Good")}
+
+
+def test_address_of_a_contact(spark):
+    """A local part with the name, else a mail link near any mention of the full name, else the pattern."""
+    gap = "nothing here " * 60
+    html = f"Kim Oak {gap} <p>Kim Oak <a href='mailto:ko.desk@other.test?x=1'>mail</a></p> {gap} annabel.lee@acme.test <a href='mailto:info@acme.test'>x</a> Lou Elm"
+    contacts = spark.createDataFrame([(1, 7, "Kim", "Oak"), (2, 7, "Anna", "Fox"), (3, 7, "Bo", "Lee"), (4, 7, "Lou", "Elm"), (5, None, "Ann", None), (6, 7, "Bo", "")],
+                                     "contact_id long, linked_account_id long, first_name string, last_name string").withColumn("email", F.lit(None).cast("string"))
+    accounts = spark.createDataFrame([(7, "www.acme.test", "{first}.{last}@acme.test")], "account_id long, website string, email_format string")
+    got = {r["contact_id"]: (r["email"], r["email_source"]) for r in emails.fill_emails(contacts, accounts, page(spark, html)).collect()}
+    assert got == {1: ("ko.desk@other.test", "page"), 2: ("annabel.lee@acme.test", "page"), 3: ("annabel.lee@acme.test", "page"),
+                   4: ("lou.elm@acme.test", "pattern"), 5: (None, None), 6: ("bo.unknown@acme.test", "pattern")}
