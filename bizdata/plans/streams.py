@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import shared_folder
-from ..streaming import jobs
+from ..streaming import counts, jobs, state
 from .registry import query
 from .views import AS_OF, Tables
 
@@ -68,20 +69,71 @@ query("r06_trending", f"""
     lambda t: plain_times(drain_windows(jobs.stream_trending(events(t).select(
         F.col("ts").alias("searched_at"), F.col("event_type").alias("search_query"))), "window_start", "search_query")))
 
+
+
+def _ranked(t: Tables) -> DataFrame:
+    """The two most frequent searches of each window, from several batches of events."""
+    folder = shared_folder(t.spark)
+    counts = jobs.stream_trending(deliveries(t, folder).select(F.col("ts").alias("searched_at"), F.col("event_type").alias("search_query")), late="1000 days")
+    run = jobs.stream_top(counts, f"{folder}/top", f"{folder}/state", 2).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return plain_times(jobs.top_table(counts, f"{folder}/top", 2).read())
+
+
+def deliveries(t: Tables, folder: str) -> DataFrame:
+    """The events in three deliveries, each a batch of the stream: odd ids, then those that four does not divide, then the rest."""
+    base = t.base("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
+    for rest in ((1, 3), (2,), (0,)):
+        base.where((F.col("event_id") % 4).isin(*rest)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return t.spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
 query("r06_ranked", f"""
     SELECT window_start, search_query, n, CAST(rank AS INT) AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY window_start ORDER BY n DESC, search_query) AS rank FROM (
       SELECT TIME_BUCKET(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS window_start, event_type AS search_query, COUNT(*) AS n
-      FROM events, (SELECT UNNEST([0, 1, 2, 3, 4, 5]) AS k) GROUP BY ALL)) WHERE rank <= 2""")(
-    lambda t: plain_times(jobs.rank_trending(drain_windows(jobs.stream_trending(events(t).select(
-        F.col("ts").alias("searched_at"), F.col("event_type").alias("search_query"))), "window_start", "search_query"), 2)))
+      FROM events, (SELECT UNNEST([0, 1, 2, 3, 4, 5]) AS k) GROUP BY ALL)) WHERE rank <= 2""")(_ranked)
+
 
-query("r07_sessions", f"""
-    SELECT user_session, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS n_events FROM (
+@query("r02_late_rows", """
+    WITH mark AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS reached FROM events WHERE event_id % 2 = 1)
+    SELECT COUNT(*) AS n_read, COUNT(*) FILTER (WHERE NOT late) AS n_counted, COUNT(*) FILTER (WHERE late) AS n_late
+    FROM (SELECT event_id % 4 = 0 AND TIME_BUCKET(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE <= reached AS late FROM events, mark)""")
+def _late(t: Tables) -> DataFrame:
+    """Rows of the third delivery come too late for windows that the first has closed (Spark drops rows by the watermark of the
+    batch before): rows read, less rows in windows."""
+    folder = shared_folder(t.spark)
+    rates = jobs.stream_rates(counts.observed(deliveries(t, folder), "read"), "ts", "event_type")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/v={number}")
+
+    run = (rates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    run.awaitTermination()
+    read = counts.totals(run, "read")["rows"]
+    held = t.spark.read.schema(rates.schema).parquet(f"{folder}/out").groupBy("window_start", "source").agg(F.max("n").alias("n"))
+    return held.agg(F.lit(read).cast("bigint").alias("n_read"), F.sum("n").alias("n_counted"), (F.lit(read) - F.sum("n")).cast("bigint").alias("n_late"))
+
+
+@query("r07_sessions", f"""
+    SELECT user_session, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS n_events,
+      CASE WHEN MAX(ts) + INTERVAL 30 MINUTE < {MARK} THEN 'closed' ELSE 'open' END AS status FROM (
       SELECT *, SUM(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_session ORDER BY ts, event_id) AS s FROM (
         SELECT event_id, user_id AS user_session, ts, ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE AS gap FROM events))
-    GROUP BY user_session, s HAVING MAX(ts) + INTERVAL 30 MINUTE <= {MARK}""")(
-    lambda t: plain_times(drain(jobs.stream_sessions(events(t).select(
-        F.col("ts").alias("searched_at"), F.col("user_id").alias("user_session"))))))
+    GROUP BY user_session, s""")
+def _sessions(t: Tables) -> DataFrame:
+    """The last row of each session, those still open when the events end as well."""
+    folder = shared_folder(t.spark)
+    stream = state.stream_sessions(events(t).select(F.col("ts").alias("searched_at"), F.col("user_id").alias("user_session")))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/v={number}")
+
+    run = (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    run.awaitTermination()
+    rows = t.spark.read.schema(StructType([*stream.schema.fields, StructField("v", IntegerType())])).parquet(f"{folder}/out")
+    final = F.struct("v", (F.col("status") == "closed").alias("closed"), "session_end", "n_events", "status")
+    last = rows.groupBy("user_session", "session_start").agg(F.max(final).alias("s")).where("s.status != 'merged'")
+    return plain_times(last.select("user_session", "session_start", "s.session_end", "s.n_events", "s.status"))
 
 
 @query("r01_registry_stream", """
@@ -89,7 +141,7 @@ query("r07_sessions", f"""
       SELECT p_partkey AS seq, LPAD(CAST(p_partkey % 1500 AS STRING), 8, '0') AS number, p_name AS name, p_type AS status FROM part)) WHERE rn = 1""")
 def _registry(t: Tables) -> DataFrame:
     """Part rows written as registry files one after the other, taken in as a stream of several batches, read from the
-    last version."""
+    last manifest."""
     folder = shared_folder(t.spark)
     part = t.base("part")
     most = part.agg(F.max("p_partkey")).first()[0]
@@ -101,10 +153,9 @@ def _registry(t: Tables) -> DataFrame:
         own = rows.filter(F.col("_file") == k).orderBy("p_partkey").drop("_file", "p_partkey")
         own.write.mode("append").option("header", True).csv(f"{folder}/in")
     stream = jobs.read_registry_stream(t.spark, f"{folder}/in", files_per_batch=2)
-    run = jobs.stream_registry(stream, f"{folder}/companies", f"{folder}/state", lambda n: AS_OF).trigger(availableNow=True).start()
+    run = jobs.stream_registry(stream, f"{folder}/companies", f"{folder}/state", lambda n: AS_OF, buckets=16).trigger(availableNow=True).start()
     run.awaitTermination()
-    last = max(p["batchId"] for p in run.recentProgress if p["numInputRows"])
-    return t.spark.read.parquet(f"{folder}/companies/v={last}").select("company_number", "name", "status")
+    return jobs.registry_table(t.spark, f"{folder}/companies", stream, 16).read().select("company_number", "name", "status")
 
 
 def _last_states(results: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from ..operators.upsert import upsert_registry
 from ..sources.registry import CSV_COLUMNS, map_registry_rows, raw_columns
+from .tables import BucketTable, TopTable
 
 
 def read_registry_stream(spark: SparkSession, folder: str, active_only: bool = False, files_per_batch: int = 10) -> DataFrame:
@@ -21,24 +23,23 @@ def read_registry_stream(spark: SparkSession, folder: str, active_only: bool = F
     return rows.withColumn("_place", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"))
 
 
-def stream_registry(companies: DataFrame, table: str, checkpoint: str, as_of: Callable[[int], str]) -> DataStreamWriter:
-    """R-01: UPSERT every batch into versioned Parquet folders `table/v=<batch>`.
+def registry_table(spark: SparkSession, table: str, companies: DataFrame, buckets: int = 64) -> BucketTable:
+    """R-01: the table that stream_registry keeps."""
+    names = [f for f in companies.schema.fields if f.name != "_place"]
+    return BucketTable(spark, table, "company_number", StructType([*names, StructField("last_updated", TimestampNTZType())]), [f.name for f in names], buckets)
 
-    A batch reads the version before it and writes its own, so a batch that is repeated after a failure
-    gives the same folder again.  `as_of` gives the time stamp of a batch number.  Of several rows of a company in one
-    batch the last one counts, by the time and name of its file and its place there, which no packing of files
-    into tasks changes.
+
+def stream_registry(companies: DataFrame, table: str, checkpoint: str, as_of: Callable[[int], str], buckets: int = 64) -> DataStreamWriter:
+    """R-01: UPSERT every batch into a table of hashed buckets (see BucketTable): only the buckets that a batch's numbers fall in
+    are rewritten, and a repeated batch changes nothing. `as_of` gives the time stamp of a batch number. Of several rows of a company
+    in one batch the last one counts, by the time and name of its file and its place there, which no packing of files into
+    tasks changes.
     """
-    spark = companies.sparkSession
+    store = registry_table(companies.sparkSession, table, companies, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
         keyed = batch.withColumn("_seq", F.struct("_place", F.monotonically_increasing_id())).drop("_place")
-        target = f"{table}/v={number}"
-        if number == 0:
-            old = spark.createDataFrame([], batch.drop("_place").schema).withColumn("last_updated", F.lit(None).cast("timestamp_ntz"))
-        else:
-            old = spark.read.parquet(f"{table}/v={number - 1}")
-        upsert_registry(old, keyed, as_of(number), seq="_seq").write.mode("overwrite").parquet(target)
+        store.change(keyed, number, lambda old, new: upsert_registry(old, new, as_of(number), seq="_seq"))
 
     return companies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -59,24 +60,20 @@ def stream_dedup(events: DataFrame, keys: list[str], ts: str, late: str = "1 hou
 
 def stream_trending(log: DataFrame, ts: str = "searched_at", late: str = "1 hour", window: str = "1 hour",
                     slide: str = "10 minutes") -> DataFrame:
-    """R-06: searches per sliding window; rank_trending ranks them."""
+    """R-06: searches per sliding window; stream_top ranks them."""
     grouped = log.filter(F.col("search_query").isNotNull()).withWatermark(ts, late).groupBy(
         F.window(ts, window, slide).alias("w"), "search_query").agg(F.count(F.lit(1)).alias("n"))
     return grouped.select(F.col("w.start").alias("window_start"), "search_query", "n")
 
 
-def rank_trending(counts: DataFrame, n: int) -> DataFrame:
-    """R-06: the n most frequent searches of each window; ties go to the smaller text. For a written (bounded) result."""
-    order = Window.partitionBy("window_start").orderBy(F.desc("n"), F.asc("search_query"))
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+def stream_top(counts: DataFrame, folder: str, checkpoint: str, n: int) -> DataStreamWriter:
+    """R-06: the n most frequent searches of every window, ranked while the stream runs (see TopTable)."""
+    store = top_table(counts, folder, n)
+    return counts.writeStream.outputMode("update").foreachBatch(store.change).option("checkpointLocation", checkpoint)
 
 
-def stream_sessions(log: DataFrame, gap: str = "30 minutes", ts: str = "searched_at", user: str = "user_session",
-                    late: str = "1 hour") -> DataFrame:
-    """R-07: activity sessions per user."""
-    grouped = log.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), user).agg(
-        F.count(F.lit(1)).alias("n_events"))
-    return grouped.select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
+def top_table(counts: DataFrame, folder: str, n: int) -> TopTable:
+    return TopTable(counts.sparkSession, folder, n, "window_start", "search_query", "window_start timestamp, search_query string, n bigint")
 
 
 # --- job state --------------------------------------------------------------------------------
