@@ -1,6 +1,7 @@
 """Industry columns: ordered keyword rules turned into JVM expressions."""
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,50 +31,88 @@ def sic_prefix_industry(c: Column | str, detailed: bool = False) -> Column:
     return known if detailed else F.when(c.isNotNull(), known)
 
 
-def _rule_table() -> Column:
-    """The keyword rules as one constant array of (label, [(word, weight)]), the word in lower case.
+# --- keyword rules: one search for all keywords -----------------------------------------------
 
-    `weight` is the length of the keyword as written, outer space included; `word` keeps that space,
-    `stem` does not.
+def keyword_patterns(words: Iterable[str]) -> list[str]:
+    """Patterns that find every place of every word, overlapping ones too, as group 1.
+
+    A look-ahead takes no characters, so each character of a text is tried once. At one place a pattern gives one word;
+    words that begin with another word of the list go to a further pattern, so that no place of a word is lost. Words
+    that begin alike share their branches.
     """
+    groups: list[list[str]] = []
+    for word in sorted(set(words), key=lambda w: (len(w), w)):
+        for group in groups:
+            if not any(word.startswith(w) for w in group):
+                group.append(word)
+                break
+        else:
+            groups.append([word])
+
+    def branches(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for word in rest:
+            if word:
+                heads.setdefault(word[0], []).append(word[1:])
+        parts = [re.escape(head) + branches(tails) for head, tails in sorted(heads.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+
+    return [f"(?=[{re.escape(''.join(sorted({w[0] for w in group})))}])(?=({branches(group)}))" for group in groups]
+
+
+def _rule_table(key: Callable[[str], str]) -> Column:
+    """The keyword rules as one constant array of (label, word -> weight); the weight is the length of the keyword as
+    written, outer space included."""
     def text(value: str) -> str:
         return "'" + value.replace("'", "\\'") + "'"
 
-    def words(keywords: list[str]) -> str:
-        return ", ".join(
-            f"named_struct('word', {text(w.lower())}, 'stem', {text(w.lower().strip())}, 'weight', {len(w)})" for w in keywords)
+    def weights(keywords: list[str]) -> str:
+        summed: dict[str, int] = {}
+        for word in keywords:
+            summed[key(word)] = summed.get(key(word), 0) + len(word)
+        return ", ".join(f"{text(word)}, {weight}" for word, weight in summed.items())
 
     return F.expr("array(" + ", ".join(
-        f"named_struct('label', {text(label)}, 'words', array({words(keywords)}))" for label, keywords in rules.INDUSTRY_KEYWORDS) + ")")
+        f"named_struct('label', {text(label)}, 'weights', map({weights(keywords)}))" for label, keywords in rules.INDUSTRY_KEYWORDS) + ")")
+
+
+def _best(text: Column, key: Callable[[str], str], counted: bool, at_least: int) -> Column:
+    """Label of the rule whose keywords, as `key` writes them, weigh most in the text, each counted once or (`counted`) as often as
+    it can be taken out; the earlier rule on ties; NULL below `at_least`."""
+    words = {key(word) for _, keywords in rules.INDUSTRY_KEYWORDS for word in keywords}
+    # a word that begins as it ends may overlap itself; its places are then more than its occurrences
+    own_overlap = [w for w in sorted(words) if any(w.startswith(w[i:]) for i in range(1, len(w)))]
 
+    def judge(t: Column, hits: Column) -> Column:
+        def times(word: Column) -> Column:
+            taken_out = (F.length(t) - F.length(F.replace(t, word, F.lit("")))) / F.length(word)
+            return F.when(word.isin(*own_overlap), taken_out.cast("int")).otherwise(F.size(F.filter(hits, lambda h: h == word)))
 
-def _best(text: Column, worth: Callable[[Column, Column], Column], at_least: int) -> Column:
-    """Label of the rule with the highest sum of worth(text, keyword), earlier rule on ties, else NULL."""
-    def judge(t: Column) -> Column:
-        scored = F.transform(_rule_table(), lambda r, i: F.struct(
-            F.aggregate(r["words"], F.lit(0), lambda total, k: total + worth(t, k)).alias("score"),
+        found = F.transform(F.array_distinct(hits), lambda w: F.struct(w.alias("word"), (times(w) if counted else F.lit(1)).alias("n")))
+        return F.get(F.transform(F.array(found), label), F.lit(0))
+
+    def label(found: Column) -> Column:
+        scored = F.transform(_rule_table(key), lambda r, i: F.struct(
+            F.aggregate(found, F.lit(0), lambda total, f: total + f["n"] * F.coalesce(F.try_element_at(r["weights"], f["word"]), F.lit(0))).alias("score"),
             (-i).alias("rank"), r["label"].alias("label")))
         return F.array_max(F.filter(scored, lambda r: r["score"] >= at_least))["label"]
 
-    # bound as a lambda variable, so that the text is computed once and not once per keyword
-    return F.get(F.transform(F.array(text), judge), F.lit(0))
+    def searched(t: Column) -> Column:
+        hits = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in keyword_patterns(words)])
+        return F.get(F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, judge(t, h))), F.lit(0))
+
+    # bound as lambda variables, so that the text, its hits and their counts are computed once
+    return F.get(F.transform(F.array(text), searched), F.lit(0))
 
 
 def industry_by_name(c: Column | str) -> Column:
     """Industry whose keywords cover most letters of the name; longer keywords weigh more."""
-    padded = F.concat(F.lit(" "), F.lower(as_col(c)), F.lit(" "))
-    return _best(padded, lambda t, k: F.when(F.contains(t, k["word"]), k["weight"]).otherwise(0), at_least=1)
+    return _best(F.concat(F.lit(" "), F.lower(as_col(c)), F.lit(" ")), str.lower, counted=False, at_least=1)
 
 
 def industry_by_text(page_text: Column | str) -> Column:
     """Industry with the largest sum of keyword occurrences x length in the text, when that is >= 10."""
-    def occurrences(t: Column, k: Column) -> Column:
-        removed = F.length(t) - F.length(F.replace(t, k["stem"], F.lit("")))
-        count = (removed / F.length(k["stem"])).cast("int")
-        # most keywords are absent, and the test for that is much cheaper than counting
-        return F.when(F.contains(t, k["stem"]), count * k["weight"]).otherwise(0)
-
-    return _best(F.lower(as_col(page_text)), occurrences, at_least=rules.PAGE_TEXT_THRESHOLD)
+    return _best(F.lower(as_col(page_text)), lambda word: word.lower().strip(), counted=True, at_least=rules.PAGE_TEXT_THRESHOLD)
 
 
 def norm_industry(c: Column | str) -> Column:
