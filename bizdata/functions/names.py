@@ -1,6 +1,5 @@
 """Columns over person names and job titles."""
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,12 +78,10 @@ def person_shape_ok(first: Column | str, last: Column | str) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def plausible_first(c: Column | str, ordinary_words: Sequence[str] = ()) -> Column:
-    """Lenient test of a first name that no dictionary knows."""
+def plausible_first(c: Column | str) -> Column:
+    """Lenient test of the shape of a first name; quality.plausible_first_names asks dictionaries as well."""
     name = F.lower(F.trim(as_col(c)))
     ok = F.length(name).between(4, 15) & name.rlike(r"^[a-z'-]+$") & ~name.rlike(rules.WORD_ENDINGS_LENIENT)
-    if ordinary_words:
-        ok = ok & ~name.isin(*ordinary_words)
     return F.coalesce(ok, F.lit(False))
 
 

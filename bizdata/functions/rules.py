@@ -441,3 +441,15 @@ TARGETS = {
 }
 TOTAL_TARGET = 200000000
 GRID_DEGREES = 0.05
+
+# --- lead blocks ------------------------------------------------------------ fixed values
+LEAD_AT = r"(?i)^(.+?)\s+(?:at|@)\s+(.+)$"
+LEAD_LINE_AT = r"(?i)^(.{3,60})\s+(?:at|@)\s+(.{2,60})$"
+LEAD_WEB_WORDS = r"(?i)connect|follow|message|degree|mutual|view"
+LEAD_NAME = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
+LEAD_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+LEAD_PHONE = r"[\+]?[\d][\d\s\-(). ]{6,16}[\d]"
+LEAD_FILTER_BRACKETS = r'^[\["\]]+|[\["\]]+$'
+
+#: Weights of the lenient first-name test; not from any source.
+FIRST_NAME_SCORES = {"known": 100, "plausible": 60, "ordinary_word": 20, "malformed": 0}

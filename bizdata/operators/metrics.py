@@ -6,7 +6,7 @@ tables take one pass per table and meet as one-row scalar subqueries, so there i
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -349,7 +349,7 @@ def table_counts(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def with_metrics(df: DataFrame, name: str, imported: Column, failed: Column | None = None) -> DataFrame:
+def with_metrics(df: DataFrame, name: str | Observation, imported: Column, failed: Column | None = None) -> DataFrame:
     """A-34: count total / imported / skipped / failed rows while the job runs (no extra pass)."""
     failed = F.lit(False) if failed is None else failed
     return df.observe(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.company import gibberish, headline_name, spam_reasons
 from ..functions.email import fake_email
-from ..functions.names import has_role, person_shape_ok, plausible_person, valid_title
+from ..functions.names import has_role, person_shape_ok, plausible_first, plausible_person, valid_title
 from ..functions.phone import phone_valid
 from ..functions.presence import missing, present
 from ..functions.scores import quality_score
@@ -114,6 +114,20 @@ def valid_person(df: DataFrame, first_names: DataFrame, not_names: DataFrame | N
     return out.withColumn("person_ok", ok).drop("_known", "_bad1", "_bad2")
 
 
+def plausible_first_names(df: DataFrame, first_names: DataFrame, ordinary_words: DataFrame, first: str = "first_name") -> DataFrame:
+    """X-35: lenient test of first names against two dictionaries of any size (column `word`); adds `first_why` and `first_score`.
+
+    known (100): in the first-name dictionary.  plausible (60): in neither, with the shape of a name.  ordinary_word (20): in
+    the dictionary of ordinary words and not of names.  malformed (0): the rest, missing ones too.  From 60 on a name passes.
+    """
+    name = F.lower(F.trim(first))
+    out = in_dictionary(in_dictionary(df, name, first_names, "_known"), name, ordinary_words, "_plain")
+    why = (F.when(F.col("_known"), F.lit("known")).when(F.col("_plain"), F.lit("ordinary_word"))
+           .when(plausible_first(first), F.lit("plausible")).otherwise(F.lit("malformed")))
+    score = F.create_map(*[F.lit(x) for pair in rules.FIRST_NAME_SCORES.items() for x in pair])
+    return out.withColumn("first_why", why).withColumn("first_score", F.try_element_at(score, F.col("first_why"))).drop("_known", "_plain")
+
+
 def contact_reasons(contacts: DataFrame, first_names: DataFrame, not_names: DataFrame) -> DataFrame:
     """P-17: contacts with `reason` (missing_name, short_name, not_a_person) or NULL."""
     f, l = F.lower(F.trim("first_name")), F.lower(F.trim("last_name"))

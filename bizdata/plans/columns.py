@@ -299,6 +299,15 @@ query("x34_valid_person", f"SELECT contact_id, {STRICT} AS person_ok FROM contac
 query("x35_plausible_first", f"""
     SELECT contact_id, COALESCE(LENGTH({FN}) BETWEEN 4 AND 15 AND REGEXP_MATCHES({FN}, '^[a-z''-]+$') AND NOT REGEXP_MATCHES({FN}, {q(rules.WORD_ENDINGS_LENIENT)}), FALSE) AS ok
     FROM contacts_v""")(lambda t: t.contacts.select("contact_id", names.plausible_first("first_name").alias("ok")))
+# first names of contacts, words of part names and made ones; every second word of a part name is in the dictionary of ordinary words
+FIRSTS = """SELECT contact_id AS id, first_name FROM contacts_v UNION ALL SELECT p_partkey + 100000000, SPLIT_PART(p_name, ' ', 2) FROM part
+    UNION ALL SELECT p_partkey + 200000000, CASE p_partkey % 3 WHEN 0 THEN ' Kirsten' WHEN 1 THEN 'Attainment' ELSE 'R2' END FROM part"""
+PLAIN_WORDS = "SELECT DISTINCT UPPER(SPLIT_PART(p_name, ' ', 2)) AS word FROM part WHERE LENGTH(SPLIT_PART(p_name, ' ', 2)) % 2 = 0"
+query("x35_plausible_first_names", f"""
+    SELECT id, first_name, why AS first_why, CASE why WHEN 'known' THEN 100 WHEN 'plausible' THEN 60 WHEN 'ordinary_word' THEN 20 ELSE 0 END AS first_score FROM (
+      SELECT *, CASE WHEN COALESCE({FN} IN {KNOWN}, FALSE) THEN 'known' WHEN COALESCE({FN} IN (SELECT LOWER(word) FROM ({PLAIN_WORDS})), FALSE) THEN 'ordinary_word'
+        WHEN COALESCE(LENGTH({FN}) BETWEEN 4 AND 15 AND REGEXP_MATCHES({FN}, '^[a-z''-]+$') AND NOT REGEXP_MATCHES({FN}, {q(rules.WORD_ENDINGS_LENIENT)}), FALSE) THEN 'plausible' ELSE 'malformed' END AS why
+      FROM ({FIRSTS}))""")(lambda t: quality.plausible_first_names(t.sql(FIRSTS), t.first_names, t.sql(PLAIN_WORDS)))
 TITLE_OK = (f"COALESCE(LENGTH(TRIM(job_title)) BETWEEN 3 AND 60 AND NOT REGEXP_MATCHES(TRIM(job_title), '(?i)[a-z]{{20,}}') "
             f"AND NOT REGEXP_MATCHES(job_title, '[<>{{}}()\\[\\]|\\\\/]') AND NOT REGEXP_MATCHES(job_title, {q(rules.TITLE_GARBAGE)}), FALSE)")
 query("x36_valid_title", f"SELECT contact_id, {TITLE_OK} AS ok FROM contacts_v")(

@@ -1,5 +1,6 @@
 """Queries P-01 … P-44, A-30 … A-34, S-01 … S-12, K-01 … K-06."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -183,12 +184,18 @@ query("p13_components", f"{COMPONENTS} SELECT id, component FROM c")(
 # the lowest-id donor of each field wins; pair reasons below 0.95 take no part
 query("p13_auto_merge", f"""{COMPONENTS},
     m AS (SELECT c.component, x.* FROM c JOIN companies_v x ON x.id = c.id WHERE c.id <> c.component),
-    d AS (SELECT component, {', '.join(f"MIN_BY({f}, id) FILTER (WHERE {f} <> '') AS d_{f}" for f in FIELDS)} FROM m GROUP BY component)
-    SELECT x.id, {', '.join(f"CASE WHEN c.id = c.component THEN COALESCE(NULLIF(x.{f}, ''), d.d_{f}, x.{f}) ELSE x.{f} END AS {f}" for f in FIELDS)},
-      CASE WHEN c.id <> c.component THEN 'merged' ELSE x.status END AS status,
-      CASE WHEN c.id <> c.component THEN CONCAT_WS(chr(10), x.notes, 'Merged into company ID ' || CAST(c.component AS STRING) || ' on {AS_OF}') ELSE x.notes END AS notes
-    FROM companies_v x LEFT JOIN c ON c.id = x.id LEFT JOIN d ON d.component = x.id""")(
-    lambda t: dedup.auto_merge(t.companies, AS_OF)[0].select("id", *FIELDS, "status", "notes"))
+    d AS (SELECT component, {', '.join(f"MIN_BY({f}, id) FILTER (WHERE {f} <> '') AS d_{f}" for f in FIELDS)},
+        MAX(last_enriched) FILTER (WHERE enrichment_status = 'completed') AS d_enriched FROM m GROUP BY component),
+    j AS (SELECT x.*, c.component, d.* EXCLUDE (component), c.component IS NULL OR c.id = c.component AS survives,
+        d_enriched IS NOT NULL AND (x.last_enriched IS NULL OR d_enriched > x.last_enriched) AS newer,
+        {' OR '.join(f"COALESCE(COALESCE(x.{f}, '') = '' AND d_{f} <> '', FALSE)" for f in FIELDS)} AS filled FROM companies_v x LEFT JOIN c ON c.id = x.id LEFT JOIN d ON d.component = x.id)
+    SELECT * EXCLUDE (component, {', '.join(f'd_{f}' for f in FIELDS)}, d_enriched, survives, newer, filled) REPLACE (
+      {', '.join(f"CASE WHEN survives THEN COALESCE(NULLIF({f}, ''), d_{f}, {f}) ELSE {f} END AS {f}" for f in FIELDS)},
+      CASE WHEN survives AND newer THEN d_enriched WHEN survives AND filled THEN {NOW} ELSE last_enriched END AS last_enriched,
+      CASE WHEN survives AND newer THEN 'completed' ELSE enrichment_status END AS enrichment_status,
+      CASE WHEN survives THEN status ELSE 'merged' END AS status,
+      CASE WHEN survives THEN notes ELSE CONCAT_WS(chr(10), notes, 'Merged into company ID ' || CAST(component AS STRING) || ' on {AS_OF}') END AS notes) FROM j""")(
+    lambda t: dedup.auto_merge(t.companies, AS_OF)[0])
 query("p12_merge_log", f"""{COMPONENTS} SELECT component AS company_id, 'merged' AS status,
       'Merged duplicate company ID ' || CAST(c.id AS STRING) || ' (' || COALESCE(x.name, 'no name') || ')' AS notes FROM c JOIN companies_v x ON x.id = c.id WHERE c.id <> c.component""")(
     lambda t: dedup.merge_pairs(dedup.find_duplicates(t.companies, 0.95), t.companies, AS_OF)[1])
@@ -293,7 +300,12 @@ query("p24_site_evidence", f"""
       CASE WHEN has_street THEN 'full_address' WHEN has_post THEN 'postcode' END, CASE WHEN n > 0 THEN n || '_officers' END, CASE WHEN has_name THEN 'company_name' END) AS matches
     FROM scored""")(lambda t: pages.site_evidence(t.companies, t.officers, t.pages, t.sql(HOSTS)))
 _clean = f"LOWER(TRIM(REGEXP_REPLACE(REGEXP_REPLACE(company_name, {q(rules.LEGAL_WORDS_IN_TITLES)}, '', 'g'), '[^a-zA-Z0-9\\s]', '', 'g')))"
-_fields = ", ".join(f"LOWER(COALESCE({element(tag)}, '')) AS {name}" for tag, name in (("title", "title"), ("h1", "h1"), ("footer", "footer")))
+_content = """TRIM(REGEXP_EXTRACT(html, '(?is)<meta\\s[^>]*name=["'']description["''][^>]*content=["'']([^"'']*)["'']', 1))"""
+for _entity, _char in rules.HTML_ENTITIES:
+    _content = f"REPLACE({_content}, {q(_entity)}, {q(_char)})"
+ABOUT = f"NULLIF({_content}, '')"
+_fields = ", ".join(f"LOWER(COALESCE({text}, '')) AS {name}" for text, name in (
+    (element("title"), "title"), (element("h1"), "h1"), (element("footer"), "footer"), (ABOUT, "description")))
 
 
 def _hits(field: str) -> str:
@@ -304,6 +316,7 @@ query("p25_site_match", f"""
     SELECT account_id, website, confidence, confidence >= 30 AS valid FROM (SELECT *, CASE WHEN LEN(words) = 0 THEN 50
         WHEN host IS NULL THEN CASE WHEN by_host THEN 40 ELSE 10 END
         ELSE LEAST(100, CASE WHEN {_hits('title')} >= CEIL(LEN(words) * 0.5) THEN 40 WHEN {_hits('title')} > 0 THEN 20 ELSE 0 END
+          + CASE WHEN {_hits('description')} >= CEIL(LEN(words) * 0.5) THEN 20 WHEN {_hits('description')} > 0 THEN 10 ELSE 0 END
           + CASE WHEN by_host THEN 25 ELSE 0 END + CASE WHEN {_hits('h1')} > 0 THEN 10 ELSE 0 END
           + CASE WHEN {_hits('footer')} >= CEIL(LEN(words) * 0.5) THEN 15 ELSE 0 END) END AS confidence
       FROM (SELECT *, LIST_FILTER(STRING_SPLIT_REGEX(c, '\\s+'), lambda w: LENGTH(w) > 2) AS words,
@@ -312,16 +325,17 @@ query("p25_site_match", f"""
         FROM (SELECT account_id, website, {host('website')} AS site, {_clean} AS c FROM accounts_v WHERE website <> '' AND company_name <> '') a
         LEFT JOIN (SELECT host, {_fields} FROM ({MAIN})) m ON a.site = m.host))""")(lambda t: pages.site_match(t.accounts, t.pages))
 
-RECORD_FIELDS = ("linkedin", "twitter", "facebook", "instagram", "address", "contact_link")
+RECORD_FIELDS = ("linkedin", "twitter", "facebook", "instagram", "address", "contact_link", "industry")
 RECORDS = f"""SELECT domain, COUNT(*) AS n_pages,
       MIN_BY(email, (CASE WHEN REGEXP_MATCHES(email, {q(rules.SITE_GENERIC)}) THEN 1 ELSE 0 END) * 1000000000 + page_id) FILTER (WHERE email IS NOT NULL) AS email,
       MIN_BY(phone, (CASE WHEN STARTS_WITH(phone, '+') THEN 0 ELSE 1 END) * 1000000000 + page_id) FILTER (WHERE phone IS NOT NULL) AS phone,
       {', '.join(f"MIN_BY({c}, page_id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in RECORD_FIELDS)}
-    FROM (SELECT p.page_id, {host('url')} AS domain, e.email, h.phone, s.linkedin, s.twitter, s.facebook, s.instagram, a.address, k.contact AS contact_link FROM pages_v p
+    FROM (SELECT p.page_id, {host('url')} AS domain, e.email, h.phone, s.linkedin, s.twitter, s.facebook, s.instagram, a.address, k.contact AS contact_link,
+        {ordered_case(f'LOWER({ABOUT})', rules.DESCRIPTION_HINTS, 'NULL')} AS industry FROM pages_v p
       JOIN ({TEXTS_OF['x47_choose_email']}) e ON e.page_id = p.page_id JOIN ({TEXTS_OF['x48_choose_phone']}) h ON h.page_id = p.page_id
       JOIN ({TEXTS_OF['x21_social_links']}) s ON s.page_id = p.page_id JOIN ({TEXTS_OF['x18_html_address']}) a ON a.page_id = p.page_id
       JOIN ({TEXTS_OF['x22_contact_link']}) k ON k.page_id = p.page_id) WHERE domain IS NOT NULL GROUP BY domain"""
-query("p26_page_contacts", RECORDS)(lambda t: pages.page_contacts(t.pages).drop("industry"))
+query("p26_page_contacts", RECORDS)(lambda t: pages.page_contacts(t.pages))
 query("p44_apply_page_contacts", f"""
     SELECT account_id, COALESCE(NULLIF(r.phone, ''), a.phone_number) AS phone_number, COALESCE(NULLIF(r.address, ''), a.address) AS address,
       COALESCE(NULLIF(r.linkedin, ''), a.linkedin_url) AS linkedin_url, CASE WHEN COALESCE(r.phone, r.address, r.linkedin) IS NOT NULL THEN {NOW} ELSE a.updated_at END AS updated_at
@@ -502,13 +516,32 @@ query("s09_union_locations", """
     SELECT state_name AS state_region, 3 AS priority, 0 AS population FROM states_v UNION ALL SELECT city_name, 2, 7 FROM cities_v""")(
     lambda t: locations.union_locations(t.states.select(F.col("state_name").alias("state_region")),
                                         t.cities.select(F.col("city_name").alias("state_region"), F.lit(7).alias("population"))))
-LEAD_ROWS = """SELECT contact_id AS lead_id, '{"name": "• ' || COALESCE(first_name, 'Ann') || ' ' || COALESCE(last_name, 'Lee') || ' 2nd", "subtitle": "' || CASE WHEN contact_id % 2 = 0
-    THEN 'Head of Sales at Acme Ltd · x' ELSE 'Founder' END || '", "location": "Leeds, England, United Kingdom", "rawText": "call +44 161 496 0000 or a.b@acme.test now"}' AS payload FROM contacts_v"""
-query("s10_parse_leads", """
-    SELECT contact_id AS lead_id, TRIM(COALESCE(first_name, 'Ann') || ' ' || COALESCE(last_name, 'Lee')) AS full_name, CASE WHEN contact_id % 2 = 0 THEN 'Head of Sales' ELSE 'Founder' END AS job_title,
-      CASE WHEN contact_id % 2 = 0 THEN 'Acme Ltd' END AS company, 'a.b@acme.test' AS email, '+44 161 496 0000' AS phone_number, 'Leeds' AS city, 'United Kingdom' AS country FROM contacts_v""")(
-    lambda t: places.parse_leads(t.sql(LEAD_ROWS)).select("lead_id", "full_name", "job_title", "company", "email", "phone_number", "city", "country"))
-
+# six kinds of block, told apart by the key: subtitles with and without a company, free text only, maps entries, filters of the page
+WHO, WHERE = "COALESCE(first_name, 'Ann') || ' ' || COALESCE(NULLIF(last_name, ''), 'Lee')", "'Town' || CHR(CAST(65 + contact_id % 26 AS INT))"
+CALLED = "CASE WHEN first_name = '' THEN COALESCE(NULLIF(last_name, ''), 'Lee') ELSE " + WHO + " END"
+LEAD_ROWS = f"""SELECT contact_id AS lead_id, CASE WHEN contact_id % 6 = 3 THEN 'maps' ELSE 'people' END AS strategy,
+    CASE contact_id % 4 WHEN 0 THEN '["Retail ' || CAST(contact_id % 30 AS STRING) || '"]' WHEN 1 THEN '["25"]' END AS asked_industry, 'Ham, Essex, England' AS asked_place,
+    CASE contact_id % 6
+      WHEN 0 THEN '{{"name": "• ' || {WHO} || ' 2nd", "subtitle": "Head of Sales ' || CAST(contact_id % 9 AS STRING) || ' at Firm' || CAST(contact_id % 70 AS STRING) || ' Ltd · x", "location": "' || {WHERE} || ', Kent, United Kingdom", "rawText": "call +44 161 496 ' || CAST(1000 + contact_id % 9000 AS STRING) || ' or a' || CAST(contact_id AS STRING) || '@acme.test now"}}'
+      WHEN 1 THEN '{{"name": "' || {WHO} || '", "subtitle": "Founder", "company": " Own' || CAST(contact_id % 50 AS STRING) || ' ", "industry": "Food", "email": "x' || CAST(contact_id AS STRING) || '@b.test", "rawText": "other@c.test"}}'
+      WHEN 2 THEN '{{"rawText": "Sarah Walker\\\\n2nd degree connection\\\\nChief Baker' || CAST(contact_id % 8 AS STRING) || ' at Bread' || CAST(contact_id % 60 AS STRING) || ' Co, Leeds\\\\n555-' || CAST(100000 + contact_id % 900000 AS STRING) || '"}}'
+      WHEN 3 THEN '{{"name": "Cafe ' || {WHERE} || '", "phone": "020 7946 0' || CAST(100 + contact_id % 900 AS STRING) || '", "website": "cafe' || CAST(contact_id AS STRING) || '.test"}}'
+      WHEN 4 THEN '{{"name": "' || {WHO} || '", "rawText": "Message · follow · Plumber and fitter ' || CAST(contact_id % 40 AS STRING) || ' · View", "location": "France"}}'
+      ELSE '{{"name": "", "subtitle": "  ", "rawText": "no name here, m' || CAST(contact_id AS STRING) || '@d.test"}}' END AS payload FROM contacts_v"""
+query("s10_parse_leads", f"""
+    SELECT contact_id AS lead_id,
+      CASE contact_id % 6 WHEN 2 THEN 'Sarah Walker' WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE {CALLED} END AS full_name,
+      CASE contact_id % 6 WHEN 0 THEN 'Head of Sales ' || (contact_id % 9) WHEN 1 THEN 'Founder' WHEN 2 THEN 'Sarah Walker'
+        WHEN 4 THEN 'Plumber and fitter ' || (contact_id % 40) END AS job_title,
+      CASE contact_id % 6 WHEN 0 THEN 'Firm' || (contact_id % 70) || ' Ltd' WHEN 1 THEN 'Own' || (contact_id % 50) WHEN 3 THEN 'Cafe ' || {WHERE.replace('CHR(', 'chr(')} END AS company,
+      CASE contact_id % 6 WHEN 0 THEN 'a' || contact_id || '@acme.test' WHEN 1 THEN 'x' || contact_id || '@b.test' WHEN 5 THEN 'm' || contact_id || '@d.test' END AS email,
+      CASE contact_id % 6 WHEN 0 THEN '+44 161 496 ' || (1000 + contact_id % 9000) WHEN 2 THEN '555-' || (100000 + contact_id % 900000) WHEN 3 THEN '020 7946 0' || (100 + contact_id % 900) END AS phone_number,
+      CASE contact_id % 6 WHEN 3 THEN 'cafe' || contact_id || '.test' END AS website,
+      CASE contact_id % 6 WHEN 0 THEN {WHERE.replace('CHR(', 'chr(')} WHEN 4 THEN NULL ELSE 'Ham' END AS city,
+      CASE contact_id % 6 WHEN 0 THEN 'United Kingdom' WHEN 4 THEN 'France' ELSE 'England' END AS country,
+      CASE WHEN contact_id % 6 = 1 THEN 'Food' WHEN contact_id % 4 = 0 THEN 'Retail ' || (contact_id % 30) END AS industry FROM contacts_v""")(
+    lambda t: places.parse_leads(t.sql(LEAD_ROWS), strategy="strategy", filter_industry="asked_industry", filter_location="asked_place").select(
+        "lead_id", "full_name", "job_title", "company", "email", "phone_number", "website", "city", "country", "industry"))
 
 
 def _reloaded(t):
@@ -534,32 +567,69 @@ query("k05_csv_round_trip", "SELECT doc_id, NULLIF(TRIM(REGEXP_REPLACE(text, '[\
 
 # --- exports ----------------------------------------------------------------------------------
 
-query("k01_export_companies", """
-    SELECT account_id, company_name AS "Company Name", quality_score AS "Quality Score", COALESCE(k, 0) AS "Contact Count" FROM (
-      SELECT * FROM accounts_v WHERE quality_score >= 20 AND LOWER(city) LIKE '%build%' ORDER BY quality_score DESC NULLS LAST, account_id) a
-    LEFT JOIN (SELECT linked_account_id, COUNT(*) AS k FROM contacts_v GROUP BY 1) c ON a.account_id = c.linked_account_id""")(
-    lambda t: export.export_companies(t.accounts, t.contacts, min_quality=20, city="Build").select(
-        "account_id", "Company Name", "Quality Score", "Contact Count"))
+HEADED = ", ".join(f'{c if c not in ("twitter_url", "facebook_url", "instagram_url") else "NULL"} AS "{h}"' for h, c in export.COMPANY_HEADINGS.items() if h != "Contact Count")
+query("k01_export_companies", f"""
+    SELECT account_id, {HEADED}, COALESCE(k, 0) AS "Contact Count" FROM accounts_v a
+    LEFT JOIN (SELECT linked_account_id, COUNT(*) AS k FROM contacts_v GROUP BY 1) c ON a.account_id = c.linked_account_id
+    WHERE quality_score >= 20 AND LOWER(city) LIKE '%build%'""")(
+    lambda t: export.export_companies(t.accounts, t.contacts, min_quality=20, city="Build"))
 query("k02_export_companies_full", """
-    SELECT account_id, CASE WHEN a.verified THEN 'Yes' ELSE 'No' END AS verified, COUNT(contact_id) AS contact_count, COUNT(email) AS contacts_with_email
-    FROM accounts_v a LEFT JOIN contacts_v c ON linked_account_id = account_id GROUP BY account_id, a.verified""")(
-    lambda t: export.export_companies_full(t.accounts, t.contacts).select("account_id", "verified", "contact_count", "contacts_with_email"))
+    SELECT a.* REPLACE (CASE WHEN verified THEN 'Yes' ELSE 'No' END AS verified), COALESCE(k, 0) AS contact_count, COALESCE(e, 0) AS contacts_with_email
+    FROM accounts_v a LEFT JOIN (SELECT linked_account_id, COUNT(*) AS k, COUNT(email) AS e FROM contacts_v GROUP BY 1) c ON linked_account_id = account_id""")(
+    lambda t: export.export_companies_full(t.accounts, t.contacts))
 query("k03_export_contacts", """
-    SELECT contact_id, a.company_name, CASE WHEN c.verified THEN 'Yes' ELSE 'No' END AS verified FROM contacts_v c LEFT JOIN accounts_v a ON linked_account_id = account_id
-    WHERE email <> '' AND a.country = 'EUROPE'""")(
-    lambda t: export.export_contacts(t.contacts, t.accounts, has_email=True, country="EUROPE").select("contact_id", "company_name", "verified"))
+    SELECT c.* REPLACE (CASE WHEN c.verified THEN 'Yes' ELSE 'No' END AS verified), a.company_name, a.website, a.country AS account_country, a.city AS account_city, a.industry AS account_industry
+    FROM contacts_v c LEFT JOIN accounts_v a ON linked_account_id = account_id WHERE email <> '' AND a.country = 'EUROPE'""")(
+    lambda t: export.export_contacts(t.contacts, t.accounts, has_email=True, country="EUROPE"))
 query("k04_export_combined", """
-    SELECT contact_id, first_name || ' ' || last_name AS full_name, a.company_name, STRFTIME(c.created_at, '%Y-%m-%d') AS created_date
+    SELECT contact_id, first_name || ' ' || last_name AS full_name, job_title, email, c.phone_number, c.linkedin_url, a.company_name, a.website, a.industry, a.city, a.country,
+      CASE WHEN c.verified THEN 'Yes' ELSE 'No' END AS verified, STRFTIME(c.created_at, '%Y-%m-%d') AS created_date
     FROM contacts_v c LEFT JOIN accounts_v a ON linked_account_id = account_id""")(
-    lambda t: export.export_combined(t.contacts, t.accounts).select("contact_id", "full_name", "company_name", "created_date"))
+    lambda t: export.export_combined(t.contacts, t.accounts))
 query("k05_flat_text", "SELECT doc_id, TRIM(REGEXP_REPLACE(text, '[\\r\\n]+', ' ', 'g')) AS text FROM documents")(
     lambda t: export.flat_text(t.base("documents").select("doc_id", "text")))
-query("k06_log_rows", f"""
-    SELECT id AS log_id, '{{"query":"' || search_query || '","user_session":' || CAST(user_session AS STRING) || '}}' AS filters, {NOW} AS searched_at FROM search_logs_v""")(
-    lambda t: export.log_rows(t.search_logs.select(F.col("id").alias("log_id"), F.col("search_query").alias("query"), "user_session"), AS_OF,
-                              "searched_at", "filters", ("query", "user_session")).select("log_id", "filters", "searched_at"))
-query("a34_with_metrics", """
-    SELECT number, status FROM registry_v""")(
-    lambda t: metrics.with_metrics(t.registry.select("number", "status"), "import_run", F.col("status") == "Active", F.col("number") == ""))
+LOGGED = f"""SELECT id AS log_id, '{{"query":"' || search_query || '","user_session":' || CAST(user_session AS STRING) || '}}' AS filters, {NOW} AS searched_at FROM search_logs_v"""
+
+
+def _log(t):
+    return export.log_rows(t.search_logs.select(F.col("id").alias("log_id"), F.col("search_query").alias("query"), "user_session"), AS_OF,
+                           "searched_at", "filters", ("query", "user_session")).select("log_id", "filters", "searched_at")
+
+
+@query("k06_append_log", f"{LOGGED} UNION ALL {LOGGED} WHERE id % 3 = 0")
+def _appended(t):
+    """A log written by two runs, the second of some rows, read back."""
+    folder, rows = shared_folder(t.spark), _log(t)
+    export.append_log(rows, folder)
+    export.append_log(rows.where("log_id % 3 = 0"), folder)
+    return t.spark.read.schema(rows.schema).parquet(folder)
+
+
+query("k06_log_rows", LOGGED)(_log)
+
+
+def _counted(t, rows, counts):
+    """The counts that a run over all rows has observed, as one row."""
+    rows.write.format("noop").mode("overwrite").save()
+    found = counts.get
+    return t.spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
+
+
+@query("a34_with_metrics", """
+    SELECT COUNT(*) AS total, COUNT(*) FILTER (status = 'Active') AS imported, COUNT(*) FILTER (number = '') AS failed,
+      COUNT(*) FILTER (status <> 'Active' AND number <> '') AS skipped FROM registry_v""")
+def _run_metrics(t):
+    seen = Observation()
+    return _counted(t, metrics.with_metrics(t.registry, seen, F.col("status") == "Active", F.col("number") == ""), seen)
+
+
+@query("s02_skipped_rows", """
+    SELECT COUNT(*) AS read, COUNT(*) FILTER (number <> '' AND status LIKE '%Active%') AS imported, COUNT(*) FILTER (number = '') AS no_number,
+      COUNT(*) FILTER (number <> '' AND status NOT LIKE '%Active%') AS not_active FROM registry_v""")
+def _skipped(t):
+    seen = Observation()
+    return _counted(t, registry.map_registry_rows(registry.count_skipped(_raw(t), seen), active_only=True), seen)
+
+
 query("w01_latest_delta", f"SELECT company_number, seq FROM ({LAST})")(
     lambda t: keys.keep_first(t.sql(DELTA), ["company_number"], [F.desc("seq")]).select("company_number", "seq"))

@@ -198,7 +198,9 @@ VIEWS: dict[str, str] = {
     "pages_v": f"""
         SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.site' ELSE 'http://site' END || CAST(page_id % 40 AS STRING) || '.test/'
             || CASE WHEN page_id % 2 = 0 THEN 'team/' || CAST(page_id AS STRING) ELSE '' END AS url,
-          '<p>Welcome from ' || {_first('(page_id + 1)')} || ' ' || {_last('(page_id + 2)')} || '.</p>' || html || '<section><h2>Team:</h2><p>' || {_first('(page_id + 1)')} || ' ' || {_last('(page_id + 2)')} || ', Managing Director, '
+          CASE page_id % 8 WHEN 0 THEN '' WHEN 1 THEN '<meta name="description" content=" Plain Widgets &amp; more ">'
+              ELSE '<meta charset="x"><META name=''description'' content="Our ' || CASE page_id % 7 WHEN 0 THEN 'software and law' WHEN 1 THEN 'health' WHEN 2 THEN 'finance' WHEN 3 THEN 'retail'
+                WHEN 4 THEN 'Manufacturing' WHEN 5 THEN 'consulting' ELSE 'widgets' END || ' site">' END || '<p>Welcome from ' || {_first('(page_id + 1)')} || ' ' || {_last('(page_id + 2)')} || '.</p>' || html || '<section><h2>Team:</h2><p>' || {_first('(page_id + 1)')} || ' ' || {_last('(page_id + 2)')} || ', Managing Director, '
             || LOWER(COALESCE({_first('(page_id + 1)')}, 'kim')) || '.' || LOWER(COALESCE({_last('(page_id + 2)')}, 'lee'))
             || '@site' || CAST(page_id % 40 AS STRING) || '.test, tel 020 7946 0' || CAST(100 + page_id % 900 AS STRING) || '</p>'
             || '<a href="mailto:info@site' || CAST(page_id % 40 AS STRING) || '.test?x=1">Mail</a> <a href="tel:+44 161 496 0'

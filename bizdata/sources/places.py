@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.company import place_priority, split_location
 from ..functions.names import clean_name
 from ..functions.presence import blank_to_null, present
@@ -63,38 +64,50 @@ def flatten_locations(tree: DataFrame) -> DataFrame:
 
 LEAD = """name string, subtitle string, profileUrl string, location string, email string, phone string,
           website string, company string, industry string, rawText string"""
-AT = r"(?i)^(.+?)\s+(?:at|@)\s+(.+)$"
 
 
-def parse_leads(df: DataFrame, payload: str = "payload", key: str = "lead_id") -> DataFrame:
+def parse_leads(df: DataFrame, payload: str = "payload", key: str = "lead_id", strategy: str | None = None,
+                filter_industry: str | None = None, filter_location: str | None = None) -> DataFrame:
     """S-10: lead blocks (JSON) as contact rows.
 
     The company comes only from the block itself or from "Title at Company"; it is never guessed from free
-    text.  E-mail, phone and name fall back to the free text.
+    text.  E-mail, phone and name fall back to the free text.  The optional arguments name columns of what the page
+    said beside its blocks: where `strategy` is 'maps' the name of a block without a company is the company and no
+    person; `filter_industry` fills a missing industry unless it is a code; `filter_location` fills city and country where
+    both are missing.
     """
-    rows = df.select(key, F.from_json(payload, LEAD).alias("b")).select(key, "b.*")
+    def beside(column: str | None, name: str) -> Column:
+        return (F.lit(None).cast("string") if column is None else F.col(column)).alias(name)
+
+    rows = df.select(key, F.from_json(payload, LEAD).alias("b"), beside(strategy, "_strategy"), beside(filter_industry, "_industry"), beside(filter_location, "_location")
+                     ).select(key, "b.*", "_strategy", "_industry", "_location")
     raw, sub = F.col("rawText"), F.trim("subtitle")
-    line_at = r"(?i)^(.{3,60})\s+(?:at|@)\s+(.{2,60})$"
     lines = F.filter(F.transform(F.split(raw, r"[·\n]"), lambda p: F.trim(p)), lambda x: x != "")
-    usable = F.filter(lines, lambda x: (F.length(x) >= 3) & ~x.rlike("(?i)connect|follow|message|degree|mutual|view")
+    usable = F.filter(lines, lambda x: (F.length(x) >= 3) & ~x.rlike(rules.LEAD_WEB_WORDS)
                       & (F.lower(x) != F.lower(F.coalesce(F.trim("name"), F.lit("")))))
-    telling = F.get(F.filter(usable, lambda x: x.rlike(line_at) | (x.rlike("^[A-Z]") & F.length(x).between(4, 99))), F.lit(0))
-    sub_title = F.when(sub.rlike(AT), F.trim(F.regexp_extract(sub, AT, 1))).otherwise(blank_to_null(sub))
-    sub_company = blank_to_null(F.trim(F.get(F.split(F.regexp_extract(sub, AT, 2), r"[·•\n]"), F.lit(0))))
-    line_title = F.when(telling.rlike(line_at), F.trim(F.regexp_extract(telling, line_at, 1))).otherwise(telling)
-    line_company = blank_to_null(F.trim(F.get(F.split(F.regexp_extract(telling, line_at, 2), r"[·•,]"), F.lit(0))))
+    telling = F.get(F.filter(usable, lambda x: x.rlike(rules.LEAD_LINE_AT) | (x.rlike("^[A-Z]") & F.length(x).between(4, 99))), F.lit(0))
+    sub_title = F.when(sub.rlike(rules.LEAD_AT), F.trim(F.regexp_extract(sub, rules.LEAD_AT, 1))).otherwise(blank_to_null(sub))
+    sub_company = blank_to_null(F.trim(F.get(F.split(F.regexp_extract(sub, rules.LEAD_AT, 2), r"[·•\n]"), F.lit(0))))
+    line_title = F.when(telling.rlike(rules.LEAD_LINE_AT), F.trim(F.regexp_extract(telling, rules.LEAD_LINE_AT, 1))).otherwise(telling)
+    line_company = blank_to_null(F.trim(F.get(F.split(F.regexp_extract(telling, rules.LEAD_LINE_AT, 2), r"[·•,]"), F.lit(0))))
     own_company = blank_to_null(F.trim("company"))
-    raw_name = blank_to_null(F.regexp_extract(raw, r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})", 1))
-    full = F.coalesce(blank_to_null(clean_name("name")), raw_name)
-    place = split_location("location")
-    return rows.select(
-        key, full.alias("full_name"), blank_to_null(F.regexp_extract(full, r"^(\S+)", 1)).alias("first_name"),
-        blank_to_null(F.regexp_extract(full, r"^\S+\s+(.*)$", 1)).alias("last_name"),
-        F.coalesce(sub_title, line_title).alias("job_title"),
-        F.coalesce(sub_company, own_company, F.when(~F.coalesce(present(sub), F.lit(False)), line_company)).alias("company"),
-        F.coalesce(blank_to_null("email"), blank_to_null(F.regexp_extract(raw, r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", 0)))
-        .alias("email"),
-        F.coalesce(blank_to_null("phone"), blank_to_null(F.trim(F.regexp_extract(raw, r"[\+]?[\d][\d\s\-(). ]{6,16}[\d]", 0))))
-        .alias("phone_number"),
-        F.col("profileUrl").alias("linkedin_url"), "website", place["city"].alias("city"),
-        place["country"].alias("country"), blank_to_null(F.trim("industry")).alias("industry"))
+    raw_name = blank_to_null(F.regexp_extract(raw, rules.LEAD_NAME, 1))
+    company = F.coalesce(sub_company, own_company, F.when(~F.coalesce(present(sub), F.lit(False)), line_company))
+    named = rows.withColumn("_full", F.coalesce(blank_to_null(clean_name("name")), raw_name)).withColumn("_company", company)
+    business = F.coalesce((F.col("_strategy") == "maps") & F.col("_full").isNotNull() & F.col("_company").isNull(), F.lit(False))
+    marked = named.withColumn("company", F.when(business, F.col("_full")).otherwise(F.col("_company"))).withColumn(
+        "full_name", F.when(~business, F.col("_full")))
+    said = F.trim(F.regexp_replace("_industry", rules.LEAD_FILTER_BRACKETS, ""))
+    asked = F.when((F.length(said) > 1) & ~said.rlike(r"^\d+$"), said)
+    own, area = split_location("location"), split_location("_location")
+    unplaced = own["city"].isNull() & own["country"].isNull()
+    return marked.select(
+        key, "full_name", blank_to_null(F.regexp_extract("full_name", r"^(\S+)", 1)).alias("first_name"),
+        blank_to_null(F.regexp_extract("full_name", r"^\S+\s+(.*)$", 1)).alias("last_name"),
+        F.coalesce(sub_title, line_title).alias("job_title"), "company",
+        F.coalesce(blank_to_null("email"), blank_to_null(F.regexp_extract(raw, rules.LEAD_EMAIL, 0))).alias("email"),
+        F.coalesce(blank_to_null("phone"), blank_to_null(F.trim(F.regexp_extract(raw, rules.LEAD_PHONE, 0)))).alias("phone_number"),
+        F.col("profileUrl").alias("linkedin_url"), "website",
+        F.when(unplaced, area["city"]).otherwise(own["city"]).alias("city"),
+        F.when(unplaced, area["country"]).otherwise(own["country"]).alias("country"),
+        F.coalesce(blank_to_null(F.trim("industry")), asked).alias("industry"))

@@ -1,6 +1,6 @@
 """Company-registry files and payloads (S-01 … S-05)."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,10 +48,22 @@ def map_registry_rows(raw: DataFrame, active_only: bool = False, source: str = S
         industry.alias("industry"), F.lit(source).alias("data_source"))
 
 
-def read_registry_csv(spark: SparkSession, path: str, active_only: bool = False, source: str = SOURCE_TAG) -> DataFrame:
-    """S-01, S-02.  Every column is read as text; types come from the mapping."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=False)
-    return map_registry_rows(raw_columns(raw), active_only, source)
+def count_skipped(raw: DataFrame, counts: Observation | str) -> DataFrame:
+    """S-02: the rows, with `read`, `imported`, `no_number` and `not_active` counted while whatever is made of them runs (no
+    extra pass; a row without a number counts as that, whatever its status)."""
+    def clean(c: str) -> Column:
+        return blank_to_null(F.trim(F.regexp_replace(F.trim(c), '^"+|"+$', "")))
+
+    numbered, active = clean("company_number").isNotNull(), F.coalesce(clean("status") == "Active", F.lit(False))
+    return raw.observe(counts, F.count(F.lit(1)).alias("read"), F.count_if(numbered & active).alias("imported"),
+                       F.count_if(~numbered).alias("no_number"), F.count_if(numbered & ~active).alias("not_active"))
+
+
+def read_registry_csv(spark: SparkSession, path: str, active_only: bool = False, source: str = SOURCE_TAG,
+                      counts: Observation | None = None) -> DataFrame:
+    """S-01, S-02.  Every column is read as text; types come from the mapping. `counts` receives those of count_skipped."""
+    raw = raw_columns(spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=False))
+    return map_registry_rows(raw if counts is None else count_skipped(raw, counts), active_only, source)
 
 
 # --- JSON payloads ----------------------------------------------------------------------------
