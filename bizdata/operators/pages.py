@@ -30,45 +30,61 @@ def candidate_hosts(companies: DataFrame) -> DataFrame:
     return companies.select("id", F.explode(F.array_distinct(hosts)).alias("host"))
 
 
+def found_on_sites(asked: DataFrame, sites: DataFrame, per_block: int = 1000) -> DataFrame:
+    """Of `asked` (host, kind, needle) the distinct rows whose needle the site contains: in its text, or for the kind 'number' in its
+    text or source. `sites` has one row per host: host, _html, _text in lower case.
+
+    A page meets the needles of its host in blocks of about `per_block`, by a hash of the needle, so it is read once a
+    block and never copied to the companies that ask; a host that very many ask for is many blocks.
+    """
+    needles = asked.where(F.col("needle").isNotNull()).select("host", (F.col("kind") == "number").alias("source_too"), "needle").distinct()
+    blocks = needles.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("_blocks"))
+    dealt = needles.join(blocks, "host").withColumn("_block", F.pmod(F.xxhash64("needle"), "_blocks"))
+    listed = dealt.groupBy("host", "_block").agg(F.collect_list(F.struct("source_too", "needle")).alias("_asked"))
+    held = F.filter("_asked", lambda n: F.contains(F.col("_text"), n["needle"]) | (n["source_too"] & F.contains(F.col("_html"), n["needle"])))
+    found = listed.join(sites, "host").select("host", F.explode(held).alias("_n")).select("host", "_n.source_too", "_n.needle")
+    return asked.select("host", "kind", "needle", (F.col("kind") == "number").alias("source_too")).distinct().join(
+        found, ["host", "source_too", "needle"], "left_semi").select("host", "kind", "needle")
+
+
 def site_evidence(companies: DataFrame, officers: DataFrame, pages: DataFrame,
                   hosts: DataFrame | None = None) -> DataFrame:
     """P-24: how surely a host is the company's: number 70, host name 30, address and postcode 40 (postcode
     alone 20), officers 15 each up to 30 by surname, exact name 10; valid from 50, at most 100.
 
-    One main page per host, so the join with (company, host) candidates is many-to-one and fetches a page once per
-    candidate. Officers are counted per surname before they meet the candidates.
+    What each candidate asks of a site are short texts, looked up in the host's one main page by found_on_sites; pages do
+    not meet candidates. Officers are counted per surname, each surname a row of its own.
     """
-    hosts = candidate_hosts(companies) if hosts is None else hosts
+    hosts = (candidate_hosts(companies) if hosts is None else hosts).select("id", "host").distinct()
     site = main_pages(pages).select("host", "url", F.lower("html").alias("_html"), html_text("html").alias("_text"))
+    urls = site.select("host", "url")
     surname = F.element_at(F.split(F.trim(F.lower("name")), r"\s+"), -1)
-    people = (officers.select(F.col("company_id").alias("id"), surname.alias("surname")).filter(F.length("surname") > 3)
-              .groupBy("id", "surname").agg(F.count(F.lit(1)).alias("n"))
-              .groupBy("id").agg(F.collect_list(F.struct("surname", "n")).alias("_surnames")))
-    named = F.filter("_surnames", lambda s: F.contains(F.col("_text"), s["surname"]))
-    officers_named = F.aggregate(named, F.lit(0).cast("long"), lambda total, s: total + s["n"])
-    base = (hosts.join(companies, "id").join(people, "id", "left").join(site, "host")
-            .withColumn("_officers", F.coalesce(officers_named, F.lit(0).cast("long"))))
-
-    number = F.lower(F.regexp_replace("company_number", r"\s", ""))
+    people = (officers.select(F.col("company_id").alias("id"), surname.alias("needle")).filter(F.length("needle") > 3)
+              .groupBy("id", "needle").agg(F.count(F.lit(1)).alias("n")))
+    placed = present("address_line_1") & present("postal_code")
+    facts = {"number": F.lower(F.regexp_replace("company_number", r"\s", "")), "name": F.lower("name"),
+             "postcode": F.when(placed, F.regexp_replace(F.lower("postal_code"), r"\s", "")),
+             "street": F.when(placed, F.lower("address_line_1"))}
+    told = companies.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("needle")) for k, c in facts.items()])).alias("_f")).select(
+        "id", "_f.kind", "_f.needle", F.lit(1).cast("long").alias("n"))
+    every = told.unionByName(people.select("id", F.lit("officer").alias("kind"), "needle", "n")).where(F.col("needle").isNotNull())
+    asked = hosts.join(urls, "host", "left_semi").join(every, "id")
+    hits = asked.join(found_on_sites(asked, site), ["host", "kind", "needle"])
+    counted = hits.groupBy("id", "host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"_{k}") for k in (*facts, "officer")])
+    base = hosts.join(urls, "host").join(companies.select("id", "name"), "id").join(counted, ["id", "host"], "left").na.fill(0, [f"_{k}" for k in (*facts, "officer")])
+
     stem = F.split_part("host", F.lit("."), F.lit(1))
     clean = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
-    postcode = F.regexp_replace(F.lower("postal_code"), r"\s", "")
-
-    def yes(c: Column) -> Column:
-        return F.coalesce(c, F.lit(False))
-
-    has_number = yes(F.contains("_html", number) | F.contains("_text", number))
-    has_host = yes(F.contains(clean, stem) | F.contains(stem, clean))
-    has_postcode = yes(present("address_line_1") & present("postal_code") & F.contains("_text", postcode))
-    has_address = has_postcode & yes(F.contains("_text", F.lower("address_line_1")))
-    has_name = yes(F.contains("_text", F.lower("name")))
+    has_host = F.coalesce(F.contains(clean, stem) | F.contains(stem, clean), F.lit(False))
+    has_number, has_name, has_postcode = (F.col(f"_{k}") > 0 for k in ("number", "name", "postcode"))
+    has_address = has_postcode & (F.col("_street") > 0)
     score = (F.when(has_number, 70).otherwise(0) + F.when(has_host, 30).otherwise(0)
              + F.when(has_address, 40).when(has_postcode, 20).otherwise(0)
-             + F.least(F.col("_officers") * 15, F.lit(30)) + F.when(has_name, 10).otherwise(0))
+             + F.least(F.col("_officer") * 15, F.lit(30)) + F.when(has_name, 10).otherwise(0))
     matches = F.array_compact(F.array(
         F.when(has_number, F.lit("company_number")), F.when(has_host, F.lit("domain_match")),
         F.when(has_address, F.lit("full_address")).when(has_postcode, F.lit("postcode")),
-        F.when(F.col("_officers") > 0, F.concat(F.col("_officers").cast("string"), F.lit("_officers"))),
+        F.when(F.col("_officer") > 0, F.concat(F.col("_officer").cast("string"), F.lit("_officers"))),
         F.when(has_name, F.lit("company_name"))))
     return base.select("id", "host", "url", F.least(score, F.lit(100)).cast("int").alias("confidence"),
                        (score >= 50).alias("valid"), F.array_join(matches, ",").alias("matches"))
