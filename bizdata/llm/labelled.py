@@ -20,8 +20,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, limit: int) ->
     smallest hash of id and label, the same at every run. Null labels and ids are no labels."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = known.where(train).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "label").limit(limit)
-    # ids of a bounded sample: at most `limit` rows are sent to the executors
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    # ids of a bounded sample: at most `limit` rows are sent to the executors; an id that documents share gives a row for each,
+    # so the bound is set again
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(
+        F.xxhash64("doc_id", F.lit(7)), "doc_id", "label", F.xxhash64("text")).limit(limit).select("text", "label")
 
 
 class Logistic:

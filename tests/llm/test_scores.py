@@ -29,7 +29,7 @@ def test_marks_follow_their_reach():
 
 
 def test_clauses_and_their_marks_decide_the_score():
-    model = toxicity.Model(toxicity.Lexicon({}), None)
+    model = toxicity.Model(toxicity.Lexicon({}))
     plain, reported, negated, two, clean, split, empty, null = model.score([
         "an idiot", "she said that one is an idiot", "not an idiot", "you idiot and moron", "kill the process", "You. Idiot", "", None])
     assert two > plain > reported and plain > negated
@@ -38,6 +38,73 @@ def test_clauses_and_their_marks_decide_the_score():
     assert model.score(["an idiotic clownfish"])[0] == 0  # whole words only
 
 
+def test_marks_equal_their_definition():
+    """Every derivation of random clauses: a mark holds if its trigger is within reach, before an item or, for targets, after it."""
+    T, rng = toxicity, random.Random(6)
+    for _ in range(3000):
+        clause = [(rng.choice([0, 0, 1, 2, 6]), rng.randrange(1, T.END)) for _ in range(rng.randrange(1, 7))]
+        at = np.cumsum([gap + 1 for gap, _ in clause]).tolist()
+        for i, got in enumerate(T.marks_of(clause)):
+            want = 0
+            for j, (_, kind) in enumerate(clause):
+                back, ahead = at[i] - at[j], at[j] - at[i]
+                want |= T.TARGETED * (kind == T.TARGET and (0 < back <= T.TARGET_REACH or 0 < ahead <= T.TARGET_AFTER))
+                want |= T.NEGATED * (kind == T.NEGATION and 0 < back <= T.NEGATION_REACH)
+                want |= T.INTENSIFIED * (kind == T.INTENSIFIER and 0 < back <= T.INTENSIFIER_REACH)
+                want |= T.REPORTED * (kind == T.REPORT and back > 0)
+            assert got == want
+
+
+PAIRS = [("you are an idiot", "you are not an idiot"), ("you are an idiot", "he said you are an idiot"), ("we will kill you all", "we will kill all the processes"),
+         ("they are such losers", "losers are in there"), ("she is worthless", "worthless paper"), ("you are a moron", "an old moron story"), ("those people are scum", "pond scum")]
+
+
+def test_the_grammar_decides_between_pairs(monkeypatch):
+    model = toxicity.Model(toxicity.Lexicon({}))
+    scored = [tuple(model.score(list(pair))) for pair in PAIRS]
+    assert all(bad > 0.5 > good and bad - good > 0.3 for bad, good in scored)
+    monkeypatch.setattr(toxicity, "marks_of", lambda clause: [0] * len(clause))
+    without = [tuple(model.score(list(pair))) for pair in PAIRS]
+    changed = sum((a >= 0.5) != (b >= 0.5) for (a, _), (b, _) in zip(scored, without, strict=True))
+    assert changed >= len(PAIRS) / 5
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_learned_words_do_not_decide_alone(spark, folder):
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    neutral = "The report covers the region and its rivers in some detail. " * 30
+    low = ["the path is worth it", "a trip to the pathology lab", "kill the process", "the clown at the fair", neutral, neutral + "the path is worth it", neutral + "you are not an idiot", ""]
+    high = ["we will kill you all", "you are an idiot", neutral + "you are an idiot", neutral + "we will kill you all", "you pathetic loser"]
+    scores = dict(zip(low + high, model.score(low + high), strict=True))
+    assert all(scores[t] < 0.5 for t in low) and all(scores[t] > 0.5 for t in high)
+    assert scores["the path is worth it"] < 0.1 and scores["kill the process"] < 0.1
+    assert scores[neutral + "you are an idiot"] - scores[neutral + "you are not an idiot"] > 0.3
+    assert not any(t in ("path*", "worth*", "tras*", "patho*") for t in model.lexicon.learned)
+
+
+def test_beginnings_of_ordinary_words_are_not_learned(spark):
+    """`grumb*` begins many toxic words; `stonel*` as many, but is as common in documents without a label."""
+    rows, labels, rng = [], [], random.Random(8)
+    for i in range(1000):
+        toxic = i < 60
+        body = ["".join(rng.choice("bdfgk") for _ in range(3)) for _ in range(12)]
+        if toxic:
+            body[3:5] = [f"grumb{'abcdefgh'[i % 8]}x", f"stonel{'abcdefgh'[i % 8]}y"]
+        elif i >= 400:
+            body[4] = f"stonel{'abcdefgh'[i % 8]}y"
+        rows.append((i, " ".join(body), "en", "s", 0))
+        if i < 400:
+            labels.append((i, 1, int(toxic)))
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "grumb*" in model.lexicon.learned and not any(t.startswith("stone") for t in model.lexicon.learned)
+
+
+def test_ids_that_many_rows_share_do_not_lift_the_bound(spark):
+    rows = [(1, f"text {k}", "en", "s", 0) for k in range(300)] + [(2, "other", "en", "s", 0)]
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert labelled.sample(frame(spark, rows), labels, "toxic", labelled.remainder("doc_id", 5) >= 0, 50).count() == 50
+
+
 def noisy(seed):
     rng = random.Random(seed)
     rows, labels = [], []
