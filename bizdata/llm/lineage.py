@@ -10,5 +10,7 @@ def settle(df: DataFrame) -> DataFrame:
     a collection after each cut keeps the disk at what one step needs."""
     out = cut_lineage(df)
     del df  # the last reference to the plan that has run
-    out.sparkSession.sparkContext._jvm.System.gc()
+    context = getattr(out.sparkSession, "_sc", None)  # a remote session has none; its server cleans up by itself
+    if context is not None:
+        context._jvm.System.gc()
     return out

@@ -8,6 +8,8 @@ it was wrapped anew or is part of one, is looked up in runs of words of the pass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 QUOTE = r"^[ \t]*(?:>[ \t]?)*>"
 #: Words of a run; a passage of fewer words is one run.
 RUN = 5
@@ -71,6 +73,17 @@ def own_text(text: Column) -> Column:
     return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
+def turns_before(messages: DataFrame, span: int = 1024) -> DataFrame:
+    """conv_id, turn and `before`, the greatest earlier turn of the conversation. Turns are looked back from within spans of
+    turn numbers, and from the first turn of a span to the last one of the span before, so that a conversation
+    with most of the messages is many groups."""
+    turns = messages.select("conv_id", "turn", F.floor(F.col("turn") / span).alias("span")).distinct()
+    inner = turns.withColumn("near", F.lag("turn").over(Window.partitionBy("conv_id", "span").orderBy("turn")))
+    ends = turns.groupBy("conv_id", "span").agg(F.max("turn").alias("last"))
+    ends = ends.select("conv_id", "span", F.lag("last").over(Window.partitionBy("conv_id").orderBy("span")).alias("far"))
+    return inner.join(ends, ["conv_id", "span"], "left").select("conv_id", "turn", F.coalesce("near", "far").alias("before"))
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: `conv_id`, `turn`, `role`, `body` (without quotes), `reply_to` (turn answered), `n_quoted`
     (quoted lines), `n_linked` (those found in an earlier message of the conversation).
@@ -80,7 +93,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     it come from, runs of the passage that successive lines of one level make up; so quotes that were wrapped anew
     and parts of lines are found, from RUN words on or if they are a whole passage. LINK_SQL has the rule for whole
     lines only and agrees where no quote needs runs. A message answers the source of most of its outermost quoted lines (ties:
-    the later one); without a source, the turn before it, if there is one; else it begins a thread (null). Sorting
+    the later one); without a source, the greatest earlier turn of the conversation, if there is one; else it begins a thread (null). Sorting
     a conversation by reply_to (nulls first) and turn puts every message after the one it answers and replies to
     one message together; `reply_order` gives that order without gathering a conversation in one task.
 
@@ -90,7 +103,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     is one row; the join of quotes with them can be split on a hot key.
     """
     chosen = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    lines = lines_of(chosen.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()))
+    placed = chosen.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    # only conversations in which some line starts with a quote mark are parsed, and their lines once
+    quoting = placed.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id").distinct()
+    lines = settle(lines_of(placed.join(quoting, "conv_id", "left_semi")))
     quoted = lines.where(F.col("level") > 0).select("conv_id", "turn", "level", "at", "hash", "passage").distinct()
     sources = (lines.where(F.col("level") == 0).groupBy("conv_id", "hash", "passage").agg(F.min("turn").alias("source")))
     found = (quoted.join(sources, ["conv_id", "hash", "passage"], "left")
@@ -101,10 +117,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     votes = (found.where(F.col("source").isNotNull()).groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("votes"))
              .groupBy("conv_id", "turn", "level").agg(F.max_by("source", F.struct("votes", "source")).alias("answered"))
              .groupBy("conv_id", "turn").agg(F.min_by("answered", "level").alias("answered")))
-    before = chosen.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("has_before")).distinct()
+    before = turns_before(placed)
     return (chosen.join(outer.drop("outer"), ["conv_id", "turn"], "left").join(votes, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
             .select("conv_id", "turn", "role", own_text(F.col("text")).alias("body"),
-                    F.coalesce("answered", F.when(F.col("has_before"), F.col("turn") - 1)).alias("reply_to"),
+                    F.coalesce("answered", "before").alias("reply_to"),
                     F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
 
 
@@ -131,12 +147,12 @@ found AS (SELECT q.conv_id, q.turn, q.level, q.line_no, CASE WHEN s.source < q.t
 totals AS (SELECT conv_id, turn, count(*) AS n_quoted, count(source) AS n_linked FROM found GROUP BY ALL),
 votes AS (SELECT conv_id, turn, level, source, count(*) AS votes FROM found WHERE source IS NOT NULL GROUP BY ALL),
 answers AS (SELECT conv_id, turn, first(source ORDER BY level, votes DESC, source DESC) AS answered FROM votes GROUP BY ALL),
-befores AS (SELECT DISTINCT conv_id, turn + 1 AS turn, true AS has_before FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+befores AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL))
 SELECT c.conv_id, c.turn, c.role,
   regexp_replace(array_to_string(list_filter(string_split(regexp_replace(coalesce(c.text, ''), '\r\n?', chr(10), 'g'), chr(10)),
     lambda x: NOT regexp_matches(x, '^[ \t]*(?:>[ \t]?)*>') AND NOT regexp_matches(x,
     '(?i)^[ \t]*(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,100}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)[ \t]*:[ \t]*$')), chr(10)), '^\s+|\s+$', '', 'g') AS body,
-  coalesce(a.answered, CASE WHEN b.has_before THEN c.turn - 1 END) AS reply_to, coalesce(t.n_quoted, 0) AS n_quoted, coalesce(t.n_linked, 0) AS n_linked
+  coalesce(a.answered, b.before) AS reply_to, coalesce(t.n_quoted, 0) AS n_quoted, coalesce(t.n_linked, 0) AS n_linked
 FROM conversations c LEFT JOIN totals t ON c.conv_id = t.conv_id AND c.turn = t.turn
 LEFT JOIN answers a ON c.conv_id = a.conv_id AND c.turn = a.turn LEFT JOIN befores b ON c.conv_id = b.conv_id AND c.turn = b.turn
 """
