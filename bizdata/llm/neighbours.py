@@ -6,6 +6,7 @@ within Hamming radius r agree on some of m substrings within r // m bits, so pro
 radius retrieves every code within r; their vectors are then compared in double precision.
 """
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,14 @@ class Rotation:
         return int(np.quantile(np.concatenate(far), share, method="higher")) if far and len(rows) > 1 else self.bits
 
 
+@functools.cache
+def probes(radius: int) -> np.ndarray:
+    """Every choice of at most `radius` bits of a substring, fewest first."""
+    masks = np.arange(1 << SUBSTRING_BITS)
+    bits = np.bitwise_count(masks)
+    return masks[np.argsort(bits, kind="stable")][:int((bits <= radius).sum())]
+
+
 class Index:
     """Substring indexes over some vectors."""
 
@@ -72,16 +81,22 @@ class Index:
         self.codes = rotation.codes(self.rows)
         self.tables = []
         for part in rotation.parts(self.codes):
-            by = np.argsort(part, kind="stable")
-            values, begin = np.unique(part[by], return_index=True)
-            self.tables.append((values, np.append(begin, len(part)), by))
+            # rows sorted by the value of a substring, and where each of its values begins
+            begin = np.append(0, np.cumsum(np.bincount(part.astype(np.int64), minlength=1 << SUBSTRING_BITS)))
+            self.tables.append((begin, np.argsort(part, kind="stable")))
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Positions of all codes within the radius: filled buckets within radius // m of a substring, then the whole code."""
+        """Positions of all codes within the radius: of each substring the buckets that flipping up to radius // m of its bits
+        names, then the whole code."""
         hit = np.zeros(len(self.codes), bool)
-        for part, (values, begin, by) in zip(self.rotation.parts(np.array([code])), self.tables, strict=True):
-            for k in np.flatnonzero(np.bitwise_count(values ^ part[0]) <= radius // self.rotation.substrings):
-                hit[by[begin[k]:begin[k + 1]]] = True
+        flips = probes(radius // self.rotation.substrings)
+        for part, (begin, by) in zip(self.rotation.parts(np.array([code])), self.tables, strict=True):
+            bucket = flips ^ int(part[0])
+            first, size = begin[bucket], begin[bucket + 1] - begin[bucket]
+            filled = size > 0
+            first, size = first[filled], size[filled]
+            # the rows of all these buckets, one stretch after the other
+            hit[by[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
         found = np.flatnonzero(hit)
         return found[np.bitwise_count(self.codes[found] ^ code) <= radius]
 
@@ -116,7 +131,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     at most k rows a query, and those are ranked. Queries that find fewer than k rows within the radius are
     searched again without one, which is exact. Vectors that are null, empty, zero, or hold null or non-finite
     components take no part, nor do rows whose number of components is not that of the row with the smallest id;
-    null ids take no part; rows that repeat an id count once; other columns are ignored. Fewer than k other rows: all of them; no rows: none.
+    null ids take no part; rows that repeat an id count once, and a query id that repeats asks with its smallest vector; other columns are ignored. Fewer than k other rows: all of them; no rows: none.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -129,7 +144,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     learned = np.array([r["v"] for r in every.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample_rows).collect()])
     rotation = Rotation(learned)
     near = rotation.radius(learned, k, share) if radius is None else radius
-    queries = every.where(is_query(F.col("id"))).dropDuplicates(["id"])
+    queries = every.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
     blocks = -(-queries.count() // QUERIES_AT_ONCE)
     found = [empty]
     for block in range(blocks):

@@ -1,7 +1,9 @@
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from bizdata.llm import neighbours, quotations
-from tests.compare import compare
+from tests.compare import compare, connect
 
 SCHEMA = "vec_id long, embedding array<float>, query_id string, score string"
 
@@ -88,7 +90,7 @@ def test_quotes_lead_to_the_first_message_that_says_them(spark, duck=None):
     assert got[1, 1]["reply_to"] == 0 and got[1, 1]["body"] == "Hi!  I am fine"
     assert got[1, 2]["reply_to"] == 1 and got[1, 2]["n_quoted"] == got[1, 2]["n_linked"] == 3
     assert got[1, 3]["reply_to"] == 0 and (got[1, 3]["n_quoted"], got[1, 3]["n_linked"]) == (2, 1)
-    assert got[2, 2]["reply_to"] == 1 and got[2, 7]["reply_to"] is None and got[2, 7]["n_linked"] == 0
+    assert got[2, 2]["reply_to"] == 1 and got[2, 7]["reply_to"] == 2 and got[2, 7]["n_linked"] == 0
     assert got[None, 2]["body"] == "" and linked.count() == len(TALK)
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
@@ -127,3 +129,56 @@ def test_quotes_wrapped_anew_or_in_part_are_linked(spark):
     assert got[1, 6] == (4, 4, 4)
     assert got[1, 7] == (2, 2, 2)
     assert got[2, 1] == (None, 1, 0)
+
+
+def test_turns_with_gaps(spark):
+    """Without quotes a message answers the greatest earlier turn, however far; order and links stay those of SQL."""
+    rows = [(1, t, "user", f"message {t}") for t in (30, 0, 10, 20, 20, 5000, -7)] + [(1, 6000, "user", "> message 10\nyes"), (2, 3, "user", None), (2, None, "user", "x"), (None, 1, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    linked = quotations.link_quotes(df)
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in linked.collect()}
+    assert got == {(1, -7): None, (1, 0): -7, (1, 10): 0, (1, 20): 10, (1, 30): 20, (1, 5000): 30, (1, 6000): 10, (2, 3): None, (2, None): None, (None, 1): None}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert compare(con, linked, quotations.LINK_SQL) is None
+    order = [r["turn"] for r in quotations.reply_order(linked.where("conv_id = 1")).collect()]
+    assert order == [-7, 0, 10, 20, 20, 30, 5000, 6000] or order.index(6000) > order.index(10)
+
+
+def test_quotes_planted_into_the_given_conversations(spark, tmp_path):
+    """The given messages hold no quotes: every third one here quotes lines of earlier ones, some of them nested."""
+    base = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    earlier = base.select("conv_id", (F.col("turn") + 2).alias("turn"), F.regexp_replace("text", "(?m)^", "> ").alias("quote"))
+    planted = base.join(earlier, ["conv_id", "turn"], "left").withColumn("text", F.when((F.col("turn") % 3 == 2) & F.col("quote").isNotNull(), F.concat_ws(
+        "\n", F.lit("On Monday someone wrote:"), "quote", F.regexp_replace("quote", "(?m)^> ", ">> "), "text")).otherwise(F.col("text"))).drop("quote")
+    planted.coalesce(1).write.parquet(str(tmp_path / "x"))
+    next((tmp_path / "x").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    linked = quotations.link_quotes(spark.read.parquet(str(tmp_path / "conversations.parquet")))
+    assert linked.where("n_linked > 0").count() > 5
+    assert compare(connect(str(tmp_path)), linked, quotations.LINK_SQL) is None
+
+
+def test_probes_are_flipped_bits():
+    masks = neighbours.probes(2)
+    assert len(masks) == 1 + 16 + 120 and masks[0] == 0 and len(set(masks.tolist())) == len(masks)
+    assert all(bin(m).count("1") <= 2 for m in masks.tolist())
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(400, 40))
+    index = neighbours.Index(neighbours.Rotation(rows), np.arange(400), rows)
+    for radius in (0, 3, 9, 14, 40):
+        for i in range(0, 400, 37):
+            far = np.bitwise_count(index.codes ^ index.codes[i])
+            assert index.within(index.codes[i], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+
+
+def test_a_query_id_that_repeats_takes_its_smallest_vector(spark):
+    rows = [(i, v, "?", "?") for i, v, *_ in rows_of(60, seed=5)]
+    rows += [(0, [9.0] * 24, "?", "?"), (0, [-9.0] * 24, "?", "?")]
+    for seed in (1, 2):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3 + seed)
+        got = neighbours.search(df, lambda i: i == 0, k=3, sample_rows=40, radius=64).collect()
+        data = np.array([v for i, v, *_ in rows if i != 0])
+        ids = np.array([i for i, *_ in rows if i != 0])
+        far = np.sqrt(((data + 9.0) ** 2).sum(1))
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == ids[np.lexsort((ids, far))[:3]].tolist()
