@@ -183,23 +183,29 @@ def count_words(docs: DataFrame) -> np.ndarray:
     return most_frequent(word_table(docs))
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Rounds of local training and averaging; a round takes the positions (word numbers in a document) that leave
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tuple[Network, np.ndarray]:
+    """The network, and how often words of each bucket stand after each id ([0, bucket, id]) and before it ([1, bucket, id]),
+    which the first round counts as it reads the texts.
+
+    Rounds of local training and averaging; a round takes the positions (word numbers in a document) that leave
     its number when divided by `rounds`, so every word of every document is a target once. Each task sends one copy of the weights, in chunks that are averaged
     apart; one averaged copy, of fixed size, comes back."""
-    spark, net = docs.sparkSession, Network()
+    spark, net, shape = docs.sparkSession, Network(), (2, BUCKETS, SIZE)
+    beside_counts = np.zeros(shape, np.int64)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((vocabulary, net.flat(), turn))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             vocabulary, flat, turn = sent.value
-            own, seen = Network(flat), 0
+            own, seen, total = Network(flat), 0, np.zeros(shape, np.int64)
             memory = {name: np.zeros(shape, np.float32) for name, shape in Network.SHAPES.items()}
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
                 for part in slices(batch):
                     read = Words(part.column("text"), NOT_SPACE)
                     ids = vocabulary.ids(read)
+                    if turn == 0:
+                        count_beside(total, read, ids)
                     at = targets(read, turn, rounds)
                     held.append((contexts(read, ids, at), ids[at]))
                     if sum(len(h[1]) for h in held) >= 8 * BATCH:
@@ -209,16 +215,38 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Netw
             if seen:
                 flat = own.flat() * np.float64(seen)
                 chunks = [flat[a:a + CHUNK] for a in range(0, len(flat), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([seen] * len(chunks), pa.int64()), pa.array(chunks, pa.list_(pa.float64()))], ["chunk", "seen", "w"])
+                yield made(chunk=(range(len(chunks)), len(chunks)), seen=([seen] * len(chunks), len(chunks)), w=(chunks, len(chunks)))
+            keys = np.flatnonzero(total)
+            if len(keys):
+                yield made(key=(keys, len(keys)), n=(total.ravel()[keys], len(keys)))
+
+        def made(**columns) -> pa.RecordBatch:
+            size = next(iter(columns.values()))[1]
+            return pa.RecordBatch.from_arrays([pa.array(columns[c][0], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()], list(kinds))
 
         def average(rows: pd.DataFrame) -> pd.DataFrame:
             total = np.sum(np.stack(rows["w"].to_list()), 0) / rows["seen"].sum()
             return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "w": [total]})
 
-        chunks = docs.mapInArrow(learn, "chunk int, seen long, w array<double>").groupBy("chunk").applyInPandas(average, "chunk int, w array<double>").collect()
+        kinds = {"chunk": pa.int32(), "seen": pa.int64(), "w": pa.list_(pa.float64()), "key": pa.int32(), "n": pa.int64()}
+        # a copy of the weights and at most 2 x BUCKETS x SIZE counts a task
+        read = cut_lineage(docs.mapInArrow(learn, "chunk int, seen long, w array<double>, key int, n long"))
+        chunks = read.where(F.col("chunk").isNotNull()).select("chunk", "seen", "w").groupBy("chunk").applyInPandas(average, "chunk int, w array<double>").collect()
         if chunks:
             net = Network(np.concatenate([c["w"] for c in sorted(chunks, key=lambda c: c["chunk"])]).astype(np.float32))
-    return net
+        if turn == 0:
+            found = read.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+            beside_counts.ravel()[found["key"].to_numpy()] = found["n"].to_numpy()
+    return net, beside_counts
+
+
+def count_beside(total: np.ndarray, read: Words, ids: np.ndarray) -> None:
+    """Add the words of buckets of a slice to the counts by the ids beside them."""
+    at = np.flatnonzero(ids >= FREQUENT)
+    beside = contexts(read, ids, at)[:, 1:3]
+    for side in (0, 1):
+        keys, n = np.unique((ids[at] - FREQUENT) * SIZE + beside[:, side], return_counts=True)
+        total[side].ravel()[keys] += n
 
 
 def targets(read: Words, turn: int, rounds: int) -> np.ndarray:
@@ -268,30 +296,6 @@ def with_mean(scored: DataFrame, id_col: str) -> DataFrame:
     return scored.select(F.col("id").alias(id_col), "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
-def neighbour_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """How often words of each bucket stand after each id ([0, bucket, id]) and before it ([1, bucket, id])."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    shape = (2, BUCKETS, SIZE)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, np.int64)
-        for batch in batches:
-            for part in slices(batch, limit=BLOCK_BYTES):
-                read = Words(part.column("text"), NOT_SPACE)
-                ids = sent.value.ids(read)
-                at = np.flatnonzero(ids >= FREQUENT)
-                beside = contexts(read, ids, at)[:, 1:3]
-                for side in (0, 1):
-                    total[side] += np.bincount((ids[at] - FREQUENT) * SIZE + beside[:, side], minlength=BUCKETS * SIZE).reshape(shape[1:])
-        keys = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(total.ravel()[keys])], ["key", "n"])
-
-    found = docs.mapInArrow(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(shape, np.int64)
-    out.ravel()[found["key"].to_numpy()] = found["n"].to_numpy()
-    return out
-
-
 def in_bucket(word: np.ndarray, beside: np.ndarray, counts: np.ndarray, distinct: np.ndarray) -> np.ndarray:
     """Log probability of each occurrence's word in its bucket, given both neighbours, from all other occurrences.
 
@@ -308,7 +312,7 @@ def in_bucket(word: np.ndarray, beside: np.ndarray, counts: np.ndarray, distinct
     return np.log(out)
 
 
-def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs` its id, `n_words`, `log_prob` (sum over all words of the log probability of the word given
     both sides) and `mean_log_prob`. Null and empty texts: 0 words, log_prob 0, mean null. Every row comes out
     once, repeated rows and null ids too; other columns are ignored. `docs` are those that `fit` has read.
@@ -318,7 +322,6 @@ def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_col: s
     not frequent has at most one in FREQUENT + 1 of all words, so no group is much larger than another.
     """
     spark = docs.sparkSession
-    counts = neighbour_counts(docs.select(F.col(text_col).alias("text")), vocabulary)
     parts = max(1, round(int(counts[0].sum()) / OCCURRENCES))
     sent = spark.sparkContext.broadcast((vocabulary, net.flat(), counts))
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -384,8 +387,8 @@ def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_col: s
     return with_mean(summed.groupBy("block").applyInArrow(add, f"id {kind}, n_words long, log_prob double"), id_col)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of all documents; a table without words gives an untrained network."""
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network, np.ndarray]:
+    """Vocabulary, network and counts beside words of all documents; a table without words gives an untrained network."""
     texts = docs.select(F.col(text_col).alias("text"))
     words = cut_lineage(word_table(texts))
     frequent = most_frequent(words)
@@ -393,4 +396,4 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]:
     for r in words.where(~F.col("word").isin(frequent.view(np.int64).tolist())).groupBy("bucket").count().collect():
         distinct[r["bucket"]] = r["count"]
     vocabulary = Vocabulary(frequent, distinct)
-    return vocabulary, train(texts, vocabulary)
+    return vocabulary, *train(texts, vocabulary)

@@ -168,7 +168,7 @@ def test_probabilities_of_a_word_sum_to_one_and_training_lowers_the_loss():
 def test_scores_are_those_of_a_word_by_word_sum(spark):
     rows = texts(11, 40) + [(None, "no id", "x", "s", 0)]
     docs = frame(spark, rows)
-    vocabulary, net = pseudo_likelihood.fit(docs)
+    vocabulary, net, _ = pseudo_likelihood.fit(docs)
     got = {(r["doc_id"], r["n_words"]): r for r in pseudo_likelihood.score(docs, vocabulary, net).collect()}
     import pyarrow as pa
 
@@ -181,7 +181,7 @@ def test_scores_are_those_of_a_word_by_word_sum(spark):
         r = got[doc, len(ids) - 4]
         assert abs(r["log_prob"] - total) < 1e-3 * max(1, abs(total))
         assert (r["mean_log_prob"] is None) == (len(ids) == 4)
-    assert pseudo_likelihood.score(spark.createDataFrame([], SCHEMA), *pseudo_likelihood.fit(spark.createDataFrame([], SCHEMA))).count() == 0
+    assert pseudo_likelihood.score(spark.createDataFrame([], SCHEMA), *pseudo_likelihood.fit(spark.createDataFrame([], SCHEMA))[:2]).count() == 0
 
 
 def test_frequent_words_are_counted_over_all_documents(spark):
@@ -200,7 +200,7 @@ def rare_words(spark, rows):
     docs = frame(spark, rows)
     fitted = pseudo_likelihood.fit(docs)
     whole = {(r["doc_id"], r["n_words"]): r["log_prob"] for r in pseudo_likelihood.score_words(docs, *fitted).collect()}
-    bare = pseudo_likelihood.score(docs, *fitted).collect()
+    bare = pseudo_likelihood.score(docs, *fitted[:2]).collect()
     assert len(whole) == len({(r["doc_id"], r["n_words"]) for r in bare})
     return fitted[0], {(r["doc_id"], r["n_words"]): whole[r["doc_id"], r["n_words"]] - r["log_prob"] for r in bare}
 
