@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .words import slices
 
 
+#: Tasks that share a bounded sample; a limit alone would leave it to one.
+SAMPLE_TASKS = 32
+
+
 def remainder(doc_id: str, by: int) -> Column:
     """crc32 of the id written as text, modulo `by`; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % by).cast("int")
@@ -23,7 +27,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, limit: int) ->
     # ids of a bounded sample: at most `limit` rows are sent to the executors; an id that documents share gives a row for each,
     # so the bound is set again
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(
-        F.xxhash64("doc_id", F.lit(7)), "doc_id", "label", F.xxhash64("text")).limit(limit).select("text", "label")
+        F.xxhash64("doc_id", F.lit(7)), "doc_id", "label", F.xxhash64("text")).limit(limit).select("text", "label").repartition(SAMPLE_TASKS)
 
 
 class Logistic:
