@@ -39,15 +39,27 @@ SHARE = 0.5
 WEIGHT = 10
 #: Occurrences of words of buckets that are counted together, and bytes of text whose occurrences travel together.
 OCCURRENCES = 1 << 18
+#: So many words of buckets at most have their occurrences split over groups: those with more than OCCURRENCES, and more than this
+#: part of all.
+HEAVY_WORDS = 1 << 17
 BLOCK_BYTES = 4 << 20
 
 
 class Vocabulary:
-    def __init__(self, frequent: np.ndarray, distinct: np.ndarray | None = None) -> None:
-        """frequent: hashes of words, most frequent first; distinct: how many words each bucket has."""
+    def __init__(self, frequent: np.ndarray, distinct: np.ndarray | None = None, heavy: np.ndarray | None = None, heavy_n: np.ndarray | None = None) -> None:
+        """frequent: hashes of words, most frequent first; distinct: how many words each bucket has; heavy: sorted hashes of
+        words of buckets that occur too often for one group, and how often they do."""
         order = np.argsort(frequent)
         self.look, self.rank = Flags(frequent[order]), order
         self.distinct = np.zeros(BUCKETS, np.int64) if distinct is None else distinct
+        self.heavy = np.zeros(0, np.uint64) if heavy is None else heavy
+        self.heavy_n = np.zeros(0, np.int64) if heavy_n is None else heavy_n
+
+    def heavy_at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of heavy words, and which of them each is."""
+        at = np.minimum(np.searchsorted(self.heavy, hashes), max(len(self.heavy) - 1, 0))
+        found = np.flatnonzero(self.heavy[at] == hashes) if len(self.heavy) else np.zeros(0, np.int64)
+        return found, at[found]
 
     def ids(self, read: Words) -> np.ndarray:
         """Ids of the words of a slice; a word that is not frequent has the bucket of its last three bytes."""
@@ -183,21 +195,22 @@ def count_words(docs: DataFrame) -> np.ndarray:
     return most_frequent(word_table(docs))
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tuple[Network, np.ndarray]:
-    """The network, and how often words of each bucket stand after each id ([0, bucket, id]) and before it ([1, bucket, id]),
-    which the first round counts as it reads the texts.
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tuple[Network, np.ndarray, DataFrame | None]:
+    """The network, how often words of each bucket stand after each id ([0, bucket, id]) and before it ([1, bucket, id]), and the
+    same of each heavy word (`heavy`, `beside` = side and id packed, `n`; a frame), which the first round counts as it reads the texts.
 
     Rounds of local training and averaging; a round takes the positions (word numbers in a document) that leave
     its number when divided by `rounds`, so every word of every document is a target once. Each task sends one copy of the weights, in chunks that are averaged
     apart; one averaged copy, of fixed size, comes back."""
     spark, net, shape = docs.sparkSession, Network(), (2, BUCKETS, SIZE)
-    beside_counts = np.zeros(shape, np.int64)
+    beside_counts, heavy_counts = np.zeros(shape, np.int64), None
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((vocabulary, net.flat(), turn))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             vocabulary, flat, turn = sent.value
             own, seen, total = Network(flat), 0, np.zeros(shape, np.int64)
+            heavy = np.zeros(0, np.int64), np.zeros(0, np.int64)
             memory = {name: np.zeros(shape, np.float32) for name, shape in Network.SHAPES.items()}
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
@@ -206,6 +219,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tupl
                     ids = vocabulary.ids(read)
                     if turn == 0:
                         count_beside(total, read, ids)
+                        heavy = count_heavy(heavy, vocabulary, read, ids)
+                        if len(heavy[0]) > 500_000:
+                            yield made(heavy=(heavy[0], len(heavy[0])), n=(heavy[1], len(heavy[0])))
+                            heavy = heavy[0][:0], heavy[1][:0]
                     at = targets(read, turn, rounds)
                     held.append((contexts(read, ids, at), ids[at]))
                     if sum(len(h[1]) for h in held) >= 8 * BATCH:
@@ -219,6 +236,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tupl
             keys = np.flatnonzero(total)
             if len(keys):
                 yield made(key=(keys, len(keys)), n=(total.ravel()[keys], len(keys)))
+            if len(heavy[0]):
+                yield made(heavy=(heavy[0], len(heavy[0])), n=(heavy[1], len(heavy[0])))
 
         def made(**columns) -> pa.RecordBatch:
             size = next(iter(columns.values()))[1]
@@ -228,16 +247,30 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tupl
             total = np.sum(np.stack(rows["w"].to_list()), 0) / rows["seen"].sum()
             return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "w": [total]})
 
-        kinds = {"chunk": pa.int32(), "seen": pa.int64(), "w": pa.list_(pa.float64()), "key": pa.int32(), "n": pa.int64()}
+        kinds = {"chunk": pa.int32(), "seen": pa.int64(), "w": pa.list_(pa.float64()), "key": pa.int32(), "n": pa.int64(), "heavy": pa.int64()}
         # a copy of the weights and at most 2 x BUCKETS x SIZE counts a task
-        read = cut_lineage(docs.mapInArrow(learn, "chunk int, seen long, w array<double>, key int, n long"))
+        read = cut_lineage(docs.mapInArrow(learn, "chunk int, seen long, w array<double>, key int, n long, heavy long"))
         chunks = read.where(F.col("chunk").isNotNull()).select("chunk", "seen", "w").groupBy("chunk").applyInPandas(average, "chunk int, w array<double>").collect()
         if chunks:
             net = Network(np.concatenate([c["w"] for c in sorted(chunks, key=lambda c: c["chunk"])]).astype(np.float32))
         if turn == 0:
             found = read.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
             beside_counts.ravel()[found["key"].to_numpy()] = found["n"].to_numpy()
-    return net, beside_counts
+            if len(vocabulary.heavy):
+                heavy_counts = read.where(F.col("heavy").isNotNull()).groupBy("heavy").agg(F.sum("n").alias("n")).select(
+                    F.shiftright("heavy", 11).alias("heavy"), F.col("heavy").bitwiseAND(2047).cast("int").alias("beside"), "n")
+    return net, beside_counts, heavy_counts
+
+
+def count_heavy(held: tuple[np.ndarray, np.ndarray], vocabulary: Vocabulary, read: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts held so far (keys: heavy word, side and id beside it, packed) and those of a slice, by key."""
+    at, which = vocabulary.heavy_at(read.hashes())
+    if not len(at):
+        return held
+    beside = contexts(read, ids, at)[:, 1:3]
+    keys = np.concatenate([which << 11 | side << 10 | beside[:, side] for side in (0, 1)])
+    keys, same = np.unique(np.concatenate([held[0], keys]), return_inverse=True)
+    return keys, np.bincount(same, np.concatenate([held[1], np.ones(2 * len(at), np.int64)]), len(keys)).astype(np.int64)
 
 
 def count_beside(total: np.ndarray, read: Words, ids: np.ndarray) -> None:
@@ -296,34 +329,38 @@ def with_mean(scored: DataFrame, id_col: str) -> DataFrame:
     return scored.select(F.col("id").alias(id_col), "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
-def in_bucket(word: np.ndarray, beside: np.ndarray, counts: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+def in_bucket(word: np.ndarray, beside: np.ndarray, counts: np.ndarray, distinct: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
     """Log probability of each occurrence's word in its bucket, given both neighbours, from all other occurrences.
 
-    word, beside: all occurrences of some words, and (bucket, id before, id after) of each, packed. The counts
+    word, beside: all occurrences of some words, and (bucket, id before, id after) of each, packed; with `known`, some occurrences
+    of one word, whose counts after and before each id it holds ([0, id], [1, id]). The counts
     without the occurrence itself are mixed, as if WEIGHT more occurrences had come, from the word's share of the
     bucket to its share after the id before and then before the id after, so each step sums to one over the bucket.
     """
     bucket, before, after = beside >> 20, beside >> 10 & SIZE - 1, beside & SIZE - 1
-    own, n = np.unique(word, return_inverse=True, return_counts=True)[1:]
+    own, n = np.unique(word, return_inverse=True, return_counts=True)[1:] if known is None else (np.zeros(len(word), np.int64), known[0].sum(keepdims=True))
     out = (n[own] - 1 + SHARE) / (counts[0].sum(1)[bucket] - 1 + SHARE * distinct[bucket])
     for side, other in enumerate((before, after)):
-        same, n = np.unique(own * SIZE + other, return_inverse=True, return_counts=True)[1:]
+        same, n = np.unique(own * SIZE + other, return_inverse=True, return_counts=True)[1:] if known is None else (other, known[side])
         out = (n[same] - 1 + WEIGHT * out) / (counts[side][bucket, other] - 1 + WEIGHT)
     return np.log(out)
 
 
-def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: np.ndarray, heavy_counts: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs` its id, `n_words`, `log_prob` (sum over all words of the log probability of the word given
     both sides) and `mean_log_prob`. Null and empty texts: 0 words, log_prob 0, mean null. Every row comes out
     once, repeated rows and null ids too; other columns are ignored. `docs` are those that `fit` has read.
 
     Occurrences of words that are not frequent are dealt by word, in arrays of one block of documents each, to groups
-    of about OCCURRENCES, where their words are counted; sums by document go back to the blocks. A word that is
-    not frequent has at most one in FREQUENT + 1 of all words, so no group is much larger than another.
+    of about OCCURRENCES, where their words are counted; sums by document go back to the blocks. The occurrences of a heavy word
+    are dealt over groups of their own by block, and each of these gets the word's counts, at most 2 x SIZE numbers that all tasks
+    have added up before. So a group holds about OCCURRENCES, or one part in HEAVY_WORDS of all, whatever word they are of.
     """
     spark = docs.sparkSession
     parts = max(1, round(int(counts[0].sum()) / OCCURRENCES))
-    sent = spark.sparkContext.broadcast((vocabulary, net.flat(), counts))
+    shares = -(-vocabulary.heavy_n // OCCURRENCES)  # groups of each heavy word
+    begin = parts + np.cumsum(shares) - shares
+    sent = spark.sparkContext.broadcast((vocabulary, net.flat(), counts, shares, begin))
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
     fields = f"block long, row int, id {kind}, n_words long, log_prob double, at array<int>"
@@ -335,7 +372,7 @@ def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: n
         return {name: pa.nulls(n, table.schema.field(name).type) for name in names}
 
     def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat, _ = sent.value
+        vocabulary, flat, _, shares, begin = sent.value
         net, block = Network(flat), TaskContext.get().partitionId() << 32
         for batch in batches:
             for some in slices(batch, limit=BLOCK_BYTES):
@@ -343,12 +380,14 @@ def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: n
                 ids, n = vocabulary.ids(read), some.num_rows
                 rows = {"part": pa.array((np.arange(n) + block) % parts, pa.int32()), "block": pa.array([block] * n, pa.int64()), "row": pa.array(range(n), pa.int32()), "id": some.column("id"),
                         "n_words": pa.array(read.counts(), pa.int64()), "log_prob": pa.array(network_sums(net, read, ids), pa.float64()), "at": pa.nulls(n, pa.list_(pa.int32())),
-                        "word": pa.nulls(n, pa.list_(pa.int64())), "beside": pa.nulls(n, pa.list_(pa.int32()))}
+                        "word": pa.nulls(n, pa.list_(pa.int64())), "beside": pa.nulls(n, pa.list_(pa.int32())), "known": pa.nulls(n, pa.list_(pa.int64()))}
                 docs = pa.RecordBatch.from_pydict(rows)
                 yield docs
                 rare = np.flatnonzero(ids >= FREQUENT)
                 word = read.hashes()[rare]
                 part = (mix(word) % np.uint64(parts)).astype(np.int64)
+                at, which = vocabulary.heavy_at(word)
+                part[at] = begin[which] + block % shares[which]
                 order = np.argsort(part, kind="stable")
                 rare, word, part = rare[order], word[order], part[order]
                 first = np.flatnonzero(np.diff(part, prepend=-1))
@@ -357,16 +396,17 @@ def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: n
                 packed = (ids[rare] - FREQUENT) << 20 | beside[:, 1] << 10 | beside[:, 2]
                 yield pa.RecordBatch.from_pydict(
                     {"part": pa.array(part[first], pa.int32()), "block": pa.array([block] * n, pa.int64()), **nulls(n, docs, ("row", "id", "n_words", "log_prob")),
-                     "at": lists(read.doc()[rare], edges, pa.int32()), "word": lists(word.view(np.int64), edges, pa.int64()), "beside": lists(packed, edges, pa.int32())})
+                     "at": lists(read.doc()[rare], edges, pa.int32()), "word": lists(word.view(np.int64), edges, pa.int64()), "beside": lists(packed, edges, pa.int32()), "known": pa.nulls(n, pa.list_(pa.int64()))})
                 block += 1
 
     def count(table: pa.Table) -> pa.Table:
-        vocabulary, _, counts = sent.value
+        vocabulary, _, counts, *_ = sent.value
         docs = table.filter(table["row"].is_valid())
-        some = table.filter(table["row"].is_null()).combine_chunks()
+        some = table.filter(table["at"].is_valid()).combine_chunks()
+        known = table["known"].drop_null().combine_chunks().flatten().to_numpy(zero_copy_only=False)
         flat = {name: some[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) for name in ("at", "word", "beside")}
         sizes = some["at"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-        each = in_bucket(flat["word"], flat["beside"].astype(np.int64), counts, vocabulary.distinct)
+        each = in_bucket(flat["word"], flat["beside"].astype(np.int64), counts, vocabulary.distinct, known.reshape(2, SIZE) if len(known) else None)
         run = np.repeat(np.arange(len(sizes)), sizes)
         first = np.flatnonzero((np.diff(run, prepend=-1) != 0) | (np.diff(flat["at"], prepend=-1) != 0))
         edges = np.searchsorted(run[first], np.arange(len(sizes) + 1))
@@ -382,18 +422,36 @@ def score_words(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: n
         total = docs["log_prob"].to_numpy() + np.bincount(at, sums, len(docs))[row]
         return pa.table({"id": docs["id"], "n_words": docs["n_words"], "log_prob": pa.array(total, pa.float64())})
 
-    dealt = chosen.mapInArrow(read_blocks, f"part int, {fields}, word array<long>, beside array<int>")
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *_, shares, begin = sent.value
+        for batch in batches:
+            for which, beside, n in zip(*(batch.column(c).to_pylist() for c in ("heavy", "beside", "n")), strict=True):
+                known = np.zeros(2 * SIZE, np.int64)
+                known[beside] = n
+                groups = np.arange(shares[which]) + begin[which]
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([known] * len(groups), pa.list_(pa.int64()))], ["part", "known"])
+
+    dealt = chosen.mapInArrow(read_blocks, f"part int, {fields}, word array<long>, beside array<int>, known array<long>")
+    if heavy_counts is not None:
+        told = heavy_counts.groupBy("heavy").agg(F.collect_list("beside").alias("beside"), F.collect_list("n").alias("n"))  # at most 2 x SIZE a word
+        dealt = dealt.unionByName(told.mapInArrow(tell, "part int, known array<long>"), allowMissingColumns=True)
     summed = dealt.groupBy("part").applyInArrow(count, f"{fields}, sums array<double>")
     return with_mean(summed.groupBy("block").applyInArrow(add, f"id {kind}, n_words long, log_prob double"), id_col)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network, np.ndarray]:
-    """Vocabulary, network and counts beside words of all documents; a table without words gives an untrained network."""
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network, np.ndarray, DataFrame | None]:
+    """What score_words needs of all documents: vocabulary, network, counts beside words, and those of heavy words (null if there
+    are none). A table without words gives an untrained network."""
     texts = docs.select(F.col(text_col).alias("text"))
     words = cut_lineage(word_table(texts))
     frequent = most_frequent(words)
     distinct = np.zeros(BUCKETS, np.int64)
-    for r in words.where(~F.col("word").isin(frequent.view(np.int64).tolist())).groupBy("bucket").count().collect():
-        distinct[r["bucket"]] = r["count"]
-    vocabulary = Vocabulary(frequent, distinct)
+    others = words.where(~F.col("word").isin(frequent.view(np.int64).tolist()))
+    total = 0
+    for r in others.groupBy("bucket").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
+        distinct[r["bucket"]] = r["words"]
+        total += r["n"]
+    # bounded: fewer than HEAVY_WORDS words have more than one part in so many of all occurrences
+    found = sorted((np.int64(r["word"]).view(np.uint64), r["n"]) for r in others.where(F.col("n") > max(OCCURRENCES, total // HEAVY_WORDS)).select("word", "n").collect())
+    vocabulary = Vocabulary(frequent, distinct, np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found], np.int64))
     return vocabulary, *train(texts, vocabulary)

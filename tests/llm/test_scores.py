@@ -168,7 +168,7 @@ def test_probabilities_of_a_word_sum_to_one_and_training_lowers_the_loss():
 def test_scores_are_those_of_a_word_by_word_sum(spark):
     rows = texts(11, 40) + [(None, "no id", "x", "s", 0)]
     docs = frame(spark, rows)
-    vocabulary, net, _ = pseudo_likelihood.fit(docs)
+    vocabulary, net, *_ = pseudo_likelihood.fit(docs)
     got = {(r["doc_id"], r["n_words"]): r for r in pseudo_likelihood.score(docs, vocabulary, net).collect()}
     import pyarrow as pa
 
@@ -205,17 +205,21 @@ def rare_words(spark, rows):
     return fitted[0], {(r["doc_id"], r["n_words"]): whole[r["doc_id"], r["n_words"]] - r["log_prob"] for r in bare}
 
 
-def test_a_word_of_a_bucket_is_predicted_itself(spark, monkeypatch):
+@pytest.mark.parametrize("occurrences", [500, 12])
+def test_a_word_of_a_bucket_is_predicted_itself(spark, monkeypatch, occurrences):
+    """Several groups; with the smaller bound, words whose occurrences are split."""
     from collections import Counter
 
     import pyarrow as pa
 
     from bizdata.llm.words import NOT_SPACE, Words
 
-    monkeypatch.setattr(pseudo_likelihood, "OCCURRENCES", 500)  # several groups
+    monkeypatch.setattr(pseudo_likelihood, "OCCURRENCES", occurrences)
     P = pseudo_likelihood
     rows = [*texts(11, 60, 400), (None, "no id", "x", "s", 0)]
+    rows += [(2000 + k, " ".join(f"h{(k * 37 + j * 7) % 1000}" for j in range(500 + k)), "x", "s", 0) for k in range(40)]
     vocabulary, got = rare_words(spark, rows)
+    assert (len(vocabulary.heavy) > 5) == (occurrences == 12)
     alone, after, before, seen, words, sides = Counter(), Counter(), Counter(), [], {}, Counter()
     for doc, text, *_ in rows:
         read = Words(pa.array([text], pa.string()), NOT_SPACE)
