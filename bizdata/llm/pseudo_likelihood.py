@@ -30,7 +30,7 @@ HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
 #: The rounds share out the positions of every document, so each position is trained on once.
 ROUNDS = 2
-BATCH = 4096
+BATCH = 8192
 RATE = 0.15
 CHUNK = 2048
 #: Share of an occurrence that every word of a bucket has beforehand, and the weight, in occurrences, of the
@@ -116,48 +116,61 @@ class Network:
         return np.tanh(total, out=total)
 
     @staticmethod
-    def log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
+    def log_of(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The logarithm of the wanted entry of each row's softmax."""
+        np.clip(x, -80, 80, out=x)  # a logit beyond would overflow; none comes near in training
+        at = x[np.arange(len(x)), wanted]
+        return at - np.log(np.exp(x, out=x).sum(1))
+
+    @staticmethod
+    def softmax(x: np.ndarray) -> np.ndarray:
+        x = np.exp(np.clip(x, -80, 80, out=x), out=x)
+        x /= x.sum(1, keepdims=True)
+        return x
+
+    @staticmethod
+    def by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows sorted by class, and where each class begins."""
+        return np.argsort(group.astype(np.int16), kind="stable"), np.append(0, np.cumsum(np.bincount(group, minlength=CLASSES)))
 
     def log_probabilities(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        hidden = self.hidden(context)
-        group, inner = word // CLASSES, word % CLASSES
-        out = self.log_softmax(hidden @ self.classes + self.class_shift)[np.arange(len(word)), group]
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[edges[c]:edges[c + 1]]
-            if len(own):
-                out[own] += self.log_softmax(hidden[own] @ self.words[c] + self.word_shift[c])[np.arange(len(own)), inner[own]]
+        order, edges = self.by_class(word // CLASSES)
+        hidden, word = self.hidden(context)[order], word[order]
+        sorted_ = self.log_of(hidden @ self.classes + self.class_shift, word // CLASSES)
+        for c in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[c], edges[c + 1])
+            sorted_[own] += self.log_of(hidden[own] @ self.words[c] + self.word_shift[c], word[own] % CLASSES)
+        out = np.empty_like(sorted_)
+        out[order] = sorted_
         return out
 
     def train(self, context: np.ndarray, word: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         """One step on a batch, with step sizes that shrink by each weight's past gradients."""
+        order, edges = self.by_class(word // CLASSES)
+        context, word = context[order], word[order]  # a class is a slice from here on
         n, hidden = len(word), self.hidden(context)
-        group, inner = word // CLASSES, word % CLASSES
-        off = np.exp(self.log_softmax(hidden @ self.classes + self.class_shift))
-        off[np.arange(n), group] -= 1
+        off = self.softmax(hidden @ self.classes + self.class_shift)
+        off[np.arange(n), word // CLASSES] -= 1
         back = off @ self.classes.T
         steps = [("classes", slice(None), hidden.T @ off), ("class_shift", slice(None), off.sum(0))]
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(edges)):
-            own = order[edges[c]:edges[c + 1]]
-            miss = np.exp(self.log_softmax(hidden[own] @ self.words[c] + self.word_shift[c]))
-            miss[np.arange(len(own)), inner[own]] -= 1
+            own = slice(edges[c], edges[c + 1])
+            miss = self.softmax(hidden[own] @ self.words[c] + self.word_shift[c])
+            miss[np.arange(len(miss)), word[own] % CLASSES] -= 1
             back[own] += miss @ self.words[c].T
             steps += [("words", c, hidden[own].T @ miss), ("word_shift", c, miss.sum(0))]
         back *= 1 - hidden ** 2
         steps.append(("shift", slice(None), back.sum(0)))
         for k in range(len(OFFSETS)):
             by = np.argsort(context[:, k].astype(np.int16), kind="stable")
-            ids, first = np.unique(context[by, k], return_index=True)
-            steps.append(("put", (k, ids), np.add.reduceat(back[by], first, 0)))
+            ids = context[by, k]
+            first = np.flatnonzero(np.diff(ids, prepend=-1))
+            steps.append(("put", (k, ids[first]), np.add.reduceat(back[by], first, 0)))
         for name, at, slope in steps:
-            slope = slope / np.float32(n)
-            memory[name][at] += slope ** 2
-            getattr(self, name)[at] -= np.float32(RATE) * slope / np.sqrt(memory[name][at] + np.float32(1e-7))
+            slope /= np.float32(n)
+            past = memory[name][at] + slope ** 2
+            memory[name][at] = past
+            getattr(self, name)[at] -= np.float32(RATE) * slope / np.sqrt(past + np.float32(1e-7))
 
 
 def word_table(docs: DataFrame) -> DataFrame:
