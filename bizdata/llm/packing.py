@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .tokens import Encoder
+from .words import slices
 
+#: Bytes of text encoded at once, or one text if that is longer.
+AT_ONCE = 16 << 20
 WINDOWS_PER_GROUP = 128
 IDS = 1 << 32
 
@@ -69,7 +72,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, limit=AT_ONCE)):
             at, starts, lengths, sums, totals = [], [], [], [], []
             for i, ids in enumerate(encoder.texts(batch.column("text"))):
                 raw = b"".join([*ids, end])
