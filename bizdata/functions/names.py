@@ -25,11 +25,9 @@ def parse_name(c: Column | str) -> Column:
 
 def clean_name(c: Column | str) -> Column:
     """Lead name without bullets, ordinals, tags and odd characters; see too_long."""
-    edge = "[\\s•·\\-–—|]+"
-    v = F.regexp_replace(F.regexp_replace(F.trim(as_col(c)), "^" + edge, ""), edge + "$", "")
-    v = F.regexp_replace(v, r"(?i)\b\d+(st|nd|rd|th)\+?\b", "")
-    v = F.regexp_replace(v, r"<[^>]*>", "")
-    v = F.regexp_replace(v, "[^a-zA-ZÀ-ÿ\\s'.\\-]", "")
+    v = F.trim(as_col(c))
+    for pattern in rules.LEAD_NAME_NOISE:
+        v = F.regexp_replace(v, pattern, "")
     return F.trim(F.regexp_replace(v, r"\s{2,}", " "))
 
 
@@ -148,10 +146,9 @@ def parse_bullets(c: Column | str) -> Column:
     named = bulleted & bit(0).rlike(r"^[A-Z]\S*\s+\S")
     role = bit(1)
     with_at = bulleted & role.rlike(r"^(?s).+ at ")
-    free = r"([A-Z][^·•@\n]{3,50}?)\s+(?:at|@)\s+([A-Z][^·•@\n\d]{2,60})"
+    free, place = rules.BULLET_FREE, rules.BULLET_PLACE
     free_title = blank_to_null(F.trim(F.regexp_extract(text, free, 1)))
     free_company = blank_to_null(F.trim(F.regexp_extract(text, free, 2)))
-    place = r"([A-Z][a-zA-Z ]{2,30}),\s*([A-Z][a-zA-Z ]{2,30})"
     place_bit = F.get(F.filter(F.slice(bits, F.lit(3), F.greatest(F.size(bits), F.lit(1))),
                                lambda b: b.rlike("^" + place + "$")), F.lit(0))
     company_bit = F.when(~bit(2).rlike(r"^[A-Z][a-z]+, [A-Z]"), blank_to_null(bit(2)))
@@ -161,7 +158,6 @@ def parse_bullets(c: Column | str) -> Column:
         in_text = F.when(free_company.isNull(), F.regexp_extract(text, place, group))
         return blank_to_null(F.trim(F.when(bulleted, in_bits).otherwise(in_text)))
 
-    phone = r"(?:\+\d{1,3}[\s\-]?)?(?:\(?\d{2,4}\)?[\s\-]?)(?:\d{3,4}[\s\-]?\d{3,4})"
     return F.struct(
         F.when(named, first_word(bit(0))).alias("first_name"),
         F.when(named, other_words(bit(0))).alias("last_name"),
@@ -171,7 +167,7 @@ def parse_bullets(c: Column | str) -> Column:
         .when(bulleted & (role != ""), company_bit).when(bulleted, none).otherwise(free_company).alias("company"),
         place_part(1).alias("city"),
         place_part(2).alias("country"),
-        blank_to_null(F.lower(F.regexp_extract(text, r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b", 0)))
+        blank_to_null(F.lower(F.regexp_extract(text, rules.BULLET_EMAIL, 0)))
         .alias("email"),
-        blank_to_null(F.trim(F.regexp_extract(text, phone, 0))).alias("phone"),
+        blank_to_null(F.trim(F.regexp_extract(text, rules.BULLET_PHONE, 0))).alias("phone"),
     )

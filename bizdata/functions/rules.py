@@ -450,6 +450,13 @@ LEAD_NAME = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
 LEAD_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 LEAD_PHONE = r"[\+]?[\d][\d\s\-(). ]{6,16}[\d]"
 LEAD_FILTER_BRACKETS = r'^[\["\]]+|[\["\]]+$'
+LEAD_NAME_NOISE = [
+    r"^[\s•·\-–—|]+", r"[\s•·\-–—|]+$", r"(?i)\b\d+(st|nd|rd|th)\+?\b", r"<[^>]*>", r"[^a-zA-ZÀ-ÿ\s'.\-]",
+]
+BULLET_FREE = r"([A-Z][^·•@\n]{3,50}?)\s+(?:at|@)\s+([A-Z][^·•@\n\d]{2,60})"
+BULLET_PLACE = r"([A-Z][a-zA-Z ]{2,30}),\s*([A-Z][a-zA-Z ]{2,30})"
+BULLET_EMAIL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
+BULLET_PHONE = r"(?:\+\d{1,3}[\s\-]?)?(?:\(?\d{2,4}\)?[\s\-]?)(?:\d{3,4}[\s\-]?\d{3,4})"
 
 #: Weights of the lenient first-name test; not from any source.
 FIRST_NAME_SCORES = {"known": 100, "plausible": 60, "ordinary_word": 20, "malformed": 0}

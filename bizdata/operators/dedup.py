@@ -7,7 +7,7 @@ one website or name is shared by a third of the table.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -101,8 +101,11 @@ def dedup_accounts(accounts: DataFrame, contacts: DataFrame) -> tuple[DataFrame,
 
 # --- components -------------------------------------------------------------------------------
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and a fingerprint of them that the write itself observes."""
+    seen = Observation()
+    out = cut_lineage(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
+    return out, (seen.get["n"], seen.get["x"])
 
 
 def connected_components(pairs: DataFrame, a: str = "id1", b: str = "id2", max_rounds: int = 60) -> DataFrame:
@@ -110,19 +113,17 @@ def connected_components(pairs: DataFrame, a: str = "id1", b: str = "id2", max_r
 
     Alternating large-star / small-star rounds (Kiveris et al., SoCC 2014).  Each round is two
     aggregations with map-side minima and two joins against one row per node; its result is written to
-    the checkpoint folder, and only a two-number fingerprint returns to the driver.
+    the checkpoint folder, and a two-number fingerprint comes back with the write; the rounds end when it stays the same.
     """
     edges = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = cut_lineage(edges)
-    seen = _fingerprint(edges)
+    edges, seen = _written(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
-        now = _fingerprint(edges)
+        edges, now = _written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         if now == seen:
             break
         seen = now
