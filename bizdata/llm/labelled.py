@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .words import slices
 
 
-#: Tasks that share a bounded sample; a limit alone would leave it to one.
+#: Tasks that share a bounded sample.
 SAMPLE_TASKS = 32
 
 
@@ -24,10 +24,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, limit: int) ->
     smallest hash of id and label, the same at every run. Null labels and ids are no labels."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = known.where(train).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "label").limit(limit)
-    # ids of a bounded sample: at most `limit` rows are sent to the executors; an id that documents share gives a row for each,
-    # so the bound is set again
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(
-        F.xxhash64("doc_id", F.lit(7)), "doc_id", "label", F.xxhash64("text")).limit(limit).select("text", "label").repartition(SAMPLE_TASKS)
+    # ids of a bounded sample: at most `limit` rows are sent to the executors; an id that documents share has the smallest of their
+    # texts, so there are no more texts than ids and labels
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return texts.select("text", "label").repartition(SAMPLE_TASKS)
 
 
 class Logistic:
@@ -61,14 +61,17 @@ def score(docs: DataFrame, model, keep: list[str] | None = None, out: str = "sco
     called `out` is replaced). No shuffle."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    # a text that is kept is sent to the tasks once
+    read = f"k{keep.index('text')}" if "text" in keep else "read"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
-                scores = sent.value.score(part.column("__text").to_pylist())
+            for part in slices(batch, read):
+                scores = sent.value.score(part.column(read).to_pylist())
                 kept = [part.column(f"k{i}") for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], [*(f"k{i}" for i in range(len(keep))), "score"])
 
-    chosen = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("__text"))
-    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in chosen.schema.fields[:-1]) + "score double"
+    chosen = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in chosen.schema.fields) + "score double"
+    chosen = chosen if read != "read" else docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("read"))
     return chosen.mapInArrow(run, schema).toDF(*keep, out)

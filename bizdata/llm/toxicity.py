@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
+from .words import slices
 
 # The word lists of the grammar.
 INSULTS = ["clown", "disgusting", "dumb", "fool", "idiot", "idiots", "loser", "losers", "moron", "morons", "pathetic", "scum", "stupid", "trash",
@@ -277,8 +278,8 @@ def frequencies(docs: DataFrame, terms: list[str]) -> dict[str, float]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = Counter(), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
+        for part in (part for batch in batches for part in slices(batch)):
+            for text in part.column("text").to_pylist():
                 words = set(words_of(text))
                 found.update((words & whole) | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n and w[:n] in beginnings})
                 rows += 1

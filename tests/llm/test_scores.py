@@ -102,7 +102,7 @@ def test_beginnings_of_ordinary_words_are_not_learned(spark):
 def test_ids_that_many_rows_share_do_not_lift_the_bound(spark):
     rows = [(1, f"text {k}", "en", "s", 0) for k in range(300)] + [(2, "other", "en", "s", 0)]
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
-    assert labelled.sample(frame(spark, rows), labels, "toxic", labelled.remainder("doc_id", 5) >= 0, 50).count() == 50
+    assert labelled.sample(frame(spark, rows), labels, "toxic", labelled.remainder("doc_id", 5) >= 0, 50).count() == 2
 
 
 def noisy(seed):
