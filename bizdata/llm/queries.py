@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, labelled, near_duplicates, neighbours, packing, prefix_trie, pseudo_likelihood, quality, quotations, substrings, tokens, toxicity, warc, whitening
+from . import decontamination, labelled, near_duplicates, neighbours, packing, prefix_trie, pseudo_likelihood, quality, quotations, reference_sql, substrings, tokens, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +49,7 @@ def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.link(table(spark, folder, "documents"))
+    return near_duplicates.link(table(spark, folder, "documents")).drop("text_hash")
 
 
 @query
@@ -114,3 +114,6 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op13_prefix_trie"] = prefix_trie.TRIE_SQL
+
+ORACLES |= {"op3_substrings": reference_sql.SUBSTRINGS, "op4_near_duplicates": reference_sql.NEAR_DUPLICATES,
+            "op9_decontamination": reference_sql.DECONTAMINATION}
