@@ -1,6 +1,6 @@
 """Keyed state with timers (R-05, R-07): the processors of transformWithState."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,28 +20,48 @@ def micros(text: str) -> int:
     return int(pd.Timedelta(text).total_seconds() * 1_000_000)
 
 
-def merged(starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping spans of sorted starts made one; a span ends before its end, so one that starts there is another."""
-    reach = np.maximum.accumulate(ends)
+def pieces(batches: Iterator[pd.DataFrame], folded: Callable[[], int], least: int = 1 << 17) -> Iterator[pd.DataFrame]:
+    """A group's batches joined to pieces no smaller than what they are folded into, so that folding stays linear."""
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) >= max(folded(), least):
+            yield pd.concat(waiting)
+            waiting = []
+    if waiting:
+        yield pd.concat(waiting)
+
+
+def merged(users: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Overlapping spans of one user made one; a span ends before its end, so one that starts there is another.  users: numbers
+    from 0.  Also the order of the given spans by user and start, and where in it each merged span begins."""
+    order = np.lexsort((starts, users))
+    users, starts, ends, counts = (c[order] for c in (users, starts, ends, counts))
+    by_end, rank = np.argsort(ends, kind="stable"), np.empty(len(ends), np.int64)
+    rank[by_end] = np.arange(len(ends))
+    base = users * len(ends)  # ranks of one user's ends lie above those of the user before
+    reach = ends[by_end][np.maximum.accumulate(base + rank) - base]
     new = np.ones(len(starts), bool)
-    new[1:] = starts[1:] >= reach[:-1]
+    new[1:] = (users[1:] != users[:-1]) | (starts[1:] >= reach[:-1])
     at = np.flatnonzero(new)
-    return starts[at], np.maximum.reduceat(ends, at), np.add.reduceat(counts, at)
+    return [users[at], starts[at], np.maximum.reduceat(ends, at), np.add.reduceat(counts, at)], order, at
 
 
 class Sessions(StatefulProcessor):
-    """The sessions of a user that may still grow. A row for each that a batch has changed ('open'), one for each that a later
-    event has joined to an earlier one ('merged', no events), and one when the watermark has passed its end ('closed')."""
+    """The sessions that may still grow, of the users of one bucket. A row for each that a batch has changed ('open'), one for each that a
+    later event has joined to an earlier one ('merged', no events), and one when the watermark has passed its end ('closed')."""
 
-    def __init__(self, gap: int, user: str) -> None:
-        self.gap, self.user = gap, user
+    def __init__(self, gap: int, user: str, kind: str) -> None:
+        self.gap, self.user, self.kind = gap, user, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getValueState("spans", "starts array<bigint>, ends array<bigint>, counts array<bigint>")
+        self.spans = handle.getValueState("spans", f"users array<{self.kind}>, starts array<bigint>, ends array<bigint>, counts array<bigint>")
 
     def held(self) -> list[np.ndarray]:
-        return [np.array(c, np.int64) for c in self.spans.get()] if self.spans.exists() else [np.zeros(0, np.int64)] * 3
+        """Users as they are, starts, ends, counts."""
+        users, *numbers = self.spans.get() if self.spans.exists() else ([], [], [], [])
+        return [pd.Series(users, dtype=object).to_numpy(), *(np.array(c, np.int64) for c in numbers)]
 
     def keep(self, spans: list[np.ndarray]) -> None:
         """Store the spans, with one timer: when the first of them ends."""
@@ -49,55 +69,62 @@ class Sessions(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if len(spans[0]):
             self.spans.update(tuple(c.tolist() for c in spans))
-            self.handle.registerTimer(int(spans[1].min()) // 1000 + 1)
+            self.handle.registerTimer(int(spans[2].min()) // 1000 + 1)
         else:
             self.spans.clear()
 
-    def rows(self, key: tuple, spans: list[np.ndarray], status: str) -> pd.DataFrame:
-        return pd.DataFrame({self.user: [key[0]] * len(spans[0]), "session_start": pd.to_datetime(spans[0], unit="us"), "session_end": pd.to_datetime(spans[1], unit="us"),
-                             "n_events": spans[2], "status": [status] * len(spans[0])})
+    def rows(self, spans: list[np.ndarray], status: str) -> pd.DataFrame:
+        return pd.DataFrame({self.user: spans[0], "session_start": pd.to_datetime(spans[1], unit="us"), "session_end": pd.to_datetime(spans[2], unit="us"),
+                             "n_events": spans[3], "status": [status] * len(spans[0])})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         old = self.held()
-        spans = old
-        for batch in rows:  # a user's rows are folded piece by piece
+        names = pd.Index(pd.unique(old[0]), dtype=object)
+        fresh = [np.zeros(0, np.int64)] * 4
+        for batch in pieces(rows, lambda: len(fresh[0])):
+            met = batch[self.user].astype(object)
+            names = names.append(pd.Index(met[~met.isin(names)].unique(), dtype=object))
             times = batch["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            pool = [np.concatenate(pair) for pair in zip(spans, (times, times + self.gap, np.ones(len(times), np.int64)), strict=True)]
-            order = np.argsort(pool[0], kind="stable")
-            spans = list(merged(*(c[order] for c in pool)))
+            read = names.get_indexer(met), times, times + self.gap, np.ones(len(times), np.int64)
+            fresh, _, _ = merged(*(np.concatenate(pair) for pair in zip(fresh, read, strict=True)))
+        n, known = len(old[0]), [names.get_indexer(old[0]), *old[1:]]
+        spans, order, at = merged(*(np.concatenate(pair) for pair in zip(known, fresh, strict=True)))
+        spans[0] = names.to_numpy()[spans[0]]
         self.keep(spans)
-        before = set(zip(*(c.tolist() for c in old), strict=True))
-        changed = np.array([s not in before for s in zip(*(c.tolist() for c in spans), strict=True)], bool)
-        gone = ~np.isin(old[0], spans[0])
+        alone = np.diff(np.append(at, len(order))) == 1
+        changed = ~(alone & (order[at] < n))
+        start = np.repeat(spans[1], np.diff(np.append(at, len(order))))  # of the span that each given one is now in
+        joined = order[(order < n) & (np.concatenate([known[1], fresh[1]])[order] != start)]
         if changed.any():
-            yield self.rows(key, [c[changed] for c in spans], "open")
-        if gone.any():
-            yield self.rows(key, [old[0][gone], old[1][gone], np.zeros(int(gone.sum()), np.int64)], "merged")
+            yield self.rows([c[changed] for c in spans], "open")
+        if len(joined):
+            yield self.rows([*(c[joined] for c in old[:3]), np.zeros(len(joined), np.int64)], "merged")
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         spans = self.held()
-        done = spans[1] // 1000 < timerValues.getCurrentWatermarkInMs()
+        done = spans[2] // 1000 < timerValues.getCurrentWatermarkInMs()
         self.keep([c[~done] for c in spans])
         if done.any():
-            yield self.rows(key, [c[done] for c in spans], "closed")
+            yield self.rows([c[done] for c in spans], "closed")
 
     def close(self) -> None:
         pass
 
 
-def stream_sessions(log: DataFrame, gap: str = "30 minutes", ts: str = "searched_at", user: str = "user_session", late: str = "1 hour") -> DataFrame:
+def stream_sessions(log: DataFrame, gap: str = "30 minutes", ts: str = "searched_at", user: str = "user_session", late: str = "1 hour",
+                    buckets: int = 1024) -> DataFrame:
     """R-07: activity sessions per user: start, end (last event and the gap), events and status, in update mode.
 
     A session is known by user and start. Its last row counts: 'open' while it may grow, so a run that ends has the sessions
     still open as well; 'closed' once the watermark is past its end; 'merged' when an event between two sessions has made the later
-    one part of the earlier. Events without a time or user take no part; those later than the watermark are dropped. State: three numbers
-    for each open session.
+    one part of the earlier. Events without a time or user take no part; those later than the watermark are dropped. State: the user and three
+    numbers for each open session. Users are kept in hashed buckets, each with one timer for the first session that ends.
     """
     use_state_store(log.sparkSession)
     kind = log.schema[user].dataType.simpleString()
     rows = log.select(user, F.col(ts).alias("at")).where(F.col(user).isNotNull() & F.col("at").isNotNull()).withWatermark("at", late)
-    return rows.groupBy(user).transformWithStateInPandas(
-        Sessions(micros(gap), user), f"{user} {kind}, session_start timestamp, session_end timestamp, n_events bigint, status string", "Update", "EventTime")
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")).groupBy("_bucket").transformWithStateInPandas(
+        Sessions(micros(gap), user, kind), f"{user} {kind}, session_start timestamp, session_end timestamp, n_events bigint, status string", "Update", "EventTime")
 
 
 class Silence(StatefulProcessor):

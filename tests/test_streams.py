@@ -141,3 +141,26 @@ def test_counts_of_a_stream(spark, tmp_path):
         time.sleep(0.25)
     spark.streams.removeListener(listener)
     assert listener.sums["seen"] == {"rows": 3, "odd": 2}
+
+
+def test_sessions_of_one_bucket_stay_apart(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    batches = [[(rng.choice("abcdefghij"), 1_704_067_200 + rng.randrange(6 * 3600)) for _ in range(60)] for _ in range(3)]
+    stream = files(spark, tmp_path / "in", batches, "user_session string, s long").withColumn("searched_at", F.timestamp_seconds("s"))
+    seen = []
+    run = (state.stream_sessions(stream, late="1 day", buckets=2).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend((n, *r) for r in b.collect()))
+           .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    last = {(user, int(begin.timestamp())): (int(end.timestamp()), n) for _, user, begin, end, n, _ in sorted(seen)}
+    want = {}
+    for user in "abcdefghij":
+        times = sorted(s for rows in batches for u, s in rows if u == user)
+        for at in times:
+            if want and (key := max(want)) and key[0] == user and at < want[key][0]:
+                want[key] = (at + 1800, want[key][1] + 1)
+            else:
+                want[user, at] = (at + 1800, 1)
+    assert {k: v for k, v in last.items() if v[1]} == want
+    assert run.recentProgress[-1].stateOperators[0].numRowsTotal <= 2 * 2  # spans and timer of a bucket
