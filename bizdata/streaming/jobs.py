@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from ..operators.upsert import upsert_registry
 from ..sources.registry import CSV_COLUMNS, map_registry_rows, raw_columns
+from .state import micros, pieces
 from .tables import BucketTable, TopTable
 
 
@@ -79,52 +81,78 @@ def top_table(counts: DataFrame, folder: str, n: int) -> TopTable:
 # --- job state --------------------------------------------------------------------------------
 
 JOB_OUTPUT = "queue_id string, status string, attempts int, due_at timestamp"
-JOB_STATE = "status string, attempts int, due_at timestamp"
+#: Jobs of one bucket side by side: statuses as places in STATUSES, times in microseconds (`due`) and milliseconds (`wake`).
+JOB_STATE = "ids array<string>, statuses array<int>, attempts array<int>, due array<bigint>, wake array<bigint>"
+STATUSES = np.array(["pending", "processing", "completed", "failed"], object)
+PENDING, PROCESSING, COMPLETED, FAILED = range(4)
+NEVER = (1 << 63) - 1
 
 
-def _job_step(max_attempts: int, retry: pd.Timedelta, stuck_after: pd.Timedelta, forget_after: pd.Timedelta) -> Callable:
-    forget_ms = int(forget_after.total_seconds() * 1000)
+def _last_results(rows: pd.DataFrame) -> pd.DataFrame:
+    """A job's last result by time and id, with the number of its starts and its latest time; results of no known kind come first."""
+    rows = rows.sort_values(["known", "at", "event_id", "result"], na_position="first", kind="stable")
+    by = rows.groupby("queue_id", dropna=False, sort=False)
+    rows = rows.assign(starts=by["starts"].transform("sum"), latest=by["latest"].transform("max"))
+    return rows.drop_duplicates("queue_id", keep="last")
 
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return np.where(times.isna(), NEVER, times.to_numpy().astype("datetime64[us]").astype(np.int64))
+
+
+def _job_step(max_attempts: int, retry: int, stuck_after: int, forget_after: int) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts, due = state.get if state.exists else ("pending", 0, None)
-        attempts = int(attempts)
-        if state.hasTimedOut:
-            if status in ("completed", "failed"):
-                state.remove()  # kept long enough
-                return
-            status, due = "pending", None  # silent: the attempts stay
-            state.update((status, attempts, due))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + forget_ms)
+        held = state.get if state.exists else ([], [], [], [], [])
+        last = pd.DataFrame({"queue_id": []})
+        for batch in pieces(batches, lambda: len(last)):
+            batch = batch.assign(known=batch["result"].isin(["started", "completed", "failed"]), starts=(batch["result"] == "started").astype("int64"), latest=batch["at"])
+            last = _last_results(pd.concat([last, batch]) if len(last) else batch)
+        codes, ids = pd.factorize(np.array([*held[0], *last["queue_id"]], object), use_na_sentinel=False)
+        ids = np.where(pd.isna(ids), None, ids)
+        old, new = codes[:len(held[0])], codes[len(held[0]):]
+        status, attempts, due, wake = np.zeros(len(ids), int), np.zeros(len(ids), int), np.full(len(ids), NEVER), np.full(len(ids), NEVER)
+        for column, values in zip((status, attempts, due, wake), held[1:], strict=True):
+            column[old] = values
+        watermark, told = state.getCurrentWatermarkMs(), np.zeros(len(ids), bool)
+        if len(new):
+            attempts[new] += last["starts"].to_numpy(int)
+            at, latest = _micros(last["at"]), _micros(last["latest"])
+            started, completed, failed = (last["result"].eq(r).to_numpy(bool) for r in ("started", "completed", "failed"))
+            used_up = failed & (attempts[new] >= max_attempts)
+            now = np.select([started, completed, used_up, failed], [PROCESSING, COMPLETED, FAILED, PENDING], status[new])
+            until = np.select([completed | used_up, started | failed], [NEVER, np.where(at == NEVER, NEVER, np.minimum(at, NEVER >> 1) + np.where(started, stuck_after, retry))], due[new])
+            kept_until = np.maximum(np.where(latest == NEVER, watermark, latest // 1000), watermark) + forget_after // 1000
+            status[new], due[new], told[new] = now, until, True
+            wake[new] = np.select([(now == PROCESSING) & (until < NEVER), (now == COMPLETED) | (now == FAILED)], [np.maximum(until // 1000, watermark + 1), kept_until], NEVER)
+        over = ~told & (wake < watermark)
+        gone = over & ((status == COMPLETED) | (status == FAILED))  # kept long enough
+        silent = over & ~gone  # the attempts stay
+        status[silent], due[silent], wake[silent] = PENDING, NEVER, watermark + forget_after // 1000
+        if gone.all():
+            state.remove()
         else:
-            rows = sorted((at, number, result) for b in batches for at, number, result in zip(b["at"], b["event_id"], b["result"]))
-            for at, _, result in rows:
-                if result == "started":
-                    status, attempts, due = "processing", attempts + 1, at + stuck_after
-                elif result == "completed":
-                    status, due = "completed", None
-                elif result == "failed":
-                    used_up = attempts >= max_attempts
-                    status, due = ("failed", None) if used_up else ("pending", at + retry)
-            state.update((status, attempts, due))
-            watermark = state.getCurrentWatermarkMs()
-            if status == "processing" and due is not None:
-                state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), watermark + 1))
-            elif status in ("completed", "failed"):
-                state.setTimeoutTimestamp(max(int(max(r[0] for r in rows).timestamp() * 1000), watermark) + forget_ms)
-        yield pd.DataFrame({"queue_id": [key[0]], "status": [status], "attempts": [attempts], "due_at": pd.to_datetime([due])})
+            state.update(tuple(c[~gone].tolist() for c in (ids, status, attempts, due, wake)))
+            if (first := int(wake[~gone].min())) < NEVER:
+                state.setTimeoutTimestamp(max(first, watermark + 1))
+        told |= silent
+        if told.any():
+            times = pd.Series(np.where(due[told] == NEVER, np.datetime64("NaT", "us"), due[told].astype("datetime64[us]")))
+            yield pd.DataFrame({"queue_id": ids[told], "status": STATUSES[status[told]], "attempts": attempts[told], "due_at": times})
 
     return step
 
 
 def stream_jobs(results: DataFrame, max_attempts: int = 3, retry: str = "1h", stuck_after: str = "20min",
-                late: str = "5 minutes", forget_after: str = "30d") -> DataFrame:
+                late: str = "5 minutes", forget_after: str = "30d", buckets: int = 1024) -> DataFrame:
     """R-04, R-05: state of every job from its result events (queue_id, event_id, result, at).
 
     A failed job is pending again after `retry` until its attempts are used up; a job that is started and
-    silent for `stuck_after` of event time is pending again, with its attempts.  The state is three values per job; that
-    of a completed or failed job goes after `forget_after` of event time.
+    silent for `stuck_after` of event time is pending again, with its attempts.  The state is four values per job; that
+    of a completed or failed job goes after `forget_after` of event time.  Jobs are kept in hashed buckets, each with one
+    timer for the first of them: a batch pays for the buckets that its jobs fall in, not for a call per job.
     """
-    step = _job_step(max_attempts, pd.Timedelta(retry), pd.Timedelta(stuck_after), pd.Timedelta(forget_after))
-    keyed = results.withColumn("queue_id", F.col("queue_id").cast("string"))
-    return keyed.withWatermark("at", late).groupBy("queue_id").applyInPandasWithState(
+    step = _job_step(max_attempts, *(micros(text) for text in (retry, stuck_after, forget_after)))
+    keyed = results.select(F.col("queue_id").cast("string").alias("queue_id"), "event_id", "result", "at")
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("queue_id"), F.lit(buckets)).cast("int"))
+    return keyed.withWatermark("at", late).groupBy("bucket").applyInPandasWithState(
         step, JOB_OUTPUT, JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)

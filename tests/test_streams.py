@@ -143,6 +143,54 @@ def test_counts_of_a_stream(spark, tmp_path):
     assert listener.sums["seen"] == {"rows": 3, "odd": 2}
 
 
+def job_by_job(batches, late=300, stuck=1200, retry=3600, most=3, forget=30 * 86400):
+    """Last state of each job, one result after the other; a batch works with the watermark of the batches before it, and
+    drops rows by the one before that."""
+    held, last, dropped, watermark, seen = {}, {}, 0, 0, 0
+
+    def expire(data):
+        for job, (status, n, wake) in list(held.items()):
+            if job not in data and wake is not None and wake < watermark:
+                if status in ("completed", "failed"):
+                    del held[job]
+                else:
+                    held[job], last[job] = ("pending", n, watermark + forget), ("pending", n)
+
+    for rows in [*batches, []]:
+        data = {}
+        for job, number, result, at in rows:
+            if at > dropped:
+                data.setdefault(job, []).append((at, number, result))
+            seen = max(seen, at)
+        for job, results in data.items():
+            status, n, _ = held.get(job, ("pending", 0, None))
+            for at, _, result in sorted(results):
+                if result == "started":
+                    status, n, due = "processing", n + 1, at + stuck
+                else:
+                    status = "completed" if result == "completed" else "failed" if n >= most else "pending"
+            wake = max(due, watermark + 0.001) if status == "processing" else None if status == "pending" else max(max(results)[0], watermark) + forget
+            held[job], last[job] = (status, n, wake), (status, n)
+        expire(data)
+        dropped, watermark = watermark, max(watermark, seen - late)
+    return last
+
+
+def test_jobs_of_one_bucket_keep_their_own_states_and_timers(spark, tmp_path):
+    import random
+
+    rng, start = random.Random(5), 1_704_067_200
+    batches = [[(rng.choice([None, *map(str, range(60))]), k * 1000 + i, rng.choice(["started", "completed", "failed"]), start + days * 86400 + rng.randrange(3600)) for i in range(80)]
+               for k, days in enumerate((0, 0, 1, 40))]
+    stream = files(spark, tmp_path / "in", batches, "queue_id string, event_id int, result string, s long").withColumn("at", F.timestamp_seconds("s"))
+    seen = []
+    run = (jobs.stream_jobs(stream, buckets=3).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend((n, r.queue_id, r.status, r.attempts) for r in b.collect()))
+           .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    assert {job: (status, n) for _, job, status, n in sorted(seen, key=lambda r: r[0])} == job_by_job(batches)
+    assert 0 < run.recentProgress[-1].stateOperators[0].numRowsTotal <= 3
+
+
 def test_sessions_of_one_bucket_stay_apart(spark, tmp_path):
     import random
 
