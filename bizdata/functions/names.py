@@ -1,5 +1,8 @@
 """Columns over person names and job titles."""
 
+import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,12 +125,21 @@ def seniority(c: Column | str) -> Column:
     return level.otherwise(F.lit("Unknown"))
 
 
+def may_match(c: Column, pattern: str) -> Column:
+    """False only if no text that lacks the words of a pattern of plain words can match it: a search for fixed words costs a
+    fraction of a regular expression.  Other patterns may always match."""
+    alternatives = pattern.replace(r"\b", "").split("|")
+    if not all(re.fullmatch(r"(?:[a-z &]|[/-]\??)+", a) and re.search("[a-z]", a) for a in alternatives):
+        return F.lit(True)
+    return reduce(or_, (c.contains(max(re.findall("[a-z &]+", a), key=len)) for a in alternatives))
+
+
 def canonical_title(c: Column | str) -> Column:
     """struct(title, tier) of the first matching management title, else NULL."""
     t = F.lower(as_col(c))
     found = F.when(t.isNull() | ~F.length(t).between(2, 80), F.lit(None))
     for pattern, title, tier in rules.MANAGEMENT_TITLES:
-        found = found.when(t.rlike(pattern), F.struct(F.lit(title).alias("title"), F.lit(tier).alias("tier")))
+        found = found.when(may_match(t, pattern) & t.rlike(pattern), F.struct(F.lit(title).alias("title"), F.lit(tier).alias("tier")))
     return found
 
 

@@ -7,12 +7,13 @@ from ..functions import rules
 from ..functions.company import extract_html_address, name_variants
 from ..functions.email import choose_email, extract_emails
 from ..functions.industry import industry_hint
-from ..functions.names import canonical_title, valid_title
+from ..functions.names import canonical_title, may_match, person_shape_ok, valid_title
 from ..functions.nearby import occurrences
 from ..functions.phone import choose_phone, extract_phones, format_uk_phone
 from ..functions.presence import missing, present
 from ..functions.web import (contact_link, domain, html_fields, html_text, links, social_links,
                              visible_text)
+from ..session import cut_lineage
 from .classify import main_pages
 from .keys import compute_once, first_n, keep_first
 from .quality import valid_person
@@ -225,36 +226,38 @@ def people_from_text(df: DataFrame, text: str, key: str, first_names: DataFrame,
     keys without any of these the bare names with `fallback_title` 0.4.  Each person counts once per key,
     with the most certain reading.
     """
-    def pairs(pattern: str, confidence: float) -> DataFrame:
-        both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"),
-                            F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("t"))
-        rows = compute_once(df.select(key, text), _both=both).select(key, F.posexplode("_both").alias("pos", "_p"))
-        return rows.select(key, "pos", F.split(F.trim("_p.n"), r"\s+").alias("_words"), F.trim("_p.t").alias("_title"),
-                           F.lit(confidence).alias("confidence"))
-
-    # every mention of a name with the text around it, not only the first one
-    listed = compute_once(df.select(key, F.col(text).alias("_text")), _names=occurrences(F.col("_text"), rules.NAME_PAIR, 120, 120, least=5))
-    near = listed.select(key, F.posexplode("_names").alias("pos", "_n")).select(
-        key, "pos", F.col("_n.found").alias("_name"), F.concat("_n.before", "_n.found", "_n.after").alias("_around"))
+    def pairs(pattern: str, confidence: float) -> Column:
+        both = F.arrays_zip(F.regexp_extract_all("_text", F.lit(pattern), F.lit(1)).alias("n"),
+                            F.regexp_extract_all("_text", F.lit(pattern), F.lit(2)).alias("t"))
+        return F.transform(both, lambda p, i: F.struct(i.alias("pos"), F.split(F.trim(p["n"]), r"\s+").alias("_words"), F.trim(p["t"]).alias("_title"),
+                                                       F.lit(None).cast("string").alias("_around"), F.lit(confidence).alias("confidence")))
+
+    # every mention of a name with the text around it, not only the first one; a text is read once
+    mentions = F.transform(occurrences(F.col("_text"), rules.NAME_PAIR, 120, 120, least=5), lambda o, i: F.struct(
+        i.alias("pos"), F.split(o["found"], r"\s+").alias("_words"), F.lit("").alias("_title"),
+        F.lower(F.concat(o["before"], o["found"], o["after"])).alias("_around"), F.lit(0.7).alias("confidence")))
+    found = F.concat(pairs(rules.NAME_DASH_TITLE, 0.9), pairs(rules.NAME_COMMA_TITLE, 0.85), mentions)
+    spark = df.sparkSession  # a file of few splits holds many texts: they are dealt over all tasks
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    raw = df.select(key, F.col(text).alias("_text")).repartition(tasks).select(key, F.explode(found).alias("_p")).select(key, "_p.*").filter(F.size("_words") >= 2)
     # of several titles near a name the one declared first counts, wherever it stands
-    lower = F.lower("_around")
-    first_title = F.coalesce(*[F.when(lower.rlike(p), F.regexp_extract(lower, f"(?:{p})", 0)) for p, _, _ in rules.MANAGEMENT_TITLES], F.lit(""))
-    nearby = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"), first_title.alias("_title"), F.lit(0.7).alias("confidence"))
-    bare = near.select(key, "pos", F.split("_name", r"\s+").alias("_words"), F.lit("").alias("_title"), F.lit(0.4).alias("confidence"))
-
-    raw = pairs(rules.NAME_DASH_TITLE, 0.9).unionByName(pairs(rules.NAME_COMMA_TITLE, 0.85)).unionByName(nearby)
+    around = F.col("_around")
+    first_title = F.coalesce(*[F.when(may_match(around, p) & around.rlike(p), F.regexp_extract(around, f"(?:{p})", 0)) for p, _, _ in rules.MANAGEMENT_TITLES], F.lit(""))
+    titled = compute_once(raw, _said=F.when(around.isNull(), F.col("_title")).otherwise(first_title))
+    titled = compute_once(titled, _canonical=canonical_title("_said"))
+    readings = [F.struct(F.col("_canonical.title").alias("job_title"), "confidence")]
     if fallback_title:
-        raw = raw.unionByName(bare)
-    titled = compute_once(raw.filter(F.size("_words") >= 2), _canonical=canonical_title("_title"))
-    title = F.when(F.col("confidence") == 0.4, F.lit(fallback_title)).otherwise(F.col("_canonical.title"))
-    found = titled.withColumn("job_title", title).filter(F.col("job_title").isNotNull()).select(
-        key, "pos", F.get("_words", F.lit(0)).alias("first_name"), F.element_at("_words", -1).alias("last_name"),
-        "job_title", "confidence")
-    checked = valid_person(found, first_names, not_names).filter("person_ok").drop("person_ok")
-    once = keep_first(checked, [key, F.lower("first_name"), F.lower("last_name")],
-                      [F.desc("confidence"), F.asc("pos"), F.asc("job_title")]).drop("pos")
+        readings.append(F.when(around.isNotNull(), F.struct(F.lit(fallback_title).alias("job_title"), F.lit(0.4).alias("confidence"))))
+    people = titled.select(key, "pos", F.get("_words", F.lit(0)).alias("first_name"), F.element_at("_words", -1).alias("last_name"),
+                           F.explode(F.array(*readings)).alias("_r")).select(key, "pos", "first_name", "last_name", "_r.job_title", "_r.confidence")
+    shaped = people.filter(F.col("job_title").isNotNull() & person_shape_ok("first_name", "last_name"))
+    # the test of a name sees lower case only, so it may follow the choice among equal names
+    single = keep_first(shaped, [key, F.lower("first_name"), F.lower("last_name")],
+                        [F.desc("confidence"), F.asc("pos"), F.asc("job_title")]).drop("pos")
+    once = valid_person(single, first_names, not_names).filter("person_ok").drop("person_ok")
     if not fallback_title:
         return once
+    once = cut_lineage(once)
     certain = once.filter(F.col("confidence") > 0.4)
     return certain.unionByName(once.filter(F.col("confidence") == 0.4).join(
         certain.select(key).distinct(), key, "left_anti"))

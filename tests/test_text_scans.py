@@ -113,3 +113,32 @@ def test_address_of_a_contact(spark):
     got = {r["contact_id"]: (r["email"], r["email_source"]) for r in emails.fill_emails(contacts, accounts, page(spark, html)).collect()}
     assert got == {1: ("ko.desk@other.test", "page"), 2: ("annabel.lee@acme.test", "page"), 3: ("annabel.lee@acme.test", "page"),
                    4: ("lou.elm@acme.test", "pattern"), 5: (None, None), 6: ("bo.unknown@acme.test", "pattern")}
+
+
+def test_fixed_words_stand_for_title_patterns(spark):
+    import re
+
+    from bizdata.functions import rules
+    from bizdata.functions.names import may_match
+
+    texts = ["our co-founder", "cofounder", "non executive director", "nonexecutive director", "svp", "xceox", "head of sales & more", "", "chief  executive officer", "vp of it", None]
+    texts += [re.sub(r"\?", "", p.replace(r"\b", "").split("|")[0]) for p, _, _ in rules.MANAGEMENT_TITLES]
+    texts += [re.sub(r".\?", "", p.replace(r"\b", "").split("|")[-1]) for p, _, _ in rules.MANAGEMENT_TITLES]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    wrong = [p for p, _, _ in rules.MANAGEMENT_TITLES if df.filter(F.col("t").rlike(p) & ~may_match(F.col("t"), p)).count()]
+    assert not wrong
+    odd = [r"\bce[o0]\b", r"\bceos?\b", r"(chair|head)"]
+    assert all("true" in str(may_match(F.col("t"), p)) for p in odd)
+
+
+def test_people_are_read_once_from_few_splits(spark):
+    from bizdata.operators import pages
+
+    snippets = spark.createDataFrame([(i, "Meet Mary Jones, Head of Sales") for i in range(40)] + [(None, "James Smith rang")] * 2, "contact_id long, text string").coalesce(1)
+    names = spark.createDataFrame([("mary",), ("james",)], "word string")
+    found = pages.people_from_text(snippets, "text", "contact_id", names, None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(concat(") == 1 and "RoundRobinPartitioning" in plan
+    assert {(r.first_name, r.job_title, r.confidence) for r in found.collect()} == {("Mary", "Head of Sales", 0.85)} and found.count() == 40
+    everyone = pages.people_from_text(snippets, "text", "contact_id", names, None, "Director").collect()
+    assert len(everyone) == 41 and [tuple(r)[1:] for r in everyone if r.contact_id is None] == [("James", "Smith", "Director", 0.4)]
