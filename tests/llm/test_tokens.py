@@ -91,3 +91,15 @@ def test_the_query_reads_the_stored_prefixes(spark, monkeypatch):
     monkeypatch.setattr(tokens, "token_counts", lambda *a, **k: asked.append(k) or real(*a, **k))
     queries.op5_token_counts(spark, "/root/testdata/sf0.001")
     assert asked[0]["prefixes"]
+
+
+def test_the_limit_is_read_from_the_prefix_table(spark, library, monkeypatch, tmp_path):
+    from bizdata.llm import queries, tokens
+
+    words = ["a " * 2048, "a " * 2049, "a " * 2047 + "internationalisations", " \n", "", None, "a " * 2048 + " \n"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked, real = [], tokens.token_counts
+    monkeypatch.setattr(tokens, "token_counts", lambda *a, **k: asked.append(k) or real(*a, **k))
+    got = {r["doc_id"]: (r["n_tokens"], r["over_limit"]) for r in queries.op5_token_counts(spark, str(tmp_path)).collect()}
+    assert asked[0]["budget"] == 2048
+    assert got == {i: (count(library, t), count(library, t) > 2048) for i, t in enumerate(words)}
